@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_decode
 from .common import table
+from .lines import line_dedup
 from .packing import pack_documents
 from .quality import BASE, quality_rules
 from .sharding import shard_documents
@@ -16,6 +17,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), 1024, 0)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), 40, 5)
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = encode_decode(table(spark, sf_dir, "documents"))
     return done.select(
@@ -39,6 +45,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op6_line_dedup": op6_line_dedup,
     "op8_bpe": op8_bpe,
     "op5_sharding": op5_sharding,
     "op10_quality_rules": op10_quality_rules,
