@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from .bpe import encode_decode
 from .common import table
 from .lines import line_dedup
+from .neardup import jaccard_classes
 from .packing import pack_documents
 from .quality import BASE, quality_rules
 from .sharding import shard_documents
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"), 5, 0.8)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), 1024, 0)
 
@@ -44,6 +49,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_packing": op2_packing,
     "op6_line_dedup": op6_line_dedup,
     "op8_bpe": op8_bpe,
