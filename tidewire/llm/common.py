@@ -63,3 +63,24 @@ def numbered(df: DataFrame, group: list[str], order: list[str], out: str, salts:
         .withColumn(out, F.col("_start") + F.col("_rank") - 1)
         .drop("_salt", "_rank", "_start")
     )
+
+
+def text_batches(batch, column: int, most: int = 4_000_000):
+    """A batch of Arrow rows in parts of at most ``most`` bytes of text, or one row; large texts come alone."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    first, held = 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    if batch.num_rows > first:
+        yield batch.slice(first)
+
+
+def by_hash(rows: DataFrame, share: Column | float, key: str) -> DataFrame:
+    """About ``share`` of the rows, those with the least hashes of ``key``: the same ones whatever the partitions."""
+    place = F.pmod(F.xxhash64(key), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    return rows.filter(place < share)

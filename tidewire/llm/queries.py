@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_decode
-from .common import table
+from .common import table, train_fold
+from .language import fit_languages, predict_languages
 from .lines import line_dedup
 from .neardup import jaccard_classes
 from .packing import pack_documents
 from .quality import BASE, quality_rules
 from .sharding import shard_documents
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +39,18 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    done = predict_languages(docs.select("doc_id", "text"), fit_languages(docs))
+    return done.select("doc_id", (~train_fold(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return done.select("doc_id", (~train_fold(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return shard_documents(docs, 40).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -53,6 +67,8 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op6_line_dedup": op6_line_dedup,
     "op8_bpe": op8_bpe,
+    "op3_language_id": op3_language_id,
+    "op4_toxicity": op4_toxicity,
     "op5_sharding": op5_sharding,
     "op10_quality_rules": op10_quality_rules,
 }
