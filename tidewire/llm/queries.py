@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_decode
 from .common import table, train_fold
+from .htmltext import extract_text
 from .language import fit_languages, predict_languages
 from .lines import line_dedup
 from .neardup import jaccard_classes
+from .neighbours import nearest
 from .packing import pack_documents
 from .quality import BASE, quality_rules
 from .sharding import shard_documents
@@ -29,6 +31,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = encode_decode(table(spark, sf_dir, "documents"))
     return done.select(
@@ -56,6 +63,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(docs, 40).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return done.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     stats = quality_rules(docs, carry=("doc_id",))
@@ -70,6 +82,8 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_sharding": op5_sharding,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
+    "op9_html_text": op9_html_text,
     "op10_quality_rules": op10_quality_rules,
 }
 
