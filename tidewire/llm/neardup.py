@@ -99,7 +99,7 @@ class Shingler:
         counts = np.diff(np.searchsorted(start, tops), prepend=0)
         k = self.words
         gram = np.zeros(max(0, len(word) - k + 1), np.uint64)
-        for j in range(k):
+        for j in range(k if len(gram) else 0):
             gram = gram * np.uint64(GOLD | 1) + word[j : len(word) - k + 1 + j]
         gram = _mix(gram)
         out, at = [], 0
