@@ -11,6 +11,7 @@ that are significantly more frequent in toxic texts than in others.
 
 from __future__ import annotations
 
+import heapq
 import math
 import unicodedata
 import zlib
@@ -37,7 +38,7 @@ STANDS_FOR = {
 }
 
 #: Labelled rows that the lexicon is learned from at most.
-FIT_ROWS = 8000
+FIT_ROWS = 5000
 #: A learned term is at least so long, and its chance under no link with toxicity is at most this.
 SHORTEST, LONGEST, CHANCE = 4, 12, 1e-7
 WORD = regex.compile(r"[^\W_]+")
@@ -125,19 +126,23 @@ class Lexicon:
         """Terms, exceptions and curve from labelled texts; without both labels the fixed list alone."""
         base = {fold(t): 4.0 for t in INSULTS}
         safe = {fold(t) for t in HARMLESS}
-        n1, n0 = sum(toxic), len(toxic) - sum(toxic)
-        if not n1 or not n0:
+        if not sum(toxic) or sum(toxic) == len(toxic):
             return cls(base, safe)
-        every = [set(WORD.findall(fold(t))) for t in texts]
+        words = lambda i: set(WORD.findall(fold(texts[i])))  # noqa: E731  made anew each time, as sets of all rows are large
         # Of copies and near copies one counts: those that share their words of least checksum.
-        one = {(y, *sorted(zlib.crc32(w.encode()) for w in s)[:4]): i for i, (s, y) in enumerate(zip(every, toxic, strict=True))}
-        sets, labels = [every[i] for i in one.values()], toxic
-        toxic = [labels[i] for i in one.values()]
-        n1, n0 = sum(toxic), len(toxic) - sum(toxic)
-        starts = Counter(p for s, y in zip(sets, toxic, strict=True) if y for p in {w[:k] for w in s for k in range(SHORTEST, min(LONGEST, len(w)) + 1)})
+        one = {(y, *heapq.nsmallest(4, (zlib.crc32(w.encode()) for w in words(i)))): i for i, y in enumerate(toxic)}
+        bad, good = [i for i in one.values() if toxic[i]], [i for i in one.values() if not toxic[i]]
+        n1, n0 = len(bad), len(good)
         rate, least = n1 / (n1 + n0), math.log(CHANCE)
-        maybe = {p for p, k in starts.items() if k * math.log(rate) <= least}
-        others = Counter(p for s, y in zip(sets, toxic, strict=True) if not y for p in {w[:k] for w in s for k in range(SHORTEST, min(LONGEST, len(w)) + 1)} & maybe)
+        # A beginning can only be as frequent as the one before its last letter.
+        starts: dict[str, int] = {}
+        sets, last = [words(i) for i in bad], None
+        for k in range(SHORTEST, LONGEST + 1):
+            counts = Counter(p for s in sets for p in {w[:k] for w in s if len(w) >= k and (last is None or w[: k - 1] in last)})
+            last = {p: n for p, n in counts.items() if n * math.log(rate) <= least}
+            starts |= last
+        maybe = set(starts)
+        others = Counter(p for i in good for p in {w[:k] for w in words(i) for k in range(SHORTEST, min(LONGEST, len(w)) + 1)} & maybe)
         after: dict[str, list[str]] = {}
         for q in maybe:
             after.setdefault(q[:-1], []).append(q)
@@ -151,13 +156,12 @@ class Lexicon:
                 p = longer[0]
             chosen[p] = math.log((k + 0.5) / n1 / ((m + 0.5) / n0))
         seen1, seen0 = Counter(), Counter()
-        for s, y in zip(sets, toxic, strict=True):
-            for w in s:
-                if any(w[:j] in chosen or w[:j] in base for j in range(SHORTEST, len(w) + 1)):
-                    (seen1 if y else seen0)[w] += 1
+        for seen, rows in ((seen1, bad), (seen0, good)):
+            for i in rows:
+                seen.update(w for w in words(i) if any(w[:j] in chosen or w[:j] in base for j in range(SHORTEST, len(w) + 1)))
         safe |= {w for w, m in seen0.items() if m >= 2 and seen1[w] < m and w not in base}
         out = cls({t: w for t, w in base.items() if t not in safe} | chosen, safe)
-        out.curve = fit_curve(np.array([out.density(t) for t in texts]), np.array(labels, float))
+        out.curve = fit_curve(np.array([out.density(t) for t in texts]), np.array(toxic, float))
         return out
 
 
