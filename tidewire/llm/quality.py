@@ -35,6 +35,8 @@ FAR = 52.0
 FLOORS = (0.35, 0.06, 0.35, 0.35, 0.35)
 #: Least rows of an own cell; smaller sources are pooled by language, smaller languages together.  Below LEAST nothing is rejected.
 OWN, LEAST = 400, 40
+#: Rows of the fitted table (about 300 bytes each) up to which it is broadcast to the documents.
+BROADCAST_ROWS = 50_000
 DIMS = range(len(FLOORS))
 
 
@@ -171,7 +173,9 @@ def quality_rules(docs: DataFrame, carry: tuple[str, ...] | None = None) -> Data
     names = materialize(cells, "quality-names")
     rows = materialize(keyed.drop("_lang").join(names.drop("n"), "_own").drop("_own"), "quality-vectors")
     sizes = names.groupBy("cell").agg(F.sum("n").alias("_rows"))
-    fitted = fit_scatter(rows).join(sizes, "cell").join(names.drop("n"), "cell")
+    fitted = materialize(fit_scatter(rows).join(sizes, "cell").join(names.select("cell", "_own"), "cell"), "quality-fitted")
+    # One row for each language and source; beyond the checked number the join is a shuffled one.
+    fitted = F.broadcast(fitted) if fitted.count() <= BROADCAST_ROWS else fitted
     judged = stats.withColumn("_own", F.concat_ws("\1", lang, source)).withColumns({f"x{i}": x for i, x in enumerate(_vector())}).join(fitted, "_own", "left")
     inlier = (F.coalesce(F.col("_rows"), F.lit(0)) < LEAST) | F.coalesce(_distance() <= FAR, F.lit(True))
     return judged.withColumn("kept", ~F.col("base_failed") & inlier).withColumn("distance", _distance()).select(*kept, *BASE, "base_failed", "kept", "distance")
