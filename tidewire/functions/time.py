@@ -36,12 +36,14 @@ def minute_anchor(us: Column, minutes: int) -> Column:
 def parse_timestamp(text: Column) -> Column:
     """The first format that fits: ISO with or without zone, mail dates, compact stamps, epoch seconds; else null."""
     trimmed = F.trim(text)
-    tries = [F.try_to_timestamp(trimmed)]
-    for form in ("EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z", "yyyyMMdd'T'HHmmssX", "yyyyMMddHHmmss"):
-        tries.append(F.try_to_timestamp(trimmed, F.lit(form)))
+    # Spark's parser doesn't read names of weekdays.
+    mail = F.regexp_replace(trimmed, r"^[A-Za-z]{3,9},\s*", "")
     epoch = F.when(trimmed.rlike(r"^\d{9,11}(\.\d+)?$"), F.timestamp_seconds(trimmed.try_cast("double")))
-    shaped = trimmed.rlike(r"^\d{14}$")
-    return F.when(shaped, tries[-1]).otherwise(F.coalesce(epoch, *tries[:-1]))
+    stamp = F.when(trimmed.rlike(r"^\d{14}$"), F.try_to_timestamp(trimmed, F.lit("yyyyMMddHHmmss")))
+    compact = F.when(trimmed.rlike(r"^\d{8}T\d{6}"), F.try_to_timestamp(trimmed, F.lit("yyyyMMdd'T'HHmmssX")))
+    named = [F.when(mail.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4}"), F.try_to_timestamp(mail, F.lit(form))) for form in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z")]
+    plain = F.when(~trimmed.rlike(r"^\d{8,}"), F.try_to_timestamp(trimmed))
+    return F.coalesce(stamp, compact, epoch, *named, plain)
 
 
 def session_name(local: Column) -> Column:

@@ -16,6 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewire import lexicon
 from tidewire.functions.text import cashtags, equity_shaped, matched, paren_tickers, sentences, strip, whole_word
@@ -228,7 +229,7 @@ def enrich(captures: DataFrame) -> DataFrame:
 def hash_embedding(texts: DataFrame, text: str = "text", size: int = 64) -> DataFrame:
     """Add ``vector``: signed hashes of words and, by half, of word pairs, at unit length."""
     names = texts.columns
-    schema = texts.schema.add("vector", "array<float>")
+    schema = T.StructType([*texts.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))])
     where = names.index(text)
 
     def one(value: str | None) -> list[float]:

@@ -8,6 +8,8 @@ from pyspark.sql.streaming import DataStreamReader
 
 from tidewire.schemas import CAPTURE
 
+#: Finalized files; a writer's temporary names don't fit.
+NAMES = "*.{jsonl,json}"
 NEEDED = ("capture_id", "doc_id", "text")
 
 
@@ -19,20 +21,20 @@ def _valid(rows: DataFrame) -> DataFrame:
 
 
 def read_captures(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Finalized ``*.jsonl`` files under ``path``; rows that don't parse, or lack an id or text, are left out."""
-    reader = spark.read.schema(CAPTURE).option("mode", "PERMISSIVE").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
+    """Finalized JSON-lines files under ``path``; rows that don't parse, or lack an id or text, are left out."""
+    reader = spark.read.schema(CAPTURE).option("mode", "PERMISSIVE").option("recursiveFileLookup", "true").option("pathGlobFilter", NAMES)
     rows = _valid(reader.json(path))
     return rows if limit is None else rows.limit(limit)
 
 
 def stream_captures(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """The same as a stream; the checkpoint remembers what has been read."""
-    reader: DataStreamReader = spark.readStream.schema(CAPTURE).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
+    reader: DataStreamReader = spark.readStream.schema(CAPTURE).option("recursiveFileLookup", "true").option("pathGlobFilter", NAMES)
     return _valid(reader.option("maxFilesPerTrigger", files_per_batch).json(path))
 
 
 def write_captures(captures: DataFrame, path: str) -> None:
     """One folder for each day of observation."""
-    day = F.coalesce("observed_ts", "published_ts")
+    day = F.coalesce(*(c for c in ("observed_ts", "published_ts") if c in captures.columns))
     parts = captures.withColumns({"y": F.date_format(day, "yyyy"), "m": F.date_format(day, "MM"), "d": F.date_format(day, "dd")})
-    parts.repartition("y", "m", "d").write.mode("append").partitionBy("y", "m", "d").option("filenameSuffix", ".jsonl").json(path)
+    parts.repartition("y", "m", "d").write.mode("append").partitionBy("y", "m", "d").json(path)

@@ -30,7 +30,7 @@ ENVELOPES = ["data", "payload", "message"]
 
 def _first(*tries: Column) -> Column:
     """The first that isn't null or blank, stripped."""
-    return F.coalesce(*(F.when(strip(x) != "", strip(x)) for x in tries))
+    return F.get(F.filter(F.transform(F.array(*tries), strip), lambda x: x != ""), 0)
 
 
 def _unescaped(x: Column) -> Column:
@@ -86,12 +86,15 @@ def parse_push(bodies: DataFrame, fallback: str = "ws.local") -> DataFrame:
         inner = F.when(F.col(f"f.{k}").startswith("{") & holds, F.col(f"f.{k}")).otherwise(inner)
     rows = rows.withColumn("f", F.when(inner.isNotNull(), F.from_json(inner, T.StructType([T.StructField(k, T.StringType()) for k in fields]))).otherwise(F.col("f")))
     probe = lambda keys: _first(*(F.when(~F.col(f"f.{k}").startswith("{"), F.col(f"f.{k}")) for k in keys))
-    body = plain_html(F.coalesce(probe(BODY_KEYS), F.lit("")))
-    title = _first(plain_html(F.coalesce(probe(TITLE_KEYS), F.lit(""))), body)
-    slug = F.regexp_replace(F.substring(F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}]", "-"), 1, 80), "^-+|-+$", "")
-    link = F.coalesce(probe(URL_KEYS), F.concat(F.lit(f"https://{fallback}/ws/"), F.when(slug == "", "item").otherwise(slug)))
-    rows = rows.withColumns({"title": title, "text": F.coalesce(_first(body), title), "url": link, "domain": domain_of(link, F.lit(fallback)), "published_ts": F.lit(None).cast("timestamp")})
-    return _items(rows.filter("title is not null"), bodies)
+    # Behind a generator these are computed once: no filter on what follows from them is pushed below it.
+    plain = lambda keys: plain_html(F.coalesce(probe(keys), F.lit("")))
+    rows = rows.withColumn("_x", F.explode(F.array(F.struct(plain(BODY_KEYS).alias("body"), plain(TITLE_KEYS).alias("title"), probe(URL_KEYS).alias("url")))))
+    rows = rows.withColumns({"_body": F.col("_x.body"), "_url": F.col("_x.url"), "_head": _first(F.col("_x.title"), F.col("_x.body"))}).filter("_head is not null")
+    slug = F.regexp_replace(F.substring(F.regexp_replace(F.lower("_head"), r"[^\p{L}\p{N}]", "-"), 1, 80), "^-+|-+$", "")
+    rows = rows.withColumn("_slug", slug)
+    rows = rows.withColumn("_link", F.coalesce("_url", F.concat(F.lit(f"https://{fallback}/ws/"), F.when(F.col("_slug") == "", "item").otherwise(F.col("_slug")))))
+    rows = rows.withColumns({"title": F.col("_head"), "text": F.coalesce(_first(F.col("_body")), F.col("_head")), "url": F.col("_link"), "domain": domain_of(F.col("_link"), F.lit(fallback)), "published_ts": F.lit(None).cast("timestamp")})
+    return _items(rows, bodies)
 
 
 def parse_edits(bodies: DataFrame, keywords: list[str]) -> DataFrame:
