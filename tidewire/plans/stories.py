@@ -7,11 +7,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.functions.sets import jaccard
 from tidewire.functions.time import epoch_us, event_time
 from tidewire.plans.mix import ratio
 from tidewire.sources.records import timed
@@ -45,13 +45,6 @@ def islands(records: DataFrame, window_s: int = 1800) -> DataFrame:
     return placed.withColumn("island", F.when(F.col("timeless") > 0, F.lit(-1)).otherwise(F.col("island"))).drop("slot", "timeless")
 
 
-class Story:
-    """A cluster that grows: its members' feature sets and the time of the newest."""
-
-    def __init__(self, order: int):
-        self.order, self.members, self.newest = order, [], None
-
-
 def _features(row: dict) -> tuple[frozenset, ...]:
     lists = ("candidate_symbols", "impact_reason_codes", "asset_classes", "candidate_entities")
     symbols, reasons, assets, entities = (frozenset(str(x).strip() for x in row.get(c) or () if x is not None and str(x).strip()) for c in lists)
@@ -68,33 +61,114 @@ def story_similarity(a: tuple[frozenset, ...], b: tuple[frozenset, ...]) -> floa
     return total
 
 
+class FieldSets:
+    """The distinct sets of one feature field, and how similar a set is to each of them."""
+
+    def __init__(self):
+        self.numbers: dict[frozenset, int] = {}
+        self.sizes = np.zeros(64)
+        # For each value the sets that hold it: an array with room to grow, and how much of it is in use.
+        self.holders: dict[str, tuple[np.ndarray, int]] = {}
+
+    def number(self, values: frozenset) -> int:
+        n = self.numbers.get(values)
+        if n is None:
+            n = self.numbers[values] = len(self.numbers)
+            if n == len(self.sizes):
+                self.sizes = np.concatenate([self.sizes, np.zeros(n)])
+            self.sizes[n] = len(values)
+            for v in values:
+                room, used = self.holders.get(v) or (np.zeros(4, np.int64), 0)
+                if used == len(room):
+                    room = np.concatenate([room, np.zeros_like(room)])
+                room[used] = n
+                self.holders[v] = room, used + 1
+        return n
+
+    def jaccard(self, values: frozenset) -> np.ndarray:
+        common = np.zeros(len(self.numbers))
+        for v in values:
+            if v in self.holders:
+                room, used = self.holders[v]
+                common[room[:used]] += 1
+        return common / np.maximum(len(values) + self.sizes[: len(common)] - common, 1)
+
+
 def assign_stories(rows: list[dict], window_us: int, threshold: float) -> list[list[int]]:
-    """Indices of each cluster: rows in time order join the story with the most similar member, the later story on ties."""
+    """Indices of each cluster: rows in time order join the story with the most similar member, the later story on ties.
+
+    All members of stories that can still grow are compared at once: members
+    are numbers of distinct sets per field, and only these sets are compared.
+    """
     order = sorted(range(len(rows)), key=lambda i: (rows[i]["us"] is None, rows[i]["us"] or 0, len(rows[i]["capture_id"] or ""), rows[i]["capture_id"] or ""))
-    features = [_features(r) for r in rows]
-    stories: list[Story] = []
-    live: list[Story] = []
-    for i in order:
-        us = rows[i]["us"]
-        if us is not None:
+    fields = [FieldSets() for _ in CLUSTER_WEIGHTS]
+    stories: list[list[int]] = []
+    newest = np.zeros(1024)
+    # Distinct combinations of all fields but the title, and lines (story, combination, title) of distinct members.
+    profiles: dict[tuple, int] = {}
+    parts, table, used, known = np.zeros((1024, len(fields) - 1), np.int64), np.zeros((1024, 3), np.int64), 0, set()
+    for step, i in enumerate(order):
+        us, features = rows[i]["us"], _features(rows[i])
+        if step % 256 == 255 and us is not None and rows[order[-1]]["us"] is not None:
             # Time only grows, so a story that is too old now stays so; one without a time never ages.
-            live = [s for s in live if s.newest is None or us - s.newest <= window_us]
-            near = live
-        else:
-            near = stories
-        best, score = None, threshold
-        for story in near:
-            own = max(story_similarity(features[j], features[i]) for j in story.members)
-            if own >= score:
-                best, score = story, own
-        if best is None:
-            best = Story(len(stories))
-            stories.append(best)
-            live.append(best)
-        best.members.append(i)
-        if us is not None:
-            best.newest = us if best.newest is None else max(us, best.newest)
-    return [s.members for s in stories]
+            live = table[:used][newest[table[:used, 0]] >= us - window_us]
+            table[: len(live)], used = live, len(live)
+            known = {tuple(x) for x in live.tolist()}
+        story = -1
+        if used:
+            near = [weight * field.jaccard(values) for weight, field, values in zip(CLUSTER_WEIGHTS, fields, features, strict=True)]
+            own = np.zeros(len(profiles))
+            for k, part in enumerate(near[:-1]):
+                if features[k]:
+                    own += part[parts[: len(profiles), k]]
+            score = own[table[:used, 1]] + near[-1][table[:used, 2]]
+            while (best := score.max()) >= threshold:
+                found = int(table[:used, 0][score == best].max())
+                if us is None or newest[found] >= us - window_us:
+                    story = found
+                    break
+                score[table[:used, 0] == found] = -1.0
+        if story < 0:
+            story = len(stories)
+            stories.append([])
+            if story == len(newest):
+                newest = np.concatenate([newest, np.zeros(story)])
+            newest[story] = np.inf if us is None else us
+        stories[story].append(i)
+        if us is not None and newest[story] != np.inf:
+            newest[story] = max(newest[story], us)
+        numbers = [field.number(values) for field, values in zip(fields, features, strict=True)]
+        profile = profiles.setdefault(tuple(numbers[:-1]), len(profiles))
+        if profile == len(parts):
+            parts = np.concatenate([parts, np.zeros_like(parts)])
+        parts[profile] = numbers[:-1]
+        line = (story, profile, numbers[-1])
+        if line not in known:
+            known.add(line)
+            if used == len(table):
+                table = np.concatenate([table, np.zeros_like(table)])
+            table[used] = line
+            used += 1
+    return stories
+
+
+def coherence(features: list[tuple[frozenset, ...]]) -> float:
+    """Mean similarity of all pairs; of many members it is summed field by field over distinct sets and their multiples."""
+    n = len(features)
+    if n < 2:
+        return 1.0
+    if n <= 8:
+        return sum(story_similarity(a, b) for k, a in enumerate(features) for b in features[k + 1 :]) / (n * (n - 1) / 2)
+    total = 0.0
+    for k, weight in enumerate(CLUSTER_WEIGHTS):
+        counts = Counter(f[k] for f in features)
+        field = FieldSets()
+        for values in counts:
+            field.number(values)
+        times = np.array(list(counts.values()), float)
+        both = sum(m * float(field.jaccard(values) @ times) for values, m in counts.items())
+        total += weight * (both - sum(m for values, m in counts.items() if values)) / 2
+    return total / (n * (n - 1) / 2)
 
 
 def _dominant(sets: list[frozenset]) -> list[str]:
@@ -122,12 +196,11 @@ def cluster_records(records: DataFrame, window_s: int = 1800, threshold: float =
         features = [_features(r) for r in own]
         ids = [str(r["capture_id"] or "") for r in own]
         times = [r["us"] for r in own if r["us"] is not None]
-        pairs = [story_similarity(a, b) for k, a in enumerate(features) for b in features[k + 1 :]]
         places = sorted({(r["domain"] or "").strip().lower() for r in own} - {""})
         score = sum(r["finance_relevance_score"] or 0.0 for r in own) / len(own)
         return (
             hashlib.sha1("|".join(sorted(ids)).encode()).hexdigest(), ids, min(times, default=None), max(times, default=None),
-            *(_dominant([f[k] for f in features]) for k in range(3)), places, len(own), score, sum(pairs) / len(pairs) if pairs else 1.0,
+            *(_dominant([f[k] for f in features]) for k in range(3)), places, len(own), score, coherence(features),
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,14 +252,46 @@ def novelty(records: DataFrame, newest: int = 200) -> DataFrame:
     streams past them; ties go to the smaller id.
     """
     corpus = novelty_features(records)
-    asked = corpus.orderBy(F.desc("created_at"), F.length("capture_id"), "capture_id").limit(newest)
-    asked = F.broadcast(asked.select(*(F.col(c).alias(f"q_{c}") for c in ("capture_id", "tokens", "symbols", "reasons", "classes"))))
-    pairs = corpus.join(asked, F.col("capture_id") != F.col("q_capture_id"))
-    parts = zip(NOVELTY_WEIGHTS, ("tokens", "symbols", "reasons", "classes"), strict=True)
-    sim = sum((w * jaccard(F.col(c), F.col(f"q_{c}")) for w, c in parts), F.lit(0.0))
-    best = pairs.select("q_capture_id", F.round(sim, 12).alias("sim"), F.col("capture_id").cast("long").alias("number"), "capture_id").groupBy("q_capture_id").agg(
-        F.max("sim").alias("sim"), F.max_by("capture_id", F.struct("sim", -F.coalesce("number", F.lit(0)))).alias("nearest")
-    )
+    # The asked features are as many as stated, so they go to every task.
+    asked = corpus.orderBy(F.desc("created_at"), F.desc(F.length("capture_id")), F.desc("capture_id")).limit(newest).collect()
+    ids = [r["capture_id"] for r in asked]
+    fields = ("tokens", "symbols", "reasons", "classes")
+    sizes = {f: np.array([len(set(r[f] or ())) for r in asked], float) for f in fields}
+    holders: dict[str, dict[str, list[int]]] = {f: {} for f in fields}
+    for n, r in enumerate(asked):
+        for f in fields:
+            for v in set(r[f] or ()):
+                holders[f].setdefault(v, []).append(n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {c: n for n, c in enumerate(ids)}
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            if not own or not ids:
+                continue
+            total = np.zeros((len(own), len(ids)))
+            for weight, f, column in zip(NOVELTY_WEIGHTS, fields, batch.columns[1:5], strict=True):
+                common, length = np.zeros_like(total), np.zeros(len(own))
+                for k, values in enumerate(column.to_pylist()):
+                    distinct = set(values or ())
+                    length[k] = len(distinct)
+                    for v in distinct:
+                        if (at := holders[f].get(v)) is not None:
+                            common[k, at] += 1
+                total += weight * common / np.maximum(length[:, None] + sizes[f][None, :] - common, 1)
+            for k, c in enumerate(own):
+                if c in number:
+                    total[k, number[c]] = -1.0
+            total = np.round(total, 12)
+            # The best of the batch, ties to the shorter, then smaller, id.
+            place = sorted(range(len(own)), key=lambda k: (len(own[k] or ""), own[k] or ""))
+            best = np.array(place)[total[place].argmax(axis=0)]
+            found = [(ids[n], float(total[k, n]), own[k]) for n, k in enumerate(best.tolist()) if total[k, n] >= 0]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.string()))], names=["q_capture_id", "sim", "nearest"])
+
+    pairs = corpus.select("capture_id", *fields).mapInArrow(run, "q_capture_id string, sim double, nearest string")
+    head = F.min(F.struct((-F.col("sim")).alias("minus"), F.length("nearest").alias("size"), "nearest"))
+    best = pairs.groupBy("q_capture_id").agg(head.alias("h")).select("q_capture_id", (-F.col("h.minus")).alias("sim"), F.col("h.nearest").alias("nearest"))
     label = F.when(F.col("sim") < 0.10, "first of kind in corpus").when(F.col("sim") >= 0.85, "near-duplicate").when(F.col("sim") >= 0.50, "shares symbols + theme").otherwise("low overlap with prior coverage")
     return best.select(F.col("q_capture_id").alias("capture_id"), (1 - F.col("sim")).alias("novelty"), "nearest", label.alias("explanation"))
 
