@@ -32,7 +32,7 @@ from .components import connected_components
 #: Members of a block of a large bucket, and columns of a block's matrix that are multiplied at once.
 BLOCK, COLUMNS = 1500, 4096
 #: Texts of a batch are hashed together up to this many bytes.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000
 MASK = (1 << 64) - 1
 GOLD = 0x9E3779B97F4A7C15
 
