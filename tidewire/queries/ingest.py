@@ -30,7 +30,8 @@ CASE WHEN user_id % 3 = 0 THEN 'reuters.com' WHEN user_id % 3 = 1 THEN 'espn.com
 
 
 def sample_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    # Enrichment costs far more than moving a row: a table of few files is dealt to all cores first.
+    events = table(spark, sf_dir, "events").repartition(spark.sparkContext.defaultParallelism).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     line = lambda i: F.array(*map(F.lit, SENTENCES))[(i % 12).cast("int")]
     u, k = F.col("user_id"), F.col("k")
     return events.select(
