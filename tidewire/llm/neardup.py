@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .components import connected_components
 
-#: Members of a block of a large bucket, and columns of a block's matrix that are multiplied at once.
-BLOCK, COLUMNS = 1500, 4096
+#: Members and n-grams of a block of a large bucket at most, and columns of a block's matrix that are multiplied at once.
+BLOCK, GRAMS, COLUMNS = 500, 2_000_000, 4096
 #: Texts of a batch are hashed together up to this many bytes.
 BATCH_BYTES = 1_000_000
 MASK = (1 << 64) - 1
@@ -149,7 +149,7 @@ def _cut(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, set_key, bands) of every text; set_key (equal for equal n-gram sets) and bands are null without words."""
+    """(doc_id, set_key, n_grams, bands) of every text; set_key (equal for equal n-gram sets) and bands are null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, hasher = Shingler(words), MinHash(bands, rows)
@@ -160,19 +160,20 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 full = [s for s in sets if len(s)]
                 found = iter(hasher.bands_of(full) if full else ())
                 lists = [next(found).tolist() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "set_key", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "set_key", "n_grams", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, set_key binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, set_key binary, n_grams long, bands array<long>")
 
 
 def _buckets(reps: DataFrame) -> DataFrame:
-    """(rep, bucket, members) for buckets of two or more, one of those with the same members."""
-    spread = reps.select("rep", F.posexplode("bands").alias("band", "h")).select("rep", F.xxhash64("band", "h").alias("bucket"))
+    """(rep, bucket, blocks) for buckets of two or more, one of those with the same members; blocks: into how many it is cut."""
+    spread = reps.select("rep", "n_grams", F.posexplode("bands").alias("band", "h")).select("rep", "n_grams", F.xxhash64("band", "h").alias("bucket"))
     sizes = spread.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("rep")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), "rep")).alias("s2")
+        F.count(F.lit(1)).alias("members"), F.sum("n_grams").alias("grams"), F.bit_xor(F.xxhash64("rep")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), "rep")).alias("s2")
     )
-    shared = sizes.filter("members > 1").groupBy("members", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", "members")
-    return spread.join(shared, "bucket")
+    blocks = F.least(F.col("members"), F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("grams") / GRAMS))).cast("int")
+    shared = sizes.filter("members > 1").groupBy("members", "grams", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", blocks.alias("blocks"))
+    return spread.drop("n_grams").join(shared, "bucket")
 
 
 def compare_bucket(sets: list[np.ndarray], side: np.ndarray, across: bool, lists: list[list[int]], bucket: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -319,16 +320,14 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
     bands, rows = choose_bands(threshold, recall)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sigs = materialize(signatures(docs, words, bands, rows), "near-signatures")
-    ids = sigs.filter("set_key is not null and doc_id is not null").groupBy("doc_id", "set_key").agg(F.first("bands").alias("bands"))
-    reps = materialize(ids.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "near-sets")
+    ids = sigs.filter("set_key is not null and doc_id is not null").groupBy("doc_id", "set_key").agg(F.first("bands").alias("bands"), F.first("n_grams").alias("n_grams"))
+    reps = materialize(ids.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("n_grams").alias("n_grams")), "near-sets")
     members = materialize(_buckets(reps), "near-buckets")
     own = members.groupBy("rep").agg(F.collect_list("bucket").alias("buckets")).join(reps.select("rep", "copies"), "rep")
     texts = docs.withColumnRenamed("doc_id", "rep").join(own, "rep")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     side = F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks")).cast("int")
     spread = (
-        members.withColumn("blocks", blocks)
-        .withColumn("side", side)
+        members.withColumn("side", side)
         .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("rep", "bucket", F.least("side", "x").alias("a"), F.greatest("side", "x").alias("b"), "side")
     )
