@@ -46,3 +46,6 @@ def test_awkward(awkward, nothing):
     out = {r["doc_id"]: r for r in quality.quality_rules(awkward).collect()}
     assert out[1]["base_failed"] and not out[2]["kept"] and set(out[3].asDict()) >= {"lang", "kept", "n_words"}
     assert quality.quality_rules(nothing).count() == 0
+    # Columns of the caller's that are named like inner ones come back as they were.
+    named = awkward.selectExpr("*", "'mine' AS x0", "'mine' AS m0", "'mine' AS cell", "'mine' AS _own", "'mine' AS _words", "'mine' AS _rows")
+    assert quality.quality_rules(named).select("x0", "m0", "cell", "_own", "_words", "_rows").distinct().collect() == [("mine",) * 6]

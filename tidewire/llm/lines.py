@@ -211,7 +211,7 @@ def line_dedup(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> D
     counted nor changed.  Columns named like an added one are replaced.
     An empty table gives an empty result.
     """
-    docs = docs.drop("n_lines", "n_dropped", "kept_text", "_drops")
+    docs = docs.drop("n_lines", "n_dropped", "kept_text", "_line_drops")
     rows = materialize(_hash_rows(docs, least_chars), "line-hashes")
     counts = rows.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("last"))
     keys = materialize(counts.filter(F.col("n") >= least_docs).select("h1", "h2", F.col("n").cast("long"), "last"), "line-keys")
@@ -219,9 +219,9 @@ def line_dedup(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> D
     # Not the bits that the perfect hash mixes into its first level.
     shard = F.pmod(F.xxhash64("h1"), F.lit(n_shards)).cast("int").alias("shard")
     drops = _probe(rows.select(shard, "doc_id", "h1", "h2"), _shards(keys.select(shard, "*")))
-    lost = drops.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("_drops"))
+    lost = drops.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("_line_drops"))
     names = docs.columns
-    joined = docs.withColumn("_id", F.col("doc_id").cast("long")).join(lost.withColumnRenamed("doc_id", "_id"), "_id", "left")
+    joined = docs.withColumn("_line_doc", F.col("doc_id").cast("long")).join(lost.withColumnRenamed("doc_id", "_line_doc"), "_line_doc", "left")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())])
     where = names.index("text")
 
@@ -245,4 +245,4 @@ def line_dedup(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> D
             added = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *added], names=[*names, "n_lines", "n_dropped", "kept_text"])
 
-    return joined.select(*names, "_drops").mapInArrow(run, schema)
+    return joined.select(*names, "_line_drops").mapInArrow(run, schema)

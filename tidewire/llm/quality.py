@@ -161,8 +161,10 @@ def quality_rules(docs: DataFrame, carry: tuple[str, ...] | None = None) -> Data
     The statistics and the carried columns are written once to the shared folder.
     """
     kept = [c for c in (carry if carry is not None else docs.columns) if c not in {*BASE, "base_failed", "kept", "distance"}]
-    stats = with_text_statistics(docs.select(*dict.fromkeys([*kept, "text", "lang", "source"])))
-    stats = materialize(stats.withColumn("base_failed", base_failed()).select(*dict.fromkeys([*kept, "lang", "source"]), *BASE, "base_failed"), "quality-rows")
+    # The caller's columns travel as one struct, so that none of their names can clash with what is added.
+    row = F.struct(*kept) if kept else F.struct(F.lit(0).alias("_"))
+    stats = with_text_statistics(docs.select(row.alias("_row"), "text", "lang", "source")).withColumn("base_failed", base_failed())
+    stats = materialize(stats.select("_row", "lang", "source", *BASE, "base_failed"), "quality-rows")
     lang, source = F.coalesce(F.col("lang").cast("string"), F.lit("\0")), F.coalesce(F.col("source").cast("string"), F.lit("\0"))
     keyed = stats.filter(~F.col("base_failed")).select(lang.alias("_lang"), F.concat_ws("\1", lang, source).alias("_own"), *(x.alias(f"x{i}") for i, x in enumerate(_vector())))
     counts = keyed.groupBy("_lang", "_own").agg(F.count(F.lit(1)).alias("n"))
@@ -178,4 +180,4 @@ def quality_rules(docs: DataFrame, carry: tuple[str, ...] | None = None) -> Data
     fitted = F.broadcast(fitted) if fitted.count() <= BROADCAST_ROWS else fitted
     judged = stats.withColumn("_own", F.concat_ws("\1", lang, source)).withColumns({f"x{i}": x for i, x in enumerate(_vector())}).join(fitted, "_own", "left")
     inlier = (F.coalesce(F.col("_rows"), F.lit(0)) < LEAST) | F.coalesce(_distance() <= FAR, F.lit(True))
-    return judged.withColumn("kept", ~F.col("base_failed") & inlier).withColumn("distance", _distance()).select(*kept, *BASE, "base_failed", "kept", "distance")
+    return judged.withColumn("kept", ~F.col("base_failed") & inlier).withColumn("distance", _distance()).select(*(F.col("_row")[c].alias(c) for c in kept), *BASE, "base_failed", "kept", "distance")
