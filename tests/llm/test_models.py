@@ -50,12 +50,12 @@ def test_language_awkward(awkward, nothing):
 
 def test_toxicity_folds_exceptions_and_length():
     lexicon = toxicity.Lexicon.learn([], [])
-    lexicon.curve = (-2.0, 4.0)
+    lexicon.curve = (-2.0, 4.0, 0.0, 0.0)
     for text in ("you idiot", "you 1d10t", "you IDIОT", "ïdiot!", "stúpid", "i​diot"):
         assert lexicon.score(text) > 0.5, text
     for text in ("put it in the trash can", "a clownfish swims", "patriotism", "", None):
         assert lexicon.score(text) < 0.5, text
-    assert lexicon.density("idiot " + "word " * 5000) < lexicon.density("idiot")
+    assert lexicon.evidence("idiot " + "word " * 5000)[:2] < lexicon.evidence("idiot")[:2]
 
 
 def test_toxicity_learns_beginnings_and_ignores_copies():
@@ -69,6 +69,17 @@ def test_toxicity_learns_beginnings_and_ignores_copies():
     assert lexicon.score("x y zorblqq") > 0.5 > lexicon.score(plain[0])
 
 
+def test_toxicity_weighs_terms_that_clean_texts_hold_too():
+    """A beginning that half its texts share with clean ones counts, but many of them are needed."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("aeioubcdfgl") for _ in range(6))
+    make = lambda n, hits: " ".join([*(word() for _ in range(n)), *("grumx" + word()[:2] for _ in range(hits))])
+    plain = [make(60, rng.random() < 0.15) for _ in range(900)]
+    bad = [make(60, rng.randint(4, 8)) for _ in range(120)]
+    lexicon = toxicity.Lexicon.learn(plain + bad, [0] * 900 + [1] * 120)
+    assert lexicon.score(make(60, 6)) > 0.5 > lexicon.score(make(60, 1))
+
+
 def test_toxicity_awkward(spark, awkward, nothing):
     labels = spark.createDataFrame([(1, 0, 1), (3, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     out = toxicity.score_toxicity(awkward, toxicity.fit_toxicity(awkward, labels)).collect()

@@ -1,9 +1,10 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton.
 
 Texts are folded first: lower case, look-alike letters, accents, and digits
-and signs that stand for letters.  A term counts where a word starts with it,
-unless an exception phrase covers it.  The weights of the terms that a text
-holds, over a measure of its length, go through a fitted logistic curve.
+and signs that stand for letters.  A listed term counts as a whole word, a
+learned one where a word starts with it, unless an exception phrase covers it.
+The sum of the terms' weights over the text's length and over its logarithm,
+and the greatest weight, go through a fitted logistic curve.
 
 Terms come from a short fixed list and from labelled rows: word beginnings
 that are significantly more frequent in toxic texts than in others.
@@ -17,7 +18,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
@@ -41,6 +42,8 @@ STANDS_FOR = {
 FIT_ROWS = 5000
 #: A learned term is at least so long, and its chance under no link with toxicity is at most this.
 SHORTEST, LONGEST, CHANCE = 4, 12, 1e-7
+#: Log of the least ratio of rates of a learned term, and the weight from which words that begin with it may become exceptions.
+RATIO, SURE = math.log(4.0), 5.0
 WORD = regex.compile(r"[^\W_]+")
 
 
@@ -75,11 +78,13 @@ def log_chance(k: int, n: int, p: float) -> float:
 class Lexicon:
     weights: dict[str, float]
     exceptions: set[str]
-    curve: tuple[float, float] = (-4.0, 8.0)
-    _own: dict = field(default_factory=dict, repr=False)
+    #: Terms that count as whole words only.
+    whole: frozenset[str] = frozenset()
+    #: Intercept, and slopes of the three measures of ``evidence``.
+    curve: tuple[float, ...] = (-4.0, 4.0, 1.0, 1.0)
 
     def __getstate__(self):
-        return {"weights": self.weights, "exceptions": self.exceptions, "curve": self.curve, "_own": {}}
+        return {"weights": self.weights, "exceptions": self.exceptions, "whole": self.whole, "curve": self.curve}
 
     @cached_property
     def automaton(self):
@@ -87,38 +92,38 @@ class Lexicon:
 
         found = ahocorasick.Automaton()
         for term, weight in self.weights.items():
-            found.add_word(term, (len(term), weight))
+            found.add_word(term, (len(term), weight, term in self.whole))
         for phrase in self.exceptions:
-            found.add_word(phrase, (len(phrase), None))
+            found.add_word(phrase, (len(phrase), None, True))
         if len(found):
             found.make_automaton()
         return found
 
-    def density(self, text: str) -> float:
-        """Weights of the terms in a text over the logarithm of its length."""
+    def evidence(self, text: str) -> tuple[float, float, float]:
+        """The terms' weights in a text: their sum over a measure of its logarithmic length, over its length, and the greatest."""
         if not len(self.automaton):
-            return 0.0
+            return 0.0, 0.0, 0.0
         folded = fold(text)
         hits, covered = [], []
-        for end, (n, weight) in self.automaton.iter(folded):
+        for end, (n, weight, whole) in self.automaton.iter(folded):
             start = end - n + 1
-            if start and folded[start - 1].isalnum():
+            if (start and folded[start - 1].isalnum()) or (whole and folded[end + 1 : end + 2].isalnum()):
                 continue
             if weight is None:
                 covered.append((start, end))
             else:
                 hits.append((start, end, weight))
-        if not hits:
-            return 0.0
         best: dict[int, float] = {}
         for start, end, weight in hits:
             if not any(a <= start and end <= b for a, b in covered):
                 best[start] = max(best.get(start, 0.0), weight)
-        return sum(best.values()) / (1 + math.log1p(len(folded) / 300))
+        if not best:
+            return 0.0, 0.0, 0.0
+        total, pages = sum(best.values()), len(folded) / 300
+        return total / (1 + math.log1p(pages)), total / (1 + pages), max(best.values())
 
     def score(self, text: str | None) -> float:
-        a, b = self.curve
-        x = a + b * self.density(text or "")
+        x = self.curve[0] + sum(b * v for b, v in zip(self.curve[1:], self.evidence(text or ""), strict=True))
         return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
     @classmethod
@@ -127,7 +132,7 @@ class Lexicon:
         base = {fold(t): 4.0 for t in INSULTS}
         safe = {fold(t) for t in HARMLESS}
         if not sum(toxic) or sum(toxic) == len(toxic):
-            return cls(base, safe)
+            return cls(base, safe, frozenset(base))
         words = lambda i: set(WORD.findall(fold(texts[i])))  # noqa: E731  made anew each time, as sets of all rows are large
         # Of copies and near copies one counts: those that share their words of least checksum.
         one = {(y, *heapq.nsmallest(4, (zlib.crc32(w.encode()) for w in words(i)))): i for i, y in enumerate(toxic)}
@@ -143,41 +148,54 @@ class Lexicon:
             starts |= last
         maybe = set(starts)
         others = Counter(p for i in good for p in {w[:k] for w in words(i) for k in range(SHORTEST, min(LONGEST, len(w)) + 1)} & maybe)
+        chosen: dict[str, float] = {}
         after: dict[str, list[str]] = {}
         for q in maybe:
             after.setdefault(q[:-1], []).append(q)
-        chosen: dict[str, float] = {}
         for p in sorted(maybe, key=lambda p: (len(p), p)):
             k, m = starts[p], others[p]
-            if any(p[:j] in chosen for j in range(SHORTEST, len(p))) or k < 19 * m or log_chance(k, k + m, rate) > least:
+            weight = math.log((k + 0.5) / n1 / ((m + 0.5) / n0))
+            before = max((chosen[p[:j]] for j in range(SHORTEST, len(p)) if p[:j] in chosen), default=0.0)
+            # A longer beginning must tell clearly more than a shorter one that is in.
+            if weight < max(RATIO, before + RATIO / 2) or log_chance(k, k + m, rate) > least:
                 continue
             # The longest beginning that as good as all of them share is the least likely to meet other words.
             while longer := [q for q in after.get(p, ()) if starts[q] >= 0.95 * k]:
                 p = longer[0]
-            chosen[p] = math.log((k + 0.5) / n1 / ((m + 0.5) / n0))
+            chosen[p] = weight
         seen1, seen0 = Counter(), Counter()
         for seen, rows in ((seen1, bad), (seen0, good)):
             for i in rows:
-                seen.update(w for w in words(i) if any(w[:j] in chosen or w[:j] in base for j in range(SHORTEST, len(w) + 1)))
+                seen.update(w for w in words(i) if any(chosen.get(w[:j], 0.0) > SURE for j in range(SHORTEST, len(w) + 1)))
         safe |= {w for w, m in seen0.items() if m >= 2 and seen1[w] < m and w not in base}
-        out = cls({t: w for t, w in base.items() if t not in safe} | chosen, safe)
-        out.curve = fit_curve(np.array([out.density(t) for t in texts]), np.array(toxic, float))
+        out = cls(base | chosen, safe, frozenset(base) - set(chosen))
+        out.curve = fit_curve(np.array([out.evidence(t) for t in texts]), np.array(toxic, float))
         return out
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float, float]:
-    """Intercept and slope of a logistic curve by Newton steps, with a small ridge so that separable data end."""
-    design = np.stack([np.ones_like(x), x], axis=1)
-    beta = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        slope = design.T @ (y - p) - ridge * beta
-        bend = (design * (p * (1 - p))[:, None]).T @ design + ridge * np.eye(2)
-        step = np.linalg.solve(bend, slope)
-        beta += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> tuple[float, ...]:
+    """Intercept and slopes of a logistic curve by damped Newton steps, with a small ridge so that separable data end.
+
+    Slopes below 0 are set to 0 and the others fitted again: more evidence never lowers a score.
+    """
+    live = list(range(x.shape[1]))
+    while True:
+        design = np.concatenate([np.ones((len(x), 1)), x[:, live]], axis=1)
+        beta = np.zeros(design.shape[1])
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+            slope = design.T @ (y - p) - ridge * beta
+            bend = (design * (p * (1 - p))[:, None]).T @ design + ridge * np.eye(len(beta))
+            step = np.clip(np.linalg.solve(bend, slope), -2, 2)
+            beta += step
+            if np.abs(step).max() < 1e-8:
+                break
+        if (beta[1:] >= 0).all():
             break
-    return float(beta[0]), float(max(beta[1], 0.0))
+        live = [k for k, b in zip(live, beta[1:], strict=True) if b >= 0]
+    out = np.zeros(1 + x.shape[1])
+    out[0], out[[1 + k for k in live]] = beta[0], beta[1:]
+    return tuple(out.tolist())
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Lexicon:
