@@ -227,13 +227,13 @@ def chart_features(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"ret_1d": ret(1), "ret_5d": ret(5), "vol": F.sqrt(var) * F.sqrt(F.lit(252.0))})
 
 
-@query("b1_upsert", f"{R}, n AS (SELECT capture_id, CASE WHEN CAST(capture_id AS BIGINT) % 3 = 0 THEN 'new' ELSE domain END AS domain FROM records WHERE CAST(capture_id AS BIGINT) % 2 = 0 OR CAST(capture_id AS BIGINT) % 3 = 0) SELECT * FROM n")
+@query("b1_upsert", f"{R} SELECT capture_id, CASE WHEN is_finance_relevant THEN 'new' ELSE domain END AS domain FROM records")
 def b1(spark, sf_dir):
-    rows = events_as_records(spark, sf_dir).select("capture_id", "domain", "created_at")
-    n = F.col("capture_id").cast("long")
+    rows = events_as_records(spark, sf_dir)
+    keep = ["capture_id", "domain", "created_at"]
     path = _folder(spark, "upsert")
-    sinks.overwrite_buckets(rows.filter(n % 2 == 0), path, ["capture_id"], buckets=8)
-    sinks.overwrite_buckets(rows.filter(n % 3 == 0).withColumn("domain", F.lit("new")), path, ["capture_id"], buckets=8)
+    sinks.overwrite_buckets(rows.select(*keep), path, ["capture_id"], buckets=8)
+    sinks.overwrite_buckets(lookup.relevant_only(rows).withColumn("domain", F.lit("new")).select(*keep), path, ["capture_id"], buckets=8)
     return spark.read.parquet(path).select("capture_id", "domain")
 
 
@@ -250,10 +250,10 @@ def b5(spark, sf_dir):
     return sinks.error_rows(sinks.newest_per_table(rows, 20), "title", "bad", 10)
 
 
-@query("b9_archive", f"{R}, t AS (SELECT capture_id FROM records ORDER BY us DESC, capture_id DESC LIMIT 150) SELECT capture_id, title FROM records WHERE capture_id NOT IN (SELECT capture_id FROM t) AND CAST(capture_id AS BIGINT) % 2 = 1 ORDER BY us, capture_id LIMIT 2000")
+@query("b9_archive", f"{R}, t AS (SELECT capture_id FROM records ORDER BY us DESC, capture_id DESC LIMIT 150) SELECT capture_id, title FROM records WHERE capture_id NOT IN (SELECT capture_id FROM t) AND NOT is_finance_relevant ORDER BY us, capture_id LIMIT 2000")
 def b9(spark, sf_dir):
     rows = events_as_records(spark, sf_dir)
-    done = rows.filter(F.col("capture_id").cast("long") % 2 == 0)
+    done = lookup.relevant_only(rows)
     path = _folder(spark, "archive")
     sinks.write_archive(sinks.to_archive(rows, done), path)
     return spark.read.option("header", "true").option("escape", '"').csv(path).select("capture_id", "title")
@@ -270,7 +270,7 @@ def b11(spark, sf_dir):
     return sinks.export_csv_columns(rows).select("capture_id", "asset_classes", "candidate_symbols")
 
 
-@query("b12_reviews_flat", f"{R} SELECT capture_id, is_finance_relevant AS payload_is_finance_relevant, array_to_string(asset_classes, ';') AS payload_asset_classes, CAST(CAST(capture_id AS BIGINT) % 900 AS INTEGER) AS input_tokens FROM records WHERE CAST(capture_id AS BIGINT) % 3 = 0")
+@query("b12_reviews_flat", f"{R} SELECT capture_id, is_finance_relevant AS payload_is_finance_relevant, array_to_string(asset_classes, ';') AS payload_asset_classes, CAST(CAST(capture_id AS BIGINT) % 900 AS INTEGER) AS input_tokens FROM records")
 def b12(spark, sf_dir):
     from tidewire.queries.relational import reviews
 

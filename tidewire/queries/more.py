@@ -25,17 +25,17 @@ def a4(spark, sf_dir):
     return cap.read_captures(spark, path, 100).agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
-@query("a12_mirror_feed", "SELECT event_id, 'M ' || event_id AS title, 'https://x.com/u/status/' || event_id AS url, 'x.com' AS domain FROM events WHERE user_id < 20")
+@query("a12_mirror_feed", "SELECT event_id, 'M ' || event_id AS title, 'https://x.com/u/status/' || event_id AS url, 'x.com' AS domain FROM events")
 def a12(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").filter("user_id < 20")
+    rows = table(spark, sf_dir, "events")
     i = F.col("event_id").cast("string")
     body = F.concat(F.lit("<rss><channel><item><title>M "), i, F.lit("</title><link>https://nitter.example/u/status/"), i, F.lit("#m</link><description>d</description></item></channel></rss>"))
     return feeds.parse(rows.select("event_id", body.alias("body")), "twitter").select("event_id", "title", "url", "domain")
 
 
-@query("a15_sse_frames", "SELECT user_id, 'one ' || event_type || chr(10) || 'two' AS data FROM events WHERE user_id % 2 = 0")
+@query("a15_sse_frames", "SELECT user_id, 'one ' || event_type || chr(10) || 'two' AS data FROM events")
 def a15(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").filter("user_id % 2 = 0")
+    rows = table(spark, sf_dir, "events")
     text = F.concat(F.lit(": hello\n\ndata: one "), F.col("event_type"), F.lit("\r\ndata:two\n\ndata: cut off"))
     return rows.select("user_id", F.explode(sse.frames(text)).alias("data"))
 
@@ -142,10 +142,10 @@ def m7(spark, sf_dir):
     return rows.selectExpr("capture_id", "tw_jaccard(asset_classes, array('rates', 'fx')) AS j", "tw_severity(finance_relevance_score * 5) AS s")
 
 
-@query("m1_feed_table_function", "SELECT event_id, 'U ' || event_id AS title FROM events WHERE user_id < 10")
+@query("m1_feed_table_function", "SELECT event_id, 'U ' || event_id AS title FROM events")
 def m1(spark, sf_dir):
     register(spark)
     i = F.col("event_id").cast("string")
     body = F.concat(F.lit("<rss><item><title>U "), i, F.lit("</title><link>https://u.example/"), i, F.lit("</link></item></rss>"))
-    bodies = table(spark, sf_dir, "events").filter("user_id < 10").select("event_id", body.alias("body"))
+    bodies = table(spark, sf_dir, "events").select("event_id", body.alias("body"))
     return spark.sql("SELECT b.event_id, f.title FROM {b} AS b, LATERAL tw_feed_items(b.body) AS f", b=bodies)

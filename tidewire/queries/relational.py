@@ -120,10 +120,10 @@ def b2(spark, sf_dir):
 
 def tags(spark, sf_dir):
     rows = rec(spark, sf_dir)
-    return rows.filter(F.col("capture_id").cast("long") % 5 == 0).select("capture_id", F.concat(F.lit("t"), (F.col("capture_id").cast("long") % 7).cast("string")).alias("tag"), "created_at")
+    return rows.select("capture_id", F.concat(F.lit("t"), (F.col("capture_id").cast("long") % 7).cast("string")).alias("tag"), "created_at")
 
 
-TAGS = "tags AS (SELECT capture_id, 't' || CAST(CAST(capture_id AS BIGINT) % 7 AS VARCHAR) AS tag FROM records WHERE CAST(capture_id AS BIGINT) % 5 = 0)"
+TAGS = "tags AS (SELECT capture_id, 't' || CAST(CAST(capture_id AS BIGINT) % 7 AS VARCHAR) AS tag FROM records)"
 
 
 @query("d2_by_tag", f"{R}, {TAGS} SELECT r.capture_id, r.domain, t.tag FROM records r JOIN tags t ON r.capture_id = t.capture_id WHERE t.tag = 't3'")
@@ -146,8 +146,8 @@ def b7(spark, sf_dir):
 
 
 def reviews(spark, sf_dir):
-    """Two reviewers of every third record: the second one shifts scores and labels."""
-    rows = rec(spark, sf_dir).filter(F.col("capture_id").cast("long") % 3 == 0)
+    """Two reviewers of every record: the second one shifts scores and labels."""
+    rows = rec(spark, sf_dir)
     n = F.col("capture_id").cast("long")
     who = rows.withColumn("reviewer_id", F.explode(F.array(F.lit("stub"), F.lit("model"))))
     second = F.col("reviewer_id") == "model"
@@ -163,7 +163,7 @@ def reviews(spark, sf_dir):
     )
 
 
-REVIEWS = """rv AS (SELECT *, CAST(capture_id AS BIGINT) AS n FROM records WHERE CAST(capture_id AS BIGINT) % 3 = 0),
+REVIEWS = """rv AS (SELECT *, CAST(capture_id AS BIGINT) AS n FROM records),
 pr AS (SELECT capture_id, n, finance_relevance_score AS predicted, finance_relevance_score * 0.9 AS truth, is_finance_relevant AS ra, finance_relevance_score >= 0.5 AS rb, asset_classes AS aa, asset_classes[1:1] AS ab,
   impact_reason_codes AS ia, CASE WHEN n % 2 = 0 THEN [] ELSE impact_reason_codes END AS ib, sentiment_label AS sa, CASE WHEN n % 4 = 0 THEN 'neutral' ELSE sentiment_label END AS sb FROM rv),
 cal AS (SELECT capture_id, predicted, truth, truth - predicted AS delta FROM pr WHERE n % 17 <> 0)"""
@@ -415,9 +415,11 @@ def i15(spark, sf_dir):
     return rec(spark, sf_dir).select("capture_id", jaccard(F.col("asset_classes"), F.array(F.lit("rates"), F.lit("fx"))).alias("j"))
 
 
-@query("i19_cluster_id")
+@query("i19_cluster_id", f"{R}, c AS (SELECT strftime(published_ts, '%Y%m%d%H') || '|' || asset_classes[1] AS cluster, string_agg(capture_id, '|' ORDER BY capture_id) AS ids FROM records GROUP BY 1) SELECT cluster, sha1(ids) AS cluster_id FROM c")
 def i19(spark, sf_dir):
-    return rec(spark, sf_dir).filter(F.col("capture_id").cast("long") % 50 == 0).groupBy("domain").agg(tx.cluster_id(F.collect_list("capture_id")).alias("cluster_id"))
+    from tidewire.queries.signals import windows_as_clusters
+
+    return windows_as_clusters(spark, sf_dir).select(F.col("cluster_id").alias("cluster"), tx.cluster_id(F.col("capture_ids")).alias("cluster_id"))
 
 
 @query("i9_domains", r"SELECT page_id, regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#]+)', 1), '^www\.', '') AS domain FROM pages")
