@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -17,3 +20,15 @@ SETTINGS = {
 def session(name: str = "tidewire", master: str | None = None, **more: str) -> SparkSession:
     builder = SparkSession.builder.appName(name).config(map=SETTINGS | more)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers that start from now on import this package from where the driver has it.
+
+    A cluster that doesn't share that folder gets the package by ``addPyFile`` or as an installed one.
+    """
+    root = str(Path(__file__).resolve().parent.parent)
+    known = spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([root, *paths])
