@@ -2,10 +2,15 @@ from __future__ import annotations
 
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
+import pytest
 
 from tidewire.llm import lines
+from tidewire.llm.queries import QUERIES, SQL
+
+DATA = "/root/testdata/sf0.001"
 
 
 def test_perfect_hash_is_minimal_and_perfect():
@@ -54,3 +59,13 @@ def test_against_brute_force(spark, awkward, nothing):
     assert got == brute(rows, 40, 5) and any(r[2] for r in got)
     assert lines.line_dedup(awkward).count() == 7 and lines.line_dedup(nothing).count() == 0
     assert "kept" in lines.line_dedup(awkward).columns
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
+def test_query_is_the_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["op6_line_dedup"](spark, DATA).collect())
+    assert got == sorted(con.execute(SQL["op6_line_dedup"]).fetchall())
