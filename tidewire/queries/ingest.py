@@ -12,6 +12,7 @@ from tidewire.functions import text as tx
 from tidewire.operators import lookup
 from tidewire.plans import enrich as en
 from tidewire.queries.registry import query, table
+from tidewire.session import shared_dir
 from tidewire.sources import captures as cap
 from tidewire.sources import feeds, sinks
 from tidewire.sources.records import RECORDS_SQL, events_as_records
@@ -118,8 +119,7 @@ def a16(spark, sf_dir):
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A fresh folder that all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("a1_captures_round_trip", f"{CAPS} SELECT capture_id, title, text, domain, source_type FROM caps")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -32,3 +36,28 @@ def ship(spark: SparkSession) -> None:
     paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         known["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
+#: Folders made for applications whose session names none.
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor shares: ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        folder = tempfile.mkdtemp(prefix="tidewire-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own[app] = f"file://{folder}"
+    return _own[app]
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import csv_safe
+from tidewire.session import materialize
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: str = "created_at") -> DataFrame:
@@ -29,7 +30,7 @@ def overwrite_buckets(new: DataFrame, path: str, keys: list[str], order: str = "
     touched = old.join(F.broadcast(fresh.select("bucket").distinct()), "bucket", "left_semi").select(*fresh.columns)
     merged = upserted(touched, fresh, keys, order)
     # Rows are held apart from the files that are about to be replaced.
-    merged = merged.checkpoint()
+    merged = materialize(merged, "upsert")
     merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
