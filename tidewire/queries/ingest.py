@@ -201,7 +201,7 @@ def a17(spark, sf_dir):
     return lookup.first_wins([one, two], ["name", "url"])
 
 
-@query("a20_quotes", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 189.98 WHEN c_custkey % 3 = 1 THEN 370.6 END AS last FROM customer", "last")
+@query("a20_quotes", "SELECT c_custkey, CAST(CASE WHEN c_custkey % 3 = 0 THEN 189.98 WHEN c_custkey % 3 = 1 THEN 370.6 END AS DOUBLE) AS last FROM customer", "last")
 def a20(spark, sf_dir):
     from tidewire.plans.evaluate import QUOTES
 

@@ -108,7 +108,7 @@ def i22(spark, sf_dir):
 @query("i24_json_lists", f"{R} SELECT capture_id, len(asset_classes) AS n FROM records")
 def i24(spark, sf_dir):
     back = F.from_json(F.to_json("asset_classes"), "array<string>")
-    return events_as_records(spark, sf_dir).select("capture_id", F.size(back).alias("n"))
+    return events_as_records(spark, sf_dir).select("capture_id", F.size(back).cast("long").alias("n"))
 
 
 @query("i30_narratives", f"{R} SELECT capture_id, concat(array_to_string(asset_classes, '/'), ' | ', array_to_string(impact_reason_codes, '/'), ' | sentiment=', coalesce(sentiment_label, 'unknown')) AS reason_text FROM records")

@@ -49,7 +49,7 @@ def c4_parts(spark, sf_dir):
 
 @query("c5_summary", f"{R} SELECT capture_id, title, domain, is_finance_relevant, finance_relevance_score, sentiment_label, sentiment_score, len(candidate_symbols) AS symbols FROM records", "finance_relevance_score sentiment_score")
 def c5(spark, sf_dir):
-    return lookup.summary(rec(spark, sf_dir)).select("capture_id", "title", "domain", "is_finance_relevant", "finance_relevance_score", "sentiment_label", "sentiment_score", F.size("candidate_symbols").alias("symbols"))
+    return lookup.summary(rec(spark, sf_dir)).select("capture_id", "title", "domain", "is_finance_relevant", "finance_relevance_score", "sentiment_label", "sentiment_score", F.size("candidate_symbols").cast("long").alias("symbols"))
 
 
 @query("c6_redaction", f"{R} SELECT capture_id, CAST(NULL AS VARCHAR) AS diagnostic_multimodal_result FROM records")
@@ -191,8 +191,8 @@ def k21_summary(spark, sf_dir):
     return evaluate.calibration_summary(evaluate.calibration_rows(evaluate.review_pairs(reviews(spark, sf_dir), "stub", "model")))
 
 
-@query("k22_agreement", f"""{R}, {REVIEWS}, o AS (SELECT capture_id, ra = rb AS relevance_match, abs(predicted - truth) AS score_delta, CASE WHEN len(aa) = 2 THEN 0.5 ELSE 1.0 END AS asset_jaccard, CASE WHEN len(ib) = 0 THEN 0.0 ELSE 1.0 END AS reason_jaccard,
-  1.0 AS symbol_jaccard, coalesce(sa = sb, false) AS sentiment_match FROM pr)
+@query("k22_agreement", f"""{R}, {REVIEWS}, o AS (SELECT capture_id, ra = rb AS relevance_match, abs(predicted - truth) AS score_delta, CAST(CASE WHEN len(aa) = 2 THEN 0.5 ELSE 1.0 END AS DOUBLE) AS asset_jaccard, CAST(CASE WHEN len(ib) = 0 THEN 0.0 ELSE 1.0 END AS DOUBLE) AS reason_jaccard,
+  CAST(1.0 AS DOUBLE) AS symbol_jaccard, coalesce(sa = sb, false) AS sentiment_match FROM pr)
 SELECT *, (CASE WHEN relevance_match THEN 1 ELSE 0 END + 1 - least(1.0, score_delta) + asset_jaccard + reason_jaccard + symbol_jaccard + CASE WHEN sentiment_match THEN 1 ELSE 0 END) / 6 AS overall FROM o""", "score_delta asset_jaccard reason_jaccard symbol_jaccard overall")
 def k22(spark, sf_dir):
     return evaluate.agreement(evaluate.review_pairs(reviews(spark, sf_dir), "stub", "model"))
@@ -374,7 +374,7 @@ def h2(spark, sf_dir):
 @query("h3_row_sets", f"{R} SELECT capture_id, len(list_intersect(asset_classes, ['rates', 'fx', 'macro'])) AS common, len(list_distinct(list_concat(asset_classes, ['rates', 'fx', 'macro']))) AS either FROM records")
 def h3(spark, sf_dir):
     three = F.array(F.lit("rates"), F.lit("fx"), F.lit("macro"))
-    return rec(spark, sf_dir).select("capture_id", F.size(F.array_intersect("asset_classes", three)).alias("common"), F.size(F.array_union("asset_classes", three)).alias("either"))
+    return rec(spark, sf_dir).select("capture_id", F.size(F.array_intersect("asset_classes", three)).cast("long").alias("common"), F.size(F.array_union("asset_classes", three)).cast("long").alias("either"))
 
 
 @query("h5_set_operations", "SELECT op, count(*) AS n FROM (SELECT 'intersect' AS op, k FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier) AS a UNION ALL SELECT 'except' AS op, k FROM (SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey AS k FROM supplier) AS b UNION ALL SELECT 'union' AS op, k FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier) AS c) AS u GROUP BY op")
@@ -436,7 +436,7 @@ def i6(spark, sf_dir):
 
 @query("i4_tokens", "SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 3)) AS n FROM documents")
 def i4(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: F.length(w) >= 3)).alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: F.length(w) >= 3)).cast("long").alias("n"))
 
 
 @query("i26_csv_guard", "SELECT doc_id, CASE WHEN substr(text, 1, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) THEN '''' || substr(text, 1, 20) ELSE substr(text, 1, 20) END AS cell FROM documents")
