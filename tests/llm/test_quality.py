@@ -49,3 +49,14 @@ def test_awkward(awkward, nothing):
     # Columns of the caller's that are named like inner ones come back as they were.
     named = awkward.selectExpr("*", "'mine' AS x0", "'mine' AS m0", "'mine' AS cell", "'mine' AS _own", "'mine' AS _words", "'mine' AS _rows")
     assert quality.quality_rules(named).select("x0", "m0", "cell", "_own", "_words", "_rows").distinct().collect() == [("mine",) * 6]
+
+
+def test_small_cells_are_judged_by_their_own_language(spark):
+    """Words long for a small language are far out there, though another language has such words, and thin sources next to a hot one stay with it."""
+    rng = random.Random(4)
+    text = lambda k: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(k - 1, k + 1))) for _ in range(rng.randint(40, 90)))
+    rows = [(text(3), "aa", "hot") for _ in range(450)] + [(text(3), "aa", f"s{i % 3}") for i in range(120)] + [(text(12), "bb", f"s{i % 3}") for i in range(120)] + [(text(7), "cc", "s0") for _ in range(40)]
+    odd = [(text(12), "aa", "s0"), (text(12), "aa", "rare"), (text(3), "bb", "s1"), (text(14), "cc", "s0")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows + odd)], "doc_id long, text string, lang string, source string")
+    out = quality.quality_rules(df).toPandas().set_index("doc_id").sort_index()
+    assert out.kept[: len(rows)].all() and not out.kept[out.index >= len(rows)].any() and out.distance.notna().all()

@@ -2,14 +2,17 @@
 
 Every text gets a vector of transformed statistics.  Per language and source a
 minimum-covariance-determinant estimate gives centre and scatter of the bulk,
-and texts at a large Mahalanobis distance from it are rejected.
+and texts at a large Mahalanobis distance from it are rejected.  The fewer rows
+a cell has, the more its estimate leans on that of all rows of its language,
+and that one on the estimate of all rows.
 
 The estimate is found by concentration steps: start from medians and scaled
 quartile ranges, keep the ``SHARE`` of rows nearest to the centre, take their
 mean and covariance, and repeat; a last step takes all rows within a quantile.
-Each step aggregates sums of products per cell (a language and source), so a
-source with a third of all rows costs partial sums, never a task of its own.
-All rows take part in every step.
+Each step aggregates sums of products per cell (a language and source, a
+language, or all rows), so a source with a third of all rows costs partial
+sums, never a task of its own.  All rows take part in every step, each in its
+cells of the three levels.
 """
 
 from __future__ import annotations
@@ -33,8 +36,12 @@ NEAR = 12.83
 FAR = 52.0
 #: Least standard deviation of each statistic, so that a statistic that is constant in the bulk has a scale.
 FLOORS = (0.35, 0.06, 0.35, 0.35, 0.35)
-#: Least rows of an own cell; smaller sources are pooled by language, smaller languages together.  Below LEAST nothing is rejected.
-OWN, LEAST = 400, 40
+#: Least rows of a cell that is fitted, five for each dimension; smaller ones take the estimate of the level above.
+LEAST = 25
+#: The cell of all rows.
+ALL = "\3"
+#: Rows that the level above stands for in a cell's centre and in its scatter, which needs more of them.
+CENTRE_ROWS, SCATTER_ROWS = 5, 50
 #: Rows of the fitted table (about 300 bytes each) up to which it is broadcast to the documents.
 BROADCAST_ROWS = 50_000
 DIMS = range(len(FLOORS))
@@ -123,16 +130,16 @@ def _distance() -> Column:
 
 
 def _moments(near: DataFrame, factor: float) -> DataFrame:
-    """Mean and covariance per cell, the latter over ``factor`` and with floors on its diagonal."""
+    """Mean m and covariance c per cell, the latter over ``factor`` and with floors on its diagonal."""
     sums = near.groupBy("cell").agg(
         *(F.avg(f"x{i}").alias(f"m{i}") for i in DIMS),
         *(F.covar_pop(f"x{i}", f"x{j}").alias(c) for i, j, c in _columns("c")),
     )
-    return _whitened(sums.withColumns({c: F.col(c) / factor + (FLOORS[i] ** 2 if i == j else 0.0) for i, j, c in _columns("c")}))
+    return sums.withColumns({c: F.col(c) / factor + (FLOORS[i] ** 2 if i == j else 0.0) for i, j, c in _columns("c")})
 
 
 def fit_scatter(rows: DataFrame) -> DataFrame:
-    """Centre m and whitening w of each cell of ``rows`` (cell, x0, x1, ...), by concentration steps."""
+    """Centre m and scatter c of each cell of ``rows`` (cell, x0, x1, ...), by concentration steps."""
     quartiles = rows.groupBy("cell").agg(*(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in DIMS))
     start = quartiles.select(
         "cell",
@@ -144,19 +151,45 @@ def fit_scatter(rows: DataFrame) -> DataFrame:
         far = rows.join(params, "cell").withColumn("d", _distance())
         cuts = materialize(far.groupBy("cell").agg(F.percentile_approx("d", SHARE, 1000).alias("cut")).join(params, "cell"), "quality-cells")
         near = rows.join(cuts, "cell").withColumn("d", _distance()).filter("d <= cut")
-        params = materialize(_moments(near, TRIMMED[0.75]), "quality-cells")
+        params = materialize(_whitened(_moments(near, TRIMMED[0.75])), "quality-cells")
     near = rows.join(params, "cell").withColumn("d", _distance()).filter(F.col("d") <= NEAR)
     return materialize(_moments(near, TRIMMED[0.975]), "quality-cells")
 
 
+def _shrunk(names: DataFrame, fitted: DataFrame) -> DataFrame:
+    """Centre m and whitening w for each row of ``names`` (_own, _lang, n, lang_rows), led from all rows to the language to the source."""
+    levels = (
+        names.join(fitted.alias("own"), F.col("_own") == F.col("own.cell"), "left")
+        .join(fitted.alias("lang"), _of_language() == F.col("lang.cell"), "left")
+        .join(F.broadcast(fitted.filter(F.col("cell") == ALL)).alias("all"), F.lit(True), "left")
+    )
+
+    def led(x: str, weight: int) -> Column:
+        found = F.col(f"all.{x}")
+        for level, n in (("lang", F.col("lang_rows")), ("own", F.col("n"))):
+            own, share = F.col(f"{level}.{x}"), n / (n + weight)
+            found = F.coalesce(share * own + (1 - share) * found, own, found)
+        return found
+
+    centre = [led(f"m{i}", CENTRE_ROWS).alias(f"m{i}") for i in DIMS]
+    scatter = [led(c, SCATTER_ROWS).alias(c) for _, _, c in _columns("c")]
+    return _whitened(levels.select(F.col("_own").alias("cell"), *centre, *scatter))
+
+
+def _of_language() -> Column:
+    return F.concat(F.col("_lang"), F.lit("\2"))
+
+
 def quality_rules(docs: DataFrame, carry: tuple[str, ...] | None = None) -> DataFrame:
     """Add the five statistics, base_failed, kept and distance to the columns ``carry`` (all, if None) of ``docs`` (text, lang, source, ...).
 
     kept is false if base_failed, else the verdict of the robust distance.  A
     null language or source is a value of its own.  Null and empty texts fail
-    the base rule.  Cells with fewer than ``OWN`` rows that pass the base rule
-    are pooled by language, then all together; a pool of fewer than ``LEAST``
-    rows rejects nothing beyond the base rule.  Repeated rows get equal
+    the base rule.  Every language and source with ``LEAST`` rows that pass the
+    base rule has an estimate of its own, drawn towards that of all rows of the
+    language, which is drawn towards that of all rows; with fewer rows the
+    level above alone counts.  Only a table with fewer than ``LEAST`` such rows
+    in all rejects nothing beyond the base rule.  Repeated rows get equal
     verdicts.  Columns of ``docs`` named like an added one are replaced.
     The statistics and the carried columns are written once to the shared folder.
     """
@@ -167,17 +200,16 @@ def quality_rules(docs: DataFrame, carry: tuple[str, ...] | None = None) -> Data
     stats = materialize(stats.select("_row", "lang", "source", *BASE, "base_failed"), "quality-rows")
     lang, source = F.coalesce(F.col("lang").cast("string"), F.lit("\0")), F.coalesce(F.col("source").cast("string"), F.lit("\0"))
     keyed = stats.filter(~F.col("base_failed")).select(lang.alias("_lang"), F.concat_ws("\1", lang, source).alias("_own"), *(x.alias(f"x{i}") for i, x in enumerate(_vector())))
-    counts = keyed.groupBy("_lang", "_own").agg(F.count(F.lit(1)).alias("n"))
-    thin = counts.filter(F.col("n") < OWN)
-    pools = thin.groupBy("_lang").agg(F.sum("n").alias("pool"))
-    cell = F.when(F.col("n") >= OWN, F.col("_own")).when(F.col("pool") >= OWN, F.concat(F.col("_lang"), F.lit("\2"))).otherwise("\3")
-    cells = counts.join(pools, "_lang", "left").select("_own", cell.alias("cell"), "n")
-    names = materialize(cells, "quality-names")
-    rows = materialize(keyed.drop("_lang").join(names.drop("n"), "_own").drop("_own"), "quality-vectors")
-    sizes = names.groupBy("cell").agg(F.sum("n").alias("_rows"))
-    fitted = materialize(fit_scatter(rows).join(sizes, "cell").join(names.select("cell", "_own"), "cell"), "quality-fitted")
+    counts = materialize(keyed.groupBy("_lang", "_own").agg(F.count(F.lit(1)).alias("n")), "quality-counts")
+    names = materialize(counts.join(counts.groupBy("_lang").agg(F.sum("n").alias("lang_rows")), "_lang"), "quality-names")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    large = [F.when(F.col("n") >= LEAST, F.col("_own")), F.when(F.col("lang_rows") >= LEAST, _of_language()), F.when(F.lit(total >= LEAST), F.lit(ALL))]
+    cells = names.select("_own", F.array_compact(F.array(*large)).alias("cells"))
+    vectors = materialize(keyed.drop("_lang").join(cells, "_own").drop("_own"), "quality-vectors")
+    rows = vectors.select(F.explode("cells").alias("cell"), *(f"x{i}" for i in DIMS))
+    fitted = materialize(_shrunk(names, fit_scatter(rows)).withColumnRenamed("cell", "_own"), "quality-fitted")
     # One row for each language and source; beyond the checked number the join is a shuffled one.
     fitted = F.broadcast(fitted) if fitted.count() <= BROADCAST_ROWS else fitted
     judged = stats.withColumn("_own", F.concat_ws("\1", lang, source)).withColumns({f"x{i}": x for i, x in enumerate(_vector())}).join(fitted, "_own", "left")
-    inlier = (F.coalesce(F.col("_rows"), F.lit(0)) < LEAST) | F.coalesce(_distance() <= FAR, F.lit(True))
+    inlier = F.coalesce(_distance() <= FAR, F.lit(True))
     return judged.withColumn("kept", ~F.col("base_failed") & inlier).withColumn("distance", _distance()).select(*(F.col("_row")[c].alias(c) for c in kept), *BASE, "base_failed", "kept", "distance")
