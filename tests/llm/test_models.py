@@ -161,6 +161,17 @@ def test_neighbours_recall_copies_and_bad_vectors(spark):
     assert zero.vec_id.tolist() == [0, 3001, 3002, 3003, 3004]
 
 
+def test_neighbours_repeated_ids_do_not_use_up_a_group(spark):
+    """Rows of one id count once among equal vectors, however many there are."""
+    same, other = [1.0, 2.0, 3.0], [3.0, -1.0, 0.5]
+    rows = [(7, same)] * 8 + [(9, same), (100, other), (101, [1.0, 2.0, 2.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 7, 2).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [9, 101]
+    twice = [(i, same) for i in range(10)] * 2 + [(i, [1.0, float(i), 0.0]) for i in range(20, 30)]
+    got = neighbours.nearest(spark.createDataFrame(twice, "vec_id long, embedding array<double>"), F.col("vec_id") < 10, 5).toPandas()
+    assert len(got) == 50 and all(sorted(own.vec_id) == [i for i in range(10) if i != q][:5] for q, own in got.groupby("query_id"))
+
+
 def test_neighbours_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["vec_id"]) for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0).collect()] == [(0, 1)]

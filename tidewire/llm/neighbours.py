@@ -147,10 +147,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id: str = "vec_id",
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     size = sizes[0]["n"]
     hashed = rows.filter(F.size("vector") == size).withColumn("entry", F.xxhash64("vector"))
-    # Least ids of each vector: the window's limit is applied in each task before the shuffle.
-    least = hashed.withColumn("r", F.row_number().over(Window.partitionBy("entry").orderBy("id"))).filter(F.col("r") <= k + 1)
-    ids = least.groupBy("entry").agg(F.array_sort(F.array_distinct(F.collect_list("id"))).alias("ids"), F.first("vector").alias("vector"))
-    asked = hashed.groupBy("entry").agg(F.max("asked").alias("asked"))
+    # Least ids of each vector, a repeated one once: the window's limit is applied in each task before the shuffle.
+    members = hashed.select("entry", "id").distinct()
+    least = members.withColumn("r", F.row_number().over(Window.partitionBy("entry").orderBy("id"))).filter(F.col("r") <= k + 1)
+    ids = least.groupBy("entry").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    asked = hashed.groupBy("entry").agg(F.max("asked").alias("asked"), F.first("vector").alias("vector"))
     entries = materialize(_keyed(ids.join(asked, "entry").select("entry", "vector", "ids", "asked"), size), "near-entries")
     total, n_asked = entries.agg(F.count(F.lit(1)), F.count_if("asked")).first()
     blocks = max(BLOCKS, -(-total // ENTRIES))
