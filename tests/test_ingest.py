@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -154,3 +155,18 @@ def test_first_titles_stream(spark, tmp_path):
 def test_ladders():
     assert [st.next_cooldown(n) for n in (4, 5, 6, 9, 50)] == [0, 60, 300, 3600, 3600]
     assert [st.cadence(n) for n in (2, 3, 6, 11)] == [1, 3, 6, 12]
+
+
+def test_titles_are_made_of_whole_texts(spark, tmp_path):
+    """The registered query agrees with a plain model on texts far longer than a headline."""
+    from tidewire.queries import QUERIES
+
+    def model(text):
+        low = re.sub(r"\s+[-|\u2013\u2014]\s+[^-|\u2013\u2014]{1,40}\Z", "", (text or "").strip().lower()).strip()
+        plain = " ".join(re.sub(r"[^\w\s]+", " ", low).split())
+        return "" if len(plain.replace(" ", "")) < 5 else plain
+
+    texts = ["Markets rally, again! " * 30 + "- The Verge", "." * 100 + " letters come late", "x" * 70 + " - middle of it - " + "y" * 60, "Line one\nline two | Source", "Hi!", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["title"] for r in QUERIES["i7_titles"](spark, str(tmp_path)).collect()}
+    assert got == {i: model(t) for i, t in enumerate(texts)}

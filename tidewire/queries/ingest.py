@@ -109,7 +109,7 @@ def i5(spark, sf_dir):
 
 @query("i7_titles")
 def i7(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.normal_title(F.substring("text", 1, 80)).alias("title"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.normal_title(F.col("text")).alias("title"))
 
 
 @query("a16_html_text")
