@@ -170,3 +170,13 @@ def test_titles_are_made_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["title"] for r in QUERIES["i7_titles"](spark, str(tmp_path)).collect()}
     assert got == {i: model(t) for i, t in enumerate(texts)}
+
+
+def test_csv_guard_passes_whole_texts(spark, tmp_path):
+    from tidewire.queries import QUERIES
+
+    texts = ["=" + "sum(a1) " * 5000, "plain text " * 100, "@", "-\n" + "x" * 50, "\tä" + "y" * 30, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["cell_sha256"] for r in QUERIES["i26_csv_guard_whole"](spark, str(tmp_path)).collect()}
+    cells = ["'" + t if t and t[0] in "=+-@\t\r" else t for t in texts]
+    assert got == {i: None if c is None else hashlib.sha256(c.encode()).hexdigest() for i, c in enumerate(cells)}
