@@ -124,6 +124,13 @@ def test_page_markup():
     assert get(None) == get("") == get("<html></html>") == "" and get("<article><p>" + "<b>x " * 3000) != ""
 
 
+def test_page_loses_only_what_its_attributes_hide():
+    get = htmltext.default_model().extract
+    page = """<article><h1>Head line here</h1><p title="the hidden cost of war">One two three four five six.</p><p class="text hidden md:block">Seven eight nine ten, <a href=x title='a hidden link'>linked words</a> go on.</p>
+<p data-hidden=1>The area is <math><mi>a</mi><mo>=</mo><mn>42</mn></math> in all of these cases.</p><p hidden>gone1</p><p style="color:red; display: none">gone2</p><span aria-hidden="true">gone3</span><p HIDDEN="">gone4</p></article>"""
+    assert get(page) == "Head line here\nOne two three four five six.\nSeven eight nine ten, linked words go on.\nThe area is a=42 in all of these cases."
+
+
 def test_pages_awkward(awkward, nothing):
     rename = lambda d: d.withColumnRenamed("text", "html")
     out = htmltext.extract_text(rename(awkward))

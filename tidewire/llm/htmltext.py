@@ -29,7 +29,7 @@ from .common import text_batches
 
 # HTML's elements by their part in the page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style template noscript iframe object svg math textarea select option head title audio video canvas map".split())
+HIDDEN = frozenset("script style template noscript iframe object svg textarea select option head title audio video canvas map".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr caption ul button label".split())
 CLOSES_P = BLOCK - frozenset("html body td th tr tbody thead tfoot caption button label".split())
@@ -51,7 +51,21 @@ SIGNS = {
 ROLE_TAGS = {"nav": "menu", "menu": "menu", "header": "edge", "footer": "edge", "aside": "side", "form": "form", "fieldset": "form", "button": "form", "label": "form", "dialog": "notice", "search": "form", "article": "main", "main": "main"}
 TAG = regex.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<other>[!?][^>]*)>?|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>)", regex.DOTALL)
 NAMES = regex.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", regex.IGNORECASE)
-STYLE_HIDDEN = regex.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", regex.IGNORECASE)
+ATTRIBUTE = regex.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+NO_DISPLAY = regex.compile(r"(?:^|;)\s*display\s*:\s*none\b", regex.IGNORECASE)
+
+
+def not_shown(attrs: str) -> bool:
+    """Whether an element's attributes hide it: hidden itself, aria-hidden="true" or a style without display."""
+    low = attrs.lower()
+    if "hidden" not in low and "none" not in low:
+        return False
+    for name, *values in ATTRIBUTE.findall(attrs):
+        name, value = name.lower(), next(filter(None, values), "")
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and NO_DISPLAY.search(html.unescape(value))):
+            return True
+    return False
+
 
 
 class Tree:
@@ -88,7 +102,7 @@ class Tree:
     def _open(self, tag: str, attrs: str) -> None:
         if tag in BLOCK:
             self._flush()
-        hidden = tag in HIDDEN or (tag not in ("html", "body") and STYLE_HIDDEN.search(attrs) is not None)
+        hidden = tag in HIDDEN or (tag not in ("html", "body") and not_shown(attrs))
         self._hidden += hidden
         node = self._stack[-1][1]
         if tag in BLOCK and not self._hidden:
