@@ -60,3 +60,11 @@ def test_small_cells_are_judged_by_their_own_language(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows + odd)], "doc_id long, text string, lang string, source string")
     out = quality.quality_rules(df).toPandas().set_index("doc_id").sort_index()
     assert out.kept[: len(rows)].all() and not out.kept[out.index >= len(rows)].any() and out.distance.notna().all()
+
+
+def test_trimmed_shares_are_those_of_a_normal_distribution():
+    import numpy as np
+
+    d = np.sort((np.random.default_rng(5).normal(size=(400_000, 5)) ** 2).sum(axis=1))
+    for share, factor in quality.TRIMMED.items():
+        assert abs(d[: int(share * len(d))].mean() / 5 - factor) < 0.003

@@ -29,7 +29,7 @@ WINDOW = 5
 #: Share of rows in a concentration step, and number of steps.
 SHARE, STEPS = 0.75, 3
 #: Mean squared distance in 5 dimensions of the nearest 75 % and 97.5 % of a normal distribution, as a share of the whole.
-TRIMMED = {0.75: 0.6473, 0.975: 0.9343}
+TRIMMED = {0.75: 0.7075, 0.975: 0.9468}
 #: 0.975 quantile of chi-square with 5 degrees of freedom, for the last step.
 NEAR = 12.83
 #: Squared distance beyond which a text is rejected: far outside any normal bulk (chi-square, 5 degrees: 1e-9), as text statistics have long tails.
