@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 from pathlib import Path
 
@@ -131,6 +132,26 @@ def test_page_loses_only_what_its_attributes_hide():
     assert get(page) == "Head line here\nOne two three four five six.\nSeven eight nine ten, linked words go on.\nThe area is a=42 in all of these cases."
 
 
+def test_broken_pages_take_time_in_proportion():
+    get = htmltext.default_model().extract
+    page = """<html><head><title>T</title><body class='x y' data-a=1 hidden2><!-- c --><article id="m"><p title="a > b">One two &amp; three four<br/>five six seven.<ul><li>x<li>y</ul></article><script>1</script>"""
+    for i in range(len(page)):
+        assert "title" not in get(page[:i]) and "data-a" not in get(page[:i])
+    assert get(page).startswith("One two & three four five six seven.")
+    text = "<article><p>One two three four five six seven eight.</p>"
+    began = time.monotonic()
+    for tail in (
+        "<img " + " ".join(f'a{i}=""' for i in range(10_000)), "<a " * 100_000, '<a b="' * 100_001, "<" * 300_000, "</" * 300_000, "<!" * 300_000, "<!--" * 300_000, "<script>" + "</script " * 100_000,
+        "<p " + "a=" * 300_000, "<p class" + " " * 1_000_000, '<p class="' + "x " * 500_000, "<div>" * 100_000, "<div>" * 50_000 + "</section>" * 50_000, "<b>" * 50_000 + "<p>" + "<i>" * 50_000 + "</b>" * 50_000,
+        "<ul><li>" * 50_000 + "</li>" * 50_000, "<span hidden>" * 100_000, "<p style='" + "; display " * 100_000 + "'",
+    ):
+        assert get(text + tail).startswith("One two three four five six seven eight."), tail[:30]
+    assert time.monotonic() - began < 60
+    assert get("<article><p>One two three four five &#" + "0" * 6000 + "65; six &#" + "9" * 6000 + "; seven &#x41; eight</p></article>") == "One two three four five A six � seven A eight"
+    assert get("<table><tr><td>a<td>b<tr><td>c<td>d</table>") is not None
+    assert htmltext.Tree("<head><meta x><p>One two three").texts[-1] == "One two three"
+
+
 def test_pages_awkward(awkward, nothing):
     rename = lambda d: d.withColumnRenamed("text", "html")
     out = htmltext.extract_text(rename(awkward))

@@ -35,6 +35,7 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 CLOSES_P = BLOCK - frozenset("html body td th tr tbody thead tfoot caption button label".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LISTS = frozenset("ul ol menu dl table".split())
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 
 #: Words in a tag, class, id or role, and what they say of an element.
 SIGNS = {
@@ -49,23 +50,38 @@ SIGNS = {
     "main": regex.compile(r"article|content|main|post\b|entry|story|body|text|prose"),
 }
 ROLE_TAGS = {"nav": "menu", "menu": "menu", "header": "edge", "footer": "edge", "aside": "side", "form": "form", "fieldset": "form", "button": "form", "label": "form", "dialog": "notice", "search": "form", "article": "main", "main": "main"}
-TAG = regex.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<other>[!?][^>]*)>?|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>)", regex.DOTALL)
-NAMES = regex.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", regex.IGNORECASE)
-ATTRIBUTE = regex.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
-NO_DISPLAY = regex.compile(r"(?:^|;)\s*display\s*:\s*none\b", regex.IGNORECASE)
+#: Markup from its "<" on; every repetition is possessive, so a page cut off anywhere is read once.
+COMMENT = regex.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))", regex.DOTALL)
+OTHER = regex.compile(r"<(?:[!?]|/(?![a-zA-Z]))[^>]*+>?+")
+TAG = regex.compile(r"""<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))*+)>""")
+ATTRIBUTE = regex.compile(r"""([^\s=/>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)))?+""")
+RAW_END = {tag: regex.compile(rf"</{tag}(?=[\s/>])", regex.IGNORECASE) for tag in RAW}
+NAME = regex.compile("/?[a-zA-Z]")
+NAMING = ("class", "id", "role", "aria-label")
+NO_DISPLAY = regex.compile(r"(?:^|;)\s*+display\s*+:\s*+none\b", regex.IGNORECASE)
+ZEROS = regex.compile(r"&#0++(?=[0-9])")
+#: Numbers with more digits than any character has.
+NO_CHARACTER = regex.compile(r"&#[0-9]{8,}+;?+")
+
+
+def attributes(attrs: str) -> dict[str, str]:
+    """Values by lower-case name; of a repeated name the first counts."""
+    out: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(attrs):
+        out.setdefault(name.lower(), next(filter(None, values), ""))
+    return out
 
 
-def not_shown(attrs: str) -> bool:
+def not_shown(own: dict[str, str]) -> bool:
     """Whether an element's attributes hide it: hidden itself, aria-hidden="true" or a style without display."""
-    low = attrs.lower()
-    if "hidden" not in low and "none" not in low:
-        return False
-    for name, *values in ATTRIBUTE.findall(attrs):
-        name, value = name.lower(), next(filter(None, values), "")
-        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and NO_DISPLAY.search(html.unescape(value))):
-            return True
-    return False
+    return "hidden" in own or own.get("aria-hidden", "").strip().lower() == "true" or bool(NO_DISPLAY.search(html.unescape(own.get("style", ""))))
+
 
+def decoded(text: str) -> str:
+    """``text`` with its character references decoded."""
+    if "&" not in text:
+        return text
+    return html.unescape(NO_CHARACTER.sub("�", ZEROS.sub("&#", text)) if "&#" in text else text)
 
 
 class Tree:
@@ -75,7 +91,11 @@ class Tree:
         self.parent: list[int] = [-1]
         self.features: list[list[str]] = [["bias"]]
         self.texts: list[str | None] = [None]
-        self._stack: list[tuple[str, int]] = [("", 0)]
+        #: Open elements: name, node, whether it hides what is in it; and the places of each name and kind in that stack.
+        self._stack: list[tuple[str, int, bool]] = [("", 0, False)]
+        self._places: dict[str, list[int]] = {}
+        self._blocks: list[int] = []
+        self._lists: list[int] = []
         self._run: list[str] = []
         self._linked = self._hidden = 0
         self._link = False
@@ -83,7 +103,7 @@ class Tree:
         self._flush()
 
     def _flush(self) -> None:
-        text = " ".join(html.unescape("".join(self._run)).split())
+        text = " ".join(decoded("".join(self._run)).split())
         if text:
             own, n = self._stack[-1], len(text)
             linked = min(1.0, self._linked / n)
@@ -99,14 +119,20 @@ class Tree:
         if self._link:
             self._linked += len(text)
 
+    def _last(self, tag: str) -> int:
+        """Place of the innermost open ``tag`` in the stack, 0 if there is none."""
+        places = self._places.get(tag)
+        return places[-1] if places else 0
+
     def _open(self, tag: str, attrs: str) -> None:
         if tag in BLOCK:
             self._flush()
-        hidden = tag in HIDDEN or (tag not in ("html", "body") and not_shown(attrs))
+        own = attributes(attrs) if attrs and not attrs.isspace() else {}
+        hidden = tag in HIDDEN or (tag not in ("html", "body") and bool(own) and not_shown(own))
         self._hidden += hidden
-        node = self._stack[-1][1]
+        node, place = self._stack[-1][1], len(self._stack)
         if tag in BLOCK and not self._hidden:
-            names = " ".join(next(filter(None, m)) for m in NAMES.findall(attrs) if any(m)).lower() if attrs else ""
+            names = " ".join(own[x] for x in NAMING if own.get(x)).lower()
             signs = {s for s, pattern in SIGNS.items() if pattern.search(names)} if names else set()
             if tag in ROLE_TAGS:
                 signs.add(ROLE_TAGS[tag])
@@ -114,45 +140,46 @@ class Tree:
             self.texts.append(None)
             self.features.append(["bias", "element", f"tag:{tag}", *(f"sign:{s}" for s in sorted(signs))])
             node = len(self.parent) - 1
-        self._stack.append((tag + ("\0" if hidden else ""), node))
+        self._stack.append((tag, node, hidden))
+        self._places.setdefault(tag, []).append(place)
+        if tag in BLOCK:
+            self._blocks.append(place)
+        if tag in LISTS:
+            self._lists.append(place)
         if tag == "a":
             self._link = True
 
     def _close(self, upto: int) -> None:
         while len(self._stack) > upto:
-            tag = self._stack[-1][0]
-            name = tag.rstrip("\0")
-            if name in BLOCK:
+            tag, _, hidden = self._stack[-1]
+            if tag in BLOCK:
                 self._flush()
-            elif name == "a":
+                self._blocks.pop()
+            elif tag == "a":
                 self._link = False
-            self._hidden -= tag.endswith("\0")
+            if tag in LISTS:
+                self._lists.pop()
+            self._hidden -= hidden
+            self._places[tag].pop()
             self._stack.pop()
 
     def _end(self, tag: str) -> None:
-        for i in range(len(self._stack) - 1, 0, -1):
-            name = self._stack[i][0].rstrip("\0")
-            if name == tag:
-                self._close(i)
-                return
-            # An inline end tag doesn't close blocks, nor an item's end tag the list around it.
-            if (tag not in BLOCK and name in BLOCK) or (tag in CLOSED_BY and name in LISTS):
-                return
+        place = self._last(tag)
+        # An inline end tag doesn't close blocks, nor an item's end tag the list around it.
+        if not place or (tag not in BLOCK and self._blocks and self._blocks[-1] > place) or (tag in CLOSED_BY and self._lists and self._lists[-1] > place):
+            return
+        self._close(place)
 
     def _start(self, tag: str, attrs: str) -> None:
-        names = [x.rstrip("\0") for x, _ in self._stack]
-        if tag in CLOSES_P and "p" in names:
-            i = len(names) - 1 - names[::-1].index("p")
-            if not any(x in ("td", "th", "button", "table") for x in names[i:]):
-                self._close(i)
+        if tag not in IN_HEAD and (place := self._last("head")):
+            self._close(place)
+        if tag in CLOSES_P and (place := self._last("p")) and place > max(map(self._last, ("td", "th", "button", "table"))):
+            self._close(place)
         if tag in CLOSED_BY:
-            for i in range(len(self._stack) - 1, 0, -1):
-                name = self._stack[i][0].rstrip("\0")
-                if name in CLOSED_BY[tag]:
-                    self._close(i)
-                    break
-                if name in LISTS:
-                    break
+            around = self._lists[-1] if self._lists else 0
+            inside = [x for x in map(self._last, CLOSED_BY[tag]) if x > around]
+            if inside:
+                self._close(min(inside))
         if tag in VOID:
             if tag in ("br", "hr", "wbr", "img"):
                 self._text("" if tag == "wbr" else " ")
@@ -172,14 +199,19 @@ class Tree:
                 return
             if next_ > at:
                 self._text(page[at:next_])
-            m = TAG.match(page, next_)
-            if m is None:
+            after = page[next_ + 1 : next_ + 4]
+            if after[:1] in ("!", "?") or (after[:1] == "/" and len(after) > 1 and not (after[1].isascii() and after[1].isalpha())):
+                at = (COMMENT if after == "!--" else OTHER).match(page, next_).end()
+                continue
+            if not NAME.match(after):
                 self._text("<")
                 at = next_ + 1
                 continue
+            m = TAG.match(page, next_)
+            if m is None:
+                # The page ends within this tag, which is none then.
+                return
             at = m.end()
-            if m["name"] is None:
-                continue
             tag = m["name"].lower()
             if m["end"]:
                 if tag == "br":
@@ -189,9 +221,9 @@ class Tree:
                 continue
             self._start(tag, m["attrs"])
             if tag in RAW:
-                close = regex.compile(rf"</{regex.escape(tag)}\b[^>]*>", regex.IGNORECASE).search(page, at)
-                at = close.end() if close else n
-                self._end(tag)
+                close = RAW_END[tag].search(page, at)
+                # What is in it is hidden; its end tag is read next.
+                at = close.start() if close else n
 
 
 class Model:
@@ -370,7 +402,9 @@ def default_model() -> Model:
 def extract_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """Add main_text to all columns of ``pages`` (html, ...): the whole page's content runs, joined by line feeds.
 
-    A null or empty page has empty text, and so has one without content.
+    A null or empty page has empty text, and so has one without content; a tag
+    that the page's end cuts off is no text.  The time grows with the page's
+    length, whatever its nesting or faults.
     Character references are decoded and white space in a run is one space.
     Repeated rows get equal texts; a column named main_text is replaced.
     """
