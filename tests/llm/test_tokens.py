@@ -36,6 +36,19 @@ def test_bytes_as_the_library_does():
         assert list(own(t)) == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_bytes_of_long_white_space():
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(tokens.path("byte_bpe_50k.json")), packing.default_encoder()
+    n = packing.LONG_BLANK
+    runs = ["\n" * n + "a", " " * (n + 1), "\t" * (n + 1), " \t\u2003\x85" * n, "\xa0" * (n + 2), "\x1c" * (n + 5), "word", " a", "<|endoftext|>", "'s", "\r\n" * n, "\u3000" * n]
+    rng = random.Random(8)
+    for t in [*(("".join(rng.choice(runs) for _ in range(rng.randint(1, 7)))) for _ in range(400)), " " * 500_000, ("\n" * 40_000 + "a") * 10, ("\n" * n + "a") * 1000]:
+        assert list(own(t)) == library.encode(t, add_special_tokens=False).ids, repr(t)[:200]
+    for blank in " \n":
+        assert len(set(own(blank * 10_000_000).tolist())) <= 2
+
+
 def test_tree_is_the_plain_merge():
     rng = random.Random(4)
     pairs = {a << 32 | b: (r, 10 + r) for r, (a, b) in enumerate((rng.randrange(14), rng.randrange(14)) for _ in range(40))}

@@ -15,6 +15,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,17 +24,40 @@ from .common import materialize, numbered
 
 #: Texts of an Arrow batch are encoded together; a batch is cut at this many characters.
 BATCH_CHARS = 4_000_000
+#: Characters of a run of white space (as the pattern has it) that the pattern meets at most.
+LONG_BLANK = 200
+BLANKS = regex.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_BLANK + 1},}}+")
+TWO_BLANKS = regex.compile(r"\s\s")
 
 
 @cache
 def byte_encoder(ranks_path: str, pattern: str, end: str, end_id: int) -> Callable[[str], np.ndarray]:
-    """Byte-level BPE with the given merge ranks; the end marker's own string in a text is its id."""
+    """Byte-level BPE with the given merge ranks; the end marker's own string in a text is its id.
+
+    The pattern looks ahead after white space, which takes time with the square
+    of a run and memory with its length, so runs above ``LONG_BLANK`` are taken
+    out by hand: all of a run but the last character before other text is one
+    word of the pattern's, and that character begins the text after it.
+    """
     import tiktoken
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     code = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={end: end_id})
-    return lambda text: code.encode_to_numpy(text, allowed_special="all")
+    word = tiktoken.Encoding("packing-word", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) <= LONG_BLANK or not TWO_BLANKS.search(text[:: LONG_BLANK // 2]):
+            return code.encode_to_numpy(text, allowed_special="all")
+        parts, at = [], 0
+        for run in BLANKS.finditer(text):
+            # The end marker splits a text before the pattern does, so a run before it is whole.
+            stop = run.end() if run.end() == len(text) or text.startswith(end, run.end()) else run.end() - 1
+            parts += [code.encode_to_numpy(text[at : run.start()], allowed_special="all"), word.encode_to_numpy(text[run.start() : stop], disallowed_special=())]
+            at = stop
+        return np.concatenate([*parts, code.encode_to_numpy(text[at:], allowed_special="all")])
+
+    return encode
 
 
 def default_encoder() -> Callable[[str], np.ndarray]:
@@ -125,7 +149,13 @@ def assign_sequences(pieces: DataFrame, order: list[str], length: str = "length"
 
 
 def pack_documents(docs: DataFrame, longest: int = 1024, end_id: int = 0) -> DataFrame:
-    """Every piece of every document with its sequence, and a checksum in place of its ids."""
+    """Every piece of every document of ``docs`` (doc_id, text) with its sequence, and a checksum in place of its ids.
+
+    A null or empty text is one piece, the end id alone.  Repeated rows give
+    their pieces each time, a null doc_id is kept as it is, columns other than
+    doc_id and text are ignored whatever their names, and an empty table gives
+    an empty result.
+    """
     pieces = decompose(docs, longest, end_id).withColumn("ids_crc32", F.crc32("ids").cast("long")).drop("ids")
     return assign_sequences(pieces, ["doc_id", "start", "ids_crc32"]).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"
