@@ -61,6 +61,22 @@ def test_against_brute_force(spark, awkward, nothing):
     assert "kept" in lines.line_dedup(awkward).columns
 
 
+def test_columns_of_any_name_come_back(spark, awkward):
+    named = awkward.selectExpr("*", "'mine' AS _line_doc", "'mine' AS _line_drops", "'mine' AS row", "'mine' AS drops", "'mine' AS shard", "1 AS n_lines", "'mine' AS `a.b`", "array('mine') AS h1")
+    out = lines.line_dedup(named)
+    assert out.columns == [*awkward.columns, "_line_doc", "_line_drops", "row", "drops", "shard", "a.b", "h1", "n_lines", "n_dropped", "kept_text"]
+    assert out.select("_line_doc", "_line_drops", "row", "drops", "shard", "`a.b`", "h1").distinct().collect() == [("mine",) * 6 + (["mine"],)]
+
+
+def test_hot_shards_have_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(lines, "PROBES", 50)
+    monkeypatch.setattr(lines, "SHARD_KEYS", 40)
+    line = "a line that every one of the documents holds"
+    rows = [(i, "\n".join([line, f"{i} is the only document that holds this line"] + [f"{i % 30} is held by several of the documents here"] * (i % 3))) for i in range(400)]
+    got = sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == brute(rows, 40, 5)
+
+
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
 def test_query_is_the_sql(spark):
     import duckdb

@@ -1,12 +1,12 @@
-"""Line dedup: sharded minimal perfect hashes over the repeated lines' hashes.
-
-Lines become 128-bit hashes.  Those found in enough documents are dealt into
-shards; each shard gets a minimal perfect hash (levels of bit arrays: a key
-sits where no other key of its level does) that indexes compact arrays of
-fingerprints, document counts and the last document.  The documents' line
-hashes stream past the arrays of their shard, several tasks to a shard, so a
-line that a third of all documents hold is not one task's work, and no line is
-joined with another.
+"""Line dedup: sharded minimal perfect hashes over the distinct lines' hashes.
+
+Lines become 128-bit hashes.  The distinct ones are dealt into shards; each
+shard gets a minimal perfect hash (levels of bit arrays: a key sits where no
+other key of its level does) that indexes compact arrays of fingerprints,
+document counts and the last document.  The documents' line hashes stream past
+the arrays of their shard, whose counts decide what goes; no line is joined
+with another.  A shard with many hashes to look up (a line that a third of all
+documents hold) is given to several tasks, each with the arrays.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from .common import materialize
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)})
-#: Keys of a shard (about 24 bytes each), and tasks that each shard's probes are dealt to.
-SHARD_KEYS, TASKS = 200_000, 16
+#: Keys of a shard (about 24 bytes each) and hashes that a task looks up, on average.
+SHARD_KEYS, PROBES = 200_000, 500_000
+#: Shards with more than one task (12 bytes each) that are broadcast at most.
+BROADCAST_SHARDS = 100_000
 #: Bits of a level for each key that is left.
 GAMMA = 2
 
@@ -173,12 +175,15 @@ def _shards(keys: DataFrame) -> DataFrame:
     return keys.mapInArrow(run, "shard int, data binary")
 
 
-def _probe(rows: DataFrame, shards: DataFrame) -> DataFrame:
-    """(doc_id, h1, h2) of the rows (shard, doc_id, h1, h2) that are repeated lines outside their last document."""
-    task = F.pmod(F.xxhash64("doc_id"), F.lit(TASKS)).cast("int")
-    probes = rows.select("shard", task.alias("task"), F.lit(None).cast("binary").alias("data"), "doc_id", "h1", "h2")
+def _probe(rows: DataFrame, shards: DataFrame, least_docs: int) -> DataFrame:
+    """(doc_id, h1, h2) of the rows (shard, doc_id, h1, h2) that ``least_docs`` documents hold, outside the last of them."""
+    sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    hot = materialize(sizes.filter(F.col("n") > PROBES).select("shard", F.ceil(F.col("n") / PROBES).cast("int").alias("tasks")), "line-hot-shards")
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_SHARDS else hot
+    tasks = F.coalesce("tasks", F.lit(1))
     none = F.lit(None).cast("long")
-    arrays = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(TASKS - 1))).alias("task"), "data", none.alias("doc_id"), none.alias("h1"), none.alias("h2"))
+    probes = rows.join(hot, "shard", "left").select("shard", F.pmod(F.xxhash64("doc_id"), tasks).cast("int").alias("task"), F.lit(None).cast("binary").alias("data"), "doc_id", "h1", "h2")
+    arrays = shards.join(hot, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("task"), "data", none.alias("doc_id"), none.alias("h1"), none.alias("h2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = None
@@ -193,7 +198,7 @@ def _probe(rows: DataFrame, shards: DataFrame) -> DataFrame:
                     part = batch.slice(a, b - a)
                     h1, h2 = (part.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (2, 3))
                     n, last = shard.probe(h1, h2)
-                    lost = pa.array((n > 0) & (part.column(1).to_numpy(zero_copy_only=False) != last))
+                    lost = pa.array((n >= least_docs) & (part.column(1).to_numpy(zero_copy_only=False) != last))
                     yield pa.RecordBatch.from_arrays([part.column(i).filter(lost) for i in (1, 2, 3)], names=["doc_id", "h1", "h2"])
 
     both = arrays.unionByName(probes).repartition("shard", "task").sortWithinPartitions("shard", "task", F.col("data").isNull())
@@ -208,28 +213,32 @@ def line_dedup(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> D
     different doc_ids goes from every document but the one of largest doc_id.
     Null and empty texts are one empty line.  Rows that repeat a doc_id count
     as one document and are treated alike; a row without doc_id is neither
-    counted nor changed.  Columns named like an added one are replaced.
-    An empty table gives an empty result.
+    counted nor changed.  Columns named like an added one are replaced; no
+    other name can clash.  An empty table gives an empty result.
     """
-    docs = docs.drop("n_lines", "n_dropped", "kept_text", "_line_drops")
+    docs = docs.drop("n_lines", "n_dropped", "kept_text")
     rows = materialize(_hash_rows(docs, least_chars), "line-hashes")
+    # A line's documents are counted in part before the shuffle, and the parts of a hot one meet by (line, document) first.
     counts = rows.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("last"))
-    keys = materialize(counts.filter(F.col("n") >= least_docs).select("h1", "h2", F.col("n").cast("long"), "last"), "line-keys")
+    keys = materialize(counts, "line-keys")
     n_shards = max(1, -(-keys.count() // SHARD_KEYS))
     # Not the bits that the perfect hash mixes into its first level.
     shard = F.pmod(F.xxhash64("h1"), F.lit(n_shards)).cast("int").alias("shard")
-    drops = _probe(rows.select(shard, "doc_id", "h1", "h2"), _shards(keys.select(shard, "*")))
-    lost = drops.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("_line_drops"))
+    shards = materialize(_shards(keys.select(shard, "*")), "line-shards")
+    drops = _probe(rows.select(shard, "doc_id", "h1", "h2"), shards, least_docs)
+    lost = drops.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("drops"))
+    # The caller's columns travel as one struct, so that none of their names can clash with what is added.
     names = docs.columns
-    joined = docs.withColumn("_line_doc", F.col("doc_id").cast("long")).join(lost.withColumnRenamed("doc_id", "_line_doc"), "_line_doc", "left")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())])
-    where = names.index("text")
+    carried = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Rows without doc_id find nothing; their salt spreads them over tasks.
+    salt = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(10_000))).otherwise(0).alias("salt")
+    joined = carried.select("*", salt).join(lost.withColumn("salt", F.lit(0).cast("long")), ["doc_id", "salt"], "left").select("row", "text", "drops")
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_lines, n_dropped, kept = [], [], []
-            drops = batch.column(len(names))
-            for text, lost in zip(batch.column(where), drops, strict=True):
+            for text, lost in zip(batch.column(1), batch.column(2), strict=True):
                 whole = text.as_py() or ""
                 if not lost.is_valid:
                     n_lines.append(whole.count("\n") + 1)
@@ -243,6 +252,7 @@ def line_dedup(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> D
                 n_dropped.append(len(lines) - len(left))
                 kept.append("\n".join(left))
             added = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *added], names=[*names, "n_lines", "n_dropped", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *added], names=["row", "n_lines", "n_dropped", "kept_text"])
 
-    return joined.select(*names, "_line_drops").mapInArrow(run, schema)
+    done = joined.mapInArrow(run, schema)
+    return done.select(*(F.col("row").getField(c).alias(c) for c in names), "n_lines", "n_dropped", "kept_text")
