@@ -33,6 +33,66 @@ def test_language_held_out_and_mixtures(spark):
     assert pi[1].max() == pytest.approx(1) and not pi[2:].any()
 
 
+def test_language_of_a_text_does_not_depend_on_its_batch(spark):
+    rng = random.Random(2)
+    rows = [(i, sentence(rng, lang := rng.choice(list(WORDS)), rng.randint(3, 30)), lang) for i in range(300)]
+    model = language.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = [sentence(rng, "xx", rng.randint(0, 9)) + " " + sentence(rng, "yy", rng.randint(0, 9)) + rng.choice(["", " oxx", " 12 ", " \u0301"]) for _ in range(150)] + ["\u0301\u0300 \u0302", "", "a", "\u0301 a"]
+    whole = model.proportions(texts)
+    assert all((model.proportions([t])[0] == whole[i]).all() for i, t in enumerate(texts))
+    assert not whole[150:152].any() and whole[152].any() and whole[153].any()
+
+
+def em_by_the_definition(model, text):
+    """The same mixture, word by word with plain loops."""
+    import math
+    import unicodedata
+
+    letter = lambda c: unicodedata.category(c)[0] in "LM"
+    words, low = [], text.lower()
+    for i, c in enumerate(low):
+        if letter(c):
+            if i == 0 or not letter(low[i - 1]):
+                words.append(np.zeros(len(model.names)))
+            around = [ord(x) if x and letter(x) else 0 for x in (low[i - 1] if i else "", c, low[i + 1 : i + 2])]
+            x = (around[0] << 42) ^ (around[1] << 21) ^ around[2]
+            words[-1] += model.logs[((x ^ (x >> 29)) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 48] * language.TEMPER
+
+    def em(pi):
+        live = pi > 0
+        for _ in range(language.ROUNDS):
+            new = language.PRIOR * live
+            for w in words:
+                share = np.exp(w - w.max()) * pi
+                new = new + share / share.sum()
+            new, old = new / new.sum(), pi
+            pi = new
+            if np.abs(new - old).max() < 1e-3:
+                break
+        return pi, sum(math.log((np.exp(w - w.max()) * pi).sum()) + w.max() for w in words)
+
+    full, _ = em(np.full(len(model.names), 1 / len(model.names)))
+    if full.max() >= 0.999:
+        return full
+    order = np.argsort(-full)
+    sets = []
+    for size in range(1, len(full) + 1):
+        own = np.zeros(len(full))
+        own[order[:size]] = full[order[:size]]
+        pi, mass = em(own / own.sum())
+        sets.append((mass - size * (2 + math.log(len(words))), -size, pi.tolist()))
+    return np.array(max(sets)[2])
+
+
+def test_language_is_the_plain_mixture(spark):
+    rng = random.Random(9)
+    rows = [(i, sentence(rng, lang := rng.choice(list(WORDS)), rng.randint(3, 30)), lang) for i in range(300)]
+    model = language.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for _ in range(60):
+        text = " ".join(sentence(rng, x, rng.randint(1, 8)) for x in rng.sample(list(WORDS), rng.randint(1, 3)))
+        assert np.allclose(model.proportions([text])[0], em_by_the_definition(model, text), atol=2e-3)
+
+
 @need_data
 def test_language_on_the_documents(spark):
     from tidewire.llm.queries import op3_language_id
@@ -81,6 +141,40 @@ def test_toxicity_weighs_terms_that_clean_texts_hold_too():
     assert lexicon.score(make(60, 6)) > 0.5 > lexicon.score(make(60, 1))
 
 
+def test_toxicity_is_the_plain_match():
+    """Against a plain search of every term at every place, with a sweep that many phrases don't slow down."""
+    rng = random.Random(5)
+    lexicon = toxicity.Lexicon.learn([], [])
+    lexicon.weights |= {"zor": 2.0, "zorbl": 3.0}
+    lexicon.exceptions |= {"zor clown fish", "moron ic"}
+
+    def plain(text):
+        t, free = toxicity.fold(text), {}
+        places = lambda x, whole: [i for i in range(len(t)) if t.startswith(x, i) and not (i and t[i - 1].isalnum()) and not (whole and t[i + len(x) : i + len(x) + 1].isalnum())]
+        phrases = [(i, i + len(x)) for x in lexicon.exceptions for i in places(x, True)]
+        for x, w in lexicon.weights.items():
+            for i in places(x, x in lexicon.whole):
+                if not any(a <= i and i + len(x) <= b for a, b in phrases):
+                    free[i] = max(free.get(i, 0.0), w)
+        total, pages = sum(free.values()), len(t) / 300
+        return (total / (1 + np.log1p(pages)), total / (1 + pages), max(free.values())) if free else (0.0, 0.0, 0.0)
+
+    parts = ["idiot", "1d10t", "zor", "zorblax", "zor clown fish", "class clown", "clown", "trash can", "trash", "moron ic", "word", "s", "."]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) + rng.choice([" ", " ", ""]) for _ in range(rng.randint(0, 25)))
+        assert np.allclose(lexicon.evidence(text), plain(text)), text
+    began = time.monotonic()
+    lexicon.score("class clown " * 200_000)
+    assert time.monotonic() - began < 20
+
+
+def test_toxicity_sample_does_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame([(i, f"text number {i}" + " zorblax" * (i % 7 == 0)) for i in range(900)] + [(3, "another of that id")] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, int(i % 7 == 0)) for i in range(900)] * 2, "doc_id long, quality int, toxic int")
+    fits = [toxicity.fit_toxicity(docs.repartition(n), labels.repartition(n), rows=300, most_bytes=b) for n in (1, 7) for b in (3000, 10**8)]
+    assert fits[0].curve == fits[2].curve and fits[1].curve == fits[3].curve != fits[0].curve and fits[1].weights == fits[3].weights
+
+
 def test_toxicity_awkward(spark, awkward, nothing):
     labels = spark.createDataFrame([(1, 0, 1), (3, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     out = toxicity.score_toxicity(awkward, toxicity.fit_toxicity(awkward, labels)).collect()

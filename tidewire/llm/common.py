@@ -65,5 +65,5 @@ def text_batches(batch, column: int, most: int = 4_000_000):
 
 def by_hash(rows: DataFrame, share: Column | float, key: str) -> DataFrame:
     """About ``share`` of the rows, those with the least hashes of ``key``: the same ones whatever the partitions."""
-    place = F.pmod(F.xxhash64(key), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    place = F.shiftrightunsigned(F.xxhash64(key), 12) / F.lit(float(1 << 52))
     return rows.filter(place < share)

@@ -32,15 +32,17 @@ UNKNOWN = "und"
 
 @cache
 def _letters() -> np.ndarray:
-    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)])
+    """2 for letters, 1 for the marks that stand on them, 0 for all else."""
+    return np.array([" ML".find(unicodedata.category(chr(c))[0]) for c in range(0x110000)]).clip(0).astype(np.int8)
 
 
-def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bins of the letters' trigrams, where each word starts in them, and where each text starts in the words."""
+def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bins of the trigrams of letters and their marks, where each word starts in them, where each text starts in the words, and whether it has a letter."""
     low = [t.lower() for t in texts]
     codes = np.frombuffer(" ".join(low).encode("utf-32-le", "surrogatepass") + b" \0\0\0", np.uint32)
     ends = np.cumsum([len(t) + 1 for t in low])
-    letter = _letters()[codes]
+    kind = _letters()[codes]
+    letter = kind > 0
     shown = np.where(letter, codes, 0).astype(np.uint64)
     before = np.concatenate([[np.uint64(0)], shown[:-1]])
     after = np.concatenate([shown[1:], [np.uint64(0)]])
@@ -51,7 +53,8 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = np.flatnonzero(letter & (before == 0))
     words = np.searchsorted(at, first)
     texts_at = np.searchsorted(first, np.concatenate([[0], ends[:-1]]))
-    return bins, words, texts_at
+    seen = np.concatenate([[0], np.cumsum(kind == 2)])
+    return bins, words, texts_at, np.diff(seen[ends], prepend=0) > 0
 
 
 def segment_sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -63,25 +66,25 @@ class Mixture:
         self.names, self.logs = names, logs
 
     @classmethod
-    def fit(cls, texts: list[str], langs: list[str]) -> Mixture:
-        names = sorted(set(langs))
-        counts = np.full((BINS, len(names)), 0.02)
-        for k, name in enumerate(names):
-            own = [t for t, x in zip(texts, langs, strict=True) if x == name]
-            for a in range(0, len(own), 200):
-                counts[:, k] += np.bincount(trigrams(own[a : a + 200])[0], minlength=BINS)
-        return cls(names, np.log(counts / counts.sum(axis=0)).astype(np.float32))
+    def of(cls, counts: dict[str, np.ndarray]) -> Mixture:
+        """From each language's counts of trigrams by bin."""
+        names = sorted(counts)
+        table = np.stack([counts[x] for x in names], axis=1) + 0.02 if names else np.ones((BINS, 0))
+        return cls(names, np.log(table / table.sum(axis=0)).astype(np.float32))
 
     def proportions(self, texts: list[str]) -> np.ndarray:
         """The proportions of the chosen languages in each text; all 0 for a text without letters."""
         out = np.zeros((len(texts), len(self.names)))
-        bins, words, starts = trigrams(texts)
+        bins, words, starts, lettered = trigrams(texts)
         n = np.diff(np.append(starts, len(words)))
-        full = np.flatnonzero(n > 0)
+        full = np.flatnonzero(lettered)
         if not len(full) or not self.names:
             return out
-        n, starts = n[full], starts[full]
         likelihood = segment_sums(self.logs[bins], words) * np.float32(TEMPER)
+        if (n[~lettered] > 0).any():
+            likelihood = likelihood[np.repeat(lettered, n)]
+        n = n[full]
+        starts = np.cumsum(np.append(0, n[:-1]))
         pi = np.full((len(full), len(self.names)), 1 / len(self.names))
         pi, _ = self._em(likelihood, starts, n, pi)
         out[full] = pi
@@ -98,14 +101,17 @@ class Mixture:
         odds = np.exp(likelihood - top)
         doc = np.repeat(np.arange(len(n)), n)
         live = pi > 0
+        # Each text stops by itself, so that none depends on those it comes with.
+        going = np.ones(len(n), bool)
         for _ in range(ROUNDS):
             share = odds * pi[doc].astype(np.float32)
             share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-30)
             new = np.where(live, segment_sums(share.astype(np.float64), starts) + PRIOR * live, 0)
             new /= new.sum(axis=1, keepdims=True)
-            done = np.abs(new - pi).max() < 1e-3
-            pi = new
-            if done:
+            moved = np.abs(new - pi).max(axis=1) >= 1e-3
+            pi = np.where(going[:, None], new, pi)
+            going &= moved
+            if not going.any():
                 break
         mass = np.log(np.maximum((odds * pi[doc]).sum(axis=1), 1e-30)) + top[:, 0]
         return pi, segment_sums(mass, starts)
@@ -127,20 +133,37 @@ class Mixture:
 def fit_languages(docs: DataFrame, rows: int = FIT_ROWS) -> Mixture:
     """Learn each non-null language of ``docs`` (doc_id, text, lang) from about ``rows`` of its rows in the training folds."""
     known = docs.filter(train_fold(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = known.withColumn("lang", F.col("lang").cast("string"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Mixture([], np.zeros((BINS, 0), np.float32))
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(rows / n)).otherwise(share)
-    sample = by_hash(known.select("doc_id", "lang", "text"), share, "doc_id").select("lang", "text").orderBy("lang").collect()
-    return Mixture.fit([r["text"] for r in sample], [r["lang"] for r in sample])
+    sample = by_hash(known.select("doc_id", "lang", "text"), share, "doc_id").select("lang", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in text_batches(whole, 1):
+                langs, texts = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_pylist()
+                for lang in set(langs.tolist()):
+                    found = np.bincount(trigrams([texts[i] for i in np.flatnonzero(langs == lang)])[0], minlength=BINS)
+                    bins = np.flatnonzero(found)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bins), pa.string()), pa.array(bins, pa.int32()), pa.array(found[bins], pa.int64())], names=["lang", "bin", "n"])
+
+    # Texts are counted where they are; the driver gets BINS rows a language at most.
+    sums = sample.mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
+    counts = {lang: np.zeros(BINS) for lang in counts}
+    langs, bins, n = (sums.column(i).to_numpy() for i in range(3))
+    for lang, own in counts.items():
+        own[bins[langs == lang]] = n[langs == lang]
+    return Mixture.of(counts)
 
 
 def predict_languages(docs: DataFrame, model: Mixture) -> DataFrame:
     """Add lang_pred, score (its proportion) and proportions (language to share) to all columns of ``docs`` (text, ...).
 
-    A null text, or one without letters, is ``und`` with score 0; so are all
+    A null text, or one without a letter (category L), is ``und`` with score 0; so are all
     texts under a model without languages.  Only the text is read.  Repeated
     rows get equal results; columns named like an added one are replaced.
     """

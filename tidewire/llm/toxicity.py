@@ -16,10 +16,12 @@ import heapq
 import math
 import unicodedata
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_hash, text_batches, train_fold
+from .common import materialize, text_batches, train_fold
 
 # Common insults, and harmless phrases that hold one.
 INSULTS = ("idiot", "idiots", "idiotic", "moron", "morons", "moronic", "stupid", "stupidity", "imbecile", "dumbass", "scum", "scumbag", "loser", "losers", "pathetic", "worthless", "disgusting", "trash", "clown", "clowns", "bastard", "bitch", "asshole", "retard", "fuck", "fucking", "shit", "cunt", "whore", "slut")
@@ -38,8 +40,8 @@ STANDS_FOR = {
     "a": "4@αа", "b": "8β", "c": "с¢", "e": "3еε€", "g": "9", "h": "һ", "i": "1l|іιї", "k": "κк", "m": "м", "n": "п", "o": "0оοσ", "p": "рρ", "s": "5$ѕ", "t": "7τт", "u": "υ", "v": "ν", "x": "хχ", "y": "у", "d": "ԁ", "j": "ј", "w": "ω",
 }
 
-#: Labelled rows that the lexicon is learned from at most.
-FIT_ROWS = 5000
+#: Labelled rows that the lexicon is learned from at most, and bytes of their texts.
+FIT_ROWS, FIT_BYTES = 8000, 100_000_000
 #: A learned term is at least so long, and its chance under no link with toxicity is at most this.
 SHORTEST, LONGEST, CHANCE = 4, 12, 1e-7
 #: Log of the least ratio of rates of a learned term, and the weight from which words that begin with it may become exceptions.
@@ -113,9 +115,13 @@ class Lexicon:
                 covered.append((start, end))
             else:
                 hits.append((start, end, weight))
+        # The furthest end of the phrases that start no later than each.
+        covered.sort()
+        starts, ends = [a for a, _ in covered], list(accumulate((b for _, b in covered), max))
         best: dict[int, float] = {}
         for start, end, weight in hits:
-            if not any(a <= start and end <= b for a, b in covered):
+            i = bisect_right(starts, start)
+            if not i or ends[i - 1] < end:
                 best[start] = max(best.get(start, 0.0), weight)
         if not best:
             return 0.0, 0.0, 0.0
@@ -198,15 +204,29 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> tuple[float,
     return tuple(out.tolist())
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Lexicon:
-    """Learn from the labelled rows of the training folds, ``rows`` of them at most (the least hashes of doc_id)."""
-    known = labels.filter(train_fold(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic").distinct()
-    n = known.count()
-    if not n:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most_bytes: int = FIT_BYTES) -> Lexicon:
+    """Learn from labelled rows of the training folds: those of the least hashes of doc_id, ``rows`` and ``most_bytes`` at most.
+
+    A document that is labelled both ways counts as both; of the texts that
+    share a doc_id the least counts.
+    """
+    known = labels.filter(train_fold(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+    known = known.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")).distinct().withColumn("place", F.xxhash64("doc_id"))
+    sample = known.orderBy("place", "doc_id", "toxic").limit(rows)
+    found = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(sample), "doc_id")
+    found = materialize(found.groupBy("place", "doc_id", "toxic").agg(F.min("text").alias("text")), "toxicity-sample")
+    held, last = 0, None
+    for r in found.select("place", "doc_id", "toxic", F.octet_length("text").alias("n")).orderBy("place", "doc_id", "toxic").collect():
+        held += r["n"]
+        if held > most_bytes and last is not None:
+            break
+        last = (r["place"], r["doc_id"], r["toxic"])
+    if last is None:
         return Lexicon.learn([], [])
-    sample = by_hash(known, rows / n, "doc_id").limit(rows)
-    found = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(sample), "doc_id").orderBy("doc_id").limit(2 * rows).collect()
-    return Lexicon.learn([r["text"] for r in found], [int(r["toxic"] > 0) for r in found])
+    place, doc_id, toxic = last
+    within = (F.col("place") < place) | ((F.col("place") == place) & ((F.col("doc_id") < doc_id) | ((F.col("doc_id") == doc_id) & (F.col("toxic") <= toxic))))
+    chosen = found.filter(within).orderBy("place", "doc_id", "toxic").select("text", "toxic").collect()
+    return Lexicon.learn([r["text"] for r in chosen], [r["toxic"] for r in chosen])
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
