@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from tidewire.llm import quality
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
@@ -68,3 +70,76 @@ def test_trimmed_shares_are_those_of_a_normal_distribution():
     d = np.sort((np.random.default_rng(5).normal(size=(400_000, 5)) ** 2).sum(axis=1))
     for share, factor in quality.TRIMMED.items():
         assert abs(d[: int(share * len(d))].mean() / 5 - factor) < 0.003
+
+
+def mcd(x, share=quality.SHARE, starts=40, seed=1):
+    """The minimum covariance determinant by many random starts, with the operator's floors; the log determinant too."""
+    rng = np.random.default_rng(seed)
+    floors, h = np.diag(np.square(quality.FLOORS)), int(np.ceil(share * len(x)))
+
+    def moments(own, factor):
+        return own.mean(axis=0), np.cov(own.T, bias=True) / factor + floors
+
+    def squares(m, c):
+        return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+
+    best = None
+    for _ in range(starts):
+        m, c = moments(x[rng.choice(len(x), 8, replace=False)], 1)
+        for _ in range(60):
+            m, c = moments(x[np.argsort(squares(m, c), kind="stable")[:h]], quality.TRIMMED[0.75])
+        found = (np.linalg.slogdet(c)[1], m, c)
+        best = found if best is None or found[0] < best[0] else best
+    return best[0], *moments(x[squares(best[1], best[2]) <= quality.NEAR], quality.TRIMMED[0.975])
+
+
+def test_estimate_is_the_least_determinant_of_many_starts(spark):
+    """Correlated cells with a fifth of far rows: centre and scatter agree with a plain search from random starts."""
+    rng = np.random.default_rng(3)
+    cells, rows = {}, []
+    for cell in ("a", "b", "c"):
+        mix = rng.normal(size=(5, 5)) * 2
+        x = rng.normal(size=(400, 5)) @ mix + rng.normal(size=5)
+        x[:80] = rng.normal(size=(80, 5)) * 0.5 + 25
+        cells[cell] = x
+        rows += [(cell, *map(float, v)) for v in x]
+    got = quality.fit_scatter(spark.createDataFrame(rows, "cell string, x0 double, x1 double, x2 double, x3 double, x4 double")).toPandas().set_index("cell")
+    for cell, x in cells.items():
+        _, m, c = mcd(x)
+        mine = np.array([got.loc[cell, f"m{i}"] for i in range(5)])
+        scatter = np.array([[got.loc[cell, f"c{max(i, j)}{min(i, j)}"] for j in range(5)] for i in range(5)])
+        assert np.allclose(mine, m, atol=0.15 * np.sqrt(np.diag(c)).max()) and abs(np.linalg.slogdet(scatter)[1] - np.linalg.slogdet(c)[1]) < 0.3
+
+
+def test_verdicts_match_a_plain_version(spark):
+    """Two languages with sources of several sizes: distances from plain estimates, led from all rows to language to source."""
+    rng = random.Random(7)
+    text = lambda k, n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(k - 2, k + 2))) + ("#" if rng.random() < 0.02 else "") for _ in range(n))
+    rows = [(text(4 + 2 * (lang == "bb"), rng.randint(15, 200)), lang, source) for lang in ("aa", "bb") for source, n in (("big", 300), ("mid", 60), ("small", 10)) for _ in range(n)]
+    rows += [(text(14, 50), "aa", "big"), (text(4, 60).replace(" ", "| "), "bb", "mid"), (text(13, 30), "bb", "small"), (text(4, 5), "aa", "mid")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    out = quality.quality_rules(df).toPandas().set_index("doc_id").sort_index()
+    stats = [brute(t) for t, _, _ in rows]
+    failed = [s[0] < 10 or 100 * s[4] > 20 * s[0] for s in stats]
+    assert out.base_failed.tolist() == failed
+    x = np.array([[np.log(max(n, 1)), np.log(max(c / max(n, 1), 0.5)), np.arcsinh(20 * y / max(n, 1)), np.log1p(d), np.arcsinh(20 * r / max(n, 1))] for n, c, y, d, r in stats])
+    fine = ~np.array(failed)
+    langs, sources = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    cache = {}
+
+    def estimate(name, mask):
+        if name not in cache:
+            cache[name] = (mask.sum(), *mcd(x[mask])[1:]) if mask.sum() >= quality.LEAST else (mask.sum(), None, None)
+        return cache[name]
+
+    want = []
+    for i in range(len(rows)):
+        _, m, c = estimate("", fine)
+        for name, mask in (((langs[i],), fine & (langs == langs[i])), ((langs[i], sources[i]), fine & (langs == langs[i]) & (sources == sources[i]))):
+            n, mine, scatter = estimate(name, mask)
+            if mine is not None:
+                a, b = n / (n + quality.CENTRE_ROWS), n / (n + quality.SCATTER_ROWS)
+                m, c = a * mine + (1 - a) * m, b * scatter + (1 - b) * c
+        d = (x[i] - m) @ np.linalg.inv(c) @ (x[i] - m)
+        want.append(bool(fine[i]) and d <= quality.FAR)
+    assert (out.kept != np.array(want)).sum() <= 1 and not out.kept.tolist()[-4:].count(True)

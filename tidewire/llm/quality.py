@@ -6,13 +6,16 @@ and texts at a large Mahalanobis distance from it are rejected.  The fewer rows
 a cell has, the more its estimate leans on that of all rows of its language,
 and that one on the estimate of all rows.
 
-The estimate is found by concentration steps: start from medians and scaled
-quartile ranges, keep the ``SHARE`` of rows nearest to the centre, take their
-mean and covariance, and repeat; a last step takes all rows within a quantile.
-Each step aggregates sums of products per cell (a language and source, a
-language, or all rows), so a source with a third of all rows costs partial
-sums, never a task of its own.  All rows take part in every step, each in its
-cells of the three levels.
+The estimate is the best of several starts, as in fast MCD: medians and
+quartile ranges, and the scatters of two bounded transforms and of the plain
+values.  From each, concentration steps keep the ``SHARE`` of rows nearest to
+the centre and take their mean and covariance.  After ``TRIALS`` steps the
+start of least determinant stays in each cell and goes on until determinants
+no longer fall; a last step takes all rows within a quantile.  Each step
+aggregates sums of products per cell (a language and source, a language, or
+all rows), so a source with a third of all rows costs partial sums, never a
+task of its own.  All rows take part in every step, each in its cells of the
+three levels.
 """
 
 from __future__ import annotations
@@ -26,8 +29,11 @@ from .common import WHITE, let, materialize
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW = 5
-#: Share of rows in a concentration step, and number of steps.
-SHARE, STEPS = 0.75, 3
+#: Share of rows in a concentration step, ranks that its cut may be off (one in so many), steps of each start and of the best at most.
+SHARE, RANKS, TRIALS, STEPS = 0.75, 2000, 2, 30
+#: Steps end where no cell's log determinant falls by more.
+SETTLED = 1e-3
+STARTS = ("ranges", "tanh", "signs", "plain")
 #: Mean squared distance in 5 dimensions of the nearest 75 % and 97.5 % of a normal distribution, as a share of the whole.
 TRIMMED = {0.75: 0.7075, 0.975: 0.9468}
 #: 0.975 quantile of chi-square with 5 degrees of freedom, for the last step.
@@ -107,8 +113,8 @@ def _columns(name: str) -> list[tuple[int, int, str]]:
     return [(i, j, f"{name}{i}{j}") for i in DIMS for j in DIMS if j <= i]
 
 
-def _whitened(params: DataFrame) -> DataFrame:
-    """Add the inverse w of the Cholesky factor of the covariances c, row by row."""
+def _whitened(params: DataFrame, *keys: str) -> DataFrame:
+    """``keys``, m, the inverse w of the Cholesky factor of the covariances c, and their log determinant, row by row."""
     for i, j, _ in _columns("l"):
         dot = reduce(lambda a, b: a + b, [F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)], F.lit(0.0))
         rest = F.col(f"c{i}{j}") - dot
@@ -120,7 +126,8 @@ def _whitened(params: DataFrame) -> DataFrame:
         for j in reversed(range(i)):
             dot = reduce(lambda a, b: a + b, [F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)])
             params = params.withColumn(f"w{i}{j}", -dot / F.col(f"l{i}{i}"))
-    return params.select("cell", *(f"m{i}" for i in DIMS), *(c for _, _, c in _columns("w")))
+    volume = reduce(lambda a, b: a + b, [2 * F.log(F.col(f"l{i}{i}")) for i in DIMS])
+    return params.select(*keys, *(f"m{i}" for i in DIMS), *(c for _, _, c in _columns("w")), volume.alias("volume"))
 
 
 def _distance() -> Column:
@@ -129,31 +136,74 @@ def _distance() -> Column:
     return reduce(lambda a, b: a + b, [y * y for y in rows])
 
 
-def _moments(near: DataFrame, factor: float) -> DataFrame:
-    """Mean m and covariance c per cell, the latter over ``factor`` and with floors on its diagonal."""
-    sums = near.groupBy("cell").agg(
+def _moments(near: DataFrame, factor: float, *keys: str) -> DataFrame:
+    """Mean m and covariance c per ``keys``, the latter over ``factor`` and with floors on its diagonal."""
+    sums = near.groupBy(*keys).agg(
         *(F.avg(f"x{i}").alias(f"m{i}") for i in DIMS),
         *(F.covar_pop(f"x{i}", f"x{j}").alias(c) for i, j, c in _columns("c")),
     )
     return sums.withColumns({c: F.col(c) / factor + (FLOORS[i] ** 2 if i == j else 0.0) for i, j, c in _columns("c")})
 
 
-def fit_scatter(rows: DataFrame) -> DataFrame:
-    """Centre m and scatter c of each cell of ``rows`` (cell, x0, x1, ...), by concentration steps."""
-    quartiles = rows.groupBy("cell").agg(*(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in DIMS))
-    start = quartiles.select(
+def _starts(rows: DataFrame) -> DataFrame:
+    """First centre m and scatter c of each (cell, start)."""
+    quartiles = rows.groupBy("cell").agg(*(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], RANKS).alias(f"q{i}") for i in DIMS))
+    scales = quartiles.select(
         "cell",
         *(F.col(f"q{i}")[1].alias(f"m{i}") for i in DIMS),
-        *((((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2 + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(c) for i, j, c in _columns("c")),
+        *(F.sqrt(((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2 + FLOORS[i] ** 2).alias(f"s{i}") for i in DIMS),
     )
-    params = materialize(_whitened(start), "quality-cells")
+    scales = materialize(scales, "quality-scales")
+    z = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"s{i}") for i in DIMS]
+    length = F.sqrt(reduce(lambda a, b: a + b, [x * x for x in z]))
+    kinds = {"tanh": [F.tanh(x) for x in z], "signs": [F.coalesce(F.try_divide(x, length), F.lit(0.0)) for x in z], "plain": z}
+    spread = rows.join(scales, "cell").select("cell", *(x.alias(f"{kind}{i}") for kind, xs in kinds.items() for i, x in enumerate(xs)))
+    found = spread.groupBy("cell").agg(
+        *(F.avg(F.col(f"{kind}{i}") * F.col(f"{kind}{j}")).alias(f"{kind}{i}{j}") for kind in kinds for i, j, _ in _columns("c"))
+    ).join(scales, "cell")
+
+    def scatter(kind: str, i: int, j: int) -> Column:
+        """The transform's correlations, on the scale of the quartile ranges."""
+        si, sj = F.col(f"s{i}"), F.col(f"s{j}")
+        if i == j:
+            return si * sj
+        if kind == "ranges":
+            return F.lit(0.0)
+        norm = F.sqrt(F.col(f"{kind}{i}{i}") * F.col(f"{kind}{j}{j}"))
+        return F.coalesce(0.95 * F.try_divide(F.col(f"{kind}{i}{j}"), norm), F.lit(0.0)) * si * sj
+
+    each = [F.struct(F.lit(kind).alias("start"), *(scatter(kind, i, j).alias(c) for i, j, c in _columns("c"))) for kind in STARTS]
+    return found.select("cell", *(f"m{i}" for i in DIMS), F.inline(F.array(*each)))
+
+
+def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """One concentration step: params (cell, start, m, w, volume) of the ``SHARE`` of rows nearest by the given ones."""
+    far = rows.join(params, "cell").withColumn("d", _distance())
+    cuts = materialize(far.groupBy("cell", "start").agg(F.percentile_approx("d", SHARE, RANKS).alias("cut")).join(params, ["cell", "start"]), "quality-cuts")
+    near = rows.join(cuts, "cell").withColumn("d", _distance()).filter("d <= cut")
+    return materialize(_whitened(_moments(near, TRIMMED[0.75], "cell", "start"), "cell", "start"), "quality-cells")
+
+
+def fit_scatter(rows: DataFrame) -> DataFrame:
+    """Centre m and scatter c of each cell of ``rows`` (cell, x0, x1, ...): the minimum covariance determinant, reweighted."""
+    params = materialize(_whitened(_starts(rows), "cell", "start"), "quality-cells")
+    for _ in range(TRIALS):
+        params = _step(rows, params)
+    best = params.groupBy("cell").agg(F.min_by(F.struct(*params.columns[1:]), F.struct("volume", "start")).alias("best"))
+    params = materialize(best.select("cell", "best.*"), "quality-cells")
+    live = params
     for _ in range(STEPS):
-        far = rows.join(params, "cell").withColumn("d", _distance())
-        cuts = materialize(far.groupBy("cell").agg(F.percentile_approx("d", SHARE, 1000).alias("cut")).join(params, "cell"), "quality-cells")
-        near = rows.join(cuts, "cell").withColumn("d", _distance()).filter("d <= cut")
-        params = materialize(_whitened(_moments(near, TRIMMED[0.75])), "quality-cells")
+        # A cut by approximate ranks may raise a determinant a little: the lesser of the two stays, and its cell is settled.
+        after = _step(rows, live)
+        fall = F.max(F.when(F.col("old"), F.col("volume"))) - F.min("volume")
+        both = params.withColumn("old", F.lit(True)).unionByName(after.withColumn("old", F.lit(False)))
+        both = both.groupBy("cell").agg(F.min_by(F.struct(*params.columns[1:]), "volume").alias("best"), (fall > SETTLED).alias("live"))
+        both = materialize(both.select("cell", "best.*", "live"), "quality-cells")
+        params, live = both.drop("live"), both.filter("live").drop("live")
+        if live.isEmpty():
+            break
     near = rows.join(params, "cell").withColumn("d", _distance()).filter(F.col("d") <= NEAR)
-    return materialize(_moments(near, TRIMMED[0.975]), "quality-cells")
+    return materialize(_moments(near, TRIMMED[0.975], "cell"), "quality-cells")
 
 
 def _shrunk(names: DataFrame, fitted: DataFrame) -> DataFrame:
@@ -173,7 +223,7 @@ def _shrunk(names: DataFrame, fitted: DataFrame) -> DataFrame:
 
     centre = [led(f"m{i}", CENTRE_ROWS).alias(f"m{i}") for i in DIMS]
     scatter = [led(c, SCATTER_ROWS).alias(c) for _, _, c in _columns("c")]
-    return _whitened(levels.select(F.col("_own").alias("cell"), *centre, *scatter))
+    return _whitened(levels.select(F.col("_own").alias("cell"), *centre, *scatter), "cell").drop("volume")
 
 
 def _of_language() -> Column:
