@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.time import floor_to
@@ -85,8 +85,6 @@ def spend_by_day(reviews: DataFrame) -> DataFrame:
 
 def upper_median(rows: DataFrame, value: str, by: str) -> DataFrame:
     """The upper of the two middle values of each group, without gathering it: ranks are counted, not collected."""
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy(by).orderBy(value))
     n = F.count(F.lit(1)).over(Window.partitionBy(by))
     return rows.filter(F.col(value).isNotNull()).withColumn("_r", rank).withColumn("_n", n).filter(F.col("_r") == F.floor(F.col("_n") / 2) + 1).select(by, F.col(value).alias("upper_median"))
@@ -99,3 +97,17 @@ def table_sizes(tables: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.union(p)
     return out
+
+
+def feed_rollup(fetches: DataFrame) -> DataFrame:
+    """Per feed of (feed, seq, ok, items): fetches, failures, empty ones, the rate of success, and a status from the newest fetch."""
+    ok, items = F.col("ok"), F.col("items")
+    newest = F.max_by(F.when(~ok, "failing").when(items == 0, "idle").otherwise("healthy"), "seq")
+    bad = F.count_if(~ok)
+    return fetches.groupBy("feed").agg(F.count(F.lit(1)).alias("fetches"), bad.alias("failures"), F.count_if(ok & (items == 0)).alias("empty"), (1 - bad / F.count(F.lit(1))).alias("success_rate"), newest.alias("status"))
+
+
+def last_of_each(rows: DataFrame, key: str, order: str, keep: int) -> DataFrame:
+    """The ``keep`` last rows of each key; every task keeps its own last ones before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+    return rows.withColumn("_r", rank).filter(F.col("_r") <= keep).drop("_r")

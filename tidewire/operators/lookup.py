@@ -45,6 +45,20 @@ def search(records: DataFrame, text: str) -> DataFrame:
     return records.filter(F.contains(F.lower(F.coalesce("title", F.lit(""))), low) | F.contains(F.lower(F.coalesce("domain", F.lit(""))), low) | F.coalesce(symbols, F.lit(False)))
 
 
+def search_clusters(clusters: DataFrame, text: str) -> DataFrame:
+    """Event clusters whose id, a symbol, a reason or an outlet holds the text, whatever its case."""
+    low = F.lit(text.lower())
+    hit = F.contains(F.lower("cluster_id"), low)
+    for c in ("symbols", "reasons", "domains"):
+        hit = hit | F.coalesce(F.exists(c, lambda x: F.contains(F.lower(x), low)), F.lit(False))
+    return clusters.filter(hit)
+
+
+def not_known(captures: DataFrame, records: DataFrame, key: str = "capture_id") -> DataFrame:
+    """Captures that aren't records yet; of ``records`` only the key is read."""
+    return captures.join(records.select(key), key, "left_anti")
+
+
 def summary(records: DataFrame) -> DataFrame:
     """The compact projection, which the scan reads alone; with a preview of the evidence where there is any."""
     out = [c for c in SUMMARY if c in records.columns]
@@ -84,6 +98,13 @@ def newest(records: DataFrame, n: int) -> DataFrame:
     return records.orderBy(F.desc("created_at"), F.desc(F.length("capture_id")), F.desc("capture_id")).limit(n)
 
 
+def first_per_key(records: DataFrame, key: str) -> DataFrame:
+    """The earliest record of each key, by event time, then id: one row per key from each task, never a key's rows together."""
+    rows = records.withColumn("us", event_us()).filter("us is not null")
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("us", F.length("capture_id"), "capture_id"))
+    return rows.withColumn("_r", rank).filter("_r = 1").drop("_r")
+
+
 def top_recent(records: DataFrame, among: int = 200, score: float = 0.5, n: int = 10) -> DataFrame:
     """The best of the ``among`` newest: the first limit comes before the filter."""
     return at_least(newest(records, among), score).orderBy(F.desc("finance_relevance_score"), F.length("capture_id"), "capture_id").limit(n)

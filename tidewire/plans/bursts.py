@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.time import floor_to, minute_anchor
+from tidewire.plans.mix import first_samples
 from tidewire.sources.records import timed
 
 MINUTE = 60_000_000
@@ -60,8 +61,8 @@ def sentiment_shocks(records: DataFrame, minutes: int = 30, window: int = 12, th
     return found.select("bucket", "net", "mean", "std", "z", direction.alias("direction"))
 
 
-def symbol_bursts(records: DataFrame, minutes: int = 30, window: int = 12, threshold: float = 2.0) -> DataFrame:
-    """Symbols named far more often in a bucket than in the ``window`` non-empty buckets before it, with three of the records.
+def symbol_bursts(records: DataFrame, minutes: int = 30, window: int = 12, threshold: float = 2.0, top: int | None = None, samples: bool = True) -> DataFrame:
+    """Symbols named far more often in a bucket than in the ``window`` non-empty buckets before it, with three of the records; with ``top`` the strongest, in order.
 
     A symbol's silent buckets count as zero.  They aren't made: the mean over
     the window is the sum of the symbol's own counts in it over the number of
@@ -71,14 +72,20 @@ def symbol_bursts(records: DataFrame, minutes: int = 30, window: int = 12, thres
     ordinals = rows.select("bucket").distinct().withColumn("i", F.row_number().over(Window.orderBy("bucket")) - 1)
     symbols = F.array_distinct(F.filter(F.transform("candidate_symbols", lambda s: F.trim(s)), lambda s: s != ""))
     named = rows.select("bucket", "capture_id", "us", F.explode(symbols).alias("symbol"))
-    first = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("us", "capture_id"))), 1, 3), lambda x: x["capture_id"])
-    counts = named.groupBy("symbol", "bucket").agg(F.count(F.lit(1)).alias("observed"), first.alias("samples")).join(F.broadcast(ordinals), "bucket")
+    counts = named.groupBy("symbol", "bucket").agg(F.count(F.lit(1)).alias("observed")).join(ordinals, "bucket")
     frame = Window.partitionBy("symbol").orderBy("i").rangeBetween(-window, -1)
     n = F.least(F.col("i"), F.lit(window))
     mean = F.coalesce(F.sum("observed").over(frame), F.lit(0)) / n
     found = counts.filter("i >= 0").withColumn("mean", F.when(F.col("i") >= 3, mean))
     found = found.withColumn("z", (F.col("observed") - F.col("mean")) / F.sqrt(F.greatest(F.lit(1.0), F.col("mean"))))
-    return found.filter((F.col("observed") >= 2) & (F.col("z") >= threshold)).select("symbol", "bucket", "observed", "mean", "z", "samples")
+    found = found.filter((F.col("observed") >= 2) & (F.col("z") >= threshold)).select("symbol", "bucket", "observed", "mean", "z")
+    order = [F.desc(F.round("z", 9)), "symbol", "bucket"]
+    found = found.orderBy(*order).limit(top) if top else found
+    if not samples:
+        return found
+    own = named.join(found.select("symbol", "bucket"), ["symbol", "bucket"], "left_semi")
+    out = found.join(first_samples(own, ["symbol", "bucket"], ["us", "capture_id"], "capture_id", "samples"), ["symbol", "bucket"], "left")
+    return out.orderBy(*order) if top else out
 
 
 def news_velocity(records: DataFrame, bucket_minutes: int = 5, window_minutes: int = 60) -> DataFrame:
@@ -149,13 +156,21 @@ def spillover(records: DataFrame, minutes: int = 30, lag: int = 1, threshold: fl
     return scored.filter((F.col("score") > 0) & (F.col("co") >= least)).select("source", "target", "co", "source_surges", "target_surges", "eligible", "score")
 
 
-def symbol_correlation(records: DataFrame, minutes: int = 60, least: int = 3, cap: int = 20_000) -> DataFrame:
-    """Pearson correlation of the mention counts of every pair of symbols over the dense grid of buckets.
-
-    From sums: a pair that never shares a bucket needs no row for it, so work
-    grows with the mentions, not with the grid.  Only the last ``cap`` buckets
-    count.  Pairs are of symbols with ``least`` mentions or more.
-    """
+def spillover_loops(records: DataFrame, minutes: int = 30, lag: int = 1, threshold: float = 1.5, pivots: int = 3) -> DataFrame:
+    """How often each asset class surges again ``lag`` buckets after its own surge, with the first buckets where it did; every class, strongest first."""
+    rows = surges(records, minutes, threshold)
+    after = rows.filter("surge").select("asset", (F.col("i") - lag).alias("i"), F.lit(True).alias("again"))
+    eligible = rows.filter((F.col("i") >= F.least(F.lit(3), F.col("buckets"))) & (F.col("i") < F.col("buckets") - lag)).join(after, ["asset", "i"], "left")
+    again, surge = F.coalesce("again", F.lit(False)), F.col("surge")
+    out = eligible.groupBy("asset").agg(F.count(F.lit(1)).alias("eligible"), F.count_if(surge).alias("sources"), F.count_if(again).alias("targets"), F.count_if(surge & again).alias("co"))
+    own = first_samples(eligible.filter(surge & again), ["asset"], ["bucket"], "bucket", "pivots", pivots)
+    score = F.greatest(F.lit(-1.0), F.coalesce(F.try_divide(F.col("co"), F.col("sources")), F.lit(0.0)) - F.col("targets") / F.col("eligible"))
+    out = out.join(own, "asset", "left").select("asset", "co", (F.col("sources") - F.col("co")).alias("source_only"), (F.col("targets") - F.col("co")).alias("target_only"), score.alias("score"), F.coalesce("pivots", F.array().cast("array<long>")).alias("pivots"))
+    return out.orderBy(F.desc(F.round("score", 9)), F.desc("co"), "asset")
+
+
+def _correlation_sums(records: DataFrame, minutes: int, least: int, cap: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sums of each eligible symbol, products of the pairs that share a bucket, and one row with the number of buckets."""
     size = minutes * 60
     symbols = F.array_distinct(F.filter(F.transform("candidate_symbols", lambda s: F.trim(s)), lambda s: s != ""))
     rows = timed(records).select(floor_to(F.floor(F.col("us") / 1_000_000), size).alias("bucket"), F.explode(symbols).alias("symbol"))
@@ -168,11 +183,51 @@ def symbol_correlation(records: DataFrame, minutes: int = 60, least: int = 3, ca
     kept = inside.join(totals.select("symbol"), "symbol", "left_semi")
     shared = kept.alias("p").join(kept.alias("q"), (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.symbol") < F.col("q.symbol")))
     products = shared.groupBy(F.col("p.symbol").alias("a"), F.col("q.symbol").alias("b")).agg(F.sum(F.col("p.x") * F.col("q.x")).alias("sxy"))
+    return sums, products, ends.select("n")
+
+
+def _sides(sums: DataFrame) -> tuple[DataFrame, DataFrame]:
     left, right = (sums.select(*(F.col(c).alias(f"{c}_{side}") for c in sums.columns)) for side in "ab")
-    # All pairs of symbols are the result itself: one row for each.
-    pairs = left.join(right, F.col("symbol_a") < F.col("symbol_b")).withColumnsRenamed({"symbol_a": "a", "symbol_b": "b"})
-    pairs = pairs.join(products, ["a", "b"], "left").crossJoin(F.broadcast(ends.select("n")))
+    return left.withColumnRenamed("symbol_a", "a"), right.withColumnRenamed("symbol_b", "b")
+
+
+def _correlated(pairs: DataFrame) -> DataFrame:
     n = F.col("n")
     spread = lambda s: n * F.col(f"sxx_{s}") - F.col(f"sx_{s}") * F.col(f"sx_{s}")
     r = F.try_divide(n * F.coalesce("sxy", F.lit(0.0)) - F.col("sx_a") * F.col("sx_b"), F.sqrt(F.greatest(spread("a") * spread("b"), F.lit(0.0))))
     return pairs.select("a", "b", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(r, F.lit(0.0)))).alias("r"), (F.col("total_a") + F.col("total_b")).cast("long").alias("mentions"))
+
+
+def symbol_correlation(records: DataFrame, minutes: int = 60, least: int = 3, cap: int = 20_000) -> DataFrame:
+    """Pearson correlation of the mention counts of every pair of symbols over the dense grid of buckets.
+
+    From sums: a pair that never shares a bucket needs no row for it, so work
+    grows with the mentions, not with the grid.  Only the last ``cap`` buckets
+    count.  Pairs are of symbols with ``least`` mentions or more.
+    """
+    sums, products, n = _correlation_sums(records, minutes, least, cap)
+    left, right = _sides(sums)
+    # All pairs of symbols are the result itself: one row for each.
+    pairs = left.join(right, F.col("a") < F.col("b"))
+    return _correlated(pairs.join(products, ["a", "b"], "left").crossJoin(F.broadcast(n)))
+
+
+def top_correlations(records: DataFrame, minutes: int = 60, least: int = 3, cap: int = 20_000, top: int = 30) -> DataFrame:
+    """The ``top`` pairs of ``symbol_correlation`` by strength, then mentions, without making all pairs.
+
+    A pair without a shared bucket has r = -f(a) f(b), where f is a symbol's
+    mean over its deviation.  The ``top`` strongest of the sharing pairs bound
+    what others must reach, so only symbols whose f times the greatest f does
+    so are paired besides; where few pairs share a bucket these may be many.
+    """
+    sums, products, n = _correlation_sums(records, minutes, least, cap)
+    order = [F.desc(F.abs(F.round("r", 9))), F.desc("mentions"), "a", "b"]
+    left, right = _sides(sums)
+    sharing = _correlated(products.join(left, "a").join(right, "b").crossJoin(F.broadcast(n))).orderBy(*order).limit(top)
+    f = F.coalesce(F.try_divide(F.col("sx"), F.sqrt(F.greatest(F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"), F.lit(0.0)))), F.lit(0.0))
+    scaled = sums.crossJoin(F.broadcast(n)).withColumn("f", f)
+    bound = sharing.agg(F.when(F.count(F.lit(1)) >= top, F.min(F.abs("r"))).otherwise(0.0).alias("bound")).crossJoin(scaled.agg(F.max("f").alias("most")))
+    near = scaled.crossJoin(F.broadcast(bound)).filter(F.col("f") * F.col("most") >= F.col("bound") - 1e-9).select(*sums.columns)
+    left, right = _sides(near)
+    rest = left.join(right, F.col("a") < F.col("b")).join(products.select("a", "b"), ["a", "b"], "left_anti").withColumn("sxy", F.lit(0.0))
+    return sharing.unionByName(_correlated(rest.crossJoin(F.broadcast(n)))).orderBy(*order).limit(top)

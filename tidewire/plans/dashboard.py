@@ -5,44 +5,117 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.plans import bursts, mix, stories
+from tidewire.session import materialize
+from tidewire.sources.records import timed
 
-SIGNALS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "volume_anomalies": bursts.volume_anomalies,
-    "sentiment_shocks": bursts.sentiment_shocks,
-    "symbol_bursts": bursts.symbol_bursts,
-    "regime_shifts": lambda r: mix.regime_shifts(r).filter("shift"),
-    "momentum": mix.sentiment_momentum,
-    "co_occurrence": mix.co_occurrence_cells,
-    "spillover": bursts.spillover,
+Signal = Callable[[DataFrame], DataFrame]
+
+
+def ordered_clusters(records: DataFrame, top: int | None = None) -> DataFrame:
+    """Event clusters of two outlets or more, the earliest first."""
+    rows = stories.cluster_records(records, domains=2).orderBy(F.asc_nulls_last("first_us"), "cluster_id")
+    return rows.limit(top) if top else rows
+
+
+def leaderboard(records: DataFrame) -> DataFrame:
+    """Scorecards of the thirty days up to the newest record, best first."""
+    newest = timed(records).agg(F.max("us")).first()[0]
+    return stories.source_scorecards(records, newest or 0).orderBy(F.desc(F.round("composite", 9)), "domain")
+
+
+def leaders(records: DataFrame) -> DataFrame:
+    """Who leads the event clusters, strongest first."""
+    scores = stories.lead_lag_scores(stories.lead_lag_events(stories.cluster_records(records, domains=2), records))
+    return scores.orderBy(F.desc(F.round("composite", 9)), F.desc("led"), "domain")
+
+
+#: Each signal as the dashboard shows it: in order, and cut where its list can grow with the records.
+SIGNALS: dict[str, Signal] = {
+    "clusters": lambda r: ordered_clusters(r, 50),
+    "leaderboard": leaderboard,
+    "novelty": lambda r: stories.novelty(r, 200).orderBy(F.length("capture_id"), "capture_id").limit(100),
+    "lead_lag": leaders,
+    "regime_shifts": lambda r: mix.regime_shifts(r).filter("shift").orderBy("bucket"),
+    "momentum": lambda r: mix.sentiment_momentum(r, top=25),
+    "co_occurrence": mix.top_cells,
+    "volume_anomalies": lambda r: bursts.volume_anomalies(r).orderBy("bucket"),
+    "sentiment_shocks": lambda r: bursts.sentiment_shocks(r).orderBy("bucket"),
+    "symbol_bursts": lambda r: bursts.symbol_bursts(r, top=25),
+    "spillover": lambda r: bursts.spillover(r).orderBy(F.desc(F.round("score", 9)), F.desc("co"), "source", "target"),
     "velocity": bursts.news_velocity,
-    "clusters": lambda r: stories.cluster_records(r, domains=2),
 }
 
 
-def snapshot(records: DataFrame, signals: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
-    """(signal, rows, error) of every signal over the same cached corpus; one that fails says so and the others go on."""
+def snapshot(records: DataFrame, signals: dict[str, Signal] | None = None) -> DataFrame:
+    """(signal, rank, item, error): the items of every signal in its order, as JSON, over the same cached corpus.
+
+    A signal that fails has one row that says so, and the others go on; one
+    without items has one row of rank 0.  The lists are the signals' reports,
+    a few dozen items each, so they pass the driver.
+    """
     spark = records.sparkSession
     corpus = records.persist(StorageLevel.MEMORY_AND_DISK)
     out = []
     try:
         for name, signal in (signals or SIGNALS).items():
             try:
-                out.append((name, signal(corpus).count(), None))
+                items = [r[0] for r in signal(corpus).select(F.to_json(F.struct("*"))).collect()]
+                out += [(name, i, item, None) for i, item in enumerate(items, 1)] or [(name, 0, None, None)]
             except Exception as error:  # a signal's own failure is part of the report
-                out.append((name, 0, type(error).__name__))
+                out.append((name, 0, None, type(error).__name__))
     finally:
         corpus.unpersist()
-    return spark.createDataFrame(out, "signal string, rows long, error string")
+    return spark.createDataFrame(out, "signal string, rank int, item string, error string")
+
+
+def counts(snapshot: DataFrame) -> DataFrame:
+    """(signal, rows, error) of a snapshot."""
+    return snapshot.groupBy("signal").agg(F.count_if(F.col("rank") > 0).alias("rows"), F.max("error").alias("error"))
+
+
+def live_context(records: DataFrame) -> DataFrame:
+    """One row: the digest that the live read is written from, the strongest few of each signal."""
+    def best(rows: DataFrame, order: list, fields: list, top: int, out: str) -> DataFrame:
+        rank = F.row_number().over(Window.orderBy(*order))
+        first = rows.orderBy(*order).limit(top).withColumn("rank", rank)
+        items = F.array_sort(F.collect_list(F.struct("rank", F.struct(*fields).alias("item"))))
+        return first.agg(F.transform(items, lambda x: x["item"]).alias(out))
+
+    clusters = materialize(stories.cluster_records(records, domains=2), "live-clusters")
+    few = lambda c, n: F.slice(c, 1, n).alias(c)
+    parts = [
+        clusters.agg(F.count(F.lit(1)).alias("clusters")),
+        mix.regime_shifts(records).agg(F.count_if("shift").alias("regime_shifts")),
+        bursts.volume_anomalies(records).agg(F.count(F.lit(1)).alias("volume_anomalies")),
+        bursts.sentiment_shocks(records).agg(F.count(F.lit(1)).alias("sentiment_shocks")),
+        best(bursts.symbol_bursts(records, samples=False), [F.desc(F.round("z", 9)), "symbol", "bucket"], ["symbol", "observed", "z"], 3, "bursts"),
+        best(bursts.spillover(records), [F.desc(F.round("score", 9)), F.desc("co"), "source", "target"], ["source", "target", "score"], 3, "spillovers"),
+        best(mix.sentiment_momentum(records), [F.desc(F.abs(F.round("momentum", 9))), "symbol"], ["symbol", "momentum", "direction"], 5, "tickers"),
+        best(clusters, [F.asc_nulls_last("first_us"), "cluster_id"], ["size", "coherence", few("symbols", 3), few("reasons", 2), few("domains", 3)], 3, "top_clusters"),
+        best(leaderboard(records), [F.desc(F.round("composite", 9)), "domain"], ["domain"], 1, "sources"),
+    ]
+    out = records.agg(F.count(F.lit(1)).alias("records"))
+    for part in parts:  # one row each
+        out = out.crossJoin(F.broadcast(part))
+    return out.select("*", F.get("sources", 0)["domain"].alias("top_source")).drop("sources")
+
+
+def has_signal(context: Column) -> Column:
+    """Whether a digest (its columns as one struct) says anything at all."""
+    counted = [context[c] > 0 for c in ("records", "clusters", "regime_shifts", "volume_anomalies", "sentiment_shocks")]
+    listed = [F.size(context[c]) > 0 for c in ("bursts", "spillovers", "tickers", "top_clusters")]
+    out = context["top_source"].isNotNull()
+    for x in (*counted, *listed):
+        out = out | F.coalesce(x, F.lit(False))
+    return out
 
 
 def live_read(records: DataFrame) -> DataFrame:
     """The short digest: the strongest of four signals, as (section, rank, text)."""
-    from pyspark.sql import Window
-
     parts = [
         (bursts.volume_anomalies(records), F.desc(F.abs("z")), F.format_string("%d records, %s", "observed", "severity"), "volume", 3),
         (mix.regime_shifts(records).filter("shift"), F.desc("kl"), F.format_string("divergence %.2f", "kl"), "regime", 3),

@@ -66,6 +66,13 @@ def tone_summary(points: DataFrame, by: str = "theme") -> DataFrame:
     return out.select(by, "latest", "mean", "min", "max", "trend", "slope", state.alias("state"), "n_points", "n_dated")
 
 
+def overall_tone(themes: DataFrame) -> DataFrame:
+    """One row from ``tone_summary``: the mean of the themes' latest values, and the state of the mean trend of those with two dated points."""
+    trend = F.coalesce(F.avg(F.when(F.col("n_dated") >= 2, F.col("trend"))), F.lit(0.0))
+    out = themes.agg(F.round(F.avg("latest"), 4).alias("tone"), trend.alias("trend"), F.count(F.lit(1)).alias("themes"))
+    return out.withColumn("state", F.when(F.col("trend") > 0.5, "improving").when(F.col("trend") < -0.5, "deteriorating").otherwise("stable"))
+
+
 def word_pattern(term: Column) -> Column:
     """A pattern for the whole word ``term`` in lower-case text."""
     return F.concat(F.lit(r"(?<!\w)\Q"), F.lower(term), F.lit(r"\E(?!\w)"))
@@ -153,6 +160,17 @@ def label_quality(rows: DataFrame) -> DataFrame:
     return out.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def golden_summary(rows: DataFrame) -> DataFrame:
+    """One row from (expected_symbols, predicted_symbols, expected_sentiment, predicted_sentiment): recall of symbols and accuracy of sentiment; 0 over 0 is 0."""
+    found = F.size(F.array_intersect("expected_symbols", "predicted_symbols"))
+    right = F.col("expected_sentiment") == F.col("predicted_sentiment")
+    sums = rows.agg(
+        F.sum(F.greatest(found, F.lit(0))).alias("found"), F.sum(F.greatest(F.size(F.array_distinct("expected_symbols")), F.lit(0))).alias("expected"),
+        F.count_if(right).alias("right"), F.count("expected_sentiment").alias("judged"),
+    )
+    return sums.select(ratio(F.col("found").cast("double"), F.col("expected")).alias("symbol_recall"), ratio(F.col("right").cast("double"), F.col("judged")).alias("sentiment_accuracy"), "expected", "judged")
+
+
 def label_sets(rows: DataFrame, expected: str, predicted: str) -> DataFrame:
     """(label, expected, predicted) for every label in either list of each row."""
     each = rows.select(F.explode(F.array_union(expected, predicted)).alias("label"), expected, predicted)

@@ -16,6 +16,16 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
+def first_samples(rows: DataFrame, keys: list[str], order: list, value: str, out: str, k: int = 3) -> DataFrame:
+    """(keys, ``out``): the first ``k`` values of each key by ``order``.
+
+    Every task keeps its own first ``k`` before the shuffle, so no key's rows are gathered.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    first = rows.withColumn("_rank", rank).filter(F.col("_rank") <= k)
+    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", value))), lambda x: x[value]).alias(out))
+
+
 def upper_symbols() -> Column:
     return F.array_distinct(F.filter(F.transform("candidate_symbols", lambda s: F.upper(F.trim(s))), lambda s: s != ""))
 
@@ -55,18 +65,24 @@ def top_labels(records: DataFrame, minutes: int = 60, top: int = 6) -> DataFrame
     return label_shares(records, minutes).withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
-def sentiment_momentum(records: DataFrame, minutes: int = 240, least: int = 4) -> DataFrame:
-    """Each symbol's net sentiment in the later half of its buckets against the earlier half."""
+def momentum_cells(records: DataFrame, minutes: int = 240) -> DataFrame:
+    """Counts, net sentiment and mean score of each symbol in each of its own buckets, which the first record with symbols anchors."""
     rows = timed(records).withColumn("symbols", upper_symbols()).filter(F.size("symbols") > 0)
     anchor = rows.agg(F.min("us").alias("anchor"))
     size = minutes * 60
     rows = rows.crossJoin(F.broadcast(anchor)).withColumn("slot", F.floor(F.floor((F.col("us") - F.col("anchor")) / 1_000_000) / size))
-    named = rows.select("slot", F.explode("symbols").alias("symbol"), "sentiment_label")
+    named = rows.select("slot", "anchor", F.explode("symbols").alias("symbol"), "sentiment_label", "sentiment_score")
     label = F.col("sentiment_label")
     cells = named.groupBy("symbol", "slot").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(label == "positive").alias("pos"), F.count_if(label == "negative").alias("neg"), F.count_if(label.isin("positive", "neutral", "negative")).alias("labelled")
+        F.count(F.lit(1)).alias("n"), F.count_if(label == "positive").alias("pos"), F.count_if(label == "negative").alias("neg"), F.count_if(label.isin("positive", "neutral", "negative")).alias("labelled"),
+        F.avg("sentiment_score").alias("mean_score"), (F.max("anchor") + F.col("slot") * size * 1_000_000).alias("start_us"),
     )
-    cells = cells.withColumn("net", ratio((F.col("pos") - F.col("neg")).cast("double"), F.col("labelled")))
+    return cells.withColumn("net", ratio((F.col("pos") - F.col("neg")).cast("double"), F.col("labelled")))
+
+
+def sentiment_momentum(records: DataFrame, minutes: int = 240, least: int = 4, top: int | None = None) -> DataFrame:
+    """Each symbol's net sentiment in the later half of its buckets against the earlier half; with ``top`` the strongest, in order."""
+    cells = momentum_cells(records, minutes)
     own = Window.partitionBy("symbol")
     cells = cells.withColumn("i", F.row_number().over(own.orderBy("slot")) - 1).withColumn("b", F.count(F.lit(1)).over(own))
     late = F.col("i") >= F.floor(F.col("b") / 2)
@@ -85,12 +101,13 @@ def sentiment_momentum(records: DataFrame, minutes: int = 240, least: int = 4) -
         .when((x - e > 0.30) & (x > 0.20), "strengthening_positive").when((x - e < -0.30) & (x < -0.20), "strengthening_negative").otherwise("stable")
     )
     flip = ~single & (F.abs("head") > 1e-9) & (F.abs("tail") > 1e-9) & ((F.col("head") > 0) != (F.col("tail") > 0))
-    return out.select(
+    out = out.select(
         "symbol", "mentions", "buckets", "overall_net",
         F.when(single, 0.0).otherwise(F.greatest(F.lit(-2.0), F.least(F.lit(2.0), x - e))).alias("momentum"),
         F.when(single, 0.0).otherwise(F.try_divide(F.col("last") - F.col("first"), F.col("buckets") - 1)).alias("velocity"),
         direction.alias("direction"), F.coalesce(flip, F.lit(False)).alias("flip"),
     )
+    return out.orderBy(F.desc(F.abs(F.round("momentum", 9))), "symbol").limit(top) if top else out
 
 
 def co_occurrence_cells(records: DataFrame, least: int = 1) -> DataFrame:
@@ -102,12 +119,26 @@ def co_occurrence_cells(records: DataFrame, least: int = 1) -> DataFrame:
     return cells.withColumn("lift", F.col("n") * total / (row * column)).filter(F.col("n") >= least)
 
 
-def co_occurrence_edges(records: DataFrame, least: int = 2) -> DataFrame:
-    """Pairs of symbols of one record, a before b, with three of the records."""
+def top_cells(records: DataFrame, top: int = 50) -> DataFrame:
+    """The ``top`` cells by lift, then number."""
+    return co_occurrence_cells(records).orderBy(F.desc(F.round("lift", 9)), F.desc("n"), "asset", "reason").limit(top)
+
+
+def co_occurrence_edges(records: DataFrame, least: int = 2, top: int | None = None, samples: bool = True) -> DataFrame:
+    """Pairs of symbols of one record, a before b, with three of the records; with ``top`` the heaviest, in order."""
     sets = records.withColumn("s", F.array_sort(upper_symbols())).filter(F.size("s") > 1)
     pairs = sets.select("capture_id", F.posexplode("s").alias("i", "a"), "s").select("capture_id", "a", F.explode(F.slice(F.col("s"), F.col("i") + 2, F.size("s"))).alias("b"))
-    ids = F.transform(F.slice(F.array_sort(F.collect_set(F.struct(F.length("capture_id").alias("k"), F.col("capture_id").alias("id")))), 1, 3), lambda x: x["id"])
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"), ids.alias("samples")).filter(F.col("weight") >= least)
+    edges = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight")).filter(F.col("weight") >= least)
+    order = [F.desc("weight"), "a", "b"]
+    edges = edges.orderBy(*order).limit(top) if top else edges
+    if not samples:
+        return edges
+    own = pairs.join(edges.select("a", "b"), ["a", "b"], "left_semi")
+    # A repeated record counts once among the samples: its rows share a rank.
+    rank = F.dense_rank().over(Window.partitionBy("a", "b").orderBy(F.length("capture_id"), "capture_id"))
+    first = own.withColumn("_rank", rank).filter(F.col("_rank") <= 3).groupBy("a", "b").agg(F.transform(F.array_sort(F.collect_set(F.struct("_rank", "capture_id"))), lambda x: x["capture_id"]).alias("samples"))
+    out = edges.join(first, ["a", "b"], "left")
+    return out.orderBy(*order) if top else out
 
 
 def reason_concentration(records: DataFrame) -> DataFrame:
@@ -116,6 +147,28 @@ def reason_concentration(records: DataFrame) -> DataFrame:
     return cells.groupBy("asset").agg(F.sum(F.col("share") * F.col("share")).alias("hhi"), F.count(F.lit(1)).alias("reasons"))
 
 
+def asset_concentration(records: DataFrame, top: int = 5) -> DataFrame:
+    """Every asset class with its number of records, Herfindahl index and ``top`` reasons; 0 and none without reasons.  Most records first."""
+    assets = records.select(F.explode(F.array_distinct("asset_classes")).alias("asset")).groupBy("asset").agg(F.count(F.lit(1)).alias("records"))
+    shares = co_occurrence_cells(records).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("asset")))
+    rank = F.row_number().over(Window.partitionBy("asset").orderBy(F.desc(F.round("share", 9)), "reason"))
+    first = shares.withColumn("rank", rank).groupBy("asset").agg(
+        F.least(F.lit(1.0), F.sum(F.col("share") * F.col("share"))).alias("hhi"), F.count(F.lit(1)).alias("reasons"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= top, F.struct("rank", "reason")))), lambda x: x["reason"]).alias("top_reasons"),
+    )
+    out = assets.join(first, "asset", "left").select("asset", "records", F.coalesce("reasons", F.lit(0)).alias("reasons"), F.coalesce("hhi", F.lit(0.0)).alias("hhi"), F.coalesce("top_reasons", F.array().cast("array<string>")).alias("top_reasons"))
+    return out.orderBy(F.desc("records"), "asset")
+
+
+def sentiment_shares(records: DataFrame, minutes: int = 60) -> DataFrame:
+    """(bucket, label, share) of the labelled records of each bucket, all three labels for each."""
+    rows = timed(records).withColumn("bucket", floor_to(F.floor(F.col("us") / 1_000_000), minutes * 60))
+    labels = ("positive", "neutral", "negative")
+    counts = rows.groupBy("bucket").agg(*(F.count_if(F.col("sentiment_label") == x).alias(x) for x in labels))
+    total = sum((F.col(x) for x in labels), F.lit(0))
+    return counts.select("bucket", F.inline(F.array(*(F.struct(F.lit(x).alias("label"), ratio(F.col(x).cast("double"), total).alias("share")) for x in labels))))
+
+
 def dispersion(records: DataFrame, scope: str = "asset_classes") -> DataFrame:
     """Entropy of the sentiment labels of each value of a list column, and the dominant label."""
     label = F.col("sentiment_label")
@@ -167,13 +220,37 @@ def arrival_heatmap(records: DataFrame, zone: str = "America/New_York") -> DataF
     return cells.join(F.broadcast(counts), "cell", "left").select(F.floor(cell / 24).cast("int").alias("weekday"), (cell % 24).alias("hour"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def persistence(records: DataFrame, days: int = 7, least: int = 3) -> DataFrame:
-    """Share of the newest ``days`` days on which each asset class and first symbol had records, with three titles."""
+def session_headline(records: DataFrame, zone: str = "America/New_York") -> DataFrame:
+    """One row: all records, and the sessions of highest mean relevance and of most records (of equal ones the first of the day)."""
+    place = F.array_position(F.array(*map(F.lit, SESSIONS)), F.col("session"))
+    rows = by_session(records, zone).withColumn("place", -place)
+    filled = F.col("volume") > 0
+    best = lambda x: F.max_by("session", F.when(filled, F.struct(x, "place")))
+    return rows.agg(F.sum("volume").alias("total"), best("avg_score").alias("highest_score"), best("volume").alias("highest_volume"))
+
+
+def heatmap_summary(records: DataFrame, zone: str = "America/New_York", peaks: int = 5) -> DataFrame:
+    """One row: the greatest cell, all records, and the first ``peaks`` cells that reach the greatest, as weekday * 24 + hour."""
+    cells = arrival_heatmap(records, zone).withColumn("cell", F.col("weekday") * 24 + F.col("hour"))
+    out = cells.agg(F.max("n").alias("max"), F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("cells"))
+    top = F.filter("cells", lambda x: (x["n"] == F.col("max")) & (F.col("max") > 0))
+    return out.select("max", "total", F.slice(F.transform(top, lambda x: x["cell"]), 1, peaks).alias("peaks"))
+
+
+def persistence(records: DataFrame, days: int = 7, least: int = 3, top: int | None = None, samples: bool = True) -> DataFrame:
+    """Share of the newest ``days`` days on which each asset class and first symbol had records, with three titles; with ``top`` the most persistent, in order."""
     rows = timed(records).withColumn("day", F.floor(F.col("us") / 86_400_000_000))
     newest = rows.agg(F.max("day").alias("top"))
     recent = rows.join(F.broadcast(newest), F.col("day") > F.col("top") - days)
     first = F.coalesce(F.get("candidate_symbols", 0), F.lit("—"))
     named = recent.select(F.explode("asset_classes").alias("asset"), first.alias("symbol"), "day", "us", "capture_id", F.substring("title", 1, 100).alias("title"))
-    titles = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("us", "capture_id", "title"))), 1, 3), lambda x: x["title"])
-    groups = named.groupBy("asset", "symbol").agg(F.count_distinct("day").alias("days"), F.count(F.lit(1)).alias("total"), titles.alias("titles"))
-    return groups.filter(F.col("total") >= least).withColumn("ratio", F.col("days") / F.lit(days))
+    groups = named.groupBy("asset", "symbol").agg(F.count_distinct("day").alias("days"), F.count(F.lit(1)).alias("total"))
+    groups = groups.filter(F.col("total") >= least).withColumn("ratio", F.col("days") / F.lit(days))
+    order = [F.desc("ratio"), F.desc("total"), "asset", "symbol"]
+    groups = groups.orderBy(*order).limit(top) if top else groups
+    if not samples:
+        return groups
+    own = named.filter(F.coalesce("title", F.lit("")) != "").join(groups.select("asset", "symbol"), ["asset", "symbol"], "left_semi")
+    titles = first_samples(own, ["asset", "symbol"], ["us", F.length("capture_id"), "capture_id"], "title", "titles")
+    out = groups.join(titles, ["asset", "symbol"], "left")
+    return out.orderBy(*order) if top else out

@@ -85,49 +85,121 @@ class FieldSets:
                 self.holders[v] = room, used + 1
         return n
 
-    def jaccard(self, values: frozenset) -> np.ndarray:
+    def common(self, values: frozenset) -> np.ndarray:
+        """How many of ``values`` each set holds."""
         common = np.zeros(len(self.numbers))
         for v in values:
             if v in self.holders:
                 room, used = self.holders[v]
                 common[room[:used]] += 1
+        return common
+
+    def jaccard(self, values: frozenset) -> np.ndarray:
+        common = self.common(values)
         return common / np.maximum(len(values) + self.sizes[: len(common)] - common, 1)
 
 
+class Members:
+    """Distinct members of the stories as lines (story, profile, title), in order of profile but for the newest ones.
+
+    A profile is a combination of sets in all fields but the title.
+    """
+
+    def __init__(self):
+        self.table, self.used = np.zeros((1024, 3), np.int64), 0
+        self.known: set[tuple[int, int, int]] = set()
+        self.ends = np.zeros(1, np.int64)
+
+    def add(self, line: tuple[int, int, int]) -> None:
+        if line in self.known:
+            return
+        self.known.add(line)
+        if self.used == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[self.used] = line
+        self.used += 1
+
+    def crowded(self) -> bool:
+        """Whether the lines out of order are more than a tenth."""
+        return self.used - self.ends[-1] > 256 + self.used // 10
+
+    def sort(self, profiles: int, live: np.ndarray | None) -> None:
+        """Bring all lines in order; with ``live`` (by story) those of other stories go."""
+        own = self.table[: self.used]
+        if live is not None:
+            own = own[live[own[:, 0]]]
+            self.known = {tuple(x) for x in own.tolist()}
+        own = own[np.argsort(own[:, 1], kind="stable")]
+        self.used = len(own)
+        self.table[: self.used] = own
+        self.ends = np.concatenate([[0], np.cumsum(np.bincount(own[:, 1], minlength=profiles))])
+
+    def of(self, chosen: np.ndarray) -> np.ndarray:
+        """The lines whose profile is ``chosen`` (a flag for each)."""
+        ordered = np.flatnonzero(chosen[: len(self.ends) - 1])
+        first, n = self.ends[ordered], self.ends[ordered + 1] - self.ends[ordered]
+        at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        rest = self.table[self.ends[-1] : self.used]
+        return np.concatenate([self.table[at], rest[chosen[rest[:, 1]]]])
+
+
 def assign_stories(rows: list[dict], window_us: int, threshold: float) -> list[list[int]]:
     """Indices of each cluster: rows in time order join the story with the most similar member, the later story on ties.
 
-    All members of stories that can still grow are compared at once: members
-    are numbers of distinct sets per field, and only these sets are compared.
+    A member's similarity is that of its profile and, for a fifth at most, that
+    of its title.  So the most similar profiles are tried first, and what they
+    reach tells which others can reach as much; only the members of these are
+    compared.
     """
     order = sorted(range(len(rows)), key=lambda i: (rows[i]["us"] is None, rows[i]["us"] or 0, len(rows[i]["capture_id"] or ""), rows[i]["capture_id"] or ""))
-    fields = [FieldSets() for _ in CLUSTER_WEIGHTS]
+    *fields, titles = [FieldSets() for _ in CLUSTER_WEIGHTS]
+    *weights, title_weight = CLUSTER_WEIGHTS
     stories: list[list[int]] = []
     newest = np.zeros(1024)
-    # Distinct combinations of all fields but the title, and lines (story, combination, title) of distinct members.
     profiles: dict[tuple, int] = {}
-    parts, table, used, known = np.zeros((1024, len(fields) - 1), np.int64), np.zeros((1024, 3), np.int64), 0, set()
-    for step, i in enumerate(order):
+    parts = np.zeros((len(fields), 1024), np.int64)
+    members = Members()
+    # How similar each set of a field is to all others, for sets met before; made anew where there are more by now.
+    similar: list[dict[int, np.ndarray]] = [{} for _ in fields]
+    #: Stories of the members with these sets in all fields.
+    equal: dict[tuple, set[int]] = {}
+    ageing = bool(order) and rows[order[-1]]["us"] is not None
+    for i in order:
         us, features = rows[i]["us"], _features(rows[i])
-        if step % 256 == 255 and us is not None and rows[order[-1]]["us"] is not None:
-            # Time only grows, so a story that is too old now stays so; one without a time never ages.
-            live = table[:used][newest[table[:used, 0]] >= us - window_us]
-            table[: len(live)], used = live, len(live)
-            known = {tuple(x) for x in live.tolist()}
+        oldest = -np.inf if us is None else us - window_us
+        if members.crowded():
+            # Time only grows, so a story that is too old now stays so; but a row without a time may join any.
+            members.sort(len(profiles), newest[: len(stories)] >= oldest if ageing else None)
         story = -1
-        if used:
-            near = [weight * field.jaccard(values) for weight, field, values in zip(CLUSTER_WEIGHTS, fields, features, strict=True)]
+        known = [field.numbers.get(values) for field, values in zip((*fields, titles), features, strict=True)]
+        if None not in known and all(values or len(field.numbers) == 1 for field, values in zip((*fields, titles), features, strict=True)):
+            # No member can be nearer than an equal one, and none but equal ones are as near.
+            story = max((x for x in equal.get(tuple(known), ()) if newest[x] >= oldest), default=-1)
+        if members.used and story < 0:
             own = np.zeros(len(profiles))
-            for k, part in enumerate(near[:-1]):
-                if features[k]:
-                    own += part[parts[: len(profiles), k]]
-            score = own[table[:used, 1]] + near[-1][table[:used, 2]]
-            while (best := score.max()) >= threshold:
-                found = int(table[:used, 0][score == best].max())
-                if us is None or newest[found] >= us - window_us:
-                    story = found
-                    break
-                score[table[:used, 0] == found] = -1.0
+            for k, (weight, field, values) in enumerate(zip(weights, fields, features, strict=False)):
+                if values:
+                    n = known[k]
+                    part = similar[k].get(n)
+                    if part is None or len(part) < len(field.numbers):
+                        part = weight * field.jaccard(values)
+                        if n is not None:
+                            similar[k][n] = part
+                    own += part[parts[k, : len(profiles)]]
+            common, size = titles.common(features[-1]), len(features[-1])
+
+            def compared(least: float) -> tuple[np.ndarray, np.ndarray]:
+                """Lines of live stories whose profile reaches ``least``, and their similarity."""
+                lines = members.of(own >= least - 1e-9)
+                lines = lines[newest[lines[:, 0]] >= oldest]
+                shared = common[lines[:, 2]]
+                return lines, own[lines[:, 1]] + title_weight * (shared / np.maximum(size + titles.sizes[lines[:, 2]] - shared, 1))
+
+            _, first = compared(own.max())
+            lines, score = compared(max(first.max(initial=-1.0), threshold) - title_weight)
+            best = score.max(initial=-1.0)
+            if best >= threshold:
+                story = int(lines[score == best, 0].max())
         if story < 0:
             story = len(stories)
             stories.append([])
@@ -137,18 +209,14 @@ def assign_stories(rows: list[dict], window_us: int, threshold: float) -> list[l
         stories[story].append(i)
         if us is not None and newest[story] != np.inf:
             newest[story] = max(newest[story], us)
-        numbers = [field.number(values) for field, values in zip(fields, features, strict=True)]
-        profile = profiles.setdefault(tuple(numbers[:-1]), len(profiles))
-        if profile == len(parts):
-            parts = np.concatenate([parts, np.zeros_like(parts)])
-        parts[profile] = numbers[:-1]
-        line = (story, profile, numbers[-1])
-        if line not in known:
-            known.add(line)
-            if used == len(table):
-                table = np.concatenate([table, np.zeros_like(table)])
-            table[used] = line
-            used += 1
+        numbers = tuple(field.number(values) for field, values in zip(fields, features, strict=False))
+        profile = profiles.setdefault(numbers, len(profiles))
+        if profile == parts.shape[1]:
+            parts = np.concatenate([parts, np.zeros_like(parts)], axis=1)
+        parts[:, profile] = numbers
+        title = titles.number(features[-1])
+        members.add((story, profile, title))
+        equal.setdefault((*numbers, title), set()).add(story)
     return stories
 
 

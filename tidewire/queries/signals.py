@@ -42,7 +42,7 @@ w AS (SELECT c.symbol, c.bucket, c.observed, o.i, sum(c.observed) OVER (PARTITIO
 ms AS (SELECT symbol, bucket, observed, coalesce(past, 0) / CAST(least(i, 12) AS DOUBLE) AS mean FROM w WHERE i >= 3)
 SELECT symbol, bucket, observed, mean, (observed - mean) / sqrt(greatest(1.0, mean)) AS z FROM ms WHERE observed >= 2 AND (observed - mean) / sqrt(greatest(1.0, mean)) >= 2""", "mean z")
 def k2_bursts(spark, sf_dir):
-    return bursts.symbol_bursts(events_as_records(spark, sf_dir)).drop("samples")
+    return bursts.symbol_bursts(events_as_records(spark, sf_dir), samples=False)
 
 
 HOURLY = "CAST(us // 1000000 - (us // 1000000) % 3600 AS BIGINT)"
@@ -97,7 +97,7 @@ def k5(spark, sf_dir):
 @query("k5_symbol_edges", f"""{R}, s AS (SELECT capture_id, unnest(candidate_symbols) AS a, candidate_symbols AS all_s FROM records), p AS (SELECT capture_id, a, unnest(all_s) AS b FROM s)
 SELECT a, b, count(*) AS weight FROM p WHERE a < b GROUP BY a, b HAVING count(*) >= 2""")
 def k5_edges(spark, sf_dir):
-    return mix.co_occurrence_edges(events_as_records(spark, sf_dir)).drop("samples")
+    return mix.co_occurrence_edges(events_as_records(spark, sf_dir), samples=False)
 
 
 @query("k5_concentration", f"""{R}, {PAIRS}, cells AS (SELECT asset, reason, count(*) AS n FROM pairs GROUP BY asset, reason),
@@ -242,7 +242,7 @@ def k15(spark, sf_dir):
 @query("k16_persistence", f"""{R}, d AS (SELECT *, us // 86400000000 AS day FROM records), t AS (SELECT max(day) AS top FROM d),
 n AS (SELECT unnest(asset_classes) AS asset, candidate_symbols[1] AS symbol, day FROM d CROSS JOIN t WHERE day > top - 7) SELECT asset, symbol, count(DISTINCT day) AS days, count(*) AS total, count(DISTINCT day) / 7.0 AS ratio FROM n GROUP BY asset, symbol HAVING count(*) >= 3""", "ratio")
 def k16(spark, sf_dir):
-    return mix.persistence(events_as_records(spark, sf_dir)).drop("titles")
+    return mix.persistence(events_as_records(spark, sf_dir), samples=False)
 
 
 QUOTES_SQL = "quotes AS (SELECT * FROM (VALUES ('SYM1', 10.5, 10.0, NULL), ('SYM2', 9.0, 10.0, NULL), ('SYM3', 5.0, 0.0, NULL), ('SYM4', 7.0, 7.5, 'stale'), ('SPY', 101.0, 100.0, NULL)) AS q(symbol, last, prev_close, error_code))"

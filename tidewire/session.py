@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,10 +44,15 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder every executor shares: ``spark.checkpoint.dir``.
+
+    In local mode alone a temporary folder stands in where that is unset.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         folder = tempfile.mkdtemp(prefix="tidewire-")
@@ -55,9 +61,34 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+#: Scratch tables made since each open ``materialize_alone`` began.
+_made: list[list[str]] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
+    for made in _made:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def materialize_alone(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """``materialize(make(), label)``, after which the scratch tables that ``make`` made on its way are removed."""
+    _made.append([])
+    try:
+        df = make()
+    finally:
+        inner = _made.pop()
+    out = materialize(df, label)
+    for path in inner:
+        remove(spark, path)
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder through Spark's own file systems, wherever it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

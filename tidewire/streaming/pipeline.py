@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -62,18 +63,25 @@ def first_titles_batch(captures: DataFrame, time: str = "observed_ts", window_s:
     """The batch twin of ``first_titles``: a title's sightings in time order, each kept if the last kept one is out of its window.
 
     A sighting within the window of the one before it may still be kept, so the
-    state is folded over each title's times; titles are groups, never one task.
+    times of a title are read in order; only the last kept one is remembered.
     """
-    rows = captures.withColumn("_key", normal_title(F.col("title"))).withColumn("_us", F.unix_micros(F.col(time).cast("timestamp")))
-    times = F.array_sort(F.collect_list(F.struct("_us", "capture_id")))
-    start = F.struct(F.lit(None).cast("long").alias("first"), F.array().cast("array<string>").alias("kept"))
-
-    def step(acc, x):
-        take = acc["first"].isNull() | (x["_us"] - acc["first"] > window_s * 1_000_000)
-        return F.struct(F.when(take, x["_us"]).otherwise(acc["first"]).alias("first"), F.when(take, F.concat(acc["kept"], F.array(x["capture_id"]))).otherwise(acc["kept"]).alias("kept"))
-
-    folded = rows.filter("_key <> ''").groupBy("_key").agg(F.aggregate(times, start, step)["kept"].alias("kept")).select(F.explode("kept").alias("capture_id"))
-    short = rows.filter("_key = ''").select("capture_id")
+    rows = captures.select("capture_id", normal_title(F.col("title")).alias("key"), F.unix_micros(F.col(time).cast("timestamp")).alias("us"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, None
+        for batch in batches:
+            kept = []
+            for key, us in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if key != at:
+                    at, last = key, None
+                take = last is None or us is None or us - last > window_s * 1_000_000
+                last = us if take and us is not None else last
+                kept.append(take)
+            yield pa.RecordBatch.from_arrays([batch.column(2).filter(pa.array(kept, pa.bool_()))], names=["capture_id"])
+
+    ordered = rows.filter("key <> ''").repartition("key").sortWithinPartitions("key", "us", "capture_id").select("key", "us", "capture_id")
+    folded = ordered.mapInArrow(fold, captures.select("capture_id").schema)
+    short = rows.filter("key = ''").select("capture_id")
     return captures.join(folded.unionByName(short), "capture_id", "left_semi")
 
 
