@@ -264,9 +264,13 @@ def test_neighbours_recall_copies_and_bad_vectors(spark):
     base = rng.normal(size=(6000, 16))
     base[3000:3400] = base[0]  # a large group of equal vectors
     base[5000] = base[17] * 3  # the same direction
-    rows = [(i, [float(x) for x in v]) for i, v in enumerate(base)] + [(6001, None), (6002, [0.0] * 16), (6003, [float("nan")] * 16), (6004, [1.0, None] + [0.0] * 14), (6050, [1.0] * 3), (None, [1.0] * 16), (17, [float(x) for x in base[17]])]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(base)] + [(7000, [1.0] * 3), (7050, [1.0, 2.0, 3.0]), (6001, None), (6002, [0.0] * 16), (6003, [float("nan")] * 16), (6004, [1.0, None] + [0.0] * 14), (6050, [1.0] * 3), (None, [1.0] * 16), (17, [float(x) for x in base[17]])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = neighbours.nearest(df, F.col("vec_id") % 50 == 0, 5).toPandas()
+    # Vectors of three components are near each other only: 6050 isn't a query's own length for 16.
+    short = got[got.query_id >= 6000]
+    assert sorted(zip(short.query_id, short.vec_id, strict=True)) == [(6050, 7000), (6050, 7050), (7000, 6050), (7000, 7050), (7050, 6050), (7050, 7000)]
+    got = got[got.query_id < 6000]
     asked = [i for i in range(6000) if i % 50 == 0]
     assert set(got.query_id) == set(asked) and (got.groupby("query_id").size() == 5).all() and got.vec_id.max() < 6000
     unit = base.astype(np.float32).astype(float)
@@ -294,6 +298,34 @@ def test_neighbours_repeated_ids_do_not_use_up_a_group(spark):
     assert len(got) == 50 and all(sorted(own.vec_id) == [i for i in range(10) if i != q][:5] for q, own in got.groupby("query_id"))
 
 
+def test_neighbours_ties_go_to_the_smaller_id(spark):
+    """Multiples of one vector have one direction; vectors that mirror each other have one cosine."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=20)
+    rows = [(i, [float(x) for x in v * (0.1 + 0.37 * i)]) for i in range(29)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5] and all(1 - 1e-12 < r["score"] <= 1 for r in got)
+    mirrored = [(50, [1.0, 0.0, 0.0])] + [(i, [3.0, 0.1 * (-1) ** i, 0.7] if i % 3 else [3.0, 0.7, 0.1 * (-1) ** i]) for i in range(9, 0, -1)]
+    got = neighbours.nearest(spark.createDataFrame(mirrored, "vec_id long, embedding array<double>"), F.col("vec_id") == 50).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5]
+
+
+@pytest.mark.parametrize("n", [600, 3000, 12_000])
+def test_neighbours_recall_is_alike_at_every_size(spark, n):
+    """Vectors without structure, where windows are all that an ordering can offer."""
+    rng = np.random.default_rng(n)
+    base = rng.normal(size=(n, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<float>")
+    got = neighbours.nearest(df, F.col("vec_id") % 50 == 0).toPandas()
+    unit = base.astype(float) / np.linalg.norm(base.astype(float), axis=1, keepdims=True)
+    hits = 0
+    for q, own in got.groupby("query_id"):
+        s = unit @ unit[q]
+        s[q] = -9
+        hits += (own.score >= np.sort(s)[-5] - 1e-9).sum()
+    assert hits >= 0.88 * 5 * len(range(0, n, 50))
+
+
 def test_neighbours_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["vec_id"]) for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0).collect()] == [(0, 1)]
