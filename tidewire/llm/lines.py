@@ -227,13 +227,15 @@ def line_dedup(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> D
     shards = materialize(_shards(keys.select(shard, "*")), "line-shards")
     drops = _probe(rows.select(shard, "doc_id", "h1", "h2"), shards, least_docs)
     lost = drops.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("drops"))
-    # The caller's columns travel as one struct, so that none of their names can clash with what is added.
+    # The caller's columns but the text travel as one struct, so that none of their names can clash with what is added.
     names = docs.columns
-    carried = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rest = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in names if c != "text"))
+    carried = docs.select(rest.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Rows without doc_id find nothing; their salt spreads them over tasks.
     salt = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(10_000))).otherwise(0).alias("salt")
     joined = carried.select("*", salt).join(lost.withColumn("salt", F.lit(0).cast("long")), ["doc_id", "salt"], "left").select("row", "text", "drops")
-    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())])
+    added = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())]
+    schema = T.StructType([*joined.schema.fields[:2], *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,7 +254,7 @@ def line_dedup(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> D
                 n_dropped.append(len(lines) - len(left))
                 kept.append("\n".join(left))
             added = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *added], names=["row", "n_lines", "n_dropped", "kept_text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *added], names=schema.names)
 
     done = joined.mapInArrow(run, schema)
-    return done.select(*(F.col("row").getField(c).alias(c) for c in names), "n_lines", "n_dropped", "kept_text")
+    return done.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names), "n_lines", "n_dropped", "kept_text")
