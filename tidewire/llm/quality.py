@@ -145,7 +145,7 @@ def _moments(near: DataFrame, factor: float, *keys: str) -> DataFrame:
     return sums.withColumns({c: F.col(c) / factor + (FLOORS[i] ** 2 if i == j else 0.0) for i, j, c in _columns("c")})
 
 
-def _starts(rows: DataFrame) -> DataFrame:
+def _starts(rows: DataFrame, small: bool) -> DataFrame:
     """First centre m and scatter c of each (cell, start)."""
     quartiles = rows.groupBy("cell").agg(*(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], RANKS).alias(f"q{i}") for i in DIMS))
     scales = quartiles.select(
@@ -157,7 +157,7 @@ def _starts(rows: DataFrame) -> DataFrame:
     z = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"s{i}") for i in DIMS]
     length = F.sqrt(reduce(lambda a, b: a + b, [x * x for x in z]))
     kinds = {"tanh": [F.tanh(x) for x in z], "signs": [F.coalesce(F.try_divide(x, length), F.lit(0.0)) for x in z], "plain": z}
-    spread = rows.join(scales, "cell").select("cell", *(x.alias(f"{kind}{i}") for kind, xs in kinds.items() for i, x in enumerate(xs)))
+    spread = _with(rows, scales, small).select("cell", *(x.alias(f"{kind}{i}") for kind, xs in kinds.items() for i, x in enumerate(xs)))
     found = spread.groupBy("cell").agg(
         *(F.avg(F.col(f"{kind}{i}") * F.col(f"{kind}{j}")).alias(f"{kind}{i}{j}") for kind in kinds for i, j, _ in _columns("c"))
     ).join(scales, "cell")
@@ -176,25 +176,33 @@ def _starts(rows: DataFrame) -> DataFrame:
     return found.select("cell", *(f"m{i}" for i in DIMS), F.inline(F.array(*each)))
 
 
-def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
+def _with(rows: DataFrame, params: DataFrame, small: bool) -> DataFrame:
+    """``rows`` with the values of their cells; a ``small`` table goes to all tasks, so that no cell's rows meet in one."""
+    return rows.join(F.broadcast(params) if small else params, "cell")
+
+
+def _step(rows: DataFrame, params: DataFrame, small: bool) -> DataFrame:
     """One concentration step: params (cell, start, m, w, volume) of the ``SHARE`` of rows nearest by the given ones."""
-    far = rows.join(params, "cell").withColumn("d", _distance())
+    far = _with(rows, params, small).withColumn("d", _distance())
     cuts = materialize(far.groupBy("cell", "start").agg(F.percentile_approx("d", SHARE, RANKS).alias("cut")).join(params, ["cell", "start"]), "quality-cuts")
-    near = rows.join(cuts, "cell").withColumn("d", _distance()).filter("d <= cut")
+    near = _with(rows, cuts, small).withColumn("d", _distance()).filter("d <= cut")
     return materialize(_whitened(_moments(near, TRIMMED[0.75], "cell", "start"), "cell", "start"), "quality-cells")
 
 
-def fit_scatter(rows: DataFrame) -> DataFrame:
-    """Centre m and scatter c of each cell of ``rows`` (cell, x0, x1, ...): the minimum covariance determinant, reweighted."""
-    params = materialize(_whitened(_starts(rows), "cell", "start"), "quality-cells")
+def fit_scatter(rows: DataFrame, small: bool = False) -> DataFrame:
+    """Centre m and scatter c of each cell of ``rows`` (cell, x0, x1, ...): the minimum covariance determinant, reweighted.
+
+    ``small`` says that the cells are few enough to be broadcast.
+    """
+    params = materialize(_whitened(_starts(rows, small), "cell", "start"), "quality-cells")
     for _ in range(TRIALS):
-        params = _step(rows, params)
+        params = _step(rows, params, small)
     best = params.groupBy("cell").agg(F.min_by(F.struct(*params.columns[1:]), F.struct("volume", "start")).alias("best"))
     params = materialize(best.select("cell", "best.*"), "quality-cells")
     live = params
     for _ in range(STEPS):
         # A cut by approximate ranks may raise a determinant a little: the lesser of the two stays, and its cell is settled.
-        after = _step(rows, live)
+        after = _step(rows, live, small)
         fall = F.max(F.when(F.col("old"), F.col("volume"))) - F.min("volume")
         both = params.withColumn("old", F.lit(True)).unionByName(after.withColumn("old", F.lit(False)))
         both = both.groupBy("cell").agg(F.min_by(F.struct(*params.columns[1:]), "volume").alias("best"), (fall > SETTLED).alias("live"))
@@ -202,7 +210,7 @@ def fit_scatter(rows: DataFrame) -> DataFrame:
         params, live = both.drop("live"), both.filter("live").drop("live")
         if live.isEmpty():
             break
-    near = rows.join(params, "cell").withColumn("d", _distance()).filter(F.col("d") <= NEAR)
+    near = _with(rows, params, small).withColumn("d", _distance()).filter(F.col("d") <= NEAR)
     return materialize(_moments(near, TRIMMED[0.975], "cell"), "quality-cells")
 
 
@@ -255,9 +263,11 @@ def quality_rules(docs: DataFrame, carry: tuple[str, ...] | None = None) -> Data
     total = counts.agg(F.sum("n")).first()[0] or 0
     large = [F.when(F.col("n") >= LEAST, F.col("_own")), F.when(F.col("lang_rows") >= LEAST, _of_language()), F.when(F.lit(total >= LEAST), F.lit(ALL))]
     cells = names.select("_own", F.array_compact(F.array(*large)).alias("cells"))
-    vectors = materialize(keyed.drop("_lang").join(cells, "_own").drop("_own"), "quality-vectors")
+    # Sources, their languages and the whole, each with a row for every start.
+    small = 3 * len(STARTS) * names.count() <= BROADCAST_ROWS
+    vectors = materialize(keyed.drop("_lang").join(F.broadcast(cells) if small else cells, "_own").drop("_own"), "quality-vectors")
     rows = vectors.select(F.explode("cells").alias("cell"), *(f"x{i}" for i in DIMS))
-    fitted = materialize(_shrunk(names, fit_scatter(rows)).withColumnRenamed("cell", "_own"), "quality-fitted")
+    fitted = materialize(_shrunk(names, fit_scatter(rows, small)).withColumnRenamed("cell", "_own"), "quality-fitted")
     # One row for each language and source; beyond the checked number the join is a shuffled one.
     fitted = F.broadcast(fitted) if fitted.count() <= BROADCAST_ROWS else fitted
     judged = stats.withColumn("_own", F.concat_ws("\1", lang, source)).withColumns({f"x{i}": x for i, x in enumerate(_vector())}).join(fitted, "_own", "left")
