@@ -106,7 +106,7 @@ def extract(name: str, body: bytes | None, most: int = MOST_BYTES) -> tuple[str
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder as (path, content)."""
+    """Files of a folder as (path, content); Spark leaves files of no bytes out."""
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
