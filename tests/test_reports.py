@@ -15,7 +15,7 @@ from tidewire import session
 from tidewire.functions import fuzzy
 from tidewire.operators import lookup
 from tidewire.plans import bursts, dashboard, mix, models, narratives, stories
-from tidewire.sources import golden, uploads
+from tidewire.sources import captures, golden, uploads
 from tidewire.streaming import pipeline as st
 
 
@@ -196,6 +196,29 @@ def test_first_titles_in_a_batch(spark):
     assert got == want and len(want) < 300
 
 
+def test_bad_captures_of_a_stream_are_kept_apart(spark, tmp_path):
+    good = {"capture_id": "1", "doc_id": "d", "title": "Rates rise", "text": "The Federal Reserve raised rates.", "published_ts": "2024-01-01T00:00:00Z"}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text("\n".join([json.dumps(good), "{broken", json.dumps({**good, "capture_id": "2", "text": None}), json.dumps({**good, "capture_id": "3"})]))
+    for _ in range(2):  # the second run finds nothing new
+        rows = captures.stream_captures(spark, str(tmp_path / "in"), keep_invalid=True)
+        st.upsert_records(rows, str(tmp_path / "out"), str(tmp_path / "checkpoint"), errors=str(tmp_path / "errors")).awaitTermination(120)
+    assert {r["capture_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"1", "3"}
+    bad = spark.read.parquet(str(tmp_path / "errors")).collect()
+    assert sorted(str(r["capture_id"]) for r in bad) == ["2", "None"] and {r["error"] for r in bad} == {"invalid"}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_upper_median_of_counts(spark, seed):
+    from tidewire.operators import aggregate
+
+    rng = random.Random(seed)
+    rows = [(rng.choice("abc"), rng.choice([None, *range(9)])) for _ in range(rng.choice([5, 50, 501]))]
+    got = {r["k"]: r["upper_median"] for r in aggregate.upper_median(spark.createDataFrame(rows, "k string, v int"), "v", "k").collect()}
+    want = {k: sorted(v for g, v in rows if g == k and v is not None) for k in {g for g, v in rows if v is not None}}
+    assert got == {k: v[len(v) // 2] for k, v in want.items()}
+
+
 def test_scratch_tables_go_with_their_maker(spark):
     kept = []
 

@@ -84,10 +84,12 @@ def spend_by_day(reviews: DataFrame) -> DataFrame:
 
 
 def upper_median(rows: DataFrame, value: str, by: str) -> DataFrame:
-    """The upper of the two middle values of each group, without gathering it: ranks are counted, not collected."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(value))
-    n = F.count(F.lit(1)).over(Window.partitionBy(by))
-    return rows.filter(F.col(value).isNotNull()).withColumn("_r", rank).withColumn("_n", n).filter(F.col("_r") == F.floor(F.col("_n") / 2) + 1).select(by, F.col(value).alias("upper_median"))
+    """The upper of the two middle values of each group, from counts of its distinct values: a hot group's rows are counted in part before the shuffle."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
+    own = Window.partitionBy(by)
+    upto = F.sum("_n").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("_upto", upto).withColumn("_middle", F.floor(F.sum("_n").over(own) / 2))
+    return placed.filter((F.col("_upto") > F.col("_middle")) & (F.col("_upto") - F.col("_n") <= F.col("_middle"))).select(by, F.col(value).alias("upper_median"))
 
 
 def table_sizes(tables: dict[str, DataFrame]) -> DataFrame:

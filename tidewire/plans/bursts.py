@@ -127,8 +127,8 @@ def asset_grid(records: DataFrame, minutes: int = 30) -> DataFrame:
     rows = timed(records).filter(F.size("asset_classes") > 0).select(floor_to(F.floor(F.col("us") / 1_000_000), size).alias("bucket"), F.explode(F.array_distinct("asset_classes")).alias("asset"))
     counts = rows.groupBy("asset", "bucket").agg(F.count(F.lit(1)).alias("observed"))
     ends = counts.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).filter("lo is not null")
-    spine = ends.select(F.explode(F.sequence("lo", "hi", F.lit(size).cast("long"))).alias("bucket"))
-    grid = counts.select("asset").distinct().crossJoin(F.broadcast(spine))
+    # Each asset class spreads its own buckets: only the two ends are sent round.
+    grid = counts.select("asset").distinct().crossJoin(F.broadcast(ends)).select("asset", F.explode(F.sequence("lo", "hi", F.lit(size).cast("long"))).alias("bucket"))
     return grid.join(counts, ["asset", "bucket"], "left").withColumn("observed", F.coalesce("observed", F.lit(0)).cast("double"))
 
 

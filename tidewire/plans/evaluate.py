@@ -30,7 +30,7 @@ def market_reaction(records: DataFrame, quotes: DataFrame, horizons: tuple[str,
     """
     move = lambda last, prev: F.when(prev != 0, F.try_divide(last - prev, prev) * 100)
     priced = quotes.select(F.upper("symbol").alias("symbol"), "last", move(F.col("last"), F.col("prev_close")).alias("pct"), "error_code")
-    own = records.select("capture_id", primary_symbol().alias("symbol")).join(F.broadcast(priced), "symbol", "left")
+    own = records.select("capture_id", primary_symbol().alias("symbol")).join(priced, "symbol", "left")
     error = F.coalesce("error_code", F.when(F.col("last").isNull(), F.lit("quote_unavailable")))
     base = priced.filter(F.col("symbol") == benchmark).agg(F.max("pct").alias("benchmark_pct"))
     rows = own.withColumn("error", error).withColumn("symbol_pct", F.when(F.col("error").isNull(), F.col("pct"))).crossJoin(F.broadcast(base))
@@ -96,7 +96,7 @@ def coverage_gaps(records: DataFrame, terms: DataFrame, as_of_us: int, window_s:
     recent = records.withColumn("us", us).filter(F.col("us") >= as_of_us - window_s * 1_000_000)
     found = mentions(recent, terms).groupBy("term").agg(F.count(F.lit(1)).alias("matches"), F.max("us").alias("newest"))
     unique = terms.withColumn("_low", F.lower(F.trim("term"))).dropDuplicates(["_low"]).select("term")
-    out = unique.join(F.broadcast(found), "term", "left")
+    out = unique.join(found, "term", "left")
     return out.select("term", F.coalesce("matches", F.lit(0)).alias("matches"), F.floor((F.lit(as_of_us) - F.col("newest")) / 1_000_000).alias("age_s"), F.col("newest").isNull().alias("gap"))
 
 
@@ -109,7 +109,7 @@ def portfolio(records: DataFrame, holdings: DataFrame, quotes: DataFrame, top: i
     best = found.withColumn("r", rank).filter(F.col("r") <= top)
     best = best.groupBy("term").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "capture_id"))), lambda x: x["capture_id"]).alias("top"), F.max(F.when(F.col("r") == 1, F.col("sentiment_label"))).alias("sentiment"))
     priced = quotes.select(F.upper("symbol").alias("term"), F.when(F.col("error_code").isNull() & (F.col("prev_close") != 0), F.try_divide(F.col("last") - F.col("prev_close"), F.col("prev_close"))).alias("change"))
-    return terms.join(counts, "term", "left").join(best, "term", "left").join(F.broadcast(priced), "term", "left").select(F.col("term").alias("symbol"), F.coalesce("mentions", F.lit(0)).alias("mentions"), "top", "sentiment", "change")
+    return terms.join(counts, "term", "left").join(best, "term", "left").join(priced, "term", "left").select(F.col("term").alias("symbol"), F.coalesce("mentions", F.lit(0)).alias("mentions"), "top", "sentiment", "change")
 
 
 def review_pairs(reviews: DataFrame, a: str, b: str) -> DataFrame:

@@ -48,7 +48,7 @@ def regime_shifts(records: DataFrame, minutes: int = 60, threshold: float = 0.40
     counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg("finance_relevance_score").alias("mean_relevance"))
     order = Window.orderBy("bucket")
     steps = counts.withColumn("before", F.lag("bucket").over(order)).withColumn("n_before", F.lag("n").over(order))
-    links = F.broadcast(steps.filter("before is not null").select("bucket", "before"))
+    links = steps.filter("before is not null").select("bucket", "before")
     now = shares.join(links, "bucket").select("bucket", "kind", "key", F.col("share").alias("p"))
     past = shares.withColumnRenamed("bucket", "before").join(links, "before").select("bucket", "kind", "key", F.col("share").alias("q"))
     both = now.join(past, ["bucket", "kind", "key"], "full_outer").select("bucket", F.coalesce("p", F.lit(EPSILON)).alias("p"), F.coalesce("q", F.lit(EPSILON)).alias("q"))

@@ -41,7 +41,7 @@ def islands(records: DataFrame, window_s: int = 1800) -> DataFrame:
     gap = F.coalesce(F.col("first") - F.lag("last").over(order) > size, F.lit(True))
     named = slots.withColumn("start", F.when(gap, F.col("slot"))).select("slot", F.last("start", True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("island"))
     timeless = rows.agg(F.count_if(F.col("us").isNull()).alias("timeless"))
-    placed = rows.join(F.broadcast(named), "slot", "left").crossJoin(F.broadcast(timeless))
+    placed = rows.join(named, "slot", "left").crossJoin(F.broadcast(timeless))
     return placed.withColumn("island", F.when(F.col("timeless") > 0, F.lit(-1)).otherwise(F.col("island"))).drop("slot", "timeless")
 
 

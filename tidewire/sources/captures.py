@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
 
@@ -13,11 +13,16 @@ NAMES = "*.{jsonl,json}"
 NEEDED = ("capture_id", "doc_id", "text")
 
 
-def _valid(rows: DataFrame) -> DataFrame:
+def is_valid() -> Column:
+    """True for captures that parsed and have their ids and text."""
     good = F.lit(True)
     for c in NEEDED:
         good = good & F.col(c).isNotNull()
-    return rows.filter(good)
+    return good
+
+
+def _valid(rows: DataFrame) -> DataFrame:
+    return rows.filter(is_valid())
 
 
 def read_captures(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
@@ -27,14 +32,15 @@ def read_captures(spark: SparkSession, path: str, limit: int | None = None) -> D
     return rows if limit is None else rows.limit(limit)
 
 
-def stream_captures(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
-    """The same as a stream; the checkpoint remembers what has been read."""
+def stream_captures(spark: SparkSession, path: str, files_per_batch: int = 100, keep_invalid: bool = False) -> DataFrame:
+    """The same as a stream; the checkpoint remembers what has been read.  With ``keep_invalid`` rows that don't parse come too, as nulls."""
     reader: DataStreamReader = spark.readStream.schema(CAPTURE).option("recursiveFileLookup", "true").option("pathGlobFilter", NAMES)
-    return _valid(reader.option("maxFilesPerTrigger", files_per_batch).json(path))
+    rows = reader.option("maxFilesPerTrigger", files_per_batch).json(path)
+    return rows if keep_invalid else _valid(rows)
 
 
-def write_captures(captures: DataFrame, path: str) -> None:
-    """One folder for each day of observation."""
+def write_captures(captures: DataFrame, path: str, files: int = 8) -> None:
+    """One folder for each day of observation, with ``files`` files at most, so that a busy day is several tasks' work."""
     day = F.coalesce(*(c for c in ("observed_ts", "published_ts") if c in captures.columns))
     parts = captures.withColumns({"y": F.date_format(day, "yyyy"), "m": F.date_format(day, "MM"), "d": F.date_format(day, "dd")})
-    parts.repartition("y", "m", "d").write.mode("append").partitionBy("y", "m", "d").json(path)
+    parts.repartition("y", "m", "d", F.pmod(F.xxhash64("capture_id"), F.lit(files))).write.mode("append").partitionBy("y", "m", "d").json(path)
