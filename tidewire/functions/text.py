@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 BOILERPLATE = r"(?i)\b(follow us|subscribe|sign up|newsletter|cookie|cookies|privacy policy|terms of service|advertisement|sponsored|all rights reserved|share this|click here|download our app)\b"
 TRACKING = r"^(utm_|gclid|fbclid|mc_|_ga|ref_src)"
 ELLIPSIS = "…"
+# Where sentences part, and how texts name tickers.
+SENTENCE_END = r"(?<=[\.\!\?])\s+(?=[A-Z\$0-9])"
+CASHTAG = r"\$([A-Z]{1,6})\b"
+PAREN_TICKER = r"\(\s*(?:(?:NASDAQ|NYSE(?:AMERICAN)?|AMEX|OTC|LSE|TSX|HKEX|SSE|SZSE|FRA|ETR|BIT|BME|EPA|BIST)\s*:\s*)?([A-Z]{1,6}(?:\.[A-Z])?)\s*\)"
 
 
 def strip(text: Column) -> Column:
@@ -44,18 +48,18 @@ def title_tokens(title: Column, stopwords: frozenset[str] | list[str]) -> Column
 
 def sentences(text: Column, longest: int = 400) -> Column:
     """Distinct sentences without boilerplate; long ones are cut at a word and end in an ellipsis."""
-    parts = F.transform(F.split(strip(F.coalesce(text, F.lit(""))), r"(?<=[\.\!\?])\s+(?=[A-Z\$0-9])"), strip)
+    parts = F.transform(F.split(strip(F.coalesce(text, F.lit(""))), SENTENCE_END), strip)
     kept = F.filter(parts, lambda s: (s != "") & ~s.rlike(BOILERPLATE))
     clip = lambda s: F.when(F.length(s) > longest, F.concat(F.regexp_replace(F.substring(s, 1, longest), r" [^ ]*$", ""), F.lit(ELLIPSIS))).otherwise(s)
     return F.array_distinct(F.transform(kept, clip))
 
 
 def cashtags(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"\$([A-Z]{1,6})\b"), 1)
+    return F.regexp_extract_all(text, F.lit(CASHTAG), 1)
 
 
 def paren_tickers(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"\(\s*(?:(?:NASDAQ|NYSE(?:AMERICAN)?|AMEX|OTC|LSE|TSX|HKEX|SSE|SZSE|FRA|ETR|BIT|BME|EPA|BIST)\s*:\s*)?([A-Z]{1,6}(?:\.[A-Z])?)\s*\)"), 1)
+    return F.regexp_extract_all(text, F.lit(PAREN_TICKER), 1)
 
 
 def domain_of(url: Column, fallback: Column | None = None) -> Column:

@@ -40,6 +40,7 @@ NOT_TICKERS = (
     "CEO", "CFO", "COO", "CTO", "IPO", "ETF", "ETFS", "GDP", "CPI", "PPI", "SEC", "FTC", "FDA", "FOMC", "ECB", "BOJ", "BOE", "PBOC", "RBA", "USA", "UK", "EU", "UN", "NATO", "WHO",
     "FBI", "CIA", "DOJ", "IRS", "EPA", "NBA", "NFL", "NHL", "MLB", "NCAA", "ESG", "FAQ",
 )
+# Names of companies and goods, and their symbols.
 SYMBOLS = {
     "Apple": "AAPL", "Microsoft": "MSFT", "Alphabet": "GOOGL", "Google": "GOOGL", "Amazon": "AMZN", "Meta Platforms": "META", "Meta": "META", "Facebook": "META", "NVIDIA": "NVDA",
     "Tesla": "TSLA", "Berkshire Hathaway": "BRK.B", "Berkshire": "BRK.B", "JPMorgan": "JPM", "JPMorgan Chase": "JPM", "Goldman Sachs": "GS", "Bank of America": "BAC", "Citigroup": "C",
@@ -53,6 +54,7 @@ SYMBOLS = {
     "BIST 100": "XU100.IS", "EUR/USD": "EURUSD=X", "USD/JPY": "USDJPY=X", "GBP/USD": "GBPUSD=X", "Brent": "BZ=F", "WTI": "CL=F", "gold": "GC=F", "silver": "SI=F", "copper": "HG=F",
 }
 #: (asset class, reason code, channel) in order; "*" stands for any reason and adds to the others.
+# The channels and what leads to each.
 CHANNELS = (
     ("equities", "earnings", "equities.earnings"), ("equities", "guidance", "equities.guidance"), ("equities", "m_and_a", "equities.m_and_a"), ("equities", "product_launch", "equities.product"),
     ("equities", "fraud_governance", "equities.governance"), ("equities", "litigation", "equities.litigation"), ("equities", "regulation", "equities.regulation"), ("equities", "esg_reputation", "equities.esg"),

@@ -22,6 +22,9 @@ from tidewire import lexicon
 from tidewire.functions.text import cashtags, equity_shaped, matched, paren_tickers, sentences, strip, whole_word
 from tidewire.taxonomy import DEFAULT_DOMAIN_PRIOR, DEFAULT_SOURCE_PRIOR, DOMAIN_PRIORS, HORIZONS, SOURCE_PRIORS, THRESHOLDS, aliases
 
+# What each part adds to the relevance score.
+SCORE_WEIGHTS = {"_a": 0.30, "_r": 0.30, "rule_score": 0.15, "domain_prior": 0.10, "source_prior": 0.05, "_mood": 0.05, "_density": 0.05}
+
 TITLE_WEIGHT, BIGRAM_WEIGHT, BODY_CHARS, SCAN_CHARS = 3.0, 1.5, 3000, 800
 
 
@@ -205,7 +208,7 @@ def enrich(captures: DataFrame) -> DataFrame:
     density = F.when(size > 0, F.least(F.lit(1.0), n_hits / (F.when(size > 0, size) / 1000.0) / 3.0)).otherwise(0.0)
     mood = F.when(F.col("sentiment_label") != "neutral", F.col("sentiment_score")).otherwise(0.0)
     rows = rows.withColumns({"_a": _top(F.col("_asset")), "_r": _top(F.col("_reason")), "_n": _top(F.col("_negative")), "_density": density, "_mood": mood})
-    raw = 0.30 * F.col("_a") + 0.30 * F.col("_r") + 0.15 * F.col("rule_score") + 0.10 * F.col("domain_prior") + 0.05 * F.col("source_prior") + 0.05 * F.col("_mood") + 0.05 * F.col("_density")
+    raw = reduce(lambda a, b: a + b, [F.lit(w) * F.col(c) for c, w in SCORE_WEIGHTS.items()])
     rows = rows.withColumn("finance_relevance_score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
     blocked = (F.col("_n") >= THRESHOLDS["negative_class_block"]) & (F.col("_a") < 0.5) & (F.col("_r") < 0.5)
     gated = (F.col("_a") == 0) & (F.col("_r") < 0.75)

@@ -17,8 +17,8 @@ from tidewire.plans.mix import ratio
 from tidewire.sources.records import timed
 
 # Words left out of titles, and the weights of a similarity's parts.
-TITLE_STOPWORDS = frozenset("the a an of in on to for is are was were and or but".split())
-NOVELTY_STOPWORDS = sorted(TITLE_STOPWORDS | set("with from this that by as".split()))
+TITLE_STOPWORDS = frozenset(("the", "a", "an", "of", "in", "on", "to", "for", "is", "are", "was", "were", "and", "or", "but"))
+NOVELTY_STOPWORDS = ("the", "a", "an", "of", "in", "on", "to", "for", "is", "are", "was", "were", "and", "or", "but", "with", "from", "this", "that", "by", "as")
 CLUSTER_WEIGHTS = (0.35, 0.20, 0.15, 0.10, 0.20)
 NOVELTY_WEIGHTS = (0.55, 0.20, 0.15, 0.10)
 WORD = re.compile(r"[A-Za-z0-9']+")
