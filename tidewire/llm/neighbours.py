@@ -83,6 +83,21 @@ def _keyed(entries: DataFrame, size: int) -> DataFrame:
     return entries.mapInArrow(run, T.StructType([*entries.schema.fields, T.StructField("keys", T.ArrayType(T.LongType()))]))
 
 
+def _blocked(entries: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """``entries`` (..., keys) with the block of each ordering in place of its key; ``bounds`` (cuts, orderings) part the blocks."""
+    *kept, keys = entries.schema.fields
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = batch.column(len(kept)).flatten().to_numpy().reshape(-1, bounds.shape[1])
+                blocks = np.stack([np.searchsorted(bounds[:, c], own[:, c]) for c in range(bounds.shape[1])], axis=1).astype(np.int32)
+                ends = np.arange(0, blocks.size + 1, blocks.shape[1], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(blocks.ravel()))], names=[*batch.schema.names[:-1], "blocks"])
+
+    return entries.mapInArrow(run, T.StructType([*kept, T.StructField("blocks", T.ArrayType(T.IntegerType()))]))
+
+
 def _meet(tasks: DataFrame, k: int) -> DataFrame:
     """(asked, id, score): the ``k`` best ids of each query in each task; queries come before entries in a task."""
 
@@ -177,10 +192,7 @@ def _nearest_of_length(rows: DataFrame, size: int, k: int) -> DataFrame:
     sample = by_hash(entries.select("entry", "keys"), CUT_ROWS / max(total, 1), "entry").select("keys").toArrow().column(0)
     bounds = np.sort(sample.combine_chunks().flatten().to_numpy().reshape(-1, CURVES), axis=0)
     at = np.arange(1, blocks) * len(bounds) // blocks
-    cuts = rows.sparkSession.createDataFrame([(c, bounds[at, c].tolist()) for c in range(CURVES)], "curve int, cuts array<long>")
-    placed = entries.select("entry", "vector", "ids", "asked", F.posexplode("keys").alias("curve", "key")).join(F.broadcast(cuts), "curve")
-    block = F.size(F.filter("cuts", lambda x: x < F.col("key")))
-    placed = placed.withColumn("block", block).drop("cuts")
+    placed = _blocked(entries.select("entry", "vector", "ids", "asked", "keys"), bounds[at]).select("entry", "vector", "ids", "asked", F.posexplode("blocks").alias("curve", "block"))
     chunk = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
     base = placed.select("curve", "block", chunk.alias("chunk"), F.lit(1).alias("kind"), "entry", "vector", "ids")
     around = F.explode(F.sequence(F.greatest(F.col("block") - reach, F.lit(0)), F.least(F.col("block") + reach, F.lit(blocks - 1))))
