@@ -15,6 +15,7 @@ from .neighbours import nearest
 from .packing import pack_documents
 from .quality import BASE, quality_rules
 from .sharding import shard_documents
+from .spelling import spelling_variants, word_counts
 from .toxicity import fit_toxicity, score_toxicity
 
 
@@ -74,6 +75,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("doc_id", *BASE, "base_failed", "kept")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents"), slips=199))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_packing": op2_packing,
@@ -85,6 +90,7 @@ QUERIES = {
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op9_html_text": op9_html_text,
     "op10_quality_rules": op10_quality_rules,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 #: The other queries rest on a tokenizer, on learning, or on a layout that is the method's own: brute-force versions are in tests/llm.
