@@ -17,6 +17,10 @@ from .quality import BASE, quality_rules
 from .sharding import shard_documents
 from .spelling import spelling_variants, word_counts
 from .toxicity import fit_toxicity, score_toxicity
+from .urls import ALLOW, BLOCK, Rule, fit_urls, judge_urls, with_rules
+
+#: The rules that op13 is asked about.
+URL_RULES = [Rule(BLOCK, "net", "/"), Rule(ALLOW, "example.net", "/en/"), Rule(BLOCK, "example.com", "/de/"), Rule(ALLOW, "org", "/fr/")]
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +83,14 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(word_counts(table(spark, sf_dir, "documents"), slips=199))
 
 
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    # The URLs that a rule judges are the labelled ones.
+    labelled = with_rules(pages, URL_RULES).filter("rule is not null")
+    model = fit_urls(labelled.select("url", (F.col("rule_verdict") == BLOCK).cast("int").alias("blocked")))
+    return judge_urls(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_packing": op2_packing,
@@ -91,6 +103,7 @@ QUERIES = {
     "op9_html_text": op9_html_text,
     "op10_quality_rules": op10_quality_rules,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_url_filters": op13_url_filters,
 }
 
 #: The other queries rest on a tokenizer, on learning, or on a layout that is the method's own: brute-force versions are in tests/llm.
