@@ -18,14 +18,14 @@ import html
 import math
 import random
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import text_batches
+from .common import plainly_named, text_batches
 
 # HTML's elements by their part in the page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,21 +34,33 @@ RAW = frozenset("script style textarea title noscript iframe template".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr caption ul button label".split())
 CLOSES_P = BLOCK - frozenset("html body td th tr tbody thead tfoot caption button label".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+PLAIN = frozenset("html body div section center".split())
 LISTS = frozenset("ul ol menu dl table".split())
 IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 
-#: Words in a tag, class, id or role, and what they say of an element.
-SIGNS = {
-    "menu": regex.compile(r"nav|menu|breadcrumb|pager|paginat|toc|tabs?\b|skip"),
-    "edge": regex.compile(r"head(?!line)|foot|masthead|topbar|bottom|copyright|colophon"),
-    "side": regex.compile(r"side|aside|rail|widget|related|recommend|popular|trending|more-from|teaser|complementary"),
-    "advert": regex.compile(r"\bads?\b|advert|sponsor|promo|banner|affiliate|outbrain|taboola|doubleclick|adsense"),
-    "notice": regex.compile(r"cookie|consent|gdpr|notice|alert|popup|modal|overlay|paywall|toast|disclaimer|warning|dialog"),
-    "talk": regex.compile(r"comment|respon[ds]|discuss|reply|replies|disqus|review|feedback|forum"),
-    "form": regex.compile(r"form|subscri|newsletter|signup|sign-up|login|search|contact"),
-    "share": regex.compile(r"share|social|follow|like|print|byline|author|meta\b|tags?\b|date"),
-    "main": regex.compile(r"article|content|main|post\b|entry|story|body|text|prose"),
+#: Words of class, id and role values, and what they say of an element whose name ends in one.
+SIGN_WORDS = {
+    "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs pager pagination paginator toc tab tabs tablist skip skiplink",
+    "edge": "header footer masthead topbar bottombar copyright colophon banner contentinfo",
+    "side": "sidebar aside rail widget widgets related recommend recommended recommendation recommendations popular trending teaser teasers complementary",
+    "advert": "ad ads advert adverts advertisement advertisements advertising advertorial sponsor sponsors sponsored promo promos promotion banner banners affiliate affiliates partnership outbrain taboola doubleclick adsense",
+    "notice": "cookie cookies consent gdpr notice notices alert alerts popup modal overlay paywall toast disclaimer warning dialog alertdialog",
+    "talk": "comment comments commenting response responses discuss discussion discussions reply replies disqus review reviews feedback forum respond",
+    "form": "form forms subscribe subscription newsletter signup login signin search contact cta",
+    "share": "share shares sharing social follow like likes print byline author authors meta tag tags date dateline",
+    "main": "article content main post entry story body text prose",
 }
+SIGNS: dict[str, set[str]] = {}
+for _sign, _words in SIGN_WORDS.items():
+    for _word in _words.split():
+        SIGNS.setdefault(_word, set()).add(_sign)
+#: Words that only say that an element holds something: what stands before them tells what.
+SHELLS = frozenset("area bar block box body card cell column container content group holder inner item items layer layout left line link links list main module outer pane panel posts region right row section slot stack strip table unit up view wrap wrapper zone".split())
+#: Words that say how something is, or that it isn't there: a name with one tells nothing of what the element holds.
+STATES = frozenset("no not non without has is with hide hidden show shown visible open opened close closed fixed sticky static active inactive enabled disabled off on ready loaded loading yet free less".split())
+NAME_WORD = regex.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+|[^\W_A-Za-z0-9]+")
+#: Blocks of this many characters outside links are prose; how many an element holds is told up to the second number.
+PROSE_CHARS, PROSE_MOST = 100, 3
 ROLE_TAGS = {"nav": "menu", "menu": "menu", "header": "edge", "footer": "edge", "aside": "side", "form": "form", "fieldset": "form", "button": "form", "label": "form", "dialog": "notice", "search": "form", "article": "main", "main": "main"}
 #: Markup from its "<" on; every repetition is possessive, so a page cut off anywhere is read once.
 COMMENT = regex.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))", regex.DOTALL)
@@ -77,6 +89,35 @@ def not_shown(own: dict[str, str]) -> bool:
     return "hidden" in own or own.get("aria-hidden", "").strip().lower() == "true" or bool(NO_DISPLAY.search(html.unescape(own.get("style", ""))))
 
 
+@lru_cache(100_000)
+def name_signs(name: str) -> frozenset[str]:
+    """What one class, id or role name says: that of its last word but for shells and numbers ("site-footer", "adBox-2").
+
+    Words are what white space, punctuation and changes of case divide, and
+    count as a whole.  What qualifies something else ("header-image") or tells
+    a state ("no-sidebar", "modal-open") says nothing.
+    """
+    words = [w.lower() for w in NAME_WORD.findall(name)]
+    if not STATES.isdisjoint(words):
+        return frozenset()
+    words = [w for w in words if not w.isdigit()]
+    own = list(words)
+    while own and own[-1] in SHELLS:
+        own.pop()
+    # What holds nothing but content is named by a shell alone; "sign-up" is one word, and a heading of an article is of the article.
+    last = own[-1] if own else next((w for w in words if w in SIGNS), "")
+    signs = SIGNS.get("signup" if words[-2:] == ["sign", "up"] else last, set())
+    if signs and any(w in ("article", "post", "entry", "story") for w in words[:-1]):
+        signs = signs | {"main"}
+    return frozenset(signs)
+
+
+def comment_title(text: str) -> bool:
+    """Whether a fold-out's title is about comments: "Comments", "12 comments", "Reader comments (3)"."""
+    words = [w.lower() for w in NAME_WORD.findall(text[:80])]
+    return len(text) < 80 and len(words) < 5 and any("talk" in SIGNS.get(w, ()) for w in words)
+
+
 def decoded(text: str) -> str:
     """``text`` with its character references decoded."""
     if "&" not in text:
@@ -99,8 +140,32 @@ class Tree:
         self._run: list[str] = []
         self._linked = self._hidden = 0
         self._link = False
+        #: Leaves, and whether they are prose.
+        self._prose: list[tuple[int, bool]] = []
         self._read(page)
         self._flush()
+        self._weigh()
+
+    def _weigh(self) -> None:
+        """Tell how much prose an element holds, for those with and without a sign: a name says less of an element full of it."""
+        held = [0] * len(self.parent)
+        for i, prose in self._prose:
+            held[i] = int(prose)
+        for i in range(len(held) - 1, 0, -1):
+            held[self.parent[i]] += held[i]
+        #: The nearest element with a sign around each node, or the node itself.
+        named = [0] * len(held)
+        for i, (features, text, n) in enumerate(zip(self.features, self.texts, held, strict=True)):
+            if i:
+                named[i] = named[self.parent[i]]
+            if text is not None:
+                features += [f"in:{f}" for f in self.features[named[i]] if f.startswith("sign:")]
+                continue
+            signs = [f for f in features if f.startswith("sign:")]
+            if signs:
+                named[i] = i
+            if n:
+                features += [f"{f}&prose:{min(n, PROSE_MOST)}" for f in signs or ["plain"]]
 
     def _flush(self) -> None:
         text = " ".join(decoded("".join(self._run)).split())
@@ -109,6 +174,9 @@ class Tree:
             linked = min(1.0, self._linked / n)
             self.parent.append(own[1])
             self.texts.append(text)
+            if own[0] == "summary" and comment_title(text):
+                self.features[self.parent[own[1]]].append("sign:talk")
+            self._prose.append((len(self.parent) - 1, n >= PROSE_CHARS and linked <= 0.2))
             self.features.append(["bias", "leaf", f"leaf:{'l' if linked > 0.6 else 'm' if linked > 0.2 else 't'}", f"size:{min(5, int(math.log(n, 3)))}", "in:" + (own[0] if own[0] in BLOCK else "")])
         self._run, self._linked = [], 0
 
@@ -132,13 +200,16 @@ class Tree:
         self._hidden += hidden
         node, place = self._stack[-1][1], len(self._stack)
         if tag in BLOCK and not self._hidden:
-            names = " ".join(own[x] for x in NAMING if own.get(x)).lower()
-            signs = {s for s, pattern in SIGNS.items() if pattern.search(names)} if names else set()
+            signs: set[str] = set()
+            if tag not in ("html", "body"):
+                signs.update(*(name_signs(name) for x in NAMING if own.get(x) for name in ([own[x]] if x == "aria-label" else own[x].split())))
             if tag in ROLE_TAGS:
                 signs.add(ROLE_TAGS[tag])
             self.parent.append(node)
             self.texts.append(None)
-            self.features.append(["bias", "element", f"tag:{tag}", *(f"sign:{s}" for s in sorted(signs))])
+            # An element that only divides tells nothing, however many there are around an article.
+            own_tag = [] if tag in PLAIN and not signs else ["bias", "element", f"tag:{tag}"]
+            self.features.append([*own_tag, *(f"sign:{s}" for s in sorted(signs)), *(f"p:{s}" for s in sorted(signs) if tag == "p")])
             node = len(self.parent) - 1
         self._stack.append((tag, node, hidden))
         self._places.setdefault(tag, []).append(place)
@@ -259,7 +330,7 @@ class Model:
             joint[i] = tuple(x / total for x in q)
         return [1 / (1 + math.exp(-max(-50.0, min(50.0, x)))) for x in odds], joint
 
-    def train(self, pages: list[tuple[Tree, list[int]]], rounds: int = 80, rate: float = 0.5, ridge: float = 0.02) -> Model:
+    def train(self, pages: list[tuple[Tree, list[int]]], rounds: int = 80, rate: float = 0.5, ridge: float = 0.005) -> Model:
         """Gradient ascent on the penalised likelihood of labels (per node 0 or 1), steps scaled as in Adagrad."""
         squares: dict = {}
         for _ in range(rounds):
@@ -292,7 +363,7 @@ class Model:
 CONTENT = "\ue000"
 
 
-def labelled_pages(count: int = 60, seed: int = 7) -> list[tuple[Tree, list[int]]]:
+def labelled_pages(count: int = 90, seed: int = 7) -> list[tuple[Tree, list[int]]]:
     """Pages in varied layouts; a run of text is content if it starts with a mark, which the model doesn't see.
 
     An element is content if a run below it is.
@@ -322,6 +393,14 @@ def labelled_pages(count: int = 60, seed: int = 7) -> list[tuple[Tree, list[int]
         return f"<p>{inner}" + ("</p>" if rng.random() < 0.85 else "")
 
     def article() -> str:
+        """An article in up to four elements that tell nothing."""
+        inner = own_article()
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):
+            tag = rng.choice(["div", "div", "section", "center", "main"])
+            inner = f"<{tag}>{inner}</{tag}>"
+        return f"<table><tr><td>{inner}</td></tr></table>" if rng.random() < 0.05 else inner
+
+    def own_article() -> str:
         mark = CONTENT
         parts = [f"<h1>{mark}{say(2, 9)}</h1>"] if rng.random() < 0.9 else []
         for _ in range(rng.randint(1, 9)):
@@ -340,9 +419,14 @@ def labelled_pages(count: int = 60, seed: int = 7) -> list[tuple[Tree, list[int]
                 parts.append(f"<pre>{mark}{say(4, 20)}</pre>")
             elif roll < 0.96:
                 parts.append(aside())
-            else:
+            elif roll < 0.98:
                 parts.append(advert())
+            else:
+                parts.append(invitation())
         body = "".join(parts)
+        if sum(len(p) > 200 for p in parts) > 2 and rng.random() < 0.15:
+            # An article in an element whose name says something else.
+            body = named("div", ["navigation", "widget", "banner", "header", "alert", "search", "author", "share-tools", "modal", "related", "form", "page-header", "menu"], body)
         roll = rng.random()
         if roll < 0.55:
             return f"<article>{body}</article>"
@@ -350,9 +434,11 @@ def labelled_pages(count: int = 60, seed: int = 7) -> list[tuple[Tree, list[int]
             return named("div", ["content", "article-body", "post", "entry-content", "story", "main-text"], body)
         if roll < 0.9:
             return f"<main>{body}</main>"
-        return f"<div>{body}</div>"
+        return f"<div>{body}</div>" if rng.random() < 0.6 else body
 
     def advert() -> str:
+        if rng.random() < 0.1:
+            return named("table", ["paid-partnership", "sponsors", "ad-table"], "".join(f"<tr><td>{say(1, 4)}</td><td>{say(1, 6)}</td></tr>" for _ in range(rng.randint(1, 3))))
         return named("div", ["ad", "ads", "advert", "sponsored", "promo-box", "banner-ad"], rng.choice([say(3, 30), f"<p>{say(3, 20)}</p>", f"{say(2, 8)} {say(4, 12)}"]))
 
     def aside() -> str:
@@ -372,11 +458,22 @@ def labelled_pages(count: int = 60, seed: int = 7) -> list[tuple[Tree, list[int]
     def notice() -> str:
         return named(rng.choice(["div", "section", "div"]), ["cookie-notice", "consent", "alert", "notice", "popup", "gdpr-banner"], f"<p>{say(5, 30)}</p><button>{say(1, 2)}</button>")
 
+    def invitation() -> str:
+        inner = rng.choice([say(3, 12), f"<p>{say(3, 14)}</p><button>{say(1, 2)}</button>"])
+        return named("div" if "<p>" in inner else rng.choice(["p", "div", "section"]), ["sub-cta", "newsletter-signup", "sign-up", "cta-box"], inner)
+
     def form() -> str:
+        if rng.random() < 0.4:
+            return invitation()
         return rng.choice([f"<form><label>{say(1, 3)}</label><input type=text><button>{say(1, 2)}</button></form>", named("div", ["newsletter", "search-form", "subscribe"], f"<p>{say(3, 14)}</p><form><input><button>{say(1, 2)}</button></form>")])
 
     def comments() -> str:
         each = "".join(rng.choice([f'<div class="comment"><p>{say(4, 60)}</p></div>', f'<li class="comment"><b>{say(1, 2)}</b><p>{say(4, 50)}</p></li>']) for _ in range(rng.randint(1, 5)))
+        if rng.random() < 0.2:
+            return f"<details><summary>{rng.choice(['Comments', '12 comments', 'Reader comments', 'Discussion (4)'])}</summary>{each if rng.random() < 0.5 else each.replace(' class="comment"', '')}</details>"
+        if rng.random() < 0.4:
+            # Named as a whole alone.
+            each = each.replace(' class="comment"', "")
         return named(rng.choice(["div", "section", "ol"]), ["comments", "comment-list", "discussion", "responses"], f"<h3>{say(1, 3)}</h3>" + each)
 
     out = []
@@ -419,4 +516,4 @@ def extract_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
                 texts = [model.extract(x) for x in batch.column(where).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "main_text"])
 
-    return pages.mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField("main_text", T.StringType())]))
+    return plainly_named(pages).mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField("main_text", T.StringType())]))
