@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.session import materialize
 
-__all__ = ["WHITE", "by_hash", "let", "materialize", "numbered", "table", "text_batches", "train_fold"]
+__all__ = ["WHITE", "by_hash", "let", "materialize", "named", "numbered", "plainly_named", "table", "text_batches", "train_fold"]
 
 WHITE = r"[\x20\x09-\x0D]"
 
@@ -17,6 +17,16 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def named(column: str) -> Column:
+    """A column by its whole name, dots and back-ticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def plainly_named(df: DataFrame) -> DataFrame:
+    """The same columns under names that any function over batches takes."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_hash, text_batches, train_fold
+from .common import by_hash, plainly_named, text_batches, train_fold
 
 #: Trigrams are counted in so many bins, a power of two.
 BINS = 1 << 16
@@ -188,4 +188,4 @@ def predict_languages(docs: DataFrame, model: Mixture) -> DataFrame:
                     names=[*names, "lang_pred", "score", "proportions"],
                 )
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return plainly_named(docs).mapInArrow(run, T.StructType([*docs.schema.fields, *added]))

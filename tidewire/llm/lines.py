@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, named
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)})
@@ -229,7 +229,7 @@ def line_dedup(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> D
     lost = drops.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("drops"))
     # The caller's columns but the text travel as one struct, so that none of their names can clash with what is added.
     names = docs.columns
-    rest = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in names if c != "text"))
+    rest = F.struct(F.lit(0).alias("_"), *(named(c) for c in names if c != "text"))
     carried = docs.select(rest.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Rows without doc_id find nothing; their salt spreads them over tasks.
     salt = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(10_000))).otherwise(0).alias("salt")

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, named
 from .components import connected_components
 
 #: Members and n-grams of a block of a large bucket at most, and columns of a block's matrix that are multiplied at once.
@@ -361,5 +361,5 @@ def keep_one_of_each_class(docs: DataFrame, words: int = 5, threshold: float = 0
     Rows without doc_id are kept.
     """
     kept = jaccard_classes(docs, words, threshold).filter("doc_id = class_id").select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*(named(c) for c in docs.columns))
     return once.unionByName(docs.filter(F.col("doc_id").isNull()))

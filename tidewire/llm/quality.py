@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, let, materialize
+from .common import WHITE, let, materialize, named
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW = 5
@@ -253,7 +253,7 @@ def quality_rules(docs: DataFrame, carry: tuple[str, ...] | None = None) -> Data
     """
     kept = [c for c in (carry if carry is not None else docs.columns) if c not in {*BASE, "base_failed", "kept", "distance"}]
     # The caller's columns travel as one struct, so that none of their names can clash with what is added.
-    row = F.struct(*kept) if kept else F.struct(F.lit(0).alias("_"))
+    row = F.struct(*(named(c) for c in kept)) if kept else F.struct(F.lit(0).alias("_"))
     stats = with_text_statistics(docs.select(row.alias("_row"), "text", "lang", "source")).withColumn("base_failed", base_failed())
     stats = materialize(stats.select("_row", "lang", "source", *BASE, "base_failed"), "quality-rows")
     lang, source = F.coalesce(F.col("lang").cast("string"), F.lit("\0")), F.coalesce(F.col("source").cast("string"), F.lit("\0"))

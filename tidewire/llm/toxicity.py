@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, text_batches, train_fold
+from .common import materialize, plainly_named, text_batches, train_fold
 
 # Common insults, and harmless phrases that hold one.
 INSULTS = ("idiot", "idiots", "idiotic", "moron", "morons", "moronic", "stupid", "stupidity", "imbecile", "dumbass", "scum", "scumbag", "loser", "losers", "pathetic", "worthless", "disgusting", "trash", "clown", "clowns", "bastard", "bitch", "asshole", "retard", "fuck", "fucking", "shit", "cunt", "whore", "slut")
@@ -246,4 +246,4 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 score = np.array([lexicon.score(t) for t in batch.column(where).to_pylist()], float)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return plainly_named(docs).mapInArrow(run, T.StructType([*docs.schema.fields, *added]))

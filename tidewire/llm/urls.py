@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_hash, materialize
+from .common import by_hash, materialize, named
 
 BLOCK, ALLOW = "block", "allow"
 #: Rows that the trees are grown from at most (those of least hash), and their number, levels, step and shrinkage of small leaves.
@@ -257,7 +257,7 @@ def judge_urls(urls: DataFrame, rules: list[Rule], model: UrlModel) -> DataFrame
     added = ("host", "path", "rule", "score", "verdict")
     kept = [c for c in urls.columns if c not in added]
     # The caller's columns travel as one struct, so that none of their names can clash with a feature's.
-    rows = urls.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row"), F.col("url").alias("_url"))
+    rows = urls.select(F.struct(*(named(c) for c in kept)).alias("_row"), F.col("url").alias("_url"))
     rows = with_suffix_features(with_lexical_features(with_rules(rows, rules, "_url"), "_url"), model).withColumn("score", model.score())
     verdict = F.coalesce("rule_verdict", F.when(F.col("score") >= 0.5, BLOCK).otherwise(ALLOW))
     return rows.withColumn("verdict", verdict).select(*(F.col("_row").getField(c).alias(c) for c in kept), *added)
