@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import table
+from tidewire.llm.common import named, table
 from tidewire.llm.lines import line_dedup
 from tidewire.llm.neardup import keep_one_of_each_class
 from tidewire.llm.packing import pack_documents
@@ -23,7 +23,7 @@ from tidewire.session import materialize_alone
 
 def _carried(docs: DataFrame, *needed: str) -> DataFrame:
     """What an operator reads, and all other columns as one struct, so that no name of the caller's can clash with an added one."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in needed]
+    rest = [named(c) for c in docs.columns if c not in needed]
     return docs.select(F.struct(F.lit(0).alias("_"), *rest).alias("_row"), *needed)
 
 
@@ -69,7 +69,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Texts without words (null and empty ones too) are near nothing and stay.
     Of rows that repeat a doc_id one stays; rows without doc_id stay.
     """
-    return keep_one_of_each_class(docs, 5, 0.8).select(*docs.columns)
+    return keep_one_of_each_class(docs, 5, 0.8).select(*(named(c) for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
