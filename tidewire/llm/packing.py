@@ -31,8 +31,8 @@ TWO_BLANKS = regex.compile(r"\s\s")
 
 
 @cache
-def byte_encoder(ranks_path: str, pattern: str, end: str, end_id: int) -> Callable[[str], np.ndarray]:
-    """Byte-level BPE with the given merge ranks; the end marker's own string in a text is its id.
+def byte_encoder(ranks_path: str, pattern: str, end: str | None = None, end_id: int = 0) -> Callable[[str], np.ndarray]:
+    """Byte-level BPE with the given merge ranks; the end marker's own string in a text is its id (without one, all is plain text).
 
     The pattern looks ahead after white space, which takes time with the square
     of a run and memory with its length, so runs above ``LONG_BLANK`` are taken
@@ -43,7 +43,7 @@ def byte_encoder(ranks_path: str, pattern: str, end: str, end_id: int) -> Callab
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    code = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={end: end_id})
+    code = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={end: end_id} if end else {})
     word = tiktoken.Encoding("packing-word", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
@@ -52,7 +52,7 @@ def byte_encoder(ranks_path: str, pattern: str, end: str, end_id: int) -> Callab
         parts, at = [], 0
         for run in BLANKS.finditer(text):
             # The end marker splits a text before the pattern does, so a run before it is whole.
-            stop = run.end() if run.end() == len(text) or text.startswith(end, run.end()) else run.end() - 1
+            stop = run.end() if run.end() == len(text) or (end and text.startswith(end, run.end())) else run.end() - 1
             parts += [code.encode_to_numpy(text[at : run.start()], allowed_special="all"), word.encode_to_numpy(text[run.start() : stop], disallowed_special=())]
             at = stop
         return np.concatenate([*parts, code.encode_to_numpy(text[at:], allowed_special="all")])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .aligning import align
 from .bpe import encode_decode
 from .common import table, train_fold
 from .htmltext import extract_text
@@ -79,6 +80,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("doc_id", *BASE, "base_failed", "kept")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(word_counts(table(spark, sf_dir, "documents"), slips=199))
 
@@ -102,6 +107,7 @@ QUERIES = {
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op9_html_text": op9_html_text,
     "op10_quality_rules": op10_quality_rules,
+    "op11_alignment": op11_alignment,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_url_filters": op13_url_filters,
 }
