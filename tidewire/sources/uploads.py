@@ -6,16 +6,16 @@ import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-# What is taken, what HTML hides and where its lines end.
-SUFFIXES = (".txt", ".md", ".markdown", ".html", ".htm", ".jsonl", ".json")
+# What HTML hides, where its lines end, and the greatest size.
 UNSEEN = frozenset(("script", "style", "noscript", "iframe", "object", "embed"))
 HEADINGS = frozenset(("h1", "h2", "h3"))
 LINES = frozenset(("p", "div", "br", "li", "tr"))
-MOST_BYTES = 5_000_000
+MOST_BYTES = 5 * 1024 * 1024
 TITLE = 200
 
 
@@ -23,39 +23,44 @@ class UploadError(ValueError):
     pass
 
 
-class _Page(HTMLParser):
-    """Visible text by lines, and the first heading."""
+class _Events(HTMLParser):
+    """A page as a list of (kind, value): an opened tag, a closed tag, or text."""
 
-    def __init__(self):
+    def __init__(self, page: str):
         super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-        self.heading: str | None = None
-        self._open: list[str] | None = None
-        self._hidden = 0
-
-    def handle_starttag(self, tag, attrs):
-        self._hidden += tag in UNSEEN
-        if tag in HEADINGS and self.heading is None:
-            self._open = []
-
-    def handle_endtag(self, tag):
-        if tag in UNSEEN:
-            self._hidden = max(0, self._hidden - 1)
-        if tag in HEADINGS and self._open is not None:
-            self.heading = " ".join("".join(self._open).split())[:TITLE].strip() or None
-            self._open = None
-        if tag in LINES:
-            self.parts.append("\n")
-
-    def handle_data(self, data):
-        if not self._hidden:
-            self.parts.append(data)
-            if self._open is not None:
-                self._open.append(data)
-
-    def text(self) -> str:
-        lines = "\n".join(line.strip() for line in "".join(self.parts).splitlines())
-        return re.sub(r"\n{3,}", "\n\n", lines).strip()
+        self.list: list[tuple[str, str]] = []
+        self.handle_starttag = lambda tag, attrs: self.list.append(("open", tag))
+        self.handle_endtag = lambda tag: self.list.append(("close", tag))
+        self.handle_data = lambda data: self.list.append(("text", data))
+        self.feed(page)
+        self.close()
+
+
+def shown(events: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The events outside elements that aren't seen; an end tag without its start closes nothing."""
+    steps = ({"open": 1, "close": -1}.get(kind, 0) * (value in UNSEEN) for kind, value in events)
+    depths = list(accumulate(steps, lambda depth, step: max(0, depth + step), initial=0))
+    return [event for event, depth in zip(events, depths, strict=False) if not depth]
+
+
+def page_heading(events: list[tuple[str, str]]) -> str | None:
+    """The text from the last opening before the first closing of a heading."""
+    marks = [(i, kind) for i, (kind, value) in enumerate(events) if value in HEADINGS and kind != "text"]
+    opened = next((i for i, kind in marks if kind == "open"), len(events))
+    end = next((i for i, kind in marks if kind == "close" and i > opened), None)
+    if end is None:
+        return None
+    begin = max(i for i, kind in marks if kind == "open" and i < end)
+    words = "".join(value for kind, value in events[begin:end] if kind == "text").split()
+    return " ".join(words)[:TITLE].strip() or None
+
+
+def page_text(events: list[tuple[str, str]]) -> str:
+    """Text by lines, each without white space at its ends, and at most one empty line between two."""
+    ends = {("close", tag) for tag in LINES}
+    whole = "".join("\n" if event in ends else event[1] if event[0] == "text" else "" for event in events)
+    blocks = groupby((line.strip() for line in whole.splitlines()), key=bool)
+    return "\n".join(x for filled, lines in blocks for x in (lines if filled else list(lines)[:1])).strip()
 
 
 def first_sentence(text: str) -> str | None:
@@ -65,44 +70,55 @@ def first_sentence(text: str) -> str | None:
     return (text[: end.end()] if end else text)[:TITLE].strip() or None
 
 
-def _said(value: dict) -> str:
-    return str(value.get("text") or value.get("body") or "")
+def _said(value) -> str:
+    return str(value.get("text") or value.get("body") or "") if isinstance(value, dict) else ""
+
+
+def _parsed(line: str):
+    try:
+        return json.loads(line)
+    except json.JSONDecodeError as error:
+        raise UploadError("invalid json") from error
+
+
+def of_page(text: str) -> tuple[str | None, str]:
+    events = shown(_Events(text).list)
+    plain = page_text(events)
+    return page_heading(events) or first_sentence(plain), plain
+
+
+def of_object(text: str) -> tuple[str | None, str]:
+    value = _parsed(text)
+    own = value.get("title") if isinstance(value, dict) else None
+    return None if own is None else str(own), _said(value)
+
+
+def of_lines(text: str) -> tuple[str | None, str]:
+    said = (_said(_parsed(line)) for line in text.splitlines() if line.strip())
+    whole = "\n\n".join(filter(None, said))
+    return first_sentence(whole), whole
+
+
+def of_text(text: str) -> tuple[str | None, str]:
+    heads = re.search(r"^[^\S\n]*#[ ](.*)$", text, re.MULTILINE)
+    return heads[1].lstrip("# ").strip() if heads else first_sentence(text), text
+
+
+#: How each kind of file is read: (title, text) of its decoded text.
+READERS = {".html": of_page, ".htm": of_page, ".json": of_object, ".jsonl": of_lines} | dict.fromkeys((".txt", ".md", ".markdown"), of_text)
 
 
 def extract(name: str, body: bytes | None, most: int = MOST_BYTES) -> tuple[str | None, str]:
     """Title and text of one file; ``UploadError`` says why there are none."""
-    if not body:
-        raise UploadError("empty")
-    if len(body) > most:
-        raise UploadError("too large")
-    suffix = re.search(r"\.[^./\\]*$|$", name.lower()).group()
-    if suffix not in SUFFIXES:
-        raise UploadError("unsupported type")
-    text = body.decode("utf-8", errors="replace")
-    if suffix in (".html", ".htm"):
-        page = _Page()
-        page.feed(text)
-        page.close()
-        plain = page.text()
-        if not plain:
-            raise UploadError("no text")
-        return page.heading or first_sentence(plain), plain
-    if suffix in (".json", ".jsonl"):
-        lines = [text] if suffix == ".json" else [x for x in text.splitlines() if x.strip()]
-        try:
-            values = [json.loads(x) for x in lines]
-        except json.JSONDecodeError as error:
-            raise UploadError("invalid json") from error
-        rows = [v for v in values if isinstance(v, dict) and _said(v)]
-        if not rows:
-            raise UploadError("no text")
-        if suffix == ".json":
-            title = rows[0].get("title")
-            return None if title is None else str(title), _said(rows[0])
-        whole = "\n\n".join(map(_said, rows))
-        return first_sentence(whole), whole
-    heading = next((x.strip().lstrip("# ").strip() for x in text.splitlines() if x.strip().startswith("# ")), None)
-    return heading if heading is not None else first_sentence(text), text
+    read = READERS.get(re.search(r"\.[^./\\]*$|$", name.lower()).group())
+    refused = {"empty": not body, "too large": len(body or b"") > most, "unsupported type": read is None}
+    for why, holds in refused.items():
+        if holds:
+            raise UploadError(why)
+    title, text = read(body.decode("utf-8", errors="replace"))
+    if not text and read is not of_text:
+        raise UploadError("no text")
+    return title, text
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
