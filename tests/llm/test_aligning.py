@@ -139,7 +139,7 @@ def test_composition_is_associative(seed):
         at = rng.randrange(len(line) - 1)
         both, met = fragments.compose(line[at], line[at + 1])
         if met is not None and len(met):
-            done.append((met.a_ends[0], fragments.group(met).text(names)))
+            done.append((met.a_ends[0], fragments.whole(met).text(names)))
         line[at : at + 2] = [both]
     assert ";".join(t for _, t in sorted(done)) == want and not len(line[0].prefix) and not len(line[0].suffix)
 

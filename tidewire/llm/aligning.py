@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .bpe import byte_letters
 from .common import materialize, text_batches
-from .fragments import NOTHING, START, Fragment, Groups, Tokens, compose, group, split, whole
+from .fragments import NOTHING, START, Fragment, Groups, Tokens, compose, split, whole
 from .packing import byte_encoder
 
 #: Bytes of a range, and ranges that are composed at once.
@@ -122,7 +122,7 @@ def tokenized(pieces: DataFrame, make=default_pair) -> DataFrame:
         pair = make()
         kind = id_type(pair)
         for whole_batch in batches:
-            for batch in text_batches(whole_batch, 3):
+            for batch in text_batches(whole_batch, 3, 1_000_000):
                 starts = batch.column(2).to_pylist()
                 texts = [t[1:] if s else t or "" for s, t in zip(starts, batch.column(3).to_pylist(), strict=True)]
                 rows, out = [], []
@@ -157,66 +157,71 @@ def read_tokens(pair: Pair, a: bytes, b: bytes, a_start: int, b_start: int) -> T
     return Tokens(ids[0], a_start + np.cumsum(pair.lengths_a[ids[0]]), ids[1], b_start + np.cumsum(pair.lengths_b[ids[1]]))
 
 
-#: A line is a fragment (kind 0) or groups that are whole (kind 1), which lie in order of ``at``.
-FRAGMENT = "row long, at long, kind int, closed boolean, parts array<binary>, cuts array<binary>"
-FRAGMENT_TYPE = pa.schema([("row", pa.int64()), ("at", pa.int64()), ("kind", pa.int32()), ("closed", pa.bool_()), ("parts", pa.list_(pa.binary())), ("cuts", pa.list_(pa.binary()))])
+OPEN = ("a", "b", "a_start", "b_start")
+STREAMS = [("a", pa.binary()), ("b", pa.binary()), ("a_start", pa.int64()), ("b_start", pa.int64())]
+#: A line is a fragment, or (joined) the tokens of a group that closed between two; ``p_`` is the prefix or the group, ``s_`` the suffix.
+FRAGMENT_TYPE = pa.schema([("row", pa.int64()), ("at", pa.int64()), ("joined", pa.bool_()), ("closed", pa.bool_()), *((f"{side}_{x}", t) for side in "ps" for x, t in STREAMS)])
+FRAGMENT = "row long, at long, joined boolean, closed boolean, p_a binary, p_b binary, p_a_start long, p_b_start long, s_a binary, s_b binary, s_a_start long, s_b_start long"
 
 
-def _fragment_line(row: int, at: int, own: Fragment) -> dict:
-    return {"row": row, "at": at, "kind": 0, "closed": own.closed, "parts": own.prefix.pack() + own.suffix.pack(), "cuts": None}
+def write_tokens(pair: Pair, own: Tokens, side: str) -> dict:
+    """Ids of both streams and where they begin: their lengths tell all ends."""
+    starts = [int(ends[0] - lengths[ids[0]]) if len(ids) else 0 for ids, ends, lengths in ((own.a, own.a_ends, pair.lengths_a), (own.b, own.b_ends, pair.lengths_b))]
+    return dict(zip((f"{side}_{x}" for x in OPEN), (own.a.astype(id_type(pair)).tobytes(), own.b.astype(id_type(pair)).tobytes(), *starts), strict=True))
 
 
-def _groups_line(row: int, own: Groups) -> dict:
-    return {"row": row, "at": int(own.tokens.a_ends[0]), "kind": 1, "closed": True, "parts": own.tokens.pack(), "cuts": [np.asarray(x, "<i8").tobytes() for x in (own.a_cuts, own.b_cuts)]}
+def _line(pair: Pair, row: int, at: int, joined: bool, closed: bool, first: Tokens, second: Tokens = NOTHING) -> dict:
+    return {"row": row, "at": at, "joined": joined, "closed": closed} | write_tokens(pair, first, "p") | write_tokens(pair, second, "s")
 
 
 def fragments(ranges: DataFrame, make=default_pair) -> DataFrame:
-    """The fragment of every line of ``ranges`` (as ``tokenized`` makes them), and its whole groups."""
+    """The fragment of every line of ``ranges`` (as ``tokenized`` makes them): its open tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = make()
         for batch in batches:
             for r in batch.to_pylist():
-                own, inner = split(read_tokens(pair, r["a"], r["b"], r["a_start"], r["b_start"]))
-                lines = [_fragment_line(r["row"], r["at"], own)] + ([_groups_line(r["row"], inner)] if len(inner) else [])
-                yield pa.RecordBatch.from_pylist(lines, schema=FRAGMENT_TYPE)
+                own, _ = split(read_tokens(pair, r["a"], r["b"], r["a_start"], r["b_start"]))
+                yield pa.RecordBatch.from_pylist([_line(pair, r["row"], r["at"], False, own.closed, own.prefix, own.suffix)], schema=FRAGMENT_TYPE)
 
-    return ranges.select("row", "at", "a", "b", "a_start", "b_start").mapInArrow(run, FRAGMENT)
+    return ranges.select("row", "at", *OPEN).mapInArrow(run, FRAGMENT)
 
 
-def composed(lines: DataFrame, last: int) -> DataFrame:
-    """The whole groups (row, at, parts, cuts) of documents whose fragments are among ``lines``; ``last`` is the greatest start of a range."""
+def composed(lines: DataFrame, last: int, make=default_pair) -> DataFrame:
+    """The groups that close between ranges (row, a, b, a_start, b_start) from fragments; ``last`` is the greatest start of a range."""
 
     def run(table: pa.Table) -> pa.Table:
+        pair = make()
         rows = table.sort_by("at").to_pylist()
         row, at = rows[0]["row"], rows[0]["at"]
         own, out = (START if at == 0 else None), []
         for r in rows:
-            right = Fragment(Tokens.unpack(r["parts"][:4]), r["closed"], Tokens.unpack(r["parts"][4:]))
+            right = Fragment(*(read_tokens(pair, *(r[f"p_{x}"] for x in OPEN)), r["closed"], read_tokens(pair, *(r[f"s_{x}"] for x in OPEN))))
             if own is None:
                 own = right
                 continue
             own, met = compose(own, right)
             if met is not None and len(met):
-                out.append(_groups_line(row, group(met)))
-        return pa.Table.from_pylist([_fragment_line(row, at, own), *out], schema=FRAGMENT_TYPE)
+                out.append(_line(pair, row, at, True, True, met))
+        return pa.Table.from_pylist([_line(pair, row, at, False, own.closed, own.prefix, own.suffix), *out], schema=FRAGMENT_TYPE)
 
-    slots = last // RANGE_BYTES
-    done = [lines.filter("kind = 1")]
-    live, width, first = lines.filter("kind = 0"), FAN, True
-    while first or slots * FAN // width > 0:
+    done = []
+    live, width, first = lines, FAN, True
+    while first or last // RANGE_BYTES * FAN // width > 0:
         first = False
         made = materialize(live.groupBy("row", F.floor(F.col("at") / (RANGE_BYTES * width)).alias("slot")).applyInArrow(lambda table: run(table), FRAGMENT), "aligned-fragments")
-        done.append(made.filter("kind = 1"))
-        live, width = made.filter("kind = 0"), width * FAN
+        done.append(made.filter("joined"))
+        live, width = made.filter("not joined"), width * FAN
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select("row", "at", "parts", "cuts")
+    return out.select("row", *(F.col(f"p_{x}").alias(x) for x in OPEN))
 
 
-def read_groups(parts: list[bytes], cuts: list[bytes]) -> Groups:
-    return Groups(Tokens.unpack(parts), *(np.frombuffer(x, "<i8") for x in cuts))
+def read_groups(pair: Pair, r: dict) -> Groups:
+    """The groups of a document's part: all of its tokens, or those that lie whole in a range."""
+    own = read_tokens(pair, *(r[x] for x in OPEN))
+    return split(own)[1] if r["inner"] else whole(own)
 
 
 def token_batches(pair: Pair, batch: pa.RecordBatch) -> Iterator[tuple[int, int, Tokens, np.ndarray, np.ndarray]]:
@@ -256,14 +261,14 @@ def pair_counts(short: DataFrame, long: DataFrame, make=default_pair) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(n, pa.int64())], names=["code", "n"])
 
     def of_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide = len(make().lengths_b)
+        pair = make()
         for batch in batches:
             for r in batch.to_pylist():
-                codes = np.unique(linked_codes(read_groups(r["parts"], r["cuts"]), wide)[0])
+                codes = np.unique(linked_codes(read_groups(pair, r), len(pair.lengths_b))[0])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), r["row"]), pa.int64()), pa.array(codes, pa.int64())], names=["row", "code"])
 
     ones = short.select("a", "b").mapInArrow(of_short, "code long, n long")
-    others = long.select("row", "parts", "cuts").mapInArrow(of_long, "row long, code long").distinct().select("code", F.lit(1).cast("long").alias("n"))
+    others = long.select("row", "inner", *OPEN).mapInArrow(of_long, "row long, code long").distinct().select("code", F.lit(1).cast("long").alias("n"))
     return ones.unionByName(others).groupBy("code").agg(F.sum("n").alias("n"))
 
 
@@ -338,11 +343,13 @@ def measured_long(long: DataFrame, counts, make=default_pair) -> DataFrame:
         names = names_of(pair)
         for batch in batches:
             for r in batch.to_pylist():
-                own = read_groups(r["parts"], r["cuts"])
+                own = read_groups(pair, r)
+                if not len(own):
+                    continue
                 codes, _ = linked_codes(own, table.wide)
                 n, best, known = table.sums(codes)
                 values = (len(own.tokens.a), len(own.tokens.b), len(own), len(codes), int(best.sum()), int(n.sum()))
-                line = dict(zip(MEASURES, values, strict=True)) | {"row": r["row"], "at": r["at"], "groups": own.text(names), "tail": _tail(codes, known)}
+                line = dict(zip(MEASURES, values, strict=True)) | {"row": r["row"], "at": int(own.tokens.a_ends[0]), "groups": own.text(names), "tail": _tail(codes, known)}
                 yield pa.RecordBatch.from_pylist([line], schema=pa.schema([("row", pa.int64()), ("at", pa.int64()), *((m, pa.int64()) for m in MEASURES), ("groups", pa.string()), ("tail", TAIL)]))
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +369,7 @@ def measured_long(long: DataFrame, counts, make=default_pair) -> DataFrame:
         if digest is not None:
             yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([digest.hexdigest()], pa.string())], names=names)
 
-    parts = materialize(long.mapInArrow(apart, f"row long, at long, {MEASURED.format('string')}"), "aligned-parts")
+    parts = materialize(long.select("row", "inner", *OPEN).mapInArrow(apart, f"row long, at long, {MEASURED.format('string')}"), "aligned-parts")
     digests = parts.repartition("row").sortWithinPartitions("row", "at").select("row", "groups").mapInArrow(follow, "row long, groups string")
     tails = parts.select("row", F.explode("tail").alias("x")).groupBy("row", "x.code").agg(F.sum("x.times").alias("times")).groupBy("row").agg(F.collect_list(F.struct("code", "times")).alias("tail"))
     sums = parts.groupBy("row").agg(*(F.sum(m).alias(m) for m in MEASURES))
@@ -388,7 +395,8 @@ def align(docs: DataFrame, make=default_pair, heavy: int = HEAVY_PAIRS) -> DataF
     bad = ranges.filter("not ok").select("row").distinct()
     good = ranges.join(bad, "row", "left_anti")
     last = ranges.agg(F.max("at")).first()[0]
-    parts = materialize(composed(materialize(fragments(good, make), "aligned-fragments"), last or 0), "aligned-groups")
+    joined = composed(materialize(fragments(good, make), "aligned-fragments"), last or 0, make)
+    parts = good.select("row", F.lit(True).alias("inner"), *OPEN).unionByName(joined.withColumn("inner", F.lit(False)))
     whole_docs = short.filter("ok")
     counted = materialize(pair_counts(whole_docs, parts, make), "aligned-counts")
     wide = len(make().lengths_b)

@@ -40,13 +40,6 @@ class Tokens:
     def __len__(self) -> int:
         return len(self.a) + len(self.b)
 
-    def pack(self) -> list[bytes]:
-        return [np.asarray(x, "<i8").tobytes() for x in self.parts()]
-
-    @staticmethod
-    def unpack(data: list[bytes]) -> Tokens:
-        return Tokens(*(np.frombuffer(x, "<i8") for x in data))
-
 
 NOTHING = Tokens(*(np.zeros(0, np.int64) for _ in range(4)))
 
@@ -147,8 +140,3 @@ def compose(left: Fragment, right: Fragment) -> tuple[Fragment, Tokens | None]:
 
 #: What comes before the first token of a document: composed with it, its prefix is a group.
 START = Fragment(NOTHING, True, NOTHING)
-
-
-def group(tokens: Tokens) -> Groups:
-    """One group of all ``tokens``."""
-    return Groups(tokens, np.array([len(tokens.a)]), np.array([len(tokens.b)]))
