@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.time import floor_to
@@ -113,3 +113,24 @@ def last_of_each(rows: DataFrame, key: str, order: str, keep: int) -> DataFrame:
     """The ``keep`` last rows of each key; every task keeps its own last ones before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
     return rows.withColumn("_r", rank).filter(F.col("_r") <= keep).drop("_r")
+
+
+def overview(records: DataFrame) -> DataFrame:
+    """(level, distribution, value, n) over the relevant records: five distributions, each one's total, and that of all, in one pass.
+
+    level is ``value``, ``distribution`` (value is null) or ``all`` (both are).
+    """
+    lists = {"asset_class": "asset_classes", "reason_code": "impact_reason_codes", "symbol": "candidate_symbols"}
+    single = {"sentiment": "sentiment_label", "domain": "domain"}
+    none = F.array().cast("array<string>")
+
+    def each(distribution: str, values: str) -> Column:
+        return F.transform(F.coalesce(values, none), lambda v: F.struct(F.lit(distribution).alias("distribution"), v.alias("value")))
+
+    marks = [each(*x) for x in lists.items()]
+    marks += [F.array(F.struct(F.lit(d).alias("distribution"), F.col(c).alias("value"))) for d, c in single.items()]
+    rows = records.filter("is_finance_relevant").select(F.inline(F.concat(*marks))).filter("value is not null")
+    d, v = F.col("distribution"), F.col("value")
+    counted = rows.groupingSets([[d, v], [d], []], d, v).agg(F.grouping_id().alias("id"), F.count(F.lit(1)).alias("n"))
+    level = F.when(F.col("id") == 0, "value").when(F.col("id") == 1, "distribution").otherwise("all")
+    return counted.select(level.alias("level"), "distribution", "value", "n")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.time import floor_to, minute_anchor
 from tidewire.plans.mix import first_samples
+from tidewire.session import materialize
 from tidewire.sources.records import timed
 
 MINUTE = 60_000_000
@@ -216,18 +217,35 @@ def top_correlations(records: DataFrame, minutes: int = 60, least: int = 3, cap:
     """The ``top`` pairs of ``symbol_correlation`` by strength, then mentions, without making all pairs.
 
     A pair without a shared bucket has r = -f(a) f(b), where f is a symbol's
-    mean over its deviation.  The ``top`` strongest of the sharing pairs bound
-    what others must reach, so only symbols whose f times the greatest f does
-    so are paired besides; where few pairs share a bucket these may be many.
+    mean over its deviation, so both lists to search are the one of symbols by
+    falling f (then mentions and name).  No such pair is beaten by one further
+    down either list; so a symbol has to be paired with its first ``top``
+    partners that it shares no bucket with, which lie among the next ``top`` and
+    as many more as it shares buckets with; and only symbols before the place
+    where ``top`` pairs have been passed have to be paired at all.  What is
+    paired thus grows with the pairs that share a bucket.
     """
     sums, products, n = _correlation_sums(records, minutes, least, cap)
+    sums, products = materialize(sums, "correlation-sums"), materialize(products, "correlation-products")
     order = [F.desc(F.abs(F.round("r", 9))), F.desc("mentions"), "a", "b"]
     left, right = _sides(sums)
     sharing = _correlated(products.join(left, "a").join(right, "b").crossJoin(F.broadcast(n))).orderBy(*order).limit(top)
     f = F.coalesce(F.try_divide(F.col("sx"), F.sqrt(F.greatest(F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"), F.lit(0.0)))), F.lit(0.0))
-    scaled = sums.crossJoin(F.broadcast(n)).withColumn("f", f)
-    bound = sharing.agg(F.when(F.count(F.lit(1)) >= top, F.min(F.abs("r"))).otherwise(0.0).alias("bound")).crossJoin(scaled.agg(F.max("f").alias("most")))
-    near = scaled.crossJoin(F.broadcast(bound)).filter(F.col("f") * F.col("most") >= F.col("bound") - 1e-9).select(*sums.columns)
-    left, right = _sides(near)
-    rest = left.join(right, F.col("a") < F.col("b")).join(products.select("a", "b"), ["a", "b"], "left_anti").withColumn("sxy", F.lit(0.0))
-    return sharing.unionByName(_correlated(rest.crossJoin(F.broadcast(n)))).orderBy(*order).limit(top)
+    partners = products.select(F.explode(F.array("a", "b")).alias("symbol")).groupBy("symbol").agg(F.count(F.lit(1)).alias("partners"))
+    reach = top + 1 + (partners.agg(F.max("partners")).first()[0] or 0)
+    listed = sums.crossJoin(F.broadcast(n)).withColumn("f", f).drop("n").join(partners, "symbol", "left").na.fill(0, ["partners"])
+    falling = [F.desc("f"), F.desc("total"), "symbol"]
+    # Only the head of the list is put in order: no symbol is paired with one beyond.
+    head = materialize(listed.orderBy(*falling).limit(reach).withColumn("rank", F.row_number().over(Window.orderBy(*falling))).drop("f"), "correlation-head")
+    rank = head.select("symbol", "rank")
+    both = products.select("a", "b").join(rank.toDF("a", "i"), "a").join(rank.toDF("b", "j"), "b")
+    shared_before = both.groupBy(F.greatest("i", "j").alias("rank")).agg(F.count(F.lit(1)).alias("shared"))
+    passed = F.sum(F.col("rank") - 1 - F.coalesce("shared", F.lit(0))).over(Window.orderBy("rank"))
+    last = rank.join(shared_before, "rank", "left").withColumn("passed", passed).filter(F.col("passed") >= top).agg(F.min("rank").alias("last"))
+    # One row.
+    first = head.crossJoin(F.broadcast(last)).filter(F.col("rank") <= F.coalesce("last", "rank")).drop("last")
+    first = first.withColumn("upto", F.least(F.col("rank") + top + F.col("partners"), F.lit(reach))).filter("rank < upto")
+    pairs = first.select(*(F.col(c).alias(f"{c}_a") for c in sums.columns), F.explode(F.sequence(F.col("rank") + 1, "upto")).alias("rank"))
+    pairs = pairs.join(head.select("rank", *(F.col(c).alias(f"{c}_b") for c in sums.columns)), "rank")
+    pairs = pairs.withColumns({"a": F.least("symbol_a", "symbol_b"), "b": F.greatest("symbol_a", "symbol_b"), "sxy": F.lit(0.0)}).join(products.select("a", "b"), ["a", "b"], "left_anti")
+    return sharing.unionByName(_correlated(pairs.crossJoin(F.broadcast(n)))).orderBy(*order).limit(top)

@@ -222,11 +222,17 @@ def e6(spark, sf_dir):
     return aggregate.facets(rec(spark, sf_dir))
 
 
-@query("e7_overview", f"{R} SELECT sentiment_label, count(*) AS n, avg(finance_relevance_score) AS mean_score FROM records WHERE is_finance_relevant GROUP BY sentiment_label", "mean_score")
+@query("e7_relevant_sentiment", f"{R} SELECT sentiment_label, count(*) AS n, avg(finance_relevance_score) AS mean_score FROM records WHERE is_finance_relevant GROUP BY sentiment_label", "mean_score")
 def e7(spark, sf_dir):
     return lookup.relevant_only(rec(spark, sf_dir)).groupBy("sentiment_label").agg(F.count(F.lit(1)).alias("n"), F.avg("finance_relevance_score").alias("mean_score"))
 
 
+@query("e7_overview", f"""{R}, c AS (SELECT grouping(facet, value) AS id, facet AS distribution, value, sum(n)::BIGINT AS n FROM ({FACETS.format(t='records WHERE is_finance_relevant')}) AS f GROUP BY GROUPING SETS ((facet, value), (facet), ()))
+SELECT CASE id WHEN 0 THEN 'value' WHEN 1 THEN 'distribution' ELSE 'all' END AS level, distribution, value, n FROM c""")
+def e7_all(spark, sf_dir):
+    return aggregate.overview(rec(spark, sf_dir))
+
+
 @query("e8_timeline", f"{R} SELECT CAST(us // 1000000 - (us // 1000000) % 900 AS BIGINT) AS bucket, count(*) AS n, count(*) FILTER (is_finance_relevant) AS relevant FROM records GROUP BY 1")
 def e8(spark, sf_dir):
     return aggregate.timeline(rec(spark, sf_dir), 15)
@@ -439,13 +445,8 @@ def i4(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: F.length(w) >= 3)).cast("long").alias("n"))
 
 
-@query("i26_csv_guard", "SELECT doc_id, CASE WHEN substr(text, 1, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) THEN '''' || substr(text, 1, 20) ELSE substr(text, 1, 20) END AS cell FROM documents")
+@query("i26_csv_guard", "SELECT doc_id, sha256(CASE WHEN substr(text, 1, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) THEN '''' || text ELSE text END) AS cell_sha256 FROM documents")
 def i26(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.csv_safe(F.substring("text", 1, 20)).alias("cell"))
-
-
-@query("i26_csv_guard_whole", "SELECT doc_id, sha256(CASE WHEN substr(text, 1, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) THEN '''' || text ELSE text END) AS cell_sha256 FROM documents")
-def i26_whole(spark, sf_dir):
     """The guard over whole texts; the cells are too wide to compare but by hash."""
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.csv_safe(F.col("text")).cast("binary"), 256).alias("cell_sha256"))
 

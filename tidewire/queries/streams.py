@@ -8,6 +8,7 @@ from tidewire.plans import dashboard
 from tidewire.queries.ingest import CAPS, _folder, sample_captures
 from tidewire.queries.registry import query, table
 from tidewire.sources import captures as cap
+from tidewire.sources import sse
 from tidewire.sources.records import RECORDS_SQL, events_as_records
 from tidewire.streaming import pipeline as st
 
@@ -78,3 +79,14 @@ def k24(spark, sf_dir):
 @query("k25_live_read")
 def k25(spark, sf_dir):
     return dashboard.live_read(events_as_records(spark, sf_dir))
+
+
+@query("a15_sse_stream", "SELECT 'click ' || CAST(event_id AS VARCHAR) || chr(10) || coalesce(props, '') AS data FROM events WHERE event_type = 'click' UNION ALL SELECT event_type || ' ' || CAST(event_id AS VARCHAR) FROM events WHERE event_type <> 'click'")
+def a15_stream(spark, sf_dir):
+    """The event table written as a push stream's bytes (comments, other fields, two kinds of line ends), and read back by the stream source."""
+    folder = _folder(spark, "sse")
+    rows = table(spark, sf_dir, "events")
+    head = F.concat(F.lit("data: "), "event_type", F.lit(" "), F.col("event_id").cast("string"))
+    click = F.concat(F.lit(": beat\r\nid: 7\r\n"), head, F.lit("\r\ndata:"), F.coalesce("props", F.lit("")), F.lit("\r\n\r"))
+    rows.select(F.when(F.col("event_type") == "click", click).otherwise(F.concat(F.lit("event: x\n"), head, F.lit("\n"))).alias("value")).write.text(folder)
+    return _drained(sse.event_stream(spark, folder), spark).select("data")
