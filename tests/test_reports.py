@@ -242,3 +242,26 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         session.shared_dir(Session())
+
+
+def test_names_are_found_as_by_scoring_all():
+    """The index loses no name that scoring every name with every text finds, and compares few."""
+    from tidewire import lexicon
+
+    names = list(lexicon.SYMBOLS)
+    rng = random.Random(11)
+    texts = []
+    for _ in range(300):
+        name = list(rng.choice(names))
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            k = rng.randrange(len(name))
+            name[k : k + rng.randint(0, 1)] = rng.choice(["", "", "x", "ee", name[k] * 2])
+            name = name or ["q"]
+        words = ["shares", "of", "rise", "as", "markets", "fall"]
+        texts.append(" ".join([*rng.sample(words, rng.randint(0, 4)), "".join(name), *rng.sample(words, rng.randint(0, 4))]))
+    for least in (92.0, 80.0):
+        index = fuzzy.NameIndex(names, least)
+        for text in [*texts, "", "a", "App", "Meta Platform"]:
+            every = sorted(((i, fuzzy.partial_ratio(n, text)) for i, n in enumerate(names)), key=lambda x: (-x[1], x[0]))
+            assert index.best(text, 3) == [x for x in every if x[1] >= least][:3], text
+        assert least < 92 or index.compared < 0.1 * len(texts) * len(names)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 
 def common_length(a: str, b: str) -> int:
@@ -72,3 +72,55 @@ def token_set_ratio_of(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[
     """``token_set_ratio`` of two string columns; null where either is."""
     for a, b in rows:
         yield _scored(token_set_ratio, a, b)
+
+
+class NameIndex:
+    """Names that a text may hold misspelt, found by the letter pairs that they share.
+
+    A partial ratio of ``least`` leaves few edits between a name of n letters
+    and its place in the text: inserted and deleted letters are at most the
+    share ``2 - least / 50`` of n, and each takes two of the name's n - 1 pairs
+    at most.  So names with fewer pairs in the text, or much longer than it, are
+    never compared; the others are verified.
+    """
+
+    def __init__(self, names: list[str], least: float = 92.0):
+        self.names, self.least = names, least
+        self.pairs: dict[str, dict[int, int]] = {}
+        self.needed: list[int] = []
+        for i, name in enumerate(names):
+            for pair in zip(name, name[1:], strict=False):
+                own = self.pairs.setdefault("".join(pair), {})
+                own[i] = own.get(i, 0) + 1
+            self.needed.append(len(name) - 1 - 2 * int(len(name) * (2 - least / 50) + 1e-9))
+        self.always = [i for i, n in enumerate(self.needed) if n <= 0]
+        self.compared = 0
+
+    def candidates(self, text: str) -> list[int]:
+        counts: dict[int, int] = {}
+        for pair in {text[k : k + 2] for k in range(len(text) - 1)}:
+            for i, n in self.pairs.get(pair, {}).items():
+                counts[i] = counts.get(i, 0) + n
+        # A name longer than the text is the one that a part is taken of: its pairs say nothing.
+        longer = [i for i, name in enumerate(self.names) if len(name) > len(text)]
+        return sorted({*self.always, *longer, *(i for i, n in counts.items() if n >= self.needed[i])})
+
+    def best(self, text: str, top: int) -> list[tuple[int, float]]:
+        """(number of the name, score) of the ``top`` names of the highest scores, the first named on ties, from ``least`` on."""
+        found = self.candidates(text)
+        self.compared += len(found)
+        scored = [(i, partial_ratio(self.names[i], text)) for i in found]
+        return sorted((x for x in scored if x[1] >= self.least), key=lambda x: (-x[1], x[0]))[:top]
+
+
+def nearest_names(names: list[str], top: int = 3, least: float = 92.0):
+    """An Arrow function: the ``top`` of ``names`` by partial ratio with a text, as (name, score); null of a null."""
+    kind = ArrayType(StructType([StructField("name", StringType()), StructField("score", DoubleType())]))
+
+    @pandas_udf(kind)
+    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = NameIndex(names, least)
+        for texts in batches:
+            yield pd.Series([None if t is None else [{"name": names[i], "score": s} for i, s in index.best(t, top)] for t in texts], dtype=object)
+
+    return nearest

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewire import lexicon
+from tidewire.functions.fuzzy import nearest_names
 from tidewire.functions.text import cashtags, equity_shaped, matched, paren_tickers, sentences, strip, whole_word
 from tidewire.taxonomy import DEFAULT_DOMAIN_PRIOR, DEFAULT_SOURCE_PRIOR, DOMAIN_PRIORS, HORIZONS, SOURCE_PRIORS, THRESHOLDS, aliases
 
@@ -130,10 +131,15 @@ def with_entities(captures: DataFrame) -> DataFrame:
     return rows.withColumn("candidate_entities", F.slice(F.array_distinct(F.transform("entity_hits", lambda h: h["text"])), 1, 12))
 
 
+#: Fixed value: the partial ratio from which a name counts as misspelt.
+FUZZY_LEAST = 92.0
+
+
 def with_symbols(captures: DataFrame) -> DataFrame:
     """Add candidate_symbols: cashtags, tickers in parentheses, exact names, and near misses of names in short texts with few hits.
 
-    A near miss is a word run one edit off a name of five letters or more.
+    A near miss is a name of five letters or more whose partial ratio with the
+    text is ``FUZZY_LEAST`` at least, but not whole, among the best three of all.
     Symbols that the title holds come first; at most eight stay.
     """
     rows = captures.withColumn("_head", F.concat(_text("title"), F.lit("\n"), F.substring("clean_text", 1, 600)))
@@ -141,14 +147,17 @@ def with_symbols(captures: DataFrame) -> DataFrame:
     real = lambda x: F.filter(x, lambda t: ~t.isin(*lexicon.NOT_TICKERS))
     exact = [F.when(F.contains(low, F.lit(a.lower())) & low.rlike(rf"(?<![a-z0-9])\Q{a.lower()}\E(?![a-z0-9])"), F.lit(s)) for a, s in lexicon.SYMBOLS.items() if len(a) > 1]
     found = F.array_distinct(F.concat(real(cashtags(text)), real(paren_tickers(text)), F.filter(F.array(*exact), lambda x: x.isNotNull())))
-    rows = rows.withColumn("_found", found).withColumn("_words", F.regexp_extract_all(low, F.lit("([a-z0-9'&.-]+)"), 1))
-    single = [(a.lower(), s) for a, s in lexicon.SYMBOLS.items() if len(a) >= 5 and " " not in a and a.isalpha()]
-    one_off = lambda a: lambda w: (F.abs(F.length(w) - len(a)) <= 1) & (F.levenshtein(w, F.lit(a), 1) == 1)
-    close = [F.when(F.exists("_words", one_off(a)), F.lit(s)) for a, s in single]
-    fuzzy = F.when((F.size("_found") < 3) & (F.length("_head") < 400), F.filter(F.array(*close), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("_found", found)
+    names = list(lexicon.SYMBOLS)
+    # Texts that aren't asked about are null to the function.
+    near = nearest_names(names, 3, FUZZY_LEAST)(F.when((F.size("_found") < 3) & (F.length("_head") < 400), F.col("_head")))
+    symbol_of = F.create_map(*(F.lit(x) for a in names for x in (a, lexicon.SYMBOLS[a])))
+    # A name that stands there letter by letter has been found, or is part of a longer word.
+    drift = F.filter(F.coalesce(near, F.array().cast("array<struct<name:string,score:double>>")), lambda x: (x["score"] < 100) & (F.length(F.trim(x["name"])) >= 5))
+    fuzzy = F.transform(drift, lambda x: F.element_at(symbol_of, x["name"]))
     every = F.array_distinct(F.concat("_found", fuzzy))
     first = F.filter(every, lambda s: F.contains(F.lower(_text("title")), F.lower(s)))
-    return rows.withColumn("candidate_symbols", F.slice(F.concat(first, F.array_except(every, first)), 1, 8)).drop("_head", "_found", "_words")
+    return rows.withColumn("candidate_symbols", F.slice(F.concat(first, F.array_except(every, first)), 1, 8)).drop("_head", "_found")
 
 
 def horizons(reasons: Column) -> Column:

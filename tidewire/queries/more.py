@@ -149,3 +149,12 @@ def m1(spark, sf_dir):
     body = F.concat(F.lit("<rss><item><title>U "), i, F.lit("</title><link>https://u.example/"), i, F.lit("</link></item></rss>"))
     bodies = table(spark, sf_dir, "events").select("event_id", body.alias("body"))
     return spark.sql("SELECT b.event_id, f.title FROM {b} AS b, LATERAL tw_feed_items(b.body) AS f", b=bodies)
+
+
+@query("j7_misspelt_names", """SELECT event_id, CASE user_id % 6 WHEN 0 THEN ['MSFT'] WHEN 1 THEN ['GS'] WHEN 2 THEN ['NFLX'] WHEN 3 THEN ['AMZN'] WHEN 4 THEN ['AAPL', 'QCOM'] ELSE CAST([] AS VARCHAR[]) END AS symbols FROM events""")
+def j7_names(spark, sf_dir):
+    """Event titles that name companies with a letter too few or too many, whole, and inside a longer word."""
+    titles = ["Microsft", "Goldmann Sachs", "Netflx", "Amazon", "Qualcom and Apple", "Amazonian"]
+    said = F.array(*map(F.lit, titles))[(F.col("user_id") % 6).cast("int")]
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat(said, F.lit(" saw one more "), "event_type").alias("title"), F.lit("").alias("clean_text"))
+    return en.with_symbols(rows).select("event_id", F.col("candidate_symbols").alias("symbols"))
