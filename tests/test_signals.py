@@ -207,3 +207,24 @@ def test_empty_input_gives_empty_signals(spark):
     for signal in (bursts.volume_anomalies, bursts.symbol_bursts, bursts.spillover, bursts.symbol_correlation, bursts.news_velocity, mix.regime_shifts, mix.sentiment_momentum, mix.persistence, stories.cluster_records):
         assert signal(empty).count() == 0, signal
     assert mix.by_session(empty).agg(F.sum("volume")).first()[0] == 0
+
+
+@pytest.mark.parametrize(("seed", "chunk", "span"), [(1, 40, 2), (2, 25, 3), (3, 60, 32)])
+def test_clusters_of_one_great_island_in_parallel(spark, monkeypatch, seed, chunk, span):
+    """Compared in chunks and spans, an island gives the clusters that one task gives, dying stories and ties included."""
+    rng = random.Random(seed)
+    rows, at = [], 0.0
+    for i in range(400):
+        at += rng.choice([0.0, 0.2, 2.0, 14.0])
+        lists = {c: rng.sample([f"{c[0]}{k}" for k in range(5)], rng.randint(0, 2)) for c in ("candidate_symbols", "impact_reason_codes", "asset_classes", "candidate_entities")}
+        rows.append(record(i, at, title=" ".join(f"w{rng.randint(0, 6)}" for _ in range(rng.randint(0, 3))), **lists))
+    df = frame(spark, rows)
+    placed = [r.asDict() for r in stories.islands(df).collect()]
+    want = sorted(sorted(placed[i]["capture_id"] for i in m) for m in stories.assign_stories(placed, 1_800_000_000, 0.35) if len(m) > 1)
+    assert len({r["island"] for r in placed}) == 1
+    alone = sorted(sorted(r["capture_ids"]) for r in stories.cluster_records(df).collect())
+    monkeypatch.setattr(stories, "ALONE_ROWS", 0)
+    monkeypatch.setattr(stories, "CHUNK_ROWS", chunk)
+    monkeypatch.setattr(stories, "SPAN_CHUNKS", span)
+    split = sorted(sorted(r["capture_ids"]) for r in stories.cluster_records(df).collect())
+    assert alone == want and split == want

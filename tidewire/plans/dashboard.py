@@ -15,9 +15,9 @@ from tidewire.sources.records import timed
 Signal = Callable[[DataFrame], DataFrame]
 
 
-def ordered_clusters(records: DataFrame, top: int | None = None) -> DataFrame:
-    """Event clusters of two outlets or more, the earliest first."""
-    rows = stories.cluster_records(records, domains=2).orderBy(F.asc_nulls_last("first_us"), "cluster_id")
+def ordered_clusters(records: DataFrame, top: int | None = None, clusters: DataFrame | None = None) -> DataFrame:
+    """Event clusters of two outlets or more, the earliest first; ``clusters`` are those of ``records`` where they are known."""
+    rows = (stories.cluster_records(records, domains=2) if clusters is None else clusters).orderBy(F.asc_nulls_last("first_us"), "cluster_id")
     return rows.limit(top) if top else rows
 
 
@@ -27,9 +27,10 @@ def leaderboard(records: DataFrame) -> DataFrame:
     return stories.source_scorecards(records, newest or 0).orderBy(F.desc(F.round("composite", 9)), "domain")
 
 
-def leaders(records: DataFrame) -> DataFrame:
+def leaders(records: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
     """Who leads the event clusters, strongest first."""
-    scores = stories.lead_lag_scores(stories.lead_lag_events(stories.cluster_records(records, domains=2), records))
+    clusters = stories.cluster_records(records, domains=2) if clusters is None else clusters
+    scores = stories.lead_lag_scores(stories.lead_lag_events(clusters, records))
     return scores.orderBy(F.desc(F.round("composite", 9)), F.desc("led"), "domain")
 
 
@@ -50,6 +51,18 @@ SIGNALS: dict[str, Signal] = {
 }
 
 
+def sharing_clusters(signals: dict[str, Signal]) -> dict[str, Signal]:
+    """The signals with those of event clusters over one table of them, which is made when the first one asks."""
+    known: list[DataFrame] = []
+
+    def clusters(records: DataFrame) -> DataFrame:
+        if not known:
+            known.append(materialize(stories.cluster_records(records, domains=2), "dashboard-clusters"))
+        return known[0]
+
+    return signals | {"clusters": lambda r: ordered_clusters(r, 50, clusters(r)), "lead_lag": lambda r: leaders(r, clusters(r))}
+
+
 def snapshot(records: DataFrame, signals: dict[str, Signal] | None = None) -> DataFrame:
     """(signal, rank, item, error): the items of every signal in its order, as JSON, over the same cached corpus.
 
@@ -58,10 +71,11 @@ def snapshot(records: DataFrame, signals: dict[str, Signal] | None = None) -> Da
     a few dozen items each, so they pass the driver.
     """
     spark = records.sparkSession
+    signals = signals or sharing_clusters(SIGNALS)
     corpus = records.persist(StorageLevel.MEMORY_AND_DISK)
     out = []
     try:
-        for name, signal in (signals or SIGNALS).items():
+        for name, signal in signals.items():
             try:
                 items = [r[0] for r in signal(corpus).select(F.to_json(F.struct("*"))).collect()]
                 out += [(name, i, item, None) for i, item in enumerate(items, 1)] or [(name, 0, None, None)]

@@ -11,9 +11,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewire.functions.time import epoch_us, event_time
 from tidewire.plans.mix import ratio
+from tidewire.session import materialize
 from tidewire.sources.records import timed
 
 # Words left out of titles, and the weights of a similarity's parts.
@@ -23,6 +25,8 @@ CLUSTER_WEIGHTS = (0.35, 0.20, 0.15, 0.10, 0.20)
 NOVELTY_WEIGHTS = (0.55, 0.20, 0.15, 0.10)
 WORD = re.compile(r"[A-Za-z0-9']+")
 TOP_TOKENS = 5
+#: The island of all rows, where some have no time.
+TIMELESS = -1
 
 
 def islands(records: DataFrame, window_s: int = 1800) -> DataFrame:
@@ -42,7 +46,7 @@ def islands(records: DataFrame, window_s: int = 1800) -> DataFrame:
     named = slots.withColumn("start", F.when(gap, F.col("slot"))).select("slot", F.last("start", True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("island"))
     timeless = rows.agg(F.count_if(F.col("us").isNull()).alias("timeless"))
     placed = rows.join(named, "slot", "left").crossJoin(F.broadcast(timeless))
-    return placed.withColumn("island", F.when(F.col("timeless") > 0, F.lit(-1)).otherwise(F.col("island"))).drop("slot", "timeless")
+    return placed.withColumn("island", F.when(F.col("timeless") > 0, F.lit(TIMELESS)).otherwise(F.col("island"))).drop("slot", "timeless")
 
 
 def _features(row: dict) -> tuple[frozenset, ...]:
@@ -143,80 +147,173 @@ class Members:
         return np.concatenate([self.table[at], rest[chosen[rest[:, 1]]]])
 
 
-def assign_stories(rows: list[dict], window_us: int, threshold: float) -> list[list[int]]:
-    """Indices of each cluster: rows in time order join the story with the most similar member, the later story on ties.
+class StoryIndex:
+    """Members of stories by their features, and which of them are the most similar to given ones.
 
     A member's similarity is that of its profile and, for a fifth at most, that
     of its title.  So the most similar profiles are tried first, and what they
     reach tells which others can reach as much; only the members of these are
     compared.
     """
-    order = sorted(range(len(rows)), key=lambda i: (rows[i]["us"] is None, rows[i]["us"] or 0, len(rows[i]["capture_id"] or ""), rows[i]["capture_id"] or ""))
-    *fields, titles = [FieldSets() for _ in CLUSTER_WEIGHTS]
-    *weights, title_weight = CLUSTER_WEIGHTS
-    stories: list[list[int]] = []
-    newest = np.zeros(1024)
-    profiles: dict[tuple, int] = {}
-    parts = np.zeros((len(fields), 1024), np.int64)
-    members = Members()
-    # How similar each set of a field is to all others, for sets met before; made anew where there are more by now.
-    similar: list[dict[int, np.ndarray]] = [{} for _ in fields]
-    #: Stories of the members with these sets in all fields.
-    equal: dict[tuple, set[int]] = {}
-    ageing = bool(order) and rows[order[-1]]["us"] is not None
-    for i in order:
-        us, features = rows[i]["us"], _features(rows[i])
-        oldest = -np.inf if us is None else us - window_us
-        if members.crowded():
-            # Time only grows, so a story that is too old now stays so; but a row without a time may join any.
-            members.sort(len(profiles), newest[: len(stories)] >= oldest if ageing else None)
-        story = -1
-        known = [field.numbers.get(values) for field, values in zip((*fields, titles), features, strict=True)]
-        if None not in known and all(values or len(field.numbers) == 1 for field, values in zip((*fields, titles), features, strict=True)):
+
+    def __init__(self):
+        *self.fields, self.titles = [FieldSets() for _ in CLUSTER_WEIGHTS]
+        self.profiles: dict[tuple, int] = {}
+        self.parts = np.zeros((len(self.fields), 1024), np.int64)
+        self.members = Members()
+        # How similar each set of a field is to all others, for sets met before; made anew where there are more by now.
+        self.similar: list[dict[int, np.ndarray]] = [{} for _ in self.fields]
+        #: Stories of the members with these sets in all fields.
+        self.equal: dict[tuple, set[int]] = {}
+
+    def add(self, features: tuple[frozenset, ...], story: int) -> None:
+        numbers = tuple(field.number(values) for field, values in zip(self.fields, features, strict=False))
+        profile = self.profiles.setdefault(numbers, len(self.profiles))
+        if profile == self.parts.shape[1]:
+            self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)], axis=1)
+        self.parts[:, profile] = numbers
+        title = self.titles.number(features[-1])
+        self.members.add((story, profile, title))
+        self.equal.setdefault((*numbers, title), set()).add(story)
+
+    def sort(self, live: np.ndarray | None = None) -> None:
+        self.members.sort(len(self.profiles), live)
+
+    def nearest(self, features: tuple[frozenset, ...], threshold: float, live=None, more: float = 0.0) -> list[tuple[float, list[int]]]:
+        """The greatest similarities of members, greatest first, and the stories of those that have them; none below ``threshold``.
+
+        All that come before the last one are there, and all down to ``more``
+        below the best of the most similar profile.  ``live`` says of an array
+        of stories which ones count.
+        """
+        every = (*self.fields, self.titles)
+        known = [field.numbers.get(values) for field, values in zip(every, features, strict=True)]
+        if None not in known and all(values or len(field.numbers) == 1 for field, values in zip(every, features, strict=True)):
             # No member can be nearer than an equal one, and none but equal ones are as near.
-            story = max((x for x in equal.get(tuple(known), ()) if newest[x] >= oldest), default=-1)
-        if members.used and story < 0:
-            own = np.zeros(len(profiles))
-            for k, (weight, field, values) in enumerate(zip(weights, fields, features, strict=False)):
-                if values:
-                    n = known[k]
-                    part = similar[k].get(n)
-                    if part is None or len(part) < len(field.numbers):
-                        part = weight * field.jaccard(values)
-                        if n is not None:
-                            similar[k][n] = part
-                    own += part[parts[k, : len(profiles)]]
-            common, size = titles.common(features[-1]), len(features[-1])
-
-            def compared(least: float) -> tuple[np.ndarray, np.ndarray]:
-                """Lines of live stories whose profile reaches ``least``, and their similarity."""
-                lines = members.of(own >= least - 1e-9)
-                lines = lines[newest[lines[:, 0]] >= oldest]
-                shared = common[lines[:, 2]]
-                return lines, own[lines[:, 1]] + title_weight * (shared / np.maximum(size + titles.sizes[lines[:, 2]] - shared, 1))
-
-            _, first = compared(own.max())
-            lines, score = compared(max(first.max(initial=-1.0), threshold) - title_weight)
-            best = score.max(initial=-1.0)
-            if best >= threshold:
-                story = int(lines[score == best, 0].max())
+            found = np.array(sorted(self.equal.get(tuple(known), ())), np.int64)
+            found = found[live(found)] if live is not None and len(found) else found
+            if len(found):
+                score = 0.0
+                for weight, values in zip(CLUSTER_WEIGHTS, features, strict=True):
+                    score += weight * bool(values)
+                if score >= threshold and not more:
+                    return [(score, found.tolist())]
+        if not self.members.used:
+            return []
+        *weights, title_weight = CLUSTER_WEIGHTS
+        own = np.zeros(len(self.profiles))
+        for k, (weight, field, values) in enumerate(zip(weights, self.fields, features, strict=False)):
+            if values:
+                n = known[k]
+                part = self.similar[k].get(n)
+                if part is None or len(part) < len(field.numbers):
+                    part = weight * field.jaccard(values)
+                    if n is not None:
+                        self.similar[k][n] = part
+                own += part[self.parts[k, : len(self.profiles)]]
+        common, size = self.titles.common(features[-1]), len(features[-1])
+
+        def compared(least: float) -> tuple[np.ndarray, np.ndarray]:
+            """Lines of live stories whose profile reaches ``least``, and their similarity."""
+            lines = self.members.of(own >= least - 1e-9)
+            if live is not None:
+                lines = lines[live(lines[:, 0])]
+            shared = common[lines[:, 2]]
+            return lines, own[lines[:, 1]] + title_weight * (shared / np.maximum(size + self.titles.sizes[lines[:, 2]] - shared, 1))
+
+        top = own.max()
+        if top < threshold - title_weight - 1e-9:
+            return []
+        _, first = compared(top)
+        least = max(first.max(initial=-1.0) - more, threshold)
+        lines, score = compared(least - title_weight)
+        found = score >= least
+        lines, score = lines[found, 0], score[found]
+        order = np.lexsort((lines, -score))
+        lines, score = lines[order], score[order]
+        cuts = np.flatnonzero(np.diff(score)) + 1
+        return [(float(b[0]), np.unique(a).tolist()) for a, b in zip(np.split(lines, cuts), np.split(score, cuts), strict=True) if len(a)]
+
+
+#: What is known of a row's earlier members: (similarity, keys of the features that reach it), greatest first.
+Hints = list[tuple[float, list[bytes]]]
+
+
+def merged_hints(parts: list[Hints]) -> Hints:
+    """Hints of several parts of the earlier members as one: down to the greatest last level, below which a part may hide one."""
+    floor = max((part[-1][0] for part in parts if part), default=0.0)
+    levels: dict[float, list[bytes]] = {}
+    for part in parts:
+        for level, keys in part:
+            if level >= floor:
+                levels.setdefault(level, []).extend(keys)
+    return sorted(levels.items(), key=lambda x: -x[0])
+
+
+class Assigner:
+    """Gives each row, in order, its story: that of the most similar member of a live one, the later story on ties.
+
+    With ``hints`` the similarities are known, and only where all stories that
+    they name have died is a row compared with the members that live.
+    ``ageing`` says that no row without a time will come: it could join any story.
+    """
+
+    def __init__(self, window_us: int, threshold: float, ageing: bool):
+        self.window, self.threshold, self.ageing = window_us, threshold, ageing
+        self.index = StoryIndex()
+        self.newest = np.zeros(1024)
+        self.count = 0
+        self.stories: dict[bytes, set[int]] = {}
+        self.compared = 0
+
+    def story(self, us: int | None, features: tuple[frozenset, ...], key: bytes, hints: Hints | None = None) -> int:
+        oldest = -np.inf if us is None else us - self.window
+        newest = self.newest
+        if self.index.members.crowded():
+            # Time only grows, so a story that is too old now stays so.
+            self.index.sort(newest[: self.count] >= oldest if self.ageing else None)
+            if self.ageing:
+                live = {k: {x for x in own if newest[x] >= oldest} for k, own in self.stories.items()}
+                self.stories = {k: own for k, own in live.items() if own}
+        story = -1
+        for _, keys in hints or ():
+            story = max((x for k in keys for x in self.stories.get(k, ()) if newest[x] >= oldest), default=-1)
+            if story >= 0:
+                break
+        if story < 0 and hints != []:
+            self.compared += 1
+            nearest = self.index.nearest(features, self.threshold, lambda found: newest[found] >= oldest)
+            story = max(nearest[0][1]) if nearest else -1
         if story < 0:
-            story = len(stories)
-            stories.append([])
+            story, self.count = self.count, self.count + 1
             if story == len(newest):
-                newest = np.concatenate([newest, np.zeros(story)])
+                self.newest = newest = np.concatenate([newest, np.zeros(story)])
             newest[story] = np.inf if us is None else us
-        stories[story].append(i)
         if us is not None and newest[story] != np.inf:
             newest[story] = max(newest[story], us)
-        numbers = tuple(field.number(values) for field, values in zip(fields, features, strict=False))
-        profile = profiles.setdefault(numbers, len(profiles))
-        if profile == parts.shape[1]:
-            parts = np.concatenate([parts, np.zeros_like(parts)], axis=1)
-        parts[:, profile] = numbers
-        title = titles.number(features[-1])
-        members.add((story, profile, title))
-        equal.setdefault((*numbers, title), set()).add(story)
+        own = self.stories.setdefault(key, set())
+        if story not in own:
+            own.add(story)
+            self.index.add(features, story)
+        return story
+
+
+def feature_key(features: tuple[frozenset, ...]) -> bytes:
+    """A digest of all features: equal ones have equal keys."""
+    return hashlib.blake2b("\1".join("\2".join(sorted(x)) for x in features).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def assign_stories(rows: list[dict], window_us: int, threshold: float) -> list[list[int]]:
+    """Indices of each cluster: rows in time order join the story with the most similar member, the later story on ties."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i]["us"] is None, rows[i]["us"] or 0, len(rows[i]["capture_id"] or ""), rows[i]["capture_id"] or ""))
+    assigner = Assigner(window_us, threshold, bool(order) and rows[order[-1]]["us"] is not None)
+    stories: list[list[int]] = []
+    for i in order:
+        features = _features(rows[i])
+        story = assigner.story(rows[i]["us"], features, feature_key(features))
+        if story == len(stories):
+            stories.append([])
+        stories[story].append(i)
     return stories
 
 
@@ -250,17 +347,130 @@ CLUSTER = (
 )
 
 
-def cluster_records(records: DataFrame, window_s: int = 1800, threshold: float = 0.35, least: int = 2, domains: int = 1) -> DataFrame:
-    """Event clusters by greedy single linkage over a weighted Jaccard similarity (see ``assign_stories``).
+#: Rows of the largest island that one task follows by itself; rows of a chunk that a task compares in a larger one, and chunks of a span that it is compared with.
+ALONE_ROWS, CHUNK_ROWS, SPAN_CHUNKS = 200_000, 6000, 32
+LISTS = ("candidate_symbols", "impact_reason_codes", "asset_classes", "candidate_entities")
+FEATURES = T.ArrayType(T.ArrayType(T.StringType()))
+HINTS = "array<struct<level: double, keys: array<binary>>>"
+HINT_TYPE = pa.list_(pa.struct([("level", pa.float64()), ("keys", pa.list_(pa.binary()))]))
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """``rows`` (island, us, capture_id, ...) with their features, the key of these, and ``n``: their order within islands, and over ``CHUNK`` the chunk they are in."""
+    added = T.StructType([T.StructField("features", FEATURES), T.StructField("key", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [_features(r) for r in batch.select(["title", *LISTS]).to_pylist()]
+            lists = pa.array([[sorted(x) for x in f] for f in own], pa.list_(pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array([feature_key(f) for f in own], pa.binary())], names=[*batch.schema.names, "features", "key"])
+
+    known = materialize(rows.mapInArrow(run, T.StructType([*rows.schema.fields, *added.fields])), "story-features")
+    order = ["island", F.coalesce("us", F.lit((1 << 63) - 1)), F.length(F.coalesce("capture_id", F.lit(""))), F.coalesce("capture_id", F.lit(""))]
+    chunks = known.count() // CHUNK_ROWS + 1
+    # Partitions of the range are in order, and so are the numbers: partition and place in it.
+    return materialize(known.repartitionByRange(chunks, *order).sortWithinPartitions(*order).withColumn("n", F.monotonically_increasing_id()), "story-rows")
+
+
+def _sets(features: list[list[str]]) -> tuple[frozenset, ...]:
+    return tuple(map(frozenset, features))
+
+
+def nearest_earlier(rows: DataFrame, threshold: float) -> DataFrame:
+    """(n, hints) of the rows of islands in several chunks, one line for each span of chunks up to a row's own."""
+    chunk = F.shiftright("n", 33).cast("int").alias("chunk")
+    rows = rows.select("island", "n", chunk, "key", "features")
+    chunks = rows.select("island", "chunk").distinct()
+    own = Window.partitionBy("island")
+    # As many lines as there are chunks.
+    chunks = chunks.withColumn("place", F.row_number().over(own.orderBy("chunk")) - 1).withColumn("many", F.count(F.lit(1)).over(own) > 1).filter("many")
+    chunks = materialize(chunks.select("island", "chunk", F.floor(F.col("place") / SPAN_CHUNKS).cast("int").alias("span")), "story-chunks")
+    # Groups are few and cost much, so they are dealt over several times as many partitions.
+    partitions = max(1, 4 * (chunks.agg(F.sum(F.col("span") + 1)).first()[0] or 0))
+    tasks = chunks.select("island", F.col("chunk").alias("of"), F.explode(F.sequence(F.lit(0), "span")).alias("span"), F.col("span").alias("last"))
+    asked = rows.join(tasks.select("island", F.col("of").alias("chunk"), "span", (F.col("span") == F.col("last")).alias("own")), ["island", "chunk"]).withColumnRenamed("chunk", "of")
+    members = rows.groupBy("island", "chunk", "key").agg(F.first("features").alias("features")).join(chunks, ["island", "chunk"])
+    members = members.join(tasks.drop("last"), ["island", "span"]).filter(F.col("chunk") < F.col("of"))
+    # Columns of their own, as both sides are of one table.
+    members = members.select(*(F.col(c).alias(c) for c in ("island", "of", "span", "key", "features")))
+    asked = asked.select(*(F.col(c).alias(c) for c in ("island", "of", "span", "n", "key", "features", "own"))).repartition(partitions, "island", "of", "span")
+
+    def run(asked: pa.Table, members: pa.Table) -> pa.Table:
+        index, keys, numbers = StoryIndex(), [], {}
+
+        def add(key: bytes, features: tuple[frozenset, ...]) -> None:
+            # Each of the distinct features is a story of its own here.
+            if key not in numbers:
+                numbers[key] = len(keys)
+                keys.append(key)
+                index.add(features, numbers[key])
+
+        for key, features in zip(members.column("key").to_pylist(), members.column("features").to_pylist(), strict=True):
+            add(key, _sets(features))
+        index.sort()
+        ids, hints, known = [], [], {}
+        asked = asked.sort_by("n")
+        inside = asked.num_rows > 0 and asked.column("own")[0].as_py()
+        for n, key, lists in zip(asked.column("n").to_pylist(), asked.column("key").to_pylist(), asked.column("features").to_pylist(), strict=True):
+            features = _sets(lists)
+            found = None if inside else known.get(key)
+            if found is None:
+                found = known[key] = [{"level": level, "keys": [keys[x] for x in which]} for level, which in index.nearest(features, threshold)]
+            ids.append(n)
+            hints.append(found)
+            if inside:
+                add(key, features)
+                if index.members.crowded():
+                    index.sort()
+        return pa.table([pa.array(ids, pa.int64()), pa.array(hints, HINT_TYPE)], names=["n", "hints"])
+
+    by = ("island", "of", "span")
+    return asked.groupBy(*by).cogroup(members.groupBy(*by)).applyInArrow(run, f"n long, hints {HINTS}")
+
+
+def placed_rows(rows: DataFrame, hints: DataFrame, window_us: int, threshold: float) -> DataFrame:
+    """(n, island, story) of each row of ``rows``: an island is followed in order, a row at a time, by one task that holds what lives."""
+    told = hints.groupBy("n").agg(F.collect_list("hints").alias("parts"))
+    joined = rows.select("island", "n", "us", "key", "features").join(told, "n", "left")
+    ordered = joined.repartition("island").sortWithinPartitions("island", "n").select("n", "island", "us", "key", "features", "parts")
 
-    The order of arrival matters, so an island is one task; islands run in parallel.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        island, assigner = None, None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if assigner is None or r["island"] != island:
+                    # In an island with rows of no time these come last, and may join any story.
+                    island, assigner = r["island"], Assigner(window_us, threshold, r["island"] != TIMELESS)
+                parts = r["parts"]
+                told = None if parts is None else merged_hints([[(x["level"], x["keys"]) for x in part] for part in parts])
+                out.append(assigner.story(r["us"], _sets(r["features"]), r["key"], told))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], names=["n", "island", "story"])
+
+    return ordered.mapInArrow(run, "n long, island long, story long")
+
+
+def cluster_records(records: DataFrame, window_s: int = 1800, threshold: float = 0.35, least: int = 2, domains: int = 1) -> DataFrame:
+    """Event clusters by greedy single linkage over a weighted Jaccard similarity, each row joining the live story of the nearest earlier row.
+
+    Rows without the columns of a feature have none.  Islands (see ``islands``)
+    run in parallel.  Where one has more than ``ALONE_ROWS`` rows, these are
+    compared in parallel too: its chunks of rows in order, each with the spans
+    of rows before it, tell how near which earlier features are.  What is
+    sequential is then only to look up whose stories those are, and which of
+    them live.  Both ways give the same clusters.
     """
+    kinds = {"title": "string", "domain": "string", "finance_relevance_score": "double"}
     columns = ["capture_id", "title", "domain", "candidate_symbols", "impact_reason_codes", "asset_classes", "candidate_entities", "finance_relevance_score", "us", "island"]
     rows = islands(records, window_s)
-    rows = rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast("array<string>").alias(c) for c in columns))
-
-    def summary(rows: list[dict], members: list[int]) -> tuple:
-        own = [rows[i] for i in members]
+    rows = rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast(kinds.get(c, "array<string>")).alias(c) for c in columns))
+    largest = rows.groupBy("island").count().agg(F.max("count")).first()[0] or 0
+    if largest > ALONE_ROWS:
+        rows = in_order(rows.withColumn("capture_id", F.col("capture_id").cast("string")))
+        placed = placed_rows(rows, nearest_earlier(rows, threshold), window_s * 1_000_000, threshold)
+        rows = rows.select("n", "capture_id", "title", "domain", *LISTS, "finance_relevance_score", "us").join(placed, "n")
+
+    def summary(own: list[dict]) -> tuple:
         features = [_features(r) for r in own]
         ids = [str(r["capture_id"] or "") for r in own]
         times = [r["us"] for r in own if r["us"] is not None]
@@ -271,16 +481,18 @@ def cluster_records(records: DataFrame, window_s: int = 1800, threshold: float =
             *(_dominant([f[k] for f in features]) for k in range(3)), places, len(own), score, coherence(features),
         )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in batch.to_pylist()]
-        found = [summary(rows, m) for m in assign_stories(rows, window_s * 1_000_000, threshold) if len(m) >= least]
+    names = [part.split()[0] for part in CLUSTER.split(", ")]
+    types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+    schema = pa.schema([(p.split()[0], types[p.split()[1]]) for p in CLUSTER.split(", ")])
+
+    def run(table: pa.Table) -> pa.Table:
+        own = (table.sort_by("n") if "n" in table.column_names else table).to_pylist()
+        members = [range(len(own))] if "n" in table.column_names else assign_stories(own, window_s * 1_000_000, threshold)
+        found = [summary([own[i] for i in m]) for m in members if len(m) >= least]
         found = [x for x in found if domains <= 1 or len(x[7]) >= domains]
-        names = [part.split()[0] for part in CLUSTER.split(", ")]
-        kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
-        schema = pa.schema([(p.split()[0], kinds[p.split()[1]]) for p in CLUSTER.split(", ")])
-        yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in found], schema=schema)
+        return pa.Table.from_pylist([dict(zip(names, x, strict=True)) for x in found], schema=schema)
 
-    return rows.groupBy("island").applyInArrow(lambda t: pa.Table.from_batches(run(t.to_batches())), CLUSTER)
+    return rows.groupBy("island", *(["story"] if largest > ALONE_ROWS else [])).applyInArrow(run, CLUSTER)
 
 
 def lead_lag_events(clusters: DataFrame, records: DataFrame) -> DataFrame:
