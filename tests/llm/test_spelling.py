@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewire.llm import spelling
@@ -68,6 +69,22 @@ def test_same_as_brute_force(spark, monkeypatch, seed, part, many):
     assert found(spelling.spelling_variants(df)) == plain(words)
 
 
+@pytest.mark.parametrize(("many", "chunk"), [(0, 50), (1, 7), (4096, 1)])
+def test_one_part(monkeypatch, many, chunk):
+    """Both ways to compare words of equal letters, in chunks of any size."""
+    monkeypatch.setattr(spelling, "MANY", many)
+    monkeypatch.setattr(spelling, "CHUNK", chunk)
+    rng = random.Random(many)
+    words = {"".join(rng.choice("abcÀ") for _ in range(rng.choice([5, 6]))): rng.randint(1, 99) for _ in range(500)}
+    six = {w: n for w, n in words.items() if len(w) == 6}
+    rows = [(6, 0, 0 if len(w) == 6 else 2, w, n) for w, n in words.items()]
+    out = spelling.search_part(pa.table(dict(zip(spelling.ROUTED.names, map(list, zip(*rows, strict=True)), strict=True)), schema=spelling.ROUTED)).to_pylist()
+    got = {r["word"]: (r["n_near"], r["near"]) for r in out}
+    for w in words:
+        near = [x for x in words if edits(w, x) and (x in six or w in six)]
+        assert got.get(w, (0, None)) == (len(near), min(near, key=lambda x: (-words[x], x), default=None))
+
+
 def test_anagrams_of_one_word(spark, monkeypatch):
     # One great group of equal letter counts next to another.
     monkeypatch.setattr(spelling, "PART_WORDS", 50)

@@ -37,29 +37,51 @@ RANGE_BYTES, FAN = 1 << 16, 16
 #: Pairs of ids that go to all tasks at most (16 bytes each).
 HEAVY_PAIRS = 1_000_000
 #: Tokens that are aligned together.
-BATCH_TOKENS = 1_000_000
+BATCH_TOKENS = 500_000
 CUT = re.compile(r"(?<=\S) (?=\S)")
 SPACE = "▁"
+#: Words after which those that were met lately alone stay known, and the longest word that stays.
+REMEMBERED, REMEMBERED_CHARS = 100_000, 64
 
 
-@dataclass
 class Pair:
-    """Two tokenizers: how each encodes a text that begins with a space, and the bytes of its ids."""
+    """Two tokenizers: how each encodes a text that has a space before it, and the bytes of its ids.
 
-    encode_a: object
-    encode_b: object
-    lengths_a: np.ndarray
-    lengths_b: np.ndarray
-    bytes_b: list[bytes]
+    ``encode_a`` takes a text with that space, ``encode_b`` texts without.  A
+    text is encoded word by word: no token lies across a ``CUT``, so equal words
+    have equal tokens and are looked up once they are known.
+    """
 
-    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """Ids of both for each text, a space before it; None where joined bytes aren't the text's."""
+    def __init__(self, encode_a, encode_b, lengths_a: np.ndarray, bytes_b: list[bytes]):
+        self.encode_a, self.encode_b, self.lengths_a, self.bytes_b = encode_a, encode_b, lengths_a, bytes_b
+        self.lengths_b = np.array([len(x) for x in bytes_b], np.int64)
+        #: Little-endian ids, in as few bytes as will do.
+        self.kind = "<u2" if max(len(lengths_a), len(bytes_b)) <= 1 << 16 else "<u4"
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.older: dict[str, tuple[bytes, bytes] | None] = {}
+
+    def words(self, words: list[str]) -> None:
+        """Encode words that aren't known: their ids, or None where joined bytes aren't the word's with a space before it."""
+        for word, b in zip(words, self.encode_b(words), strict=True):
+            data = b" " + word.encode("utf-8", "surrogatepass")
+            a = np.asarray(self.encode_a(" " + word), np.int64)
+            same = int(self.lengths_a[a].sum()) == len(data) and b"".join(map(self.bytes_b.__getitem__, b)) == data
+            self.known[word] = (a.astype(self.kind).tobytes(), np.array(b, self.kind).tobytes()) if same else None
+
+    def tokens(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of both for each text with a space before it; None where one doesn't give its bytes back, or it is empty."""
+        split = [CUT.split(text) if text else [] for text in texts]
+        fresh = {word for words in split for word in words} - self.known.keys()
+        for word in fresh & self.older.keys():
+            self.known[word] = self.older[word]
+        self.words(list(fresh - self.older.keys()))
         out = []
-        for text, b in zip(texts, self.encode_b(texts), strict=True):
-            data = b" " + text.encode("utf-8", "surrogatepass")
-            a = np.asarray(self.encode_a(" " + text), np.int64)
-            same = bool(text) and int(self.lengths_a[a].sum()) == len(data) and b"".join(map(self.bytes_b.__getitem__, b)) == data
-            out.append((a, np.array(b, np.int64)) if same else None)
+        for words in split:
+            found = [self.known[word] for word in words]
+            out.append((b"".join([a for a, _ in found]), b"".join([b for _, b in found])) if found and None not in found else None)
+        if len(self.known) > REMEMBERED:
+            self.older = {word: ids for word, ids in self.known.items() if len(word) <= REMEMBERED_CHARS}
+            self.known = {}
         return out
 
 
@@ -91,18 +113,14 @@ def default_pair(byte_ranks: str | None = None, byte_json: str | None = None, pi
                 raise ValueError(f"a piece across words: {piece}")
             table.append(b"" if model.is_control(i) or model.is_unknown(i) else piece.replace(SPACE, " ").encode())
     encode = byte_encoder(byte_ranks or public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
-    return Pair(encode, lambda texts: model.encode(texts, num_threads=1), lengths, np.array([len(x) for x in table], np.int64), table)
-
+    return Pair(encode, lambda texts: model.encode(texts, num_threads=1), lengths, table)
 
-def id_type(pair: Pair) -> str:
-    return "<u2" if max(len(pair.lengths_a), len(pair.lengths_b)) <= 1 << 16 else "<u4"
 
-
-def cut_text(text: str) -> Iterator[tuple[int, str]]:
-    """(start in characters, piece) of a text: each piece but the first begins with the space of a cut, and has as many characters as a range has bytes, or more."""
+def cut_text(text: str, most: int = RANGE_BYTES) -> Iterator[tuple[int, str]]:
+    """(start in characters, piece) of a text: each piece but the first begins with the space of a cut, and has ``most`` characters or more."""
     start = 0
     while start < len(text):
-        found = CUT.search(text, start + RANGE_BYTES)
+        found = CUT.search(text, start + most)
         end = found.start() if found else len(text)
         yield start, text[start:end]
         start = end
@@ -120,7 +138,6 @@ def tokenized(pieces: DataFrame, make=default_pair) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = make()
-        kind = id_type(pair)
         for whole_batch in batches:
             for batch in text_batches(whole_batch, 3, 1_000_000):
                 starts = batch.column(2).to_pylist()
@@ -131,15 +148,19 @@ def tokenized(pieces: DataFrame, make=default_pair) -> DataFrame:
                         rows.append(i)
                         out.append((start, False, b"", b"", start, start))
                         continue
-                    a, b = found
+                    last = start + len(texts[i].encode("utf-8", "surrogatepass")) + 1
+                    if last - start <= RANGE_BYTES:
+                        rows.append(i)
+                        out.append((start, True, *found, start, start))
+                        continue
+                    a, b = (np.frombuffer(x, pair.kind) for x in found)
                     ends = [start + np.cumsum(lengths[ids]) for ids, lengths in ((a, pair.lengths_a), (b, pair.lengths_b))]
-                    last = int(ends[0][-1])
                     at, before = start, [(0, start), (0, start)]
                     while at < last:
                         stop = at + RANGE_BYTES if last - at > RANGE_BYTES else last
                         upto = [int(np.searchsorted(e, stop, side="right")) for e in ends]
                         rows.append(i)
-                        out.append((at, True, a[before[0][0] : upto[0]].astype(kind).tobytes(), b[before[1][0] : upto[1]].astype(kind).tobytes(), before[0][1], before[1][1]))
+                        out.append((at, True, a[before[0][0] : upto[0]].tobytes(), b[before[1][0] : upto[1]].tobytes(), before[0][1], before[1][1]))
                         before = [(n, int(e[n - 1]) if n else start) for n, e in zip(upto, ends, strict=True)]
                         at = stop
                 at, ok, a, b, a_start, b_start = zip(*out, strict=True) if out else [()] * 6
@@ -153,7 +174,7 @@ def tokenized(pieces: DataFrame, make=default_pair) -> DataFrame:
 
 
 def read_tokens(pair: Pair, a: bytes, b: bytes, a_start: int, b_start: int) -> Tokens:
-    ids = [np.frombuffer(x, id_type(pair)).astype(np.int64) for x in (a, b)]
+    ids = [np.frombuffer(x, pair.kind).astype(np.int64) for x in (a, b)]
     return Tokens(ids[0], a_start + np.cumsum(pair.lengths_a[ids[0]]), ids[1], b_start + np.cumsum(pair.lengths_b[ids[1]]))
 
 
@@ -167,7 +188,7 @@ FRAGMENT = "row long, at long, joined boolean, closed boolean, p_a binary, p_b b
 def write_tokens(pair: Pair, own: Tokens, side: str) -> dict:
     """Ids of both streams and where they begin: their lengths tell all ends."""
     starts = [int(ends[0] - lengths[ids[0]]) if len(ids) else 0 for ids, ends, lengths in ((own.a, own.a_ends, pair.lengths_a), (own.b, own.b_ends, pair.lengths_b))]
-    return dict(zip((f"{side}_{x}" for x in OPEN), (own.a.astype(id_type(pair)).tobytes(), own.b.astype(id_type(pair)).tobytes(), *starts), strict=True))
+    return dict(zip((f"{side}_{x}" for x in OPEN), (own.a.astype(pair.kind).tobytes(), own.b.astype(pair.kind).tobytes(), *starts), strict=True))
 
 
 def _line(pair: Pair, row: int, at: int, joined: bool, closed: bool, first: Tokens, second: Tokens = NOTHING) -> dict:
@@ -226,7 +247,7 @@ def read_groups(pair: Pair, r: dict) -> Groups:
 
 def token_batches(pair: Pair, batch: pa.RecordBatch) -> Iterator[tuple[int, int, Tokens, np.ndarray, np.ndarray]]:
     """(first row, rows, tokens one after another, where each row's begin in either stream) of rows of whole documents."""
-    width = np.dtype(id_type(pair)).itemsize
+    width = np.dtype(pair.kind).itemsize
     a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
     sizes = [(len(x) // width, len(y) // width) for x, y in zip(a, b, strict=True)]
     first, held = 0, 0
@@ -419,7 +440,7 @@ def _pieces(long: DataFrame) -> DataFrame:
             for batch in text_batches(whole_batch, 2):
                 for i, text in enumerate(batch.column(2).to_pylist()):
                     at = 0
-                    for start, piece in cut_text(text):
+                    for start, piece in cut_text(text, RANGE_BYTES):
                         yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([at], pa.int64()), pa.array([piece], pa.string())], names=["row", "doc_id", "start", "text"])
                         at += len(piece.encode("utf-8", "surrogatepass")) + (start == 0)
 
