@@ -205,7 +205,9 @@ def test_bad_captures_of_a_stream_are_kept_apart(spark, tmp_path):
         st.upsert_records(rows, str(tmp_path / "out"), str(tmp_path / "checkpoint"), errors=str(tmp_path / "errors")).awaitTermination(120)
     assert {r["capture_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"1", "3"}
     bad = spark.read.parquet(str(tmp_path / "errors")).collect()
-    assert sorted(str(r["capture_id"]) for r in bad) == ["2", "None"] and {r["error"] for r in bad} == {"invalid"}
+    got = {r["error"]: (r["capture_id"], r["payload_excerpt"]) for r in bad}
+    assert len(bad) == 2 and got["not a capture in JSON"] == (None, "{broken")
+    assert got["without text"][0] == "2" and json.loads(got["without text"][1])["title"] == "Rates rise"
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])

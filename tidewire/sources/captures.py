@@ -10,6 +10,8 @@ from tidewire.schemas import CAPTURE
 
 #: Finalized files; a writer's temporary names don't fit.
 NAMES = "*.{jsonl,json}"
+#: The column of a line that doesn't parse.
+RAW = "_raw_line"
 NEEDED = ("capture_id", "doc_id", "text")
 
 
@@ -21,6 +23,15 @@ def is_valid() -> Column:
     return good
 
 
+def failures(rows: DataFrame, most: int = 4000) -> DataFrame:
+    """(capture_id, error, payload_excerpt) of the captures that can't be used: why, and the start of the line or text itself."""
+    raw = F.col(RAW) if RAW in rows.columns else F.lit(None).cast("string")
+    missing = F.concat(F.lit("without "), F.concat_ws(", ", *(F.when(F.col(c).isNull(), F.lit(c)) for c in NEEDED)))
+    bad = rows.filter(~is_valid())
+    payload = F.coalesce(raw, F.col("text"), F.to_json(F.struct(*(c for c in rows.columns if c != RAW))))
+    return bad.select("capture_id", F.when(raw.isNotNull(), F.lit("not a capture in JSON")).otherwise(missing).alias("error"), F.substring(payload, 1, most).alias("payload_excerpt"))
+
+
 def _valid(rows: DataFrame) -> DataFrame:
     return rows.filter(is_valid())
 
@@ -33,8 +44,13 @@ def read_captures(spark: SparkSession, path: str, limit: int | None = None) -> D
 
 
 def stream_captures(spark: SparkSession, path: str, files_per_batch: int = 100, keep_invalid: bool = False) -> DataFrame:
-    """The same as a stream; the checkpoint remembers what has been read.  With ``keep_invalid`` rows that don't parse come too, as nulls."""
-    reader: DataStreamReader = spark.readStream.schema(CAPTURE).option("recursiveFileLookup", "true").option("pathGlobFilter", NAMES)
+    """The same as a stream; the checkpoint remembers what has been read.
+
+    With ``keep_invalid`` rows that don't parse or lack an id or text come too;
+    RAW holds the whole line of those that don't parse.
+    """
+    schema = f"{CAPTURE}, {RAW} string" if keep_invalid else CAPTURE
+    reader: DataStreamReader = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", NAMES).option("columnNameOfCorruptRecord", RAW)
     rows = reader.option("maxFilesPerTrigger", files_per_batch).json(path)
     return rows if keep_invalid else _valid(rows)
 

@@ -13,8 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewire.functions.text import canonical_url, normal_title
 from tidewire.plans.enrich import enrich
-from tidewire.sources.captures import is_valid
-from tidewire.sources.sinks import error_rows, overwrite_buckets
+from tidewire.sources.captures import RAW, failures, is_valid
+from tidewire.sources.sinks import overwrite_buckets
 
 WATERMARK = "1 hour"
 
@@ -99,15 +99,15 @@ def session_islands(captures: DataFrame, time: str, by: str, gap: str = "30 minu
 def upsert_records(captures: DataFrame, path: str, checkpoint: str, available_now: bool = True, errors: str | None = None) -> StreamingQuery:
     """Enrich each micro-batch and upsert it; a batch that runs again changes nothing.
 
-    Captures without an id or text go to the folder ``errors``, if there is
-    one, by batch, and the others go on; otherwise they are left out.
+    Lines that aren't captures, and captures without an id or text, go to the
+    folder ``errors``, if there is one, by batch, with the reason and the line
+    itself, and the others go on; otherwise they are left out.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         if errors is not None:
-            bad = error_rows(batch.filter(~is_valid()), "text", "invalid")
-            bad.write.mode("overwrite").parquet(f"{errors}/batch={number}")
-        once = batch.filter(is_valid()).dropDuplicates(["capture_id"])
+            failures(batch).write.mode("overwrite").parquet(f"{errors}/batch={number}")
+        once = batch.filter(is_valid()).drop(RAW).dropDuplicates(["capture_id"])
         overwrite_buckets(enrich(once).withColumn("created_at", F.coalesce("published_ts", F.lit("1970-01-01").cast("timestamp"))), path, ["capture_id"])
 
     writer = captures.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
