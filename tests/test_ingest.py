@@ -180,3 +180,19 @@ def test_csv_guard_passes_whole_texts(spark, tmp_path):
     got = {r["doc_id"]: r["cell_sha256"] for r in QUERIES["i26_csv_guard_whole"](spark, str(tmp_path)).collect()}
     cells = ["'" + t if t and t[0] in "=+-@\t\r" else t for t in texts]
     assert got == {i: None if c is None else hashlib.sha256(c.encode()).hexdigest() for i, c in enumerate(cells)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_catalog_admission_is_the_sequential_loop(spark, seed):
+    rng = random.Random(seed)
+    rows = [(k, rng.choice([None, *"abcdefgh"]), rng.choice([None, *"uvwxyz"])) for k in range(60)]
+    names, urls, want = set(), set(), []
+    for k, name, url in rows:
+        if name not in names and url not in urls:
+            names |= {name} - {None}
+            urls |= {url} - {None}
+            want.append(k)
+    rng.shuffle(rows)
+    got = lookup.admitted(spark.createDataFrame(rows, "pos long, name string, url string"), "pos", ["name", "url"])
+    assert sorted(r["pos"] for r in got.collect()) == want
+    assert lookup.admitted(got.limit(0), "pos", ["name", "url"]).count() == 0

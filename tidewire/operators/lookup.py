@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import safe_tag
 from tidewire.functions.time import epoch_us, event_time
 from tidewire.schemas import LABEL_LISTS
+from tidewire.session import materialize
 
 SUMMARY = ["capture_id", "title", "domain", "published_ts", "is_finance_relevant", "finance_relevance_score", "asset_classes", "impact_reason_codes", "candidate_symbols", "sentiment_label", "sentiment_score"]
 
@@ -160,3 +163,28 @@ def first_wins(parts: list[DataFrame], keys: list[str]) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy(key).orderBy("_part", *(k for k in keys if k != key)))
         out = out.withColumn("_r", rank).filter("_r = 1").drop("_r")
     return out.drop("_part")
+
+
+def admitted(rows: DataFrame, order: str, keys: list[str]) -> DataFrame:
+    """The rows that a catalog takes in ``order`` (a column of distinct values): each that shares no key's value with one taken before it.
+
+    A row that isn't taken stands in nobody's way.  In each round the undecided
+    rows that come first in all of their groups are taken, and those that share
+    a value with one just taken are refused; what is left goes on, until nothing
+    is.  A null value is shared with nobody.  Rounds are as many as the longest
+    run of rows that wait for each other.
+    """
+    left, taken = materialize(rows, "catalog-rows"), []
+    while not left.isEmpty():
+        first = left
+        for k in keys:
+            heads = left.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"_first_{k}"))
+            first = first.join(heads, k, "left")
+        ahead = [F.col(f"_first_{k}").isNull() | (F.col(f"_first_{k}") == F.col(order)) for k in keys]
+        new = materialize(first.filter(reduce(lambda a, b: a & b, ahead)).select(*rows.columns), "catalog-taken")
+        taken.append(new)
+        rest = left.join(new.select(order), order, "left_anti")
+        for k in keys:
+            rest = rest.join(new.select(k).filter(F.col(k).isNotNull()).distinct(), k, "left_anti")
+        left = materialize(rest.select(*rows.columns), "catalog-rows")
+    return reduce(DataFrame.unionByName, taken, rows.limit(0))

@@ -201,6 +201,16 @@ def a17(spark, sf_dir):
     return lookup.first_wins([one, two], ["name", "url"])
 
 
+@query("a17_catalog_admission", """WITH f AS (SELECT c_custkey AS pos, 'n' || CAST(c_custkey * 7919 % 401 AS VARCHAR) AS name, 'u' || CAST((c_custkey * 104729 + c_nationkey) % 397 AS VARCHAR) AS url FROM customer),
+r AS (SELECT list_reduce(list({'names': [name], 'urls': [url]} ORDER BY pos), lambda a, b: CASE WHEN list_has_any(a.names, b.names) OR list_has_any(a.urls, b.urls) THEN a ELSE {'names': list_concat(a.names, b.names), 'urls': list_concat(a.urls, b.urls)} END) AS c FROM f)
+SELECT unnest(c.names) AS name, unnest(c.urls) AS url FROM r""")
+def a17_admission(spark, sf_dir):
+    """Customers as feeds: a feed is taken if neither its name nor its URL is that of one taken before it."""
+    key = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(key.alias("pos"), F.concat(F.lit("n"), (key * 7919 % 401).cast("string")).alias("name"), F.concat(F.lit("u"), ((key * 104729 + F.col("c_nationkey")) % 397).cast("string")).alias("url"))
+    return lookup.admitted(rows, "pos", ["name", "url"]).select("name", "url")
+
+
 @query("a20_quotes", "SELECT c_custkey, CAST(CASE WHEN c_custkey % 3 = 0 THEN 189.98 WHEN c_custkey % 3 = 1 THEN 370.6 END AS DOUBLE) AS last FROM customer", "last")
 def a20(spark, sf_dir):
     from tidewire.plans.evaluate import QUOTES
