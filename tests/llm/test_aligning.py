@@ -123,7 +123,7 @@ def test_composition_is_associative(seed):
     a, a_ends = stream(rng, total)
     b, b_ends = stream(rng, total)
     every = fragments.Tokens(a, a_ends, b, b_ends)
-    names = np.array(list(map(str, range(99))), object)
+    names = aligning.names_of(99)
     want = fragments.whole(every).text(names)
     borders = [0, *sorted(rng.sample(range(1, total), rng.randint(1, 3))), total]
     line, done = [], []
@@ -150,17 +150,3 @@ def test_cuts_of_texts():
         assert "".join(p for _, p in pieces) == text
         assert all(p[0] == " " for s, p in pieces if s)
     assert max(len(list(aligning.cut_text(text, 5))) for text in texts(4)) > 5
-
-
-def test_words_that_were_forgotten(monkeypatch):
-    """Word by word, with hardly any word remembered, as whole texts are encoded."""
-    monkeypatch.setattr(aligning, "REMEMBERED", 3)
-    monkeypatch.setattr(aligning, "REMEMBERED_CHARS", 4)
-    pair = aligning.default_pair.__wrapped__()
-    import sentencepiece
-
-    second = sentencepiece.SentencePieceProcessor(model_file=tokens.path("piece_bpe_32k.model"))
-    for text in texts(6):
-        (found,) = pair.tokens([text])
-        if found is not None:
-            assert np.frombuffer(found[1], pair.kind).tolist() == second.encode(text)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .bpe import byte_letters
 from .common import materialize, text_batches
-from .fragments import NOTHING, START, Fragment, Groups, Tokens, compose, split, whole
+from .fragments import NOTHING, START, Fragment, Groups, Names, Tokens, compose, split, whole
 from .packing import byte_encoder
 
 #: Bytes of a range, and ranges that are composed at once.
@@ -40,16 +40,12 @@ HEAVY_PAIRS = 1_000_000
 BATCH_TOKENS = 500_000
 CUT = re.compile(r"(?<=\S) (?=\S)")
 SPACE = "▁"
-#: Words after which those that were met lately alone stay known, and the longest word that stays.
-REMEMBERED, REMEMBERED_CHARS = 100_000, 64
 
 
 class Pair:
     """Two tokenizers: how each encodes a text that has a space before it, and the bytes of its ids.
 
-    ``encode_a`` takes a text with that space, ``encode_b`` texts without.  A
-    text is encoded word by word: no token lies across a ``CUT``, so equal words
-    have equal tokens and are looked up once they are known.
+    ``encode_a`` takes a text with that space, ``encode_b`` texts without.
     """
 
     def __init__(self, encode_a, encode_b, lengths_a: np.ndarray, bytes_b: list[bytes]):
@@ -57,31 +53,15 @@ class Pair:
         self.lengths_b = np.array([len(x) for x in bytes_b], np.int64)
         #: Little-endian ids, in as few bytes as will do.
         self.kind = "<u2" if max(len(lengths_a), len(bytes_b)) <= 1 << 16 else "<u4"
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
-        self.older: dict[str, tuple[bytes, bytes] | None] = {}
-
-    def words(self, words: list[str]) -> None:
-        """Encode words that aren't known: their ids, or None where joined bytes aren't the word's with a space before it."""
-        for word, b in zip(words, self.encode_b(words), strict=True):
-            data = b" " + word.encode("utf-8", "surrogatepass")
-            a = np.asarray(self.encode_a(" " + word), np.int64)
-            same = int(self.lengths_a[a].sum()) == len(data) and b"".join(map(self.bytes_b.__getitem__, b)) == data
-            self.known[word] = (a.astype(self.kind).tobytes(), np.array(b, self.kind).tobytes()) if same else None
 
     def tokens(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
         """Ids of both for each text with a space before it; None where one doesn't give its bytes back, or it is empty."""
-        split = [CUT.split(text) if text else [] for text in texts]
-        fresh = {word for words in split for word in words} - self.known.keys()
-        for word in fresh & self.older.keys():
-            self.known[word] = self.older[word]
-        self.words(list(fresh - self.older.keys()))
         out = []
-        for words in split:
-            found = [self.known[word] for word in words]
-            out.append((b"".join([a for a, _ in found]), b"".join([b for _, b in found])) if found and None not in found else None)
-        if len(self.known) > REMEMBERED:
-            self.older = {word: ids for word, ids in self.known.items() if len(word) <= REMEMBERED_CHARS}
-            self.known = {}
+        for text, b in zip(texts, self.encode_b(texts), strict=True):
+            data = b" " + text.encode("utf-8", "surrogatepass")
+            a = np.asarray(self.encode_a(" " + text))
+            same = bool(text) and int(self.lengths_a[a].sum()) == len(data) and b"".join(map(self.bytes_b.__getitem__, b)) == data
+            out.append((a.astype(self.kind).tobytes(), np.array(b, self.kind).tobytes()) if same else None)
         return out
 
 
@@ -320,8 +300,10 @@ def _tail(codes: np.ndarray, known: np.ndarray) -> list[dict]:
     return [{"code": c, "times": t} for c, t in zip(rest.tolist(), times.tolist(), strict=True)]
 
 
-def names_of(pair: Pair) -> np.ndarray:
-    return np.array(list(map(str, range(max(len(pair.lengths_a), len(pair.lengths_b))))), object)
+@cache
+def names_of(size: int) -> Names:
+    """Each id in decimal, with each separator after it."""
+    return tuple(np.array([f"{i}{mark}" for i in range(size)], object) for mark in ",|;")
 
 
 def measured_short(short: DataFrame, counts, make=default_pair) -> DataFrame:
@@ -330,13 +312,13 @@ def measured_short(short: DataFrame, counts, make=default_pair) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, table = make(), counts.value
-        names = names_of(pair)
+        names = names_of(max(len(pair.lengths_a), len(pair.lengths_b)))
         for batch in batches:
             for first, n, tokens, a_starts, b_starts in token_batches(pair, batch):
                 own = whole(tokens)
                 codes, ends = linked_codes(own, table.wide)
                 count, best, known = table.sums(codes)
-                words = own.words(names)
+                words = own.words(names).tolist()
                 # Where each document ends among the bytes, the groups and the links.
                 lasts = np.concatenate([[0], tokens.a_ends])[a_starts]
                 group_ends = tokens.a_ends[own.a_cuts - 1] if len(own) else tokens.a_ends[:0]
@@ -344,8 +326,8 @@ def measured_short(short: DataFrame, counts, make=default_pair) -> DataFrame:
                 sums = [np.concatenate([[0], np.cumsum(x)])[k] for x in (best, count)]
                 digests, tails = [], []
                 for i in range(n):
-                    w = words[2 * (a_starts[i] + b_starts[i]) : 2 * (a_starts[i + 1] + b_starts[i + 1])]
-                    digests.append(hashlib.sha256("".join(w[:-1].tolist()).encode()).hexdigest() if len(w) else "")
+                    w = words[a_starts[i] + b_starts[i] : a_starts[i + 1] + b_starts[i + 1]]
+                    digests.append(hashlib.sha256("".join(w)[:-1].encode()).hexdigest() if w else "")
                     rest = slice(k[i], k[i + 1])
                     tails.append([] if known[rest].all() else _tail(codes[rest], known[rest]))
                 yield pa.RecordBatch.from_arrays(
@@ -361,7 +343,7 @@ def measured_long(long: DataFrame, counts, make=default_pair) -> DataFrame:
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, table = make(), counts.value
-        names = names_of(pair)
+        names = names_of(max(len(pair.lengths_a), len(pair.lengths_b)))
         for batch in batches:
             for r in batch.to_pylist():
                 own = read_groups(pair, r)

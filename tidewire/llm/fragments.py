@@ -53,6 +53,10 @@ class Fragment:
     suffix: Tokens
 
 
+#: The name of each id with a separator after it: "," inside a stream's part of a group, "|" after the first stream's, ";" after the group.
+Names = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
 @dataclass
 class Groups:
     """Whole groups in a row: their tokens, and where each ends in either stream."""
@@ -82,21 +86,23 @@ class Groups:
         which = [(np.cumsum(m, dtype=np.int64) - m)[ends] for m in marks]
         return t.a[which[0]], t.b[which[1]], ends + base
 
-    def words(self, names: np.ndarray) -> np.ndarray:
-        """The ids' ``names``, each with its separator after it: "," inside a stream's part of a group, "|" after the first stream's, ";" after the group."""
+    def words(self, names: Names) -> np.ndarray:
+        """The ids' ``names``, in order, with the separator that follows each."""
         a, b = self.tokens.a, self.tokens.b
-        out = np.empty(2 * (len(a) + len(b)), object)
-        out[1::2] = ","
-        at_a = 2 * (np.arange(len(a)) + np.repeat(np.concatenate([self.b_cuts[:0], [0], self.b_cuts[:-1]])[: len(self)], np.diff(self.a_cuts, prepend=0)))
-        at_b = 2 * (np.arange(len(b)) + np.repeat(self.a_cuts, np.diff(self.b_cuts, prepend=0)))
-        out[at_a], out[at_b] = names[a], names[b]
-        out[at_a[self.a_cuts - 1] + 1] = "|"
-        out[at_b[self.b_cuts - 1] + 1] = ";"
+        inside, between, after = names
+        out = np.empty(len(a) + len(b), object)
+        if not len(self):
+            return out
+        at_a = np.arange(len(a)) + np.repeat(np.concatenate([[0], self.b_cuts[:-1]]), np.diff(self.a_cuts, prepend=0))
+        at_b = np.arange(len(b)) + np.repeat(self.a_cuts, np.diff(self.b_cuts, prepend=0))
+        out[at_a], out[at_b] = inside[a], inside[b]
+        out[at_a[self.a_cuts - 1]] = between[a[self.a_cuts - 1]]
+        out[at_b[self.b_cuts - 1]] = after[b[self.b_cuts - 1]]
         return out
 
-    def text(self, names: np.ndarray) -> str:
+    def text(self, names: Names) -> str:
         """``a1,a2|b1;a3|b2,b3``: decimal ids in order."""
-        return "".join(self.words(names)[:-1].tolist())
+        return "".join(self.words(names).tolist())[:-1]
 
 
 def common_ends(tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
