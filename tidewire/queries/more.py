@@ -122,11 +122,15 @@ def d17(spark, sf_dir):
     return evaluate.mentions(events_as_records(spark, sf_dir), terms.limit(1)).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("d23_alias_lookup", "SELECT 'oil' AS term, kind, label FROM (VALUES ('asset', 'commodities'), ('reason', 'energy')) AS t(kind, label)")
+@query("d23_alias_lookup", "SELECT 'oil' AS term, kind, label, count(*) AS n FROM events CROSS JOIN (VALUES ('asset', 'commodities'), ('reason', 'energy')) AS t(kind, label) WHERE user_id % 3 = 0 GROUP BY kind, label")
 def d23(spark, sf_dir):
+    """What the words of events are aliases of, and how often each is said."""
     from tidewire.taxonomy import aliases
 
-    return aliases(spark).filter("term = 'oil'")
+    said = F.when(F.col("user_id") % 3 == 0, " OIL").when(F.col("user_id") % 3 == 1, "oily").otherwise(F.col("event_type"))
+    words = table(spark, sf_dir, "events").select(F.lower(F.trim(said)).alias("term"))
+    # The taxonomy is a fixed table.
+    return words.join(F.broadcast(aliases(spark)), "term").groupBy("term", "kind", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("l7_sliding_windows", f"{R}, w AS (SELECT (us // 1000000 - (us // 1000000) % 900) - 900 * i AS start FROM records CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS i) AS x) SELECT CAST(start AS BIGINT) AS start, count(*) AS n FROM w GROUP BY start")
