@@ -202,6 +202,19 @@ def test_dashboard_goes_on_after_a_failure(spark):
     assert out == {"bad": "ValueError", "good": None}
 
 
+def test_deviations_are_those_of_the_sql_to_the_last_bit(spark):
+    """A z at its threshold decides by its last bit; repeated counts (three copies of a table) showed other surges than SQL."""
+    import duckdb
+
+    rng = random.Random(8)
+    rows = [(asset, i * 1800, 3.0 * rng.randint(0, 9)) for asset in "ab" for i in range(200)]
+    over = "OVER (PARTITION BY asset ORDER BY bucket ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)"
+    values = ", ".join(map(str, rows))
+    want = duckdb.sql(f"SELECT asset, bucket, CASE WHEN count(x) {over} >= 3 THEN stddev_samp(x) {over} END FROM (VALUES {values}) AS t(asset, bucket, x)").fetchall()
+    got = bursts.rolling_z(spark.createDataFrame(rows, "asset string, bucket long, x double"), "x", 8, by=["asset"]).select("asset", "bucket", "std").collect()
+    assert sorted(map(tuple, got)) == [(a, b, s if s is None else float(s)) for a, b, s in sorted(want)]
+
+
 def test_empty_input_gives_empty_signals(spark):
     empty = frame(spark, [])
     for signal in (bursts.volume_anomalies, bursts.symbol_bursts, bursts.spillover, bursts.symbol_correlation, bursts.news_velocity, mix.regime_shifts, mix.sentiment_momentum, mix.persistence, stories.cluster_records):

@@ -28,6 +28,21 @@ def anchored(records: DataFrame, minutes: int) -> DataFrame:
     return placed.withColumn("bucket", (floor_to(F.col("us"), minutes * MINUTE, F.col("anchor")) / 1_000_000).cast("long")).drop("anchor")
 
 
+def frame_std(values: Column) -> Column:
+    """The sample deviation of an array, in its order, by the running update that SQL engines use; null for fewer than two.
+
+    A z at its threshold to the last bit, as small counts give, depends on how the deviation was summed: Spark's own
+    ``stddev_samp`` multiplies the two differences of an update another way.
+    """
+    def more(s: Column, x: Column) -> Column:
+        n = s["n"] + F.lit(1.0)
+        mean = s["mean"] + (x - s["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (s["m2"] + (x - mean) * (x - s["mean"])).alias("m2"))
+
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    return F.aggregate(values, start, more, lambda s: F.when(s["n"] > 1, F.sqrt(s["m2"] / F.when(s["n"] > 1, s["n"] - 1))))
+
+
 def rolling_z(rows: DataFrame, value: str, window: int, least: int = 3, by: list[str] | None = None) -> DataFrame:
     """Add mean, std and z of ``value`` against the ``window`` buckets before it; null with fewer than ``least``, z 0 for a flat past.
 
@@ -35,7 +50,7 @@ def rolling_z(rows: DataFrame, value: str, window: int, least: int = 3, by: list
     """
     frame = Window.partitionBy(*(by or [])).orderBy("bucket").rowsBetween(-window, -1)
     enough = F.count(value).over(frame) >= least
-    std = F.stddev_samp(value).over(frame)
+    std = frame_std(F.collect_list(value).over(frame))
     rows = rows.withColumn("mean", F.when(enough, F.avg(value).over(frame))).withColumn("std", F.when(enough, F.coalesce(std, F.lit(0.0))))
     flat = F.col("std") <= 1e-12
     return rows.withColumn("z", F.when(F.col("mean").isNotNull(), F.when(flat, 0.0).otherwise((F.col(value) - F.col("mean")) / F.when(~flat, F.col("std")))))
