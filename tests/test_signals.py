@@ -241,3 +241,23 @@ def test_clusters_of_one_great_island_in_parallel(spark, monkeypatch, seed, chun
     monkeypatch.setattr(stories, "SPAN_CHUNKS", span)
     split = sorted(sorted(r["capture_ids"]) for r in stories.cluster_records(df).collect())
     assert alone == want and split == want
+
+
+def test_repeated_features_of_a_great_island_are_compared_once(spark, monkeypatch):
+    """What is compared and shipped grows with distinct features, not with rows; every column is that of one task."""
+    rng = random.Random(4)
+    kinds = [{c: rng.sample([f"{c[0]}{k}" for k in range(4)], rng.randint(0, 2)) for c in ("candidate_symbols", "impact_reason_codes", "asset_classes", "candidate_entities")} for _ in range(30)]
+    at, rows = 0.0, []
+    for i in range(600):
+        at += rng.choice([0.0, 0.5, 9.0])
+        own = rng.randrange(30)
+        rows.append(record(i, at, title=f"w{own % 3} t{own}", domain=f"d{i % 3}.example", finance_relevance_score=rng.random(), **kinds[own]))
+    df = frame(spark, rows)
+    alone = sorted(map(tuple, stories.cluster_records(df, domains=2).collect()))
+    monkeypatch.setattr(stories, "ALONE_ROWS", 0)
+    monkeypatch.setattr(stories, "CHUNK_ROWS", 10)
+    asked, real = [], stories.nearest_earlier
+    monkeypatch.setattr(stories, "nearest_earlier", lambda rows, *more: asked.append(rows.count()) or real(rows, *more))
+    split = sorted(map(tuple, stories.cluster_records(df, domains=2).collect()))
+    assert asked == [30]
+    assert [x[:-1] for x in split] == [x[:-1] for x in alone] and [x[-1] for x in split] == pytest.approx([x[-1] for x in alone])

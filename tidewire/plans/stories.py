@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,6 +71,7 @@ class FieldSets:
 
     def __init__(self):
         self.numbers: dict[frozenset, int] = {}
+        self.sets: list[frozenset] = []
         self.sizes = np.zeros(64)
         # For each value the sets that hold it: an array with room to grow, and how much of it is in use.
         self.holders: dict[str, tuple[np.ndarray, int]] = {}
@@ -78,6 +80,7 @@ class FieldSets:
         n = self.numbers.get(values)
         if n is None:
             n = self.numbers[values] = len(self.numbers)
+            self.sets.append(values)
             if n == len(self.sizes):
                 self.sizes = np.concatenate([self.sizes, np.zeros(n)])
             self.sizes[n] = len(values)
@@ -165,6 +168,26 @@ class StoryIndex:
         self.similar: list[dict[int, np.ndarray]] = [{} for _ in self.fields]
         #: Stories of the members with these sets in all fields.
         self.equal: dict[tuple, set[int]] = {}
+        #: The same by some fields alone (their places), for the members that have these.
+        self.alike: dict[tuple[int, ...], dict[tuple, set[int]]] = {}
+
+    def numbers(self, features: tuple[frozenset, ...]) -> tuple[int, ...]:
+        return tuple(field.number(values) for field, values in zip((*self.fields, self.titles), features, strict=True))
+
+    def features(self, numbers: tuple[int, ...]) -> tuple[frozenset, ...]:
+        return tuple(field.sets[n] for field, n in zip((*self.fields, self.titles), numbers, strict=True))
+
+    def twins(self, features: tuple[frozenset, ...]) -> set[int]:
+        """Stories of the members with the same sets in all fields that ``features`` has: none can be nearer. What is added later comes in."""
+        filled = tuple(k for k, values in enumerate(features) if values)
+        if filled not in self.alike:
+            table = self.alike[filled] = {}
+            for full, own in self.equal.items():
+                sets = self.features(full)
+                if all(sets[k] for k in filled):
+                    table.setdefault(tuple(full[k] for k in filled), set()).update(own)
+        numbers = self.numbers(features)
+        return self.alike[filled].setdefault(tuple(numbers[k] for k in filled), set())
 
     def add(self, features: tuple[frozenset, ...], story: int) -> None:
         numbers = tuple(field.number(values) for field, values in zip(self.fields, features, strict=False))
@@ -175,6 +198,9 @@ class StoryIndex:
         title = self.titles.number(features[-1])
         self.members.add((story, profile, title))
         self.equal.setdefault((*numbers, title), set()).add(story)
+        for filled, table in self.alike.items():
+            if all(features[k] for k in filled):
+                table.setdefault(tuple((*numbers, title)[k] for k in filled), set()).add(story)
 
     def sort(self, live: np.ndarray | None = None) -> None:
         self.members.sort(len(self.profiles), live)
@@ -264,8 +290,31 @@ class Assigner:
         self.newest = np.zeros(1024)
         self.count = 0
         self.stories: dict[bytes, set[int]] = {}
+        #: Of each key met: the numbers of its sets, and the stories of its twins (None where not even a twin is near enough).
+        self.met: dict[bytes, tuple[tuple[int, ...], set[int] | None]] = {}
         self.compared = 0
 
+    def again(self, us: int | None, key: bytes) -> int:
+        """The story of a row whose key was met before: that of a twin without any comparison, where one lives."""
+        oldest = -np.inf if us is None else us - self.window
+        newest = self.newest
+        numbers, twins = self.met[key]
+        story = -1
+        for x in twins or ():
+            if x > story and newest[x] >= oldest:
+                story = x
+        if twins and self.ageing and len(twins) > 16:
+            twins.intersection_update([x for x in twins if newest[x] >= oldest])
+        if story < 0:
+            return self.story(us, self.index.features(numbers), key, [] if twins is None else None)
+        if us is not None and newest[story] < us:
+            newest[story] = us
+        own = self.stories.setdefault(key, set())
+        if story not in own:
+            own.add(story)
+            self.index.add(self.index.features(numbers), story)
+        return story
+
     def story(self, us: int | None, features: tuple[frozenset, ...], key: bytes, hints: Hints | None = None) -> int:
         oldest = -np.inf if us is None else us - self.window
         newest = self.newest
@@ -295,6 +344,11 @@ class Assigner:
         if story not in own:
             own.add(story)
             self.index.add(features, story)
+        if key not in self.met:
+            score = 0.0
+            for weight, values in zip(CLUSTER_WEIGHTS, features, strict=True):
+                score += weight * bool(values)
+            self.met[key] = self.index.numbers(features), self.index.twins(features) if score >= self.threshold else None
         return story
 
 
@@ -310,34 +364,41 @@ def assign_stories(rows: list[dict], window_us: int, threshold: float) -> list[l
     stories: list[list[int]] = []
     for i in order:
         features = _features(rows[i])
-        story = assigner.story(rows[i]["us"], features, feature_key(features))
+        key = feature_key(features)
+        story = assigner.again(rows[i]["us"], key) if key in assigner.met else assigner.story(rows[i]["us"], features, key)
         if story == len(stories):
             stories.append([])
         stories[story].append(i)
     return stories
 
 
-def coherence(features: list[tuple[frozenset, ...]]) -> float:
-    """Mean similarity of all pairs; of many members it is summed field by field over distinct sets and their multiples."""
-    n = len(features)
+def coherence(features: list[tuple[frozenset, ...]], times: list[int] | None = None) -> float:
+    """Mean similarity of all pairs of members (each ``times``, if given); of many it is summed field by field over distinct sets and their multiples."""
+    n = sum(times) if times else len(features)
     if n < 2:
         return 1.0
     if n <= 8:
+        features = [f for f, m in zip(features, times, strict=True) for _ in range(m)] if times else features
         return sum(story_similarity(a, b) for k, a in enumerate(features) for b in features[k + 1 :]) / (n * (n - 1) / 2)
     total = 0.0
     for k, weight in enumerate(CLUSTER_WEIGHTS):
-        counts = Counter(f[k] for f in features)
+        counts = Counter()
+        for f, m in zip(features, times or [1] * len(features), strict=True):
+            counts[f[k]] += m
         field = FieldSets()
         for values in counts:
             field.number(values)
-        times = np.array(list(counts.values()), float)
-        both = sum(m * float(field.jaccard(values) @ times) for values, m in counts.items())
+        multiples = np.array(list(counts.values()), float)
+        both = sum(m * float(field.jaccard(values) @ multiples) for values, m in counts.items())
         total += weight * (both - sum(m for values, m in counts.items() if values)) / 2
     return total / (n * (n - 1) / 2)
 
 
-def _dominant(sets: list[frozenset]) -> list[str]:
-    counts = Counter(x for s in sets for x in s)
+def _dominant(sets: list[frozenset], times: list[int] | None = None) -> list[str]:
+    counts = Counter()
+    for s, m in zip(sets, times or [1] * len(sets), strict=True):
+        for x in s:
+            counts[x] += m
     return [x for x, n in sorted(counts.items(), key=lambda p: (-p[1], p[0])) if n >= 2][:TOP_TOKENS]
 
 
@@ -347,29 +408,60 @@ CLUSTER = (
 )
 
 
-#: Rows of the largest island that one task follows by itself; rows of a chunk that a task compares in a larger one, and chunks of a span that it is compared with.
-ALONE_ROWS, CHUNK_ROWS, SPAN_CHUNKS = 200_000, 6000, 32
+#: Rows of the largest island that one task follows by itself; in a larger one features that a task compares (a chunk), chunks of a span that it is compared with, and chunks at most.
+ALONE_ROWS, CHUNK_ROWS, SPAN_CHUNKS, MOST_CHUNKS = 200_000, 6000, 32, 64
+#: Raw features that a task remembers.
+REMEMBERED = 50_000
 LISTS = ("candidate_symbols", "impact_reason_codes", "asset_classes", "candidate_entities")
 FEATURES = T.ArrayType(T.ArrayType(T.StringType()))
 HINTS = "array<struct<level: double, keys: array<binary>>>"
 HINT_TYPE = pa.list_(pa.struct([("level", pa.float64()), ("keys", pa.list_(pa.binary()))]))
+FEATURE_TYPE = pa.list_(pa.list_(pa.string()))
+#: Rows of an island in their order.
+ORDER = ("late", "size", "id")
 
 
-def in_order(rows: DataFrame) -> DataFrame:
-    """``rows`` (island, us, capture_id, ...) with their features, the key of these, and ``n``: their order within islands, and over ``CHUNK`` the chunk they are in."""
-    added = T.StructType([T.StructField("features", FEATURES), T.StructField("key", T.BinaryType())])
+def keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` without title and lists, with the key of their features; ``features`` stand beside a key where a task meets it first."""
+    kept = [c for c in rows.columns if c not in ("title", *LISTS)]
+    added = [T.StructField("key", T.BinaryType()), T.StructField("features", FEATURES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, told = {}, set()
         for batch in batches:
-            own = [_features(r) for r in batch.select(["title", *LISTS]).to_pylist()]
-            lists = pa.array([[sorted(x) for x in f] for f in own], pa.list_(pa.list_(pa.string())))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array([feature_key(f) for f in own], pa.binary())], names=[*batch.schema.names, "features", "key"])
-
-    known = materialize(rows.mapInArrow(run, T.StructType([*rows.schema.fields, *added.fields])), "story-features")
-    order = ["island", F.coalesce("us", F.lit((1 << 63) - 1)), F.length(F.coalesce("capture_id", F.lit(""))), F.coalesce("capture_id", F.lit(""))]
-    chunks = known.count() // CHUNK_ROWS + 1
+            keys, lists = [], []
+            for title, *parts in zip(*(batch.column(c).to_pylist() for c in ("title", *LISTS)), strict=True):
+                raw = (title, *(None if x is None else tuple(x) for x in parts))
+                found = known.get(raw)
+                if found is None:
+                    own = _features(dict(zip(("title", *LISTS), raw, strict=True)))
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    found = known[raw] = feature_key(own), [sorted(x) for x in own]
+                keys.append(found[0])
+                lists.append(None if found[0] in told else found[1])
+                told.add(found[0])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(keys, pa.binary()), pa.array(lists, FEATURE_TYPE)], names=[*kept, "key", "features"])
+
+    out = rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in kept), *added]))
+    text = F.coalesce("capture_id", F.lit(""))
+    return out.withColumns({"late": F.coalesce("us", F.lit((1 << 63) - 1)), "size": F.length(text), "id": text})
+
+
+def first_met(rows: DataFrame) -> DataFrame:
+    """(island, key, features, n, chunk): each of an island's features once, where it is first met, in chunks of that order."""
+    firsts = rows.groupBy("island", "key").agg(F.min(F.struct(*ORDER)).alias("at"), F.first("features", True).alias("features"))
+    firsts = materialize(firsts.select("island", "key", "features", "at.*"), "story-features")
+    chunks = firsts.count() // chunk_rows(firsts) + 1
     # Partitions of the range are in order, and so are the numbers: partition and place in it.
-    return materialize(known.repartitionByRange(chunks, *order).sortWithinPartitions(*order).withColumn("n", F.monotonically_increasing_id()), "story-rows")
+    order = ["island", *ORDER, "key"]
+    ordered = firsts.repartitionByRange(chunks, *order).sortWithinPartitions(*order).withColumn("n", F.monotonically_increasing_id())
+    return materialize(ordered.withColumn("chunk", F.shiftright("n", 33).cast("int")), "story-firsts")
+
+
+def chunk_rows(firsts: DataFrame) -> int:
+    """Rows of a chunk: a member is shipped to each later chunk, so there are no more than ``MOST_CHUNKS``."""
+    return max(CHUNK_ROWS, firsts.count() // MOST_CHUNKS + 1)
 
 
 def _sets(features: list[list[str]]) -> tuple[frozenset, ...]:
@@ -377,19 +469,19 @@ def _sets(features: list[list[str]]) -> tuple[frozenset, ...]:
 
 
 def nearest_earlier(rows: DataFrame, threshold: float) -> DataFrame:
-    """(n, hints) of the rows of islands in several chunks, one line for each span of chunks up to a row's own."""
-    chunk = F.shiftright("n", 33).cast("int").alias("chunk")
-    rows = rows.select("island", "n", chunk, "key", "features")
+    """(n, hints) of the features of islands in several chunks (``first_met``), one line for each span of chunks up to their own."""
+    span_chunks = max(1, SPAN_CHUNKS * CHUNK_ROWS // chunk_rows(rows))
+    rows = rows.select("island", "n", "chunk", "key", "features")
     chunks = rows.select("island", "chunk").distinct()
     own = Window.partitionBy("island")
     # As many lines as there are chunks.
     chunks = chunks.withColumn("place", F.row_number().over(own.orderBy("chunk")) - 1).withColumn("many", F.count(F.lit(1)).over(own) > 1).filter("many")
-    chunks = materialize(chunks.select("island", "chunk", F.floor(F.col("place") / SPAN_CHUNKS).cast("int").alias("span")), "story-chunks")
+    chunks = materialize(chunks.select("island", "chunk", F.floor(F.col("place") / span_chunks).cast("int").alias("span")), "story-chunks")
     # Groups are few and cost much, so they are dealt over several times as many partitions.
     partitions = max(1, 4 * (chunks.agg(F.sum(F.col("span") + 1)).first()[0] or 0))
     tasks = chunks.select("island", F.col("chunk").alias("of"), F.explode(F.sequence(F.lit(0), "span")).alias("span"), F.col("span").alias("last"))
     asked = rows.join(tasks.select("island", F.col("of").alias("chunk"), "span", (F.col("span") == F.col("last")).alias("own")), ["island", "chunk"]).withColumnRenamed("chunk", "of")
-    members = rows.groupBy("island", "chunk", "key").agg(F.first("features").alias("features")).join(chunks, ["island", "chunk"])
+    members = rows.select("island", "chunk", "key", "features").join(chunks, ["island", "chunk"])
     members = members.join(tasks.drop("last"), ["island", "span"]).filter(F.col("chunk") < F.col("of"))
     # Columns of their own, as both sides are of one table.
     members = members.select(*(F.col(c).alias(c) for c in ("island", "of", "span", "key", "features")))
@@ -428,37 +520,119 @@ def nearest_earlier(rows: DataFrame, threshold: float) -> DataFrame:
     return asked.groupBy(*by).cogroup(members.groupBy(*by)).applyInArrow(run, f"n long, hints {HINTS}")
 
 
-def placed_rows(rows: DataFrame, hints: DataFrame, window_us: int, threshold: float) -> DataFrame:
-    """(n, island, story) of each row of ``rows``: an island is followed in order, a row at a time, by one task that holds what lives."""
+def placed_rows(rows: DataFrame, firsts: DataFrame, hints: DataFrame, window_us: int, threshold: float) -> DataFrame:
+    """``rows`` with ``story`` and their order ``n``: an island is followed in order, a row at a time, by one task that holds what lives.
+
+    Features and hints come once for each key, in lines of their own before its first row.
+    """
     told = hints.groupBy("n").agg(F.collect_list("hints").alias("parts"))
-    joined = rows.select("island", "n", "us", "key", "features").join(told, "n", "left")
-    ordered = joined.repartition("island").sortWithinPartitions("island", "n").select("n", "island", "us", "key", "features", "parts")
+    heads = firsts.join(told, "n", "left").select("island", *ORDER, "key", "features", "parts", F.lit(False).alias("row"))
+    kept = ["us", "capture_id", "domain", "finance_relevance_score"]
+    every = rows.select("island", *ORDER, "key", *kept, F.lit(True).alias("row")).unionByName(heads, allowMissingColumns=True)
+    order = ["island", *ORDER, "row"]
+    out = ["island", "key", *kept]
+    ordered = every.repartition("island").sortWithinPartitions(*order).select(*out, "row", "features", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        island, assigner = None, None
+        island, assigner, heads, n = None, None, {}, 0
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                if assigner is None or r["island"] != island:
+            stories, places, is_row = [], [], batch.column("row")
+            new = batch.filter(pc.invert(is_row))
+            fresh = zip(new.column("features").to_pylist(), new.column("parts").to_pylist(), strict=True)
+            for own, key, us, row in zip(*(batch.column(c).to_pylist() for c in ("island", "key", "us", "row")), strict=True):
+                if assigner is None or own != island:
                     # In an island with rows of no time these come last, and may join any story.
-                    island, assigner = r["island"], Assigner(window_us, threshold, r["island"] != TIMELESS)
-                parts = r["parts"]
-                told = None if parts is None else merged_hints([[(x["level"], x["keys"]) for x in part] for part in parts])
-                out.append(assigner.story(r["us"], _sets(r["features"]), r["key"], told))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], names=["n", "island", "story"])
-
-    return ordered.mapInArrow(run, "n long, island long, story long")
+                    island, assigner, heads, n = own, Assigner(window_us, threshold, own != TIMELESS), {}, 0
+                if not row:
+                    heads[key] = next(fresh)
+                    continue
+                if key in assigner.met:
+                    stories.append(assigner.again(us, key))
+                else:
+                    features, parts = heads.pop(key)
+                    hints = None if parts is None else merged_hints([[(x["level"], x["keys"]) for x in part] for part in parts])
+                    stories.append(assigner.story(us, _sets(features), key, hints))
+                places.append(n)
+                n += 1
+            kept = batch.filter(is_row)
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in out), pa.array(stories, pa.int64()), pa.array(places, pa.int64())], names=[*out, "story", "n"])
+
+    return ordered.mapInArrow(run, T.StructType([*(ordered.schema[c] for c in out), T.StructField("story", T.LongType()), T.StructField("n", T.LongType())]))
+
+
+SCHEMA = pa.schema([
+    (p.split()[0], {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}[p.split()[1]]) for p in CLUSTER.split(", ")
+])
+
+
+def _slices(values: pa.Array | pa.ChunkedArray, size: int = 100_000) -> Iterator[list]:
+    for at in range(0, len(values), size):
+        yield values.slice(at, size).to_pylist()
+
+
+def summed_up(placed: DataFrame, firsts: DataFrame, least: int, domains: int) -> DataFrame:
+    """Clusters of ``placed`` rows: members pass a task in order and only ids and scores are held, features are counted by key."""
+    of = ["island", "story"]
+    head = [c for c in SCHEMA.names if c not in ("symbols", "reasons", "assets", "coherence")]
+    types = pa.schema([("island", pa.int64()), ("story", pa.int64()), *(SCHEMA.field(c) for c in head)])
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def closed(story: tuple, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = pa.Table.from_batches(parts).combine_chunks()
+            places = sorted({(x or "").strip().lower() for x in pc.unique(own.column("domain")).to_pylist()} - {""})
+            if own.num_rows < least or (domains > 1 and len(places) < domains):
+                return
+            ids = pc.fill_null(own.column("capture_id"), "").combine_chunks()
+            digest = hashlib.sha1()
+            for k, part in enumerate(_slices(ids.take(pc.sort_indices(ids)))):
+                digest.update(("|" if k else "").encode() + "|".join(part).encode())
+            ends = pc.min_max(own.column("us")).as_py()
+            score = sum(x or 0.0 for part in _slices(own.column("finance_relevance_score")) for x in part)
+            listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            values = {"island": [story[0]], "story": [story[1]], "cluster_id": [digest.hexdigest()], "capture_ids": listed, "first_us": [ends["min"]], "last_us": [ends["max"]], "domains": [places], "size": [len(ids)], "mean_relevance": [score / len(ids)]}
+            yield pa.RecordBatch.from_arrays([values[f.name] if f.name == "capture_ids" else pa.array(values[f.name], f.type) for f in types], schema=types)
+
+        story, parts = None, []
+        for batch in batches:
+            owners = list(zip(batch.column("island").to_pylist(), batch.column("story").to_pylist(), strict=True))
+            cuts = [0, *(k for k in range(1, len(owners)) if owners[k] != owners[k - 1]), len(owners)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if owners[a] != story:
+                    if parts:
+                        yield from closed(story, parts)
+                    story, parts = owners[a], []
+                parts.append(batch.slice(a, b - a).select(["capture_id", "us", "domain", "finance_relevance_score"]))
+        if parts:
+            yield from closed(story, parts)
+
+    def contents(own: pa.Table) -> pa.Table:
+        features, times = [_sets(x) for x in own.column("features").to_pylist()], own.column("times").to_pylist()
+        tops = [_dominant([f[k] for f in features], times) for k in range(3)]
+        found = {"island": own.column("island")[0].as_py(), "story": own.column("story")[0].as_py(), **dict(zip(("symbols", "reasons", "assets"), tops, strict=True)), "coherence": coherence(features, times)}
+        return pa.Table.from_pylist([found], schema=pa.schema([("island", pa.int64()), ("story", pa.int64()), *(SCHEMA.field(c) for c in ("symbols", "reasons", "assets", "coherence"))]))
+
+    kinds = dict(p.split() for p in CLUSTER.split(", "))
+    ordered = placed.select(*of, "n", "capture_id", "us", "domain", "finance_relevance_score").repartition(*of).sortWithinPartitions(*of, "n")
+    heads = ordered.mapInArrow(members, ", ".join(["island long", "story long", *(f"{c} {kinds[c]}" for c in head)]))
+    counts = placed.groupBy(*of, "key").agg(F.count(F.lit(1)).alias("times"))
+    counts = counts.join(firsts.select("island", "key", "features"), ["island", "key"])
+    told = counts.groupBy(*of).applyInArrow(contents, "island long, story long, symbols array<string>, reasons array<string>, assets array<string>, coherence double")
+    return heads.join(told, of).select(*SCHEMA.names)
 
 
 def cluster_records(records: DataFrame, window_s: int = 1800, threshold: float = 0.35, least: int = 2, domains: int = 1) -> DataFrame:
     """Event clusters by greedy single linkage over a weighted Jaccard similarity, each row joining the live story of the nearest earlier row.
 
     Rows without the columns of a feature have none.  Islands (see ``islands``)
-    run in parallel.  Where one has more than ``ALONE_ROWS`` rows, these are
-    compared in parallel too: its chunks of rows in order, each with the spans
-    of rows before it, tell how near which earlier features are.  What is
-    sequential is then only to look up whose stories those are, and which of
-    them live.  Both ways give the same clusters.
+    run in parallel.  Where one has more than ``ALONE_ROWS`` rows, its distinct
+    features are compared in parallel too: chunks of them in the order in which
+    they are first met, each with the spans before it, tell how near which
+    earlier features are.  What is sequential is then only to look up whose
+    stories those are, and which of them live; a row whose features were met
+    before joins their own live story without a comparison.  Both ways give
+    the same clusters.
     """
     kinds = {"title": "string", "domain": "string", "finance_relevance_score": "double"}
     columns = ["capture_id", "title", "domain", "candidate_symbols", "impact_reason_codes", "asset_classes", "candidate_entities", "finance_relevance_score", "us", "island"]
@@ -466,9 +640,10 @@ def cluster_records(records: DataFrame, window_s: int = 1800, threshold: float =
     rows = rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast(kinds.get(c, "array<string>")).alias(c) for c in columns))
     largest = rows.groupBy("island").count().agg(F.max("count")).first()[0] or 0
     if largest > ALONE_ROWS:
-        rows = in_order(rows.withColumn("capture_id", F.col("capture_id").cast("string")))
-        placed = placed_rows(rows, nearest_earlier(rows, threshold), window_s * 1_000_000, threshold)
-        rows = rows.select("n", "capture_id", "title", "domain", *LISTS, "finance_relevance_score", "us").join(placed, "n")
+        rows = keyed(rows.withColumn("capture_id", F.col("capture_id").cast("string")))
+        firsts = first_met(rows)
+        placed = materialize(placed_rows(rows, firsts, nearest_earlier(firsts, threshold), window_s * 1_000_000, threshold), "story-rows")
+        return summed_up(placed, firsts, least, domains)
 
     def summary(own: list[dict]) -> tuple:
         features = [_features(r) for r in own]
@@ -481,18 +656,13 @@ def cluster_records(records: DataFrame, window_s: int = 1800, threshold: float =
             *(_dominant([f[k] for f in features]) for k in range(3)), places, len(own), score, coherence(features),
         )
 
-    names = [part.split()[0] for part in CLUSTER.split(", ")]
-    types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
-    schema = pa.schema([(p.split()[0], types[p.split()[1]]) for p in CLUSTER.split(", ")])
-
     def run(table: pa.Table) -> pa.Table:
-        own = (table.sort_by("n") if "n" in table.column_names else table).to_pylist()
-        members = [range(len(own))] if "n" in table.column_names else assign_stories(own, window_s * 1_000_000, threshold)
-        found = [summary([own[i] for i in m]) for m in members if len(m) >= least]
+        own = table.to_pylist()
+        found = [summary([own[i] for i in m]) for m in assign_stories(own, window_s * 1_000_000, threshold) if len(m) >= least]
         found = [x for x in found if domains <= 1 or len(x[7]) >= domains]
-        return pa.Table.from_pylist([dict(zip(names, x, strict=True)) for x in found], schema=schema)
+        return pa.Table.from_pylist([dict(zip(SCHEMA.names, x, strict=True)) for x in found], schema=SCHEMA)
 
-    return rows.groupBy("island", *(["story"] if largest > ALONE_ROWS else [])).applyInArrow(run, CLUSTER)
+    return rows.groupBy("island").applyInArrow(run, CLUSTER)
 
 
 def lead_lag_events(clusters: DataFrame, records: DataFrame) -> DataFrame:
