@@ -196,3 +196,19 @@ def test_catalog_admission_is_the_sequential_loop(spark, seed):
     got = lookup.admitted(spark.createDataFrame(rows, "pos long, name string, url string"), "pos", ["name", "url"])
     assert sorted(r["pos"] for r in got.collect()) == want
     assert lookup.admitted(got.limit(0), "pos", ["name", "url"]).count() == 0
+
+
+def test_items_of_many_feeds_pass_in_small_batches(spark, monkeypatch):
+    """What a task holds doesn't grow with the bodies of a batch or the items of a body."""
+    import pyarrow as pa
+
+    bodies = spark.createDataFrame([("b",)], "body string")
+    made, real = [], type(bodies).mapInArrow
+    monkeypatch.setattr(type(bodies), "mapInArrow", lambda self, run, *more: made.append(run) or real(self, run, *more))
+    feeds.parse_xml_feed(bodies)
+    item = "<item><title>T {}</title><link>https://a.example/{}</link></item>"
+    feed = lambda a, n: "<rss>" + "".join(item.format(i, i) for i in range(a, a + n)) + "</rss>"
+    batch = pa.RecordBatch.from_arrays([pa.array([*(feed(50 * k, 50) for k in range(50)), None, "<rss", feed(2500, 2600)], pa.string())], names=["body"])
+    out = list(made[0](iter([batch])))
+    assert max(b.num_rows for b in out) <= 1000
+    assert [t for b in out for t in b.column("title").to_pylist()] == [f"T {i}" for i in range(5100)]

@@ -26,6 +26,8 @@ TITLE_KEYS = ["title", "headline", "summary", "text", "body", "message"]
 URL_KEYS = ["url", "link", "href", "uri", "permalink", "source_url"]
 BODY_KEYS = ["body", "text", "summary", "description", "content"]
 ENVELOPES = ["data", "payload", "message"]
+#: Items that a task of ``parse_xml_feed`` holds before it passes them on.
+ITEMS_A_BATCH = 1000
 
 
 def _first(*tries: Column) -> Column:
@@ -153,13 +155,25 @@ def parse_xml_feed(bodies: DataFrame, fallback: str = "") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            # A batch holds thousands of bodies, and a body many items: neither is held whole as Python's own strings.
             taken, found = [], []
-            for i, body in enumerate(batch.column(len(kept)).to_pylist()):
-                own = [x for x in _feed_items(body or "") if x[0] and x[1] and x[2]]
-                taken += [i] * len(own)
-                found += own
-            columns = [batch.column(k).take(pa.array(taken, pa.int64())) for k in range(len(kept))]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x[k] for x in found], pa.string()) for k in range(5))], names=[*kept, *raw])
+
+            def out(batch=batch) -> pa.RecordBatch:
+                columns = [batch.column(k).take(pa.array(taken, pa.int64())) for k in range(len(kept))]
+                made = pa.RecordBatch.from_arrays([*columns, *(pa.array([x[k] for x in found], pa.string()) for k in range(5))], names=[*kept, *raw])
+                taken.clear()
+                found.clear()
+                return made
+
+            for i, body in enumerate(batch.column(len(kept))):
+                for item in _feed_items(body.as_py() or ""):
+                    if item[0] and item[1] and item[2]:
+                        taken.append(i)
+                        found.append(item)
+                        if len(found) >= ITEMS_A_BATCH:
+                            yield out()
+            if found:
+                yield out()
 
     rows = bodies.select(*kept, F.col("body").cast("string")).mapInArrow(run, schema)
     own = domain_of(F.col("link"), F.lit(fallback))
