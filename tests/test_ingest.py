@@ -212,3 +212,15 @@ def test_items_of_many_feeds_pass_in_small_batches(spark, monkeypatch):
     out = list(made[0](iter([batch])))
     assert max(b.num_rows for b in out) <= 1000
     assert [t for b in out for t in b.column("title").to_pylist()] == [f"T {i}" for i in range(5100)]
+
+
+def test_equal_contents_are_enriched_once(spark, monkeypatch):
+    """The costly part grows with distinct contents; ids, times and links of each capture stay its own."""
+    rows = [(str(i), None if i % 4 == 0 else f"Apple beats {i % 4}", "Oil fell." if i % 3 else "", None if i % 5 == 0 else "reuters.com", "rss", f"u{i}") for i in range(240)]
+    df = spark.createDataFrame(rows, "capture_id string, title string, text string, domain string, source_type string, url string")
+    asked, real = [], en._enriched
+    monkeypatch.setattr(en, "_enriched", lambda captures: asked.append(captures.count()) or real(captures))
+    out = en.enrich(df)
+    assert asked == [len({r[1:5] for r in rows})]
+    plain = lambda d: sorted(map(repr, d.select(*(F.array_sort(F.map_entries(c)).alias(c) if c == "component_scores" else c for c in d.columns)).collect()))
+    assert plain(out) == plain(real(df)) and out.schema.names == real(df).schema.names

@@ -202,8 +202,33 @@ def _passed(scores: Column, least: float) -> Column:
     return F.transform(F.array_sort(entries), lambda x: x["key"])
 
 
+#: What of a capture its record follows from; the rest is carried along.
+CONTENT = ["title", "text", "domain", "source_type"]
+CARRIED = {"capture_id": "string", "doc_id": "string", "published_ts": "timestamp", "language": "string", "url": "string"}
+
+
 def enrich(captures: DataFrame) -> DataFrame:
-    """Records of captures (capture_id unique, title, text, domain, source_type, ...)."""
+    """Records of captures (capture_id, title, text, domain, source_type, ...).
+
+    Enrichment costs milliseconds a text and moving a row costs microseconds,
+    so captures of equal content are enriched once and joined.
+    """
+    spark = captures.sparkSession
+    # Lengths before the parts, so that no two contents are written alike.
+    content = F.sha2(F.concat(*(F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")) for c in CONTENT)), 256)
+    keyed = captures.withColumn("_content", content)
+    distinct = keyed.select(F.col("_content").alias("capture_id"), *CONTENT).dropDuplicates(["capture_id"])
+    # A number of its own, as contents are few bytes and much work.
+    partitions = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    known = _enriched(distinct.repartition(partitions, "capture_id"))
+    made = [c for c in known.columns if c not in (*CARRIED, *CONTENT)]
+    carried = keyed.select("_content", "title", "domain", *(F.col(c) if c in captures.columns else F.lit(None).cast(kind).alias(c) for c, kind in CARRIED.items()))
+    out = carried.join(known.select(F.col("capture_id").alias("_content"), *made), "_content")
+    return out.select(*known.columns)
+
+
+def _enriched(captures: DataFrame) -> DataFrame:
+    """``enrich`` of captures whose id is unique, each by itself."""
     scores = label_scores(captures).groupBy("capture_id").agg(F.collect_list(F.struct("kind", "label", "score")).alias("_labels"))
     rows = with_symbols(with_entities(sentiment(prefilter(captures)))).join(scores, "capture_id", "left")
     rows = rows.withColumn("_labels", F.coalesce("_labels", F.array().cast("array<struct<kind:string,label:string,score:double>>")))
