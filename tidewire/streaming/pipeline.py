@@ -107,8 +107,9 @@ def upsert_records(captures: DataFrame, path: str, checkpoint: str, available_no
     def write(batch: DataFrame, number: int) -> None:
         if errors is not None:
             failures(batch).write.mode("overwrite").parquet(f"{errors}/batch={number}")
-        once = batch.filter(is_valid()).drop(RAW).dropDuplicates(["capture_id"])
-        overwrite_buckets(enrich(once).withColumn("created_at", F.coalesce("published_ts", F.lit("1970-01-01").cast("timestamp"))), path, ["capture_id"])
+        # Equal contents are enriched once anyway, and an arbitrary choice among equal ids comes last.
+        once = enrich(batch.filter(is_valid()).drop(RAW)).dropDuplicates(["capture_id"])
+        overwrite_buckets(once.withColumn("created_at", F.coalesce("published_ts", F.lit("1970-01-01").cast("timestamp"))), path, ["capture_id"])
 
     writer = captures.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
