@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -15,7 +16,7 @@ from tidewire.functions import text as tx
 from tidewire.functions.time import parse_timestamp
 from tidewire.operators import lookup
 from tidewire.plans import enrich as en
-from tidewire.sources import feeds, sinks
+from tidewire.sources import captures, feeds, sinks
 from tidewire.streaming import pipeline as st
 
 # Our own captures: title, text, domain, and what must be found.
@@ -111,6 +112,61 @@ def test_upsert_is_idempotent_and_newest_wins(spark, tmp_path):
     assert {(r["capture_id"], r["v"]) for r in spark.read.parquet(path).collect()} == {("a", 2), ("b", 1)}
 
 
+def _files(folder):
+    return {str(f.relative_to(folder)) for f in folder.rglob("*.parquet")}
+
+
+def test_upsert_rewrites_only_what_a_batch_replaces(spark, tmp_path):
+    t = datetime(2024, 1, 1)
+    rows = lambda *x: spark.createDataFrame(list(x), "capture_id string, v int, m map<string,double>, created_at timestamp")
+    table, path, scratch = tmp_path / "table", f"file://{tmp_path}/table", Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    first = [(str(k), k, {"x": k / 7}, t) for k in range(40)]
+    sinks.overwrite_buckets(rows(*first), path, ["capture_id"], buckets=8)
+    before, left = _files(table), set(scratch.glob("upsert-*"))
+    sinks.overwrite_buckets(rows(*first), path, ["capture_id"], buckets=8)
+    assert _files(table) == before  # a batch that runs again writes nothing
+    sinks.overwrite_buckets(rows(*first, ("new", 1, None, t)), path, ["capture_id"], buckets=8)
+    assert _files(table) > before and len(_files(table)) == len(before) + 1  # a new key adds a file
+    before = _files(table)
+    # One row of another microsecond, and an older one that loses.
+    sinks.overwrite_buckets(rows(("3", 3, {"x": 3 / 7}, t + timedelta(microseconds=1)), ("4", 0, None, t - timedelta(1))), path, ["capture_id"], buckets=8)
+    gone = before - _files(table)
+    assert len({f.split("/")[0] for f in gone}) == 1
+    got = {r["capture_id"]: (r["v"], r["created_at"]) for r in spark.read.parquet(path).collect()}
+    assert got == {**{str(k): (k, t) for k in range(40)}, "3": (3, t + timedelta(microseconds=1)), "new": (1, t)}
+    assert set(scratch.glob("upsert-*")) == left == set()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_upserts_against_a_plain_model(spark, tmp_path, monkeypatch, seed):
+    monkeypatch.setattr(sinks, "MANY_FILES", 2)  # buckets are also written as one again
+    rng, path, held = random.Random(seed), f"file://{tmp_path}/table", {}
+    for _ in range(5):
+        batch = []
+        for k in [None, *map(str, range(30))]:
+            # Rows of one key in a batch differ in time; a time may be missing, which loses.
+            days = rng.sample([None, 1, 2, 3, 4], rng.choice([0, 0, 1, 1, 2]))
+            batch += [(k, rng.randrange(3), None if d is None else datetime(2024, 1, d)) for d in days]
+        sinks.overwrite_buckets(spark.createDataFrame(batch, "capture_id string, v int, created_at timestamp"), path, ["capture_id"], buckets=4)
+        age = lambda r: (r[2] is not None, r[2])
+        for r in sorted(batch, key=lambda r: (r[2] is not None, r[2] or datetime(1970, 1, 1))):
+            if r[0] not in held or held[r[0]][2] is None or (r[2] is not None and age(r) >= age(held[r[0]])):
+                held[r[0]] = r
+    got = [tuple(r) for r in spark.read.parquet(path).select("capture_id", "v", "created_at").collect()]
+    assert len(got) == len(held) and {r[0]: r for r in got} == held
+
+
+def test_captures_are_written_compressed(spark, tmp_path):
+    t = datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(str(k), str(k), "Rates rise", "The Federal Reserve raised rates.", t) for k in range(50)], "capture_id string, doc_id string, title string, text string, published_ts timestamp")
+    captures.write_captures(rows, f"file://{tmp_path}/in")
+    assert {f.suffix for f in (tmp_path / "in").rglob("part-*")} == {".gz"}
+    assert {r["capture_id"] for r in captures.read_captures(spark, f"file://{tmp_path}/in").collect()} == set(map(str, range(50)))
+    for _ in range(2):
+        st.upsert_records(captures.stream_captures(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint").awaitTermination()
+    assert {r["capture_id"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()} == set(map(str, range(50)))
+
+
 def test_tags(spark):
     t = datetime(2024, 1, 1)
     tags = spark.createDataFrame([("1", "x", t)], "capture_id string, tag string, created_at timestamp")

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from tidewire import lexicon
 from tidewire.functions.fuzzy import nearest_names
 from tidewire.functions.text import cashtags, equity_shaped, matched, paren_tickers, sentences, strip, whole_word
+from tidewire.session import materialize
 from tidewire.taxonomy import DEFAULT_DOMAIN_PRIOR, DEFAULT_SOURCE_PRIOR, DOMAIN_PRIORS, HORIZONS, SOURCE_PRIORS, THRESHOLDS, aliases
 
 # What each part adds to the relevance score.
@@ -207,11 +208,13 @@ CONTENT = ["title", "text", "domain", "source_type"]
 CARRIED = {"capture_id": "string", "doc_id": "string", "published_ts": "timestamp", "language": "string", "url": "string"}
 
 
-def enrich(captures: DataFrame) -> DataFrame:
+def enrich(captures: DataFrame, settled: bool = False) -> DataFrame:
     """Records of captures (capture_id, title, text, domain, source_type, ...).
 
     Enrichment costs milliseconds a text and moving a row costs microseconds,
-    so captures of equal content are enriched once and joined.
+    so captures of equal content are enriched once and joined.  With ``settled``
+    the contents are enriched here and now and written: their size is known
+    then, and a few of them are sent to the captures instead of the other way.
     """
     spark = captures.sparkSession
     # Lengths before the parts, so that no two contents are written alike.
@@ -221,6 +224,8 @@ def enrich(captures: DataFrame) -> DataFrame:
     # A number of its own, as contents are few bytes and much work.
     partitions = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     known = _enriched(distinct.repartition(partitions, "capture_id"))
+    if settled:
+        known = materialize(known, "enriched")
     made = [c for c in known.columns if c not in (*CARRIED, *CONTENT)]
     carried = keyed.select("_content", "title", "domain", *(F.col(c) if c in captures.columns else F.lit(None).cast(kind).alias(c) for c, kind in CARRIED.items()))
     out = carried.join(known.select(F.col("capture_id").alias("_content"), *made), "_content")

@@ -6,8 +6,10 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,15 +63,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-#: Scratch tables made since each open ``materialize_alone`` began.
-_made: list[list[str]] = []
+class _Made(threading.local):
+    """Scratch tables of a thread (a stream's batches have one of their own), by open ``scratch_removed``."""
+
+    def __init__(self):
+        self.lists: list[list[str]] = []
+
+
+_made = _Made()
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    for made in _made:
+    for made in _made.lists:
         made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
@@ -77,17 +85,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def materialize_alone(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
     """``materialize(make(), label)``, after which the scratch tables that ``make`` made on its way are removed."""
-    _made.append([])
+    _made.lists.append([])
     try:
         df = make()
     finally:
-        inner = _made.pop()
+        inner = _made.lists.pop()
     out = materialize(df, label)
     for path in inner:
         remove(spark, path)
     return out
 
 
+@contextmanager
+def scratch_removed(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made within are removed at the end; nothing that reads them may be left."""
+    _made.lists.append([])
+    try:
+        yield
+    finally:
+        for path in _made.lists.pop():
+            remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Remove a folder through Spark's own file systems, wherever it is."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

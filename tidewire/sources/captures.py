@@ -8,8 +8,8 @@ from pyspark.sql.streaming import DataStreamReader
 
 from tidewire.schemas import CAPTURE
 
-#: Finalized files; a writer's temporary names don't fit.
-NAMES = "*.{jsonl,json}"
+#: Finalized files, plain or compressed; a writer's temporary names don't fit.
+NAMES = "*.{jsonl,json,jsonl.gz,json.gz}"
 #: The column of a line that doesn't parse.
 RAW = "_raw_line"
 NEEDED = ("capture_id", "doc_id", "text")
@@ -56,7 +56,7 @@ def stream_captures(spark: SparkSession, path: str, files_per_batch: int = 100,
 
 
 def write_captures(captures: DataFrame, path: str, files: int = 8) -> None:
-    """One folder for each day of observation, with ``files`` files at most, so that a busy day is several tasks' work."""
+    """One folder for each day of observation, with ``files`` compressed files at most, so that a busy day is several tasks' work."""
     day = F.coalesce(*(c for c in ("observed_ts", "published_ts") if c in captures.columns))
     parts = captures.withColumns({"y": F.date_format(day, "yyyy"), "m": F.date_format(day, "MM"), "d": F.date_format(day, "dd")})
-    parts.repartition("y", "m", "d", F.pmod(F.xxhash64("capture_id"), F.lit(files))).write.mode("append").partitionBy("y", "m", "d").json(path)
+    parts.repartition("y", "m", "d", F.pmod(F.xxhash64("capture_id"), F.lit(files))).write.mode("append").partitionBy("y", "m", "d").option("compression", "gzip").json(path)

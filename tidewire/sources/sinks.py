@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections import Counter
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import csv_safe
-from tidewire.session import materialize
+from tidewire.session import materialize, scratch_removed
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: str = "created_at") -> DataFrame:
@@ -16,22 +20,72 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: str = "crea
     return both.withColumn("_r", rank).filter("_r = 1").drop("_r", "_new")
 
 
-def overwrite_buckets(new: DataFrame, path: str, keys: list[str], order: str = "created_at", buckets: int = 64) -> None:
-    """Upsert into a table partitioned by a hash of its keys: only the buckets that ``new`` touches are read and rewritten."""
-    spark = new.sparkSession
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    fresh = new.withColumn("bucket", bucket)
+def _digest(rows: DataFrame) -> Column:
+    """SHA-256 of a row's columns: what two rows with equal keys are compared by."""
+    exact = {f"{kind}Format": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS" + zone for kind, zone in (("timestamp", "XXX"), ("timestampNTZ", ""))}
+    return F.unhex(F.sha2(F.to_json(F.struct(*rows.columns), exact), 256))
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        old = spark.read.parquet(path)
+        return spark.read.parquet(path)
     except Exception as error:  # the first batch finds no table
         if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
             raise
-        old = fresh.limit(0)
-    touched = old.join(F.broadcast(fresh.select("bucket").distinct()), "bucket", "left_semi").select(*fresh.columns)
-    merged = upserted(touched, fresh, keys, order)
-    # Rows are held apart from the files that are about to be replaced.
-    merged = materialize(merged, "upsert")
-    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        return None
+
+
+#: Files of a bucket from which it is written as one again.
+MANY_FILES = 16
+
+
+def overwrite_buckets(new: DataFrame, path: str, keys: list[str], order: str = "created_at", buckets: int = 64) -> None:
+    """Upsert into a table partitioned by a hash of its keys; of a key the newest row stays, one of ``new`` on ties.
+
+    Rows of keys that the table lacks are added to their buckets.  Only buckets
+    in which a row is replaced by another one (or that have come to many files)
+    are read whole and rewritten, so a batch that runs again writes nothing.
+    What is compared are keys, and digests of the rows of buckets that hold a
+    key of ``new``; both steps may run again after a failure.
+    """
+    spark = new.sparkSession
+    with scratch_removed(spark):
+        # Evaluated once, and apart from the files that are about to be replaced.
+        fresh = materialize(new.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), "upsert")
+        stored = _stored(spark, path)
+        rows, files = fresh.select("bucket", *keys, F.lit(1).alias("_new")), Counter()
+        if stored is not None:
+            files.update(int(x) for f in stored.inputFiles() for x in re.findall(r"/bucket=(\d+)/", f))
+            old = stored.join(F.broadcast(fresh.select("bucket").distinct()), "bucket", "left_semi").select(*fresh.columns)
+            rows = rows.unionByName(old.select("bucket", *keys, F.lit(0).alias("_new")))
+        seen = rows.groupBy("bucket", *keys).agg(F.sum("_new").alias("n"), F.count_if(F.col("_new") == 0).alias("held")).filter("n > 0")
+        # One row for each bucket.
+        told = seen.groupBy("bucket").agg(F.count_if(F.col("held") == 0).alias("added"), F.count_if(F.col("held") > 0).alias("met"), F.count_if(F.col("n") > 1).alias("doubled")).collect()
+        if any(r["doubled"] for r in told):
+            rank = F.row_number().over(Window.partitionBy("bucket", *keys).orderBy(F.desc(order), F.desc("_digest")))
+            fresh = fresh.withColumn("_digest", _digest(fresh)).withColumn("_r", rank).filter("_r = 1").drop("_digest", "_r")
+        met = [r["bucket"] for r in told if r["met"]]
+        added = [r["bucket"] for r in told if r["added"]]
+        whole = {b for b in added if files[b] >= MANY_FILES}
+        if met:
+            of = F.col("bucket").isin(met)
+            lines = lambda rows, name: rows.filter(of).select("bucket", *keys, F.struct(F.col(order).alias("at"), _digest(rows).alias("digest")).alias(name))
+            pairs = lines(fresh, "new").unionByName(lines(old, "old"), allowMissingColumns=True).groupBy("bucket", *keys).agg(F.max("new").alias("new"), F.max("old").alias("old"))
+            later = F.col("old.at").isNull() | F.coalesce(F.col("new.at") >= F.col("old.at"), F.lit(False))
+            replaced = pairs.filter(F.col("new").isNotNull() & F.col("old").isNotNull() & later & (F.col("new.digest") != F.col("old.digest")))
+            whole |= {r["bucket"] for r in replaced.select("bucket").distinct().collect()}
+        rest = [b for b in added if b not in whole]
+        if rest:
+            more = fresh.filter(F.col("bucket").isin(rest))
+            if set(rest) & set(met):
+                held = old.filter(F.col("bucket").isin(rest)).select(*(F.col(c).alias(f"_held_{c}") for c in ("bucket", *keys)))
+                more = more.join(held, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_held_{c}")) for c in ("bucket", *keys))), "left_anti")
+            more.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+        if whole:
+            of = F.col("bucket").isin(*whole)
+            # Rows are held apart from the files that are about to be replaced.
+            merged = materialize(upserted(old.filter(of), fresh.filter(of), keys, order), "upsert")
+            merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def newest_per_table(rows: DataFrame, keep: int, order: str = "id") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewire.functions.text import canonical_url, normal_title
 from tidewire.plans.enrich import enrich
+from tidewire.session import scratch_removed
 from tidewire.sources.captures import RAW, failures, is_valid
 from tidewire.sources.sinks import overwrite_buckets
 
@@ -107,9 +108,11 @@ def upsert_records(captures: DataFrame, path: str, checkpoint: str, available_no
     def write(batch: DataFrame, number: int) -> None:
         if errors is not None:
             failures(batch).write.mode("overwrite").parquet(f"{errors}/batch={number}")
-        # Equal contents are enriched once anyway, and an arbitrary choice among equal ids comes last.
-        once = enrich(batch.filter(is_valid()).drop(RAW)).dropDuplicates(["capture_id"])
-        overwrite_buckets(once.withColumn("created_at", F.coalesce("published_ts", F.lit("1970-01-01").cast("timestamp"))), path, ["capture_id"])
+        # The batch's session is a copy that the stream alone has: what a step has shuffled goes with the step.
+        batch.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+        with scratch_removed(batch.sparkSession):
+            records = enrich(batch.filter(is_valid()).drop(RAW), settled=True)
+            overwrite_buckets(records.withColumn("created_at", F.coalesce("published_ts", F.lit("1970-01-01").cast("timestamp"))), path, ["capture_id"])
 
     writer = captures.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
