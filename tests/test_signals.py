@@ -261,3 +261,54 @@ def test_repeated_features_of_a_great_island_are_compared_once(spark, monkeypatc
     split = sorted(map(tuple, stories.cluster_records(df, domains=2).collect()))
     assert asked == [30]
     assert [x[:-1] for x in split] == [x[:-1] for x in alone] and [x[-1] for x in split] == pytest.approx([x[-1] for x in alone])
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_runs_of_equal_features_are_followed_as_one(spark, monkeypatch, seed):
+    """One task follows runs, not rows; features that others extend, too few to be near, and rows without a time included."""
+    rng = random.Random(seed)
+    kinds = [{"candidate_symbols": ["a"], "impact_reason_codes": ["r"]}, {"candidate_symbols": ["a"], "impact_reason_codes": ["r"], "candidate_entities": ["e"]}, {"candidate_symbols": ["a"]}]
+    kinds += [{"impact_reason_codes": [f"r{k % 3}"], "title": f"w{k}"} for k in range(4)] + [{"asset_classes": ["x"]}, {}]
+    kinds = kinds[: 3 if seed == 1 else None]
+    at, rows = 0.0, []
+    for i in range(500):
+        at += rng.choice([0.0, 0.5, 3.0, 12.0])
+        untimed = {"published_ts": None, "created_at": None} if seed == 4 and rng.random() < 0.1 else {}
+        rows.append(record(i, at, domain=f"d{i % 3}.example", finance_relevance_score=rng.random(), **rng.choice(kinds), **untimed))
+    df = frame(spark, rows)
+    alone = sorted(map(tuple, stories.cluster_records(df, least=1).collect()))
+    monkeypatch.setattr(stories, "ALONE_ROWS", 0)
+    monkeypatch.setattr(stories, "CHUNK_ROWS", 3)
+    followed, real = [], stories.placed_runs
+    monkeypatch.setattr(stories, "placed_runs", lambda rows, *more: followed.append(rows.filter("place = run").count()) or real(rows, *more))
+    split = sorted(map(tuple, stories.cluster_records(df, least=1).collect()))
+    assert [x[:-1] for x in split] == [x[:-1] for x in alone] and [x[-1] for x in split] == pytest.approx([x[-1] for x in alone])
+    assert followed[0] < 500
+
+
+def test_long_stretches_of_equal_features_are_few_runs(spark, monkeypatch):
+    rows = [record(i, i * 0.5 + (60 if i >= 200 else 0), title=f"w{i % 4} t{i % 4}", candidate_symbols=["s"], impact_reason_codes=[f"r{i % 4}"]) for i in range(400)]
+    monkeypatch.setattr(stories, "ALONE_ROWS", 0)
+    followed, real = [], stories.placed_runs
+    monkeypatch.setattr(stories, "placed_runs", lambda rows, *more: followed.append(rows.filter("place = run").count()) or real(rows, *more))
+    got = {r["size"] for r in stories.cluster_records(frame(spark, rows)).collect()}
+    assert got == {200} and followed == [8]  # four features, before and after the pause
+
+
+def test_novelty_compares_equal_features_once(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [record(i, i, title=f"word{i % 5} news", candidate_symbols=[f"s{i % 3}"], impact_reason_codes=["r"] if rng.random() < 0.5 else []) for i in range(300)]
+    df = frame(spark, rows).repartition(3)
+    seen, real = [], stories.least_of_equal
+    monkeypatch.setattr(stories, "least_of_equal", lambda *a: seen.append(real(*a).count()) or real(*a))
+    once = sorted(map(tuple, stories.novelty(df, 20).collect()))
+    monkeypatch.setattr(stories, "least_of_equal", lambda rows, asked: rows)
+    each = sorted(map(tuple, stories.novelty(df, 20).collect()))
+    assert once == each and len(once) == 20 and seen[0] <= 30 + 20
+
+
+def test_dashboard_items_do_not_pass_the_driver(spark):
+    out = dashboard.snapshot(frame(spark, [record(i, i) for i in range(5)]), {"all": lambda r: r.orderBy("capture_id"), "none": lambda r: r.limit(0)})
+    assert out.inputFiles()
+    got = [(r["signal"], r["rank"], r["item"] and '"capture_id":"' in r["item"], r["error"]) for r in out.orderBy("signal", "rank").collect()]
+    assert got == [("all", k, True, None) for k in range(1, 6)] + [("none", 0, None, None)]

@@ -85,10 +85,12 @@ def symbol_bursts(records: DataFrame, minutes: int = 30, window: int = 12, thres
     buckets in it, found by the buckets' ordinal numbers.
     """
     rows = anchored(records, minutes)
-    ordinals = rows.select("bucket").distinct().withColumn("i", F.row_number().over(Window.orderBy("bucket")) - 1)
     symbols = F.array_distinct(F.filter(F.transform("candidate_symbols", lambda s: F.trim(s)), lambda s: s != ""))
+    # Records pass once; a bucket without symbols still counts.
+    counted = materialize(rows.select("bucket", F.explode_outer(symbols).alias("symbol")).groupBy("symbol", "bucket").agg(F.count(F.lit(1)).alias("observed")), "burst-counts")
+    ordinals = counted.select("bucket").distinct().withColumn("i", F.row_number().over(Window.orderBy("bucket")) - 1)
     named = rows.select("bucket", "capture_id", "us", F.explode(symbols).alias("symbol"))
-    counts = named.groupBy("symbol", "bucket").agg(F.count(F.lit(1)).alias("observed")).join(ordinals, "bucket")
+    counts = counted.filter("symbol is not null").join(ordinals, "bucket")
     frame = Window.partitionBy("symbol").orderBy("i").rangeBetween(-window, -1)
     n = F.least(F.col("i"), F.lit(window))
     mean = F.coalesce(F.sum("observed").over(frame), F.lit(0)) / n
@@ -108,13 +110,15 @@ def news_velocity(records: DataFrame, bucket_minutes: int = 5, window_minutes: i
     """One row: the latest rate, its exponential averages, median, deviation, z and regime over the window before the newest record."""
     size = bucket_minutes * 60
     rows = timed(records).select(F.floor(F.col("us") / 1_000_000).alias("s"), "us")
-    newest = rows.agg(F.max("us").alias("top"))
+    # One number, so that the window is a plain filter.
+    top = rows.agg(F.max("us")).first()[0]
+    newest = records.sparkSession.createDataFrame([(top,)], "top long")
     span = newest.select(
         F.col("top").alias("top"),
         floor_to(F.floor((F.col("top") - window_minutes * MINUTE) / 1_000_000), size).alias("lo"),
         floor_to(F.floor(F.col("top") / 1_000_000), size).alias("hi"),
     ).filter("top is not null")
-    recent = rows.join(F.broadcast(newest), F.col("us") >= F.col("top") - window_minutes * MINUTE)
+    recent = rows.filter(F.lit(False) if top is None else F.col("us") >= top - window_minutes * MINUTE)
     counts = recent.groupBy(floor_to(F.col("s"), size).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     spine = span.select(F.explode(F.sequence("lo", "hi", F.lit(size).cast("long"))).alias("bucket"))
     series = spine.join(counts, "bucket", "left").select("bucket", (F.coalesce("n", F.lit(0)) / bucket_minutes).alias("rate"))
@@ -141,7 +145,8 @@ def asset_grid(records: DataFrame, minutes: int = 30) -> DataFrame:
     """
     size = minutes * 60
     rows = timed(records).filter(F.size("asset_classes") > 0).select(floor_to(F.floor(F.col("us") / 1_000_000), size).alias("bucket"), F.explode(F.array_distinct("asset_classes")).alias("asset"))
-    counts = rows.groupBy("asset", "bucket").agg(F.count(F.lit(1)).alias("observed"))
+    # Records pass once.
+    counts = materialize(rows.groupBy("asset", "bucket").agg(F.count(F.lit(1)).alias("observed")), "asset-counts")
     ends = counts.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).filter("lo is not null")
     # Each asset class spreads its own buckets: only the two ends are sent round.
     grid = counts.select("asset").distinct().crossJoin(F.broadcast(ends)).select("asset", F.explode(F.sequence("lo", "hi", F.lit(size).cast("long"))).alias("bucket"))

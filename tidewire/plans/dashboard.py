@@ -68,22 +68,27 @@ def snapshot(records: DataFrame, signals: dict[str, Signal] | None = None) -> Da
 
     A signal that fails has one row that says so, and the others go on; one
     without items has one row of rank 0.  The lists are the signals' reports,
-    a few dozen items each, so they pass the driver.
+    a few dozen items each, but an item can be long (all ids of a cluster), so
+    they are written, and the driver has none of them.
     """
     spark = records.sparkSession
     signals = signals or sharing_clusters(SIGNALS)
     corpus = records.persist(StorageLevel.MEMORY_AND_DISK)
-    out = []
+    out, schema = None, "signal string, rank int, item string, error string"
     try:
         for name, signal in signals.items():
             try:
-                items = [r[0] for r in signal(corpus).select(F.to_json(F.struct("*"))).collect()]
-                out += [(name, i, item, None) for i, item in enumerate(items, 1)] or [(name, 0, None, None)]
+                items = signal(corpus).select(F.to_json(F.struct("*")).alias("item")).withColumn("_at", F.monotonically_increasing_id())
+                rank = F.row_number().over(Window.orderBy("_at")).cast("int")
+                rows = materialize(items.select(F.lit(name).alias("signal"), rank.alias("rank"), "item", F.lit(None).cast("string").alias("error")), "dashboard-items")
+                if rows.isEmpty():
+                    rows = spark.createDataFrame([(name, 0, None, None)], schema)
             except Exception as error:  # a signal's own failure is part of the report
-                out.append((name, 0, None, type(error).__name__))
+                rows = spark.createDataFrame([(name, 0, None, type(error).__name__)], schema)
+            out = rows if out is None else out.unionByName(rows)
     finally:
         corpus.unpersist()
-    return spark.createDataFrame(out, "signal string, rank int, item string, error string")
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def counts(snapshot: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.time import SESSIONS, floor_to, session_name
+from tidewire.session import materialize
 from tidewire.sources.records import timed
 
 EPSILON = 1e-3
@@ -43,7 +44,8 @@ def label_shares(records: DataFrame, minutes: int = 60) -> DataFrame:
 def regime_shifts(records: DataFrame, minutes: int = 60, threshold: float = 0.40, least: int = 3) -> DataFrame:
     """Each non-empty bucket's divergence of its label mix from the bucket before it, and whether that is a shift."""
     size = minutes * 60
-    shares = label_shares(records, minutes)
+    # Records pass once for them.
+    shares = materialize(label_shares(records, minutes), "label-shares")
     rows = timed(records).withColumn("bucket", floor_to(F.floor(F.col("us") / 1_000_000), size))
     counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg("finance_relevance_score").alias("mean_relevance"))
     order = Window.orderBy("bucket")

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -294,8 +296,11 @@ class Assigner:
         self.met: dict[bytes, tuple[tuple[int, ...], set[int] | None]] = {}
         self.compared = 0
 
-    def again(self, us: int | None, key: bytes) -> int:
-        """The story of a row whose key was met before: that of a twin without any comparison, where one lives."""
+    def again(self, us: int | None, key: bytes, end: int | None = None) -> int:
+        """The story of a row whose key was met before: that of a twin without any comparison, where one lives.
+
+        ``end`` is the time of the last row of its run (see ``in_runs``), if there are more.
+        """
         oldest = -np.inf if us is None else us - self.window
         newest = self.newest
         numbers, twins = self.met[key]
@@ -306,16 +311,18 @@ class Assigner:
         if twins and self.ageing and len(twins) > 16:
             twins.intersection_update([x for x in twins if newest[x] >= oldest])
         if story < 0:
-            return self.story(us, self.index.features(numbers), key, [] if twins is None else None)
-        if us is not None and newest[story] < us:
-            newest[story] = us
+            return self.story(us, self.index.features(numbers), key, [] if twins is None else None, end)
+        end = us if end is None else end
+        if end is not None and newest[story] < end:
+            newest[story] = end
         own = self.stories.setdefault(key, set())
         if story not in own:
             own.add(story)
             self.index.add(self.index.features(numbers), story)
         return story
 
-    def story(self, us: int | None, features: tuple[frozenset, ...], key: bytes, hints: Hints | None = None) -> int:
+    def story(self, us: int | None, features: tuple[frozenset, ...], key: bytes, hints: Hints | None = None, end: int | None = None) -> int:
+        end = us if end is None else end
         oldest = -np.inf if us is None else us - self.window
         newest = self.newest
         if self.index.members.crowded():
@@ -337,9 +344,9 @@ class Assigner:
             story, self.count = self.count, self.count + 1
             if story == len(newest):
                 self.newest = newest = np.concatenate([newest, np.zeros(story)])
-            newest[story] = np.inf if us is None else us
+            newest[story] = np.inf if us is None else end
         if us is not None and newest[story] != np.inf:
-            newest[story] = max(newest[story], us)
+            newest[story] = max(newest[story], end)
         own = self.stories.setdefault(key, set())
         if story not in own:
             own.add(story)
@@ -410,8 +417,8 @@ CLUSTER = (
 
 #: Rows of the largest island that one task follows by itself; in a larger one features that a task compares (a chunk), chunks of a span that it is compared with, and chunks at most.
 ALONE_ROWS, CHUNK_ROWS, SPAN_CHUNKS, MOST_CHUNKS = 200_000, 6000, 32, 64
-#: Raw features that a task remembers.
-REMEMBERED = 50_000
+#: Raw features whose keys a task remembers.
+REMEMBERED = 200_000
 LISTS = ("candidate_symbols", "impact_reason_codes", "asset_classes", "candidate_entities")
 FEATURES = T.ArrayType(T.ArrayType(T.StringType()))
 HINTS = "array<struct<level: double, keys: array<binary>>>"
@@ -422,41 +429,95 @@ ORDER = ("late", "size", "id")
 
 
 def keyed(rows: DataFrame) -> DataFrame:
-    """``rows`` without title and lists, with the key of their features; ``features`` stand beside a key where a task meets it first."""
+    """``rows`` without title and lists, with the key of their features; ``features`` stand beside a key where a task meets it first.
+
+    Raw features come as one text, so that only texts that a batch has not met before are looked at.
+    """
     kept = [c for c in rows.columns if c not in ("title", *LISTS)]
     added = [T.StructField("key", T.BinaryType()), T.StructField("features", FEATURES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, told = {}, set()
         for batch in batches:
-            keys, lists = [], []
-            for title, *parts in zip(*(batch.column(c).to_pylist() for c in ("title", *LISTS)), strict=True):
-                raw = (title, *(None if x is None else tuple(x) for x in parts))
-                found = known.get(raw)
-                if found is None:
-                    own = _features(dict(zip(("title", *LISTS), raw, strict=True)))
+            coded = batch.column("raw").dictionary_encode()
+            keys, new = [], {}
+            for n, raw in enumerate(coded.dictionary.to_pylist()):
+                key = known.get(raw)
+                if key is None:
+                    own = _features(json.loads(raw))
                     if len(known) >= REMEMBERED:
                         known.clear()
-                    found = known[raw] = feature_key(own), [sorted(x) for x in own]
-                keys.append(found[0])
-                lists.append(None if found[0] in told else found[1])
-                told.add(found[0])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(keys, pa.binary()), pa.array(lists, FEATURE_TYPE)], names=[*kept, "key", "features"])
+                    key = known[raw] = feature_key(own)
+                    if key not in told:
+                        told.add(key)
+                        new[n] = [sorted(x) for x in own]
+                keys.append(key)
+            lists = [None] * batch.num_rows
+            if new:
+                codes, first = np.unique(coded.indices.to_numpy(), return_index=True)
+                for n, at in zip(codes.tolist(), first.tolist(), strict=True):
+                    lists[at] = new.get(n)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(keys, pa.binary()).take(coded.indices), pa.array(lists, FEATURE_TYPE)], names=[*kept, "key", "features"])
+
+    raw = rows.select(*kept, F.to_json(F.struct("title", *LISTS)).alias("raw"))
+    return raw.mapInArrow(run, T.StructType([*(rows.schema[c] for c in kept), *added]))
 
-    out = rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in kept), *added]))
+
+def ordered(rows: DataFrame) -> DataFrame:
+    """Add the columns of ``ORDER``."""
     text = F.coalesce("capture_id", F.lit(""))
-    return out.withColumns({"late": F.coalesce("us", F.lit((1 << 63) - 1)), "size": F.length(text), "id": text})
+    return rows.withColumns({"late": F.coalesce("us", F.lit((1 << 63) - 1)), "size": F.length(text), "id": text})
+
+
+def in_runs(rows: DataFrame, window_us: int) -> DataFrame:
+    """Add ``place``, a row's place among those of its key, and ``start``, the place at which its run begins.
+
+    A run's rows follow each other without a gap above the window, so the story
+    that the first one joins lives until the last one, and all are of it: a
+    later story of the same features would have to be made by a row of this key.
+    """
+    own = Window.partitionBy("island", "key").orderBy(*ORDER)
+    before = F.lag("us").over(own)
+    placed = ordered(rows).withColumns({"place": F.row_number().over(own), "before": before})
+    head = (F.col("place") == 1) | (F.col("before").isNotNull() & (F.col("us").isNull() | (F.col("us") - F.col("before") > window_us)))
+    start = F.max(F.when(head, F.col("place"))).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn("start", start).drop("before", *ORDER)
+
+
+def alone_keys(firsts: DataFrame, threshold: float) -> DataFrame:
+    """(island, key) of the features whose rows have to be followed one by one.
+
+    That is where not even a twin is near enough, and where other features of
+    the island are the same in all fields that these have: their stories count too.
+    """
+    fields = range(len(CLUSTER_WEIGHTS))
+    filled = sum((F.when(F.size(F.get("features", k)) > 0, 1 << k).otherwise(0) for k in fields), F.lit(0))
+    rows = firsts.select("island", "key", "features", filled.alias("filled"))
+    # At most 32.
+    kinds = [r["filled"] for r in rows.select("filled").distinct().collect()]
+    low = [p for p in kinds if reduce(lambda a, k: a + CLUSTER_WEIGHTS[k] * bool(p >> k & 1), fields, 0.0) < threshold]
+    out = rows.filter(F.col("filled").isin(low) if low else F.lit(False)).select("island", "key")
+    inner = [(p, q) for p in kinds for q in kinds if p != q and p & q == p]
+    if inner:
+        parts = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in inner))
+        wider = rows.select("island", "features", F.explode(F.filter(parts, lambda x: x["q"] == F.col("filled"))).alias("x"))
+        cut = F.array(*(F.when(F.col("x.p").bitwiseAND(1 << k) != 0, F.get("features", k)).otherwise(F.array().cast("array<string>")) for k in fields))
+        wider = wider.select("island", F.col("x.p").alias("filled"), F.to_json(cut).alias("sets")).distinct()
+        out = out.unionByName(rows.withColumn("sets", F.to_json("features")).join(wider, ["island", "filled", "sets"], "left_semi").select("island", "key"))
+    return out.distinct()
 
 
 def first_met(rows: DataFrame) -> DataFrame:
-    """(island, key, features, n, chunk): each of an island's features once, where it is first met, in chunks of that order."""
-    firsts = rows.groupBy("island", "key").agg(F.min(F.struct(*ORDER)).alias("at"), F.first("features", True).alias("features"))
-    firsts = materialize(firsts.select("island", "key", "features", "at.*"), "story-features")
+    """(island, key, features, n, chunk): each of an island's features once, where it is first met, in chunks of that order; ``rows`` are in runs."""
+    # A task tells a key's features once, for all islands.
+    told = rows.filter("features is not null").groupBy("key").agg(F.first("features").alias("features"))
+    firsts = ordered(rows.filter("place = 1").select("island", "key", "us", "capture_id")).join(told, "key")
+    firsts = materialize(firsts.select("island", "key", "features", *ORDER), "story-features")
     chunks = firsts.count() // chunk_rows(firsts) + 1
     # Partitions of the range are in order, and so are the numbers: partition and place in it.
     order = ["island", *ORDER, "key"]
-    ordered = firsts.repartitionByRange(chunks, *order).sortWithinPartitions(*order).withColumn("n", F.monotonically_increasing_id())
-    return materialize(ordered.withColumn("chunk", F.shiftright("n", 33).cast("int")), "story-firsts")
+    numbered = firsts.repartitionByRange(chunks, *order).sortWithinPartitions(*order).withColumn("n", F.monotonically_increasing_id())
+    return materialize(numbered.withColumn("chunk", F.shiftright("n", 33).cast("int")), "story-firsts")
 
 
 def chunk_rows(firsts: DataFrame) -> int:
@@ -520,44 +581,45 @@ def nearest_earlier(rows: DataFrame, threshold: float) -> DataFrame:
     return asked.groupBy(*by).cogroup(members.groupBy(*by)).applyInArrow(run, f"n long, hints {HINTS}")
 
 
-def placed_rows(rows: DataFrame, firsts: DataFrame, hints: DataFrame, window_us: int, threshold: float) -> DataFrame:
-    """``rows`` with ``story`` and their order ``n``: an island is followed in order, a row at a time, by one task that holds what lives.
+def placed_runs(rows: DataFrame, firsts: DataFrame, hints: DataFrame, window_us: int, threshold: float) -> DataFrame:
+    """(island, key, run, rows, story): the runs of ``rows`` (``run`` is the place of the first row) and whose they are.
 
-    Features and hints come once for each key, in lines of their own before its first row.
+    An island is followed in order, a run at a time, by one task that holds what
+    lives.  Features and hints come once for each key, in lines of their own
+    before its first run.
     """
     told = hints.groupBy("n").agg(F.collect_list("hints").alias("parts"))
     heads = firsts.join(told, "n", "left").select("island", *ORDER, "key", "features", "parts", F.lit(False).alias("row"))
-    kept = ["us", "capture_id", "domain", "finance_relevance_score"]
-    every = rows.select("island", *ORDER, "key", *kept, F.lit(True).alias("row")).unionByName(heads, allowMissingColumns=True)
+    of = ["island", "key", "run"]
+    ends = rows.groupBy(*of).agg(F.max("us").alias("end"), F.count(F.lit(1)).alias("rows"))
+    runs = ordered(rows.filter("place = run").select(*of, "us", "capture_id")).join(ends, of)
+    every = runs.select("island", *ORDER, "key", "run", "rows", "us", "end", F.lit(True).alias("row")).unionByName(heads, allowMissingColumns=True)
     order = ["island", *ORDER, "row"]
-    out = ["island", "key", *kept]
-    ordered = every.repartition("island").sortWithinPartitions(*order).select(*out, "row", "features", "parts")
+    out = ["island", "key", "run", "rows"]
+    lines = every.repartition("island").sortWithinPartitions(*order).select(*out, "us", "end", "row", "features", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        island, assigner, heads, n = None, None, {}, 0
+        island, assigner, heads = None, None, {}
         for batch in batches:
-            stories, places, is_row = [], [], batch.column("row")
+            stories, is_row = [], batch.column("row")
             new = batch.filter(pc.invert(is_row))
             fresh = zip(new.column("features").to_pylist(), new.column("parts").to_pylist(), strict=True)
-            for own, key, us, row in zip(*(batch.column(c).to_pylist() for c in ("island", "key", "us", "row")), strict=True):
+            for own, key, us, end, row in zip(*(batch.column(c).to_pylist() for c in ("island", "key", "us", "end", "row")), strict=True):
                 if assigner is None or own != island:
                     # In an island with rows of no time these come last, and may join any story.
-                    island, assigner, heads, n = own, Assigner(window_us, threshold, own != TIMELESS), {}, 0
+                    island, assigner, heads = own, Assigner(window_us, threshold, own != TIMELESS), {}
                 if not row:
                     heads[key] = next(fresh)
-                    continue
-                if key in assigner.met:
-                    stories.append(assigner.again(us, key))
+                elif key in assigner.met:
+                    stories.append(assigner.again(us, key, end))
                 else:
                     features, parts = heads.pop(key)
                     hints = None if parts is None else merged_hints([[(x["level"], x["keys"]) for x in part] for part in parts])
-                    stories.append(assigner.story(us, _sets(features), key, hints))
-                places.append(n)
-                n += 1
+                    stories.append(assigner.story(us, _sets(features), key, hints, end))
             kept = batch.filter(is_row)
-            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in out), pa.array(stories, pa.int64()), pa.array(places, pa.int64())], names=[*out, "story", "n"])
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in out), pa.array(stories, pa.int64())], names=[*out, "story"])
 
-    return ordered.mapInArrow(run, T.StructType([*(ordered.schema[c] for c in out), T.StructField("story", T.LongType()), T.StructField("n", T.LongType())]))
+    return lines.mapInArrow(run, T.StructType([*(lines.schema[c] for c in out), T.StructField("story", T.LongType())]))
 
 
 SCHEMA = pa.schema([
@@ -570,8 +632,8 @@ def _slices(values: pa.Array | pa.ChunkedArray, size: int = 100_000) -> Iterator
         yield values.slice(at, size).to_pylist()
 
 
-def summed_up(placed: DataFrame, firsts: DataFrame, least: int, domains: int) -> DataFrame:
-    """Clusters of ``placed`` rows: members pass a task in order and only ids and scores are held, features are counted by key."""
+def summed_up(rows: DataFrame, runs: DataFrame, firsts: DataFrame, least: int, domains: int) -> DataFrame:
+    """Clusters of ``rows`` by the story of their run: members pass a task in order and only ids and scores are held, features are counted by key."""
     of = ["island", "story"]
     head = [c for c in SCHEMA.names if c not in ("symbols", "reasons", "assets", "coherence")]
     types = pa.schema([("island", pa.int64()), ("story", pa.int64()), *(SCHEMA.field(c) for c in head)])
@@ -594,15 +656,16 @@ def summed_up(placed: DataFrame, firsts: DataFrame, least: int, domains: int) ->
 
         story, parts = None, []
         for batch in batches:
-            owners = list(zip(batch.column("island").to_pylist(), batch.column("story").to_pylist(), strict=True))
-            cuts = [0, *(k for k in range(1, len(owners)) if owners[k] != owners[k - 1]), len(owners)]
+            island, number = batch.column("island").to_numpy(), batch.column("story").to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(island) != 0) | (np.diff(number) != 0)) + 1).tolist(), len(island)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
-                if owners[a] != story:
+                owner = int(island[a]), int(number[a])
+                if owner != story:
                     if parts:
                         yield from closed(story, parts)
-                    story, parts = owners[a], []
+                    story, parts = owner, []
                 parts.append(batch.slice(a, b - a).select(["capture_id", "us", "domain", "finance_relevance_score"]))
         if parts:
             yield from closed(story, parts)
@@ -614,9 +677,10 @@ def summed_up(placed: DataFrame, firsts: DataFrame, least: int, domains: int) ->
         return pa.Table.from_pylist([found], schema=pa.schema([("island", pa.int64()), ("story", pa.int64()), *(SCHEMA.field(c) for c in ("symbols", "reasons", "assets", "coherence"))]))
 
     kinds = dict(p.split() for p in CLUSTER.split(", "))
-    ordered = placed.select(*of, "n", "capture_id", "us", "domain", "finance_relevance_score").repartition(*of).sortWithinPartitions(*of, "n")
-    heads = ordered.mapInArrow(members, ", ".join(["island long", "story long", *(f"{c} {kinds[c]}" for c in head)]))
-    counts = placed.groupBy(*of, "key").agg(F.count(F.lit(1)).alias("times"))
+    placed = rows.join(runs.select("island", "key", "run", "story"), ["island", "key", "run"])
+    lines = ordered(placed.select(*of, "capture_id", "us", "domain", "finance_relevance_score")).repartition(*of).sortWithinPartitions(*of, *ORDER)
+    heads = lines.drop(*ORDER).mapInArrow(members, ", ".join(["island long", "story long", *(f"{c} {kinds[c]}" for c in head)]))
+    counts = runs.groupBy(*of, "key").agg(F.sum("rows").alias("times"))
     counts = counts.join(firsts.select("island", "key", "features"), ["island", "key"])
     told = counts.groupBy(*of).applyInArrow(contents, "island long, story long, symbols array<string>, reasons array<string>, assets array<string>, coherence double")
     return heads.join(told, of).select(*SCHEMA.names)
@@ -630,9 +694,8 @@ def cluster_records(records: DataFrame, window_s: int = 1800, threshold: float =
     features are compared in parallel too: chunks of them in the order in which
     they are first met, each with the spans before it, tell how near which
     earlier features are.  What is sequential is then only to look up whose
-    stories those are, and which of them live; a row whose features were met
-    before joins their own live story without a comparison.  Both ways give
-    the same clusters.
+    stories those are, and which of them live, for the first row of each run of
+    equal features (``in_runs``).  Both ways give the same clusters.
     """
     kinds = {"title": "string", "domain": "string", "finance_relevance_score": "double"}
     columns = ["capture_id", "title", "domain", "candidate_symbols", "impact_reason_codes", "asset_classes", "candidate_entities", "finance_relevance_score", "us", "island"]
@@ -640,10 +703,13 @@ def cluster_records(records: DataFrame, window_s: int = 1800, threshold: float =
     rows = rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast(kinds.get(c, "array<string>")).alias(c) for c in columns))
     largest = rows.groupBy("island").count().agg(F.max("count")).first()[0] or 0
     if largest > ALONE_ROWS:
-        rows = keyed(rows.withColumn("capture_id", F.col("capture_id").cast("string")))
+        window_us = window_s * 1_000_000
+        rows = materialize(in_runs(keyed(rows.withColumn("capture_id", F.col("capture_id").cast("string"))), window_us), "story-rows")
         firsts = first_met(rows)
-        placed = materialize(placed_rows(rows, firsts, nearest_earlier(firsts, threshold), window_s * 1_000_000, threshold), "story-rows")
-        return summed_up(placed, firsts, least, domains)
+        alone = materialize(alone_keys(firsts, threshold), "story-alone").withColumn("alone", F.lit(True))
+        rows = rows.drop("features").join(alone, ["island", "key"], "left").withColumn("run", F.when(F.col("alone"), F.col("place")).otherwise(F.col("start")))
+        runs = materialize(placed_runs(rows, firsts, nearest_earlier(firsts, threshold), window_us, threshold), "story-runs")
+        return summed_up(rows, runs, firsts, least, domains)
 
     def summary(own: list[dict]) -> tuple:
         features = [_features(r) for r in own]
@@ -688,22 +754,74 @@ def lead_lag_scores(events: DataFrame) -> DataFrame:
     return out.withColumn("lead_rate", rate).withColumn("composite", 0.6 * F.col("lead_rate") + 0.4 * depth)
 
 
-def novelty_features(records: DataFrame) -> DataFrame:
-    text = F.concat_ws(" ", "title", F.substring("text_excerpt", 1, 500) if "text_excerpt" in records.columns else F.lit(""))
-    tokens = F.array_except(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: F.length(w) >= 3), F.array(*map(F.lit, NOVELTY_STOPWORDS)))
+def novelty_raw(records: DataFrame) -> Column:
+    """What of a record its features follow from, as one struct."""
+    excerpt = F.substring("text_excerpt", 1, 500) if "text_excerpt" in records.columns else F.lit("")
+    return F.struct("title", excerpt.alias("text"), "candidate_symbols", "impact_reason_codes", "asset_classes")
+
+
+RAW_TYPE = "title string, text string, candidate_symbols array<string>, impact_reason_codes array<string>, asset_classes array<string>"
+
+
+def novelty_features(rows: DataFrame) -> DataFrame:
+    """(capture_id, features) of (capture_id, raw), where ``raw`` is ``novelty_raw`` as JSON."""
+    rows = rows.select("capture_id", F.from_json("raw", RAW_TYPE).alias("raw")).select("capture_id", "raw.*")
+    tokens = F.array_except(F.filter(F.split(F.lower(F.concat_ws(" ", "title", "text")), "[^a-z0-9]+"), lambda w: F.length(w) >= 3), F.array(*map(F.lit, NOVELTY_STOPWORDS)))
     low = lambda c: F.array_distinct(F.transform(c, lambda x: F.lower(F.trim(x))))
-    return records.select("capture_id", tokens.alias("tokens"), low("candidate_symbols").alias("symbols"), low("impact_reason_codes").alias("reasons"), low("asset_classes").alias("classes"), "created_at")
+    return rows.select("capture_id", tokens.alias("tokens"), low("candidate_symbols").alias("symbols"), low("impact_reason_codes").alias("reasons"), low("asset_classes").alias("classes"))
+
+
+#: Distinct raw features of which a task holds the least id at a time.
+HELD = 100_000
+
+
+def least_of_equal(rows: DataFrame, asked: list[str]) -> DataFrame:
+    """(capture_id, raw): of rows with equal ``raw`` that of the least id (a shorter one is less); rows of ``asked`` ids, or of none, stay each by itself."""
+    asked = [x for x in asked if x is not None]
+    apart = {None, *asked}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(ids: list, raws: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(raws, pa.string())], names=["capture_id", "raw"])
+
+        least: dict[str, tuple] = {}
+        for batch in batches:
+            coded = batch.column("raw").dictionary_encode()
+            raws, alone, best = coded.dictionary.to_pylist(), [], {}
+            for n, own in zip(coded.indices.to_pylist(), batch.column("capture_id").to_pylist(), strict=True):
+                if own in apart:
+                    alone.append((own, raws[n]))
+                    continue
+                place = len(own), own
+                if n not in best or place < best[n]:
+                    best[n] = place
+            for n, place in best.items():
+                held = least.get(raws[n])
+                if held is None or place < held:
+                    least[raws[n]] = place
+            if alone:
+                yield told(*zip(*alone, strict=True))
+            if len(least) > HELD:
+                yield told([x[1] for x in least.values()], list(least))
+                least.clear()
+        yield told([x[1] for x in least.values()], list(least))
+
+    few = rows.select("capture_id", "raw").mapInArrow(run, "capture_id string, raw string")
+    own = F.when(F.col("capture_id").isNull(), "-").when(F.col("capture_id").isin(asked) if asked else F.lit(False), F.concat(F.lit("+"), "capture_id"))
+    first = F.min(F.struct(F.length("capture_id").alias("size"), "capture_id")).alias("first")
+    return few.groupBy("raw", own.alias("own")).agg(first).select("first.capture_id", "raw")
 
 
 def novelty(records: DataFrame, newest: int = 200) -> DataFrame:
     """How far each of the ``newest`` records is from all others: 1 less the greatest similarity, and the nearest record.
 
     The stated newest records are compared with the whole corpus, which
-    streams past them; ties go to the smaller id.
+    streams past them, equal features once; ties go to the smaller id.
     """
-    corpus = novelty_features(records)
+    text = F.to_json(novelty_raw(records)).alias("raw")
     # The asked features are as many as stated, so they go to every task.
-    asked = corpus.orderBy(F.desc("created_at"), F.desc(F.length("capture_id")), F.desc("capture_id")).limit(newest).collect()
+    first = records.orderBy(F.desc("created_at"), F.desc(F.length("capture_id")), F.desc("capture_id")).limit(newest)
+    asked = novelty_features(first.select("capture_id", text)).collect()
     ids = [r["capture_id"] for r in asked]
     fields = ("tokens", "symbols", "reasons", "classes")
     sizes = {f: np.array([len(set(r[f] or ())) for r in asked], float) for f in fields}
@@ -739,6 +857,7 @@ def novelty(records: DataFrame, newest: int = 200) -> DataFrame:
             found = [(ids[n], float(total[k, n]), own[k]) for n, k in enumerate(best.tolist()) if total[k, n] >= 0]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.string()))], names=["q_capture_id", "sim", "nearest"])
 
+    corpus = novelty_features(least_of_equal(records.select("capture_id", text), ids))
     pairs = corpus.select("capture_id", *fields).mapInArrow(run, "q_capture_id string, sim double, nearest string")
     head = F.min(F.struct((-F.col("sim")).alias("minus"), F.length("nearest").alias("size"), "nearest"))
     best = pairs.groupBy("q_capture_id").agg(head.alias("h")).select("q_capture_id", (-F.col("h.minus")).alias("sim"), F.col("h.nearest").alias("nearest"))
@@ -763,7 +882,7 @@ def source_scorecards(records: DataFrame, as_of_us: int, days: int = 30, least:
         F.count(F.lit(1)).alias("records"), F.count_if("is_finance_relevant").alias("relevant"), F.coalesce(F.avg(F.when(F.col("is_finance_relevant"), score)), F.lit(0.0)).alias("mean_relevance"),
         F.count_if(score >= 0.7).alias("high"), F.count_if(label == "positive").alias("pos"), F.count_if(label == "negative").alias("neg"), F.count_if(label.isin("positive", "negative", "neutral")).alias("labelled"),
     )
-    symbols = rows.select("domain", F.explode("candidate_symbols").alias("s")).filter("s <> ''").distinct()
+    symbols = materialize(rows.select("domain", F.explode("candidate_symbols").alias("s")).filter("s <> ''").distinct(), "domain-symbols")
     homes = symbols.groupBy("s").agg(F.count(F.lit(1)).alias("homes"))
     unique = symbols.join(homes, "s").groupBy("domain").agg((F.count_if(F.col("homes") == 1) / F.count(F.lit(1))).alias("uniqueness"))
     out = base.filter(F.col("records") >= least)
