@@ -312,3 +312,15 @@ def test_dashboard_items_do_not_pass_the_driver(spark):
     assert out.inputFiles()
     got = [(r["signal"], r["rank"], r["item"] and '"capture_id":"' in r["item"], r["error"]) for r in out.orderBy("signal", "rank").collect()]
     assert got == [("all", k, True, None) for k in range(1, 6)] + [("none", 0, None, None)]
+
+
+def test_dashboard_ranks_clusters_without_ordering_their_members(spark):
+    rows = [record(i, 100 * (i % 7) + i % 2, domain=f"d{i % 2}.example", candidate_symbols=[f"s{i % 7}"], title=f"t{i % 7}") for i in range(56)]
+    df = frame(spark, rows)
+    shown = dashboard.snapshot(df, {k: v for k, v in dashboard.sharing_clusters(dashboard.SIGNALS).items() if k == "clusters"})
+    plainly = dashboard.snapshot(df, {"clusters": dashboard.SIGNALS["clusters"]})
+    got, want = ([tuple(r) for r in x.orderBy("rank").collect()] for x in (shown, plainly))
+    assert got == want and len(got) == 7
+    ranked = dashboard.ranked_clusters(dashboard.ordered_clusters(df).withColumn(dashboard.NUMBER, F.monotonically_increasing_id()), 3)
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Sort" in line and "capture_ids" in line for line in plan.splitlines()) and ranked.count() == 3

@@ -21,6 +21,18 @@ def ordered_clusters(records: DataFrame, top: int | None = None, clusters: DataF
     return rows.limit(top) if top else rows
 
 
+#: Of rows that say their own place in a signal's order.
+RANK, NUMBER = "_rank", "_number"
+
+
+def ranked_clusters(clusters: DataFrame, top: int) -> DataFrame:
+    """``ordered_clusters`` of a table with ``NUMBER`` for each, with ``RANK``: what is put in order are times and ids, never rows with all their members."""
+    order = [F.asc_nulls_last("first_us"), "cluster_id", NUMBER]
+    first = clusters.select("first_us", "cluster_id", NUMBER).orderBy(*order).limit(top)
+    first = first.select(NUMBER, F.row_number().over(Window.orderBy(*order)).alias(RANK))
+    return clusters.join(F.broadcast(first), NUMBER).drop(NUMBER)
+
+
 def leaderboard(records: DataFrame) -> DataFrame:
     """Scorecards of the thirty days up to the newest record, best first."""
     newest = timed(records).agg(F.max("us")).first()[0]
@@ -57,10 +69,10 @@ def sharing_clusters(signals: dict[str, Signal]) -> dict[str, Signal]:
 
     def clusters(records: DataFrame) -> DataFrame:
         if not known:
-            known.append(materialize(stories.cluster_records(records, domains=2), "dashboard-clusters"))
+            known.append(materialize(stories.cluster_records(records, domains=2).withColumn(NUMBER, F.monotonically_increasing_id()), "dashboard-clusters"))
         return known[0]
 
-    return signals | {"clusters": lambda r: ordered_clusters(r, 50, clusters(r)), "lead_lag": lambda r: leaders(r, clusters(r))}
+    return signals | {"clusters": lambda r: ranked_clusters(clusters(r), 50), "lead_lag": lambda r: leaders(r, clusters(r))}
 
 
 def snapshot(records: DataFrame, signals: dict[str, Signal] | None = None) -> DataFrame:
@@ -78,9 +90,14 @@ def snapshot(records: DataFrame, signals: dict[str, Signal] | None = None) -> Da
     try:
         for name, signal in signals.items():
             try:
-                items = signal(corpus).select(F.to_json(F.struct("*")).alias("item")).withColumn("_at", F.monotonically_increasing_id())
-                rank = F.row_number().over(Window.orderBy("_at")).cast("int")
-                rows = materialize(items.select(F.lit(name).alias("signal"), rank.alias("rank"), "item", F.lit(None).cast("string").alias("error")), "dashboard-items")
+                items = signal(corpus)
+                item = F.to_json(F.struct(*(c for c in items.columns if c != RANK))).alias("item")
+                if RANK in items.columns:
+                    items = items.select(item, F.col(RANK).cast("int").alias("rank"))
+                else:
+                    order = Window.orderBy("_at")
+                    items = items.select(item, F.monotonically_increasing_id().alias("_at")).withColumn("rank", F.row_number().over(order).cast("int"))
+                rows = materialize(items.select(F.lit(name).alias("signal"), "rank", "item", F.lit(None).cast("string").alias("error")), "dashboard-items")
                 if rows.isEmpty():
                     rows = spark.createDataFrame([(name, 0, None, None)], schema)
             except Exception as error:  # a signal's own failure is part of the report
